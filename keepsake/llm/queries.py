@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import packing, tokenfile
+from keepsake.llm import packing, quality, tokenfile
 from keepsake.llm.common import saved, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,8 +27,14 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_index(spark, path)
 
 
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), ["doc_id"])
+    return scored.select("_row.doc_id", *quality.STATISTICS, "base_failed", "kept", "quality")
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op7_token_orc": op7_token_orc,
+    "op8_weak_supervision": op8_weak_supervision,
 }
 ORACLE: dict[str, str] = {}
