@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import packing, quality, tokenfile
+from keepsake.llm import licenses, packing, quality, tokenfile
 from keepsake.llm.common import saved, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op3_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("_row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/keepsake-token-orc-{uuid.uuid4().hex}"
     tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -34,7 +39,10 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_rare_word_licences": op3_rare_word_licences,
     "op7_token_orc": op7_token_orc,
     "op8_weak_supervision": op8_weak_supervision,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_rare_word_licences": licenses.oracle(),
+}
