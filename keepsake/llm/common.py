@@ -111,7 +111,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(texts: pa.Array):
     """(first row, last row, bytes, end of each row's text) of texts that each got a final line feed, in pieces of about CHUNK_BYTES."""
-    texts = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), "", "\n", null_handling="replace").cast(pa.large_string())
+    text = lambda x: pa.scalar(x, pa.large_string())
+    texts = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), text("")), text("\n"), text(""))
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     n = len(texts)

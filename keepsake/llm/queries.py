@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import licenses, packing, quality, tokenfile
+from keepsake.llm import jaccard, licenses, packing, quality, tokenfile
 from keepsake.llm.common import saved, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def op3_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = saved(jaccard.link(table(spark, sf_dir, "documents")), "linked")
+    return jaccard.with_component_id(linked).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/keepsake-token-orc-{uuid.uuid4().hex}"
     tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -40,9 +45,20 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_rare_word_licences": op3_rare_word_licences,
+    "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op7_token_orc": op7_token_orc,
     "op8_weak_supervision": op8_weak_supervision,
 }
 ORACLE: dict[str, str] = {
     "op3_rare_word_licences": licenses.oracle(),
+    "op5_grouped_prefix_join": """
+WITH RECURSIVE lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM lowered),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+""",
 }
