@@ -128,18 +128,30 @@ def chunks(texts: pa.Array):
 
 
 class Substrings:
-    """64-bit hashes of any substrings of a byte array, in constant time each."""
+    """64-bit hashes of any stretches of a sequence, in constant time each. values: a random 64-bit number for each item."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray):
-        power, self.inverse = _powers(len(data))
+    def __init__(self, values: np.ndarray):
+        power, self.inverse = _powers(len(values))
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * power[: len(data)])])
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * power[: len(values)])])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+def split_changed(docs: DataFrame, removed: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs that removed (doc_id, hash, gone) does not name, and the others with their gone. removed is saved and has a row for each document.
+
+    Only documents that change are shuffled together with what they lose.
+    """
+    ids = small_or_not(removed.select("doc_id", "hash"))
+    named = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_of(text_col)).alias("_hash"), F.struct("*").alias("_row"))
+    on = lambda left, right: left["_doc"].eqNullSafe(right["doc_id"]) & (left["_hash"] == right["hash"])
+    changed = named.join(ids, on(named, ids), "left_semi")
+    return named.join(ids, on(named, ids), "left_anti").select("_row.*"), changed.join(removed, on(changed, removed)).select("_row", "gone")
+
+
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 

@@ -44,7 +44,7 @@ def shingle_sets(texts: pa.Array, width: int = WORDS):
     values = byte_values(fold_case=True)
     for first, _, data, ends in chunks(texts):
         start, end = runs(~SPACES[data])
-        words = Substrings(data, values).hash(start, end)
+        words = Substrings(values[data]).hash(start, end)
         doc = np.searchsorted(ends, start, "right")
         n_words = np.bincount(doc, minlength=len(ends))
         begin = np.cumsum(n_words) - n_words

@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keepsake.llm import jaccard, licenses, packing, quality, tokenfile
+from keepsake.llm import jaccard, licenses, lines, packing, quality, spans, tokenfile
 from keepsake.llm.common import saved, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.remove_repeated(table(spark, sf_dir, "documents"), with_counts=True)
+    return left.select("_row.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.md5("_row.text").alias("text_md5"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
@@ -42,12 +48,19 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("_row.doc_id", *quality.STATISTICS, "base_failed", "kept", "quality")
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = spans.remove_repeated(table(spark, sf_dir, "documents"), with_counts=True)
+    return left.select("_row.doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), F.col("_row.text").alias("text"))
+
+
 QUERIES = {
+    "op1_segment_line_dedup": op1_segment_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_rare_word_licences": op3_rare_word_licences,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op7_token_orc": op7_token_orc,
     "op8_weak_supervision": op8_weak_supervision,
+    "op10_sentence_spans": op10_sentence_spans,
 }
 ORACLE: dict[str, str] = {
     "op3_rare_word_licences": licenses.oracle(),
