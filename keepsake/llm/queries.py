@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import jaccard, licenses, lines, packing, quality, spans, tokenfile
+from keepsake.llm import decontam, jaccard, licenses, lines, packing, quality, spans, tokenfile, toxicity, urls
 from keepsake.llm.common import saved, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,11 +32,21 @@ def op3_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, models, ["doc_id"]).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = saved(jaccard.link(table(spark, sf_dir, "documents")), "linked")
     return jaccard.with_component_id(linked).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), ["page_id"])
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/keepsake-token-orc-{uuid.uuid4().hex}"
     tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -48,6 +58,11 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("_row.doc_id", *quality.STATISTICS, "base_failed", "kept", "quality")
 
 
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "word", F.round("question", 6).alias("question"), F.round("answer", 6).alias("answer"))
+
+
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = spans.remove_repeated(table(spark, sf_dir, "documents"), with_counts=True)
     return left.select("_row.doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), F.col("_row.text").alias("text"))
@@ -57,9 +72,12 @@ QUERIES = {
     "op1_segment_line_dedup": op1_segment_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_rare_word_licences": op3_rare_word_licences,
+    "op4_classifier_chain": op4_classifier_chain,
     "op5_grouped_prefix_join": op5_grouped_prefix_join,
+    "op6_link_graph_urls": op6_link_graph_urls,
     "op7_token_orc": op7_token_orc,
     "op8_weak_supervision": op8_weak_supervision,
+    "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_sentence_spans": op10_sentence_spans,
 }
 ORACLE: dict[str, str] = {
