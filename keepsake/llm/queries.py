@@ -35,7 +35,7 @@ def op3_rare_word_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, models, ["doc_id"]).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return toxicity.score(docs, models, ["doc_id"]).withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
 
 
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
