@@ -1,13 +1,78 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
+
+Every stage but the last takes documents and returns documents. Its result is to
+be written and read again before the next stage begins; the tables that a stage
+keeps in the shared folder are deleted then.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.llm import decontam, jaccard, lines, packing, quality
+from keepsake.llm.common import delete, saved, saved_since
+from keepsake.llm.queries import TOKENIZER, table
+
+_HAS_WORD = r"[^\x20\x09-\x0D]"
+#: Tables of stages whose results have been written by now.
+_left_over: list[str] = []
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality.filter_quality(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier documents have; those of which no word is left go."""
+    left = lines.remove_repeated(docs, with_counts=True)
+    left = left.where((F.size("removed") == 0) | F.col("_row.text").rlike(_HAS_WORD))
+    return left.select("_row.*").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences."""
+    return packing.pack(packing.token_pieces(docs, TOKENIZER))
+
+
+def _stage(work: Callable) -> Callable:
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left_over:
+            used = docs.inputFiles()
+            for path in [p for p in _left_over if not any(p.rsplit("/", 1)[-1] in f for f in used)]:
+                delete(spark, path)
+                _left_over.remove(path)
+        mark = saved_since()
+        out = work(spark, docs, sf_dir)
+        _left_over.extend(saved_since(mark))
+        return out
+
+    return stage
+
 
-STAGES: list = []
+STAGES = [(f.__name__, _stage(f)) for f in (quality_rules, line_dedup, ngram_jaccard_join, benchmark_decontamination, best_fit_packing)]
+#: SQL can express neither the fitted rules' verdict nor the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of documents after all stages."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = saved(docs, name)
     return docs

@@ -48,11 +48,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession) -> None:
-    """Delete the tables that saved() has written; call it only when no unread result depends on them."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def saved_since(mark: int | None = None) -> int | list[str]:
+    """Without a mark: one for now. With one: the tables written since, which the caller now owns."""
+    if mark is None:
+        return len(_written)
+    paths = _written[mark:]
+    del _written[mark:]
+    return paths
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
