@@ -217,7 +217,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = _verified(x.where("own_a").join(y, "key").where("class_a <> class_b and (not own_b or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), lines, source)
     label = components(near.unionByName(more)).select(F.col("node").alias("h1"), "component")
     classed = lines.join(small_or_not(saved(label, "classes")), "h1", "left").select("doc_id", "hash", "number", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"))
-    by_doc = classed.groupBy("doc_id", "hash", "k1", "k2").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+    by_doc = classed.groupBy("doc_id", "hash", "k1", "k2").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
     place = F.coalesce("doc_id", F.lit(_LAST))
     by_doc = saved(by_doc.withColumn("place", place), "bydoc")
     first = by_doc.groupBy("k1", "k2").agg(F.min("place").alias("least"), F.count("place").alias("n")).where("n > 1").select("k1", "k2", "least")
