@@ -12,8 +12,9 @@ of their sets reaches the threshold. The join is exact up to 64-bit hashes:
 3. Each group is first compared with the first group of every prefix shingle, a
    star for each shingle instead of all pairs, which joins most near copies.
 4. Then all pairs of groups that share a prefix shingle but are not yet in one
-   component are filtered by size and by shared prefix shingles, expanded to
-   their sets and verified. What is in one component already needs no pair, so
+   component are filtered by size and by the place of that shingle (the first
+   one that two sets share bounds how many can follow), expanded to their sets
+   and verified. What is in one component already needs no pair, so
    large groups of near copies stay linear.
 
 Edge cases. Null or empty text, or text without words, has an empty set and no
@@ -85,9 +86,9 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
         often = np.flatnonzero(total > mean + 4 * np.sqrt(mean) + 2)
         yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(total[often])], names=["bucket", "n"])
 
-    found = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << BITS, np.uint8)
-    table[found["bucket"]] = np.log2(found["n"]).astype(np.uint8)
+    table[found["bucket"].to_numpy()] = np.log2(found["n"].to_numpy()).astype(np.uint8)
     return table
 
 
@@ -163,21 +164,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     groups = sets.groupBy("n", "g1", "g2").agg(F.min("set_id").alias("gid"))
     members = saved(sets.join(groups, ["n", "g1", "g2"]).select("set_id", "gid", "n", "p"), "members")
     first = small_or_not(saved(members.where("set_id = gid").select(F.col("gid").alias("_row")), "groups"))
-    tokens = rows.join(first, "_row", "left_semi").select(F.explode("prefix").alias("h"), F.col("_row").alias("gid"))
+    tokens = rows.join(first, "_row", "left_semi").select(F.posexplode("prefix").alias("i", "h"), F.col("_row").alias("gid"))
     hubs = tokens.groupBy("h").agg(F.min("gid").alias("hub"), F.count("gid").alias("k")).where("k > 1").select("h", "hub")
     shared = saved(tokens.join(hubs, "h"), "shared")
-    of_group = members.where("set_id = gid").select("gid", "n", "p")
+    of_group = small_or_not(saved(members.where("set_id = gid").select("gid", F.col("n").cast("int").alias("n"), F.col("p").cast("int").alias("p")), "sizes"))
 
-    def sized(pairs: DataFrame, tight: bool) -> DataFrame:
-        """Group pairs (a, b, c shared prefix shingles) that can reach the threshold by their sizes, and if c is complete, by c."""
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Group pairs (a, b, c shared prefix shingles) that can reach the threshold by their sizes and c."""
         x, y = (of_group.select(F.col("gid").alias(k), F.col("n").alias(f"n_{k}"), F.col("p").alias(f"p_{k}")) for k in "ab")
-        pairs = pairs.join(x, "a").join(y, "b").where((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
         rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-        return pairs.where(F.col("c") + rest >= least_overlap(F.col("n_a"), F.col("n_b"), threshold)) if tight else pairs
+        return pairs.join(x, "a").join(y, "b").where((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.col("c") + rest >= least_overlap(F.col("n_a"), F.col("n_b"), threshold)))
 
     # a star for each shingle; here c may be too low, which only leaves a pair to the next step
     stars = shared.where("gid <> hub").groupBy(F.col("gid").alias("a"), F.col("hub").alias("b")).agg(F.count("h").alias("c"))
-    stars = sized(stars, tight=True).select("a", "b").unionByName(members.where("set_id <> gid").select(F.col("set_id").alias("a"), F.col("gid").alias("b")))
+    stars = promising(stars).select("a", "b").unionByName(members.where("set_id <> gid").select(F.col("set_id").alias("a"), F.col("gid").alias("b")))
     near = _verified(stars, sets, source, width, threshold)
     label = components(near)
     member_of = saved(members.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "members")
@@ -185,11 +185,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     spread = member_of.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_tokens = shared.join(spread, "gid")
     several = open_tokens.groupBy("h").agg(F.min("low").alias("l"), F.max("high").alias("m")).where("l <> m").select("h")
-    open_tokens = saved(open_tokens.join(several, "h").select("h", "gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one")), "open")
-    x, y = (open_tokens.select("h", F.col("gid").alias(k), F.col("one").alias(f"one_{k}")) for k in "ab")
-    pairs = x.join(y, "h").where("a < b and not coalesce(one_a = one_b, false)").groupBy("a", "b").agg(F.count("h").alias("c"))
+    open_tokens = open_tokens.join(several, "h").join(of_group, "gid").select("h", "gid", "i", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"))
+    open_tokens = saved(open_tokens, "open")
+    x, y = (open_tokens.select("h", F.col("gid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("i", "n", "one")]) for k in "ab")
+    can = f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) and {100 + threshold} * least(n_a - i_a, n_b - i_b) >= {threshold} * (n_a + n_b)"
+    pairs = x.join(y, (x["h"] == y["h"]) & F.expr(f"a < b and not coalesce(one_a = one_b, false) and {can}")).select("a", "b").distinct()
     inside = spread.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    pairs = sized(pairs, tight=True).select("a", "b").unionByName(inside)
+    pairs = pairs.unionByName(inside)
     x, y = (member_of.select(F.col("gid").alias(k), F.col("set_id").alias(f"set_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
     pairs = pairs.join(x, "a").join(y, "b").where("component_a <> component_b and (a < b or set_a < set_b)").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
     more = _verified(pairs, sets, source, width, threshold)
