@@ -201,8 +201,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     scanned = saved(_scan(source), "scan")
     words = np.zeros(1 << (BITS - 6), np.uint64)
-    found = scanned.where("kind = 1").groupBy("h1").agg(F.bit_or("h2").alias("bits")).toPandas()
-    words[found["h1"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    found = scanned.where("kind = 1").groupBy("h1").agg(F.bit_or("h2").alias("bits")).toArrow()
+    words[found["h1"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     lines = scanned.where("kind = 0").drop("kind")
     # each task sends a line once or a few times; equal rows of a key then meet in one partition
     keys = saved(_keys(source, docs.sparkSession.sparkContext.broadcast(words)).distinct(), "keys")
