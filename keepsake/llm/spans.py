@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import SPACES, Substrings, byte_values, chunks, mix, runs, saved, small_or_not, split_changed, text_of
+from keepsake.llm.common import SPACES, Substrings, byte_values, chunks, mix, runs, saved, split_changed, text_of
 
 SENTENCES = 3
 LEAST_WORDS = 15
@@ -89,7 +89,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.coalesce("doc_id", F.lit(_LAST))
     # runs that stand in several documents, with the smallest id
     several = found.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("h1", "h2", "least")
-    later = found.join(small_or_not(saved(several, "several")), ["h1", "h2"]).where(place > F.col("least")).unionByName(found.where("again").withColumn("least", F.lit(_LAST))).select("doc_id", "hash", "i", "m")
+    later = found.join(several, ["h1", "h2"]).where(place > F.col("least")).unionByName(found.where("again").withColumn("least", F.lit(_LAST))).select("doc_id", "hash", "i", "m")
     return later.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(F.struct("i", "m"))).alias("gone"))
 
 
