@@ -3,10 +3,11 @@
 Test items, cut into sections of at most SECTION words, are indexed by word; a
 posting's impact is its BM25 weight as a share of what the section itself would
 score, so one threshold serves all sections. Every passage (WINDOW words, a new
-one every STRIDE words) of every document is a query. Words of small bounds
-cannot reach the threshold by themselves, so a passage whose other words' upper
-bounds stay below the rest of it is passed over; the others are searched with
-block-max WAND and all sections at or above the threshold are retrieved. A hit
+one every STRIDE words) of every document is a query. The commonest words, up to
+a share SMALL of the threshold in any section, cannot reach it by themselves, so
+a passage is passed over if for no section its other words' impacts sum to the
+rest; the others are searched with block-max WAND and all sections at or above
+the threshold are retrieved. A hit
 counts if the passage holds enough of the section's word triples (the question)
 and of the words of its last sentence (the answer).
 
@@ -39,8 +40,8 @@ THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
 SHARD_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: Share of the threshold that words of small upper bounds may make up together.
-SMALL = 0.5
+#: Share of the threshold that the commonest words of any section may make up together.
+SMALL = 0.4
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -87,15 +88,19 @@ class Index:
             for w, x in weight.items():
                 postings.setdefault(w, []).append((s, x / total))
         self.lists = {w: ([s for s, _ in p], [x for _, x in p], [max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)], max(x for _, x in p)) for w, p in postings.items()}
-        by_bound = sorted((v[3], w) for w, v in self.lists.items())
-        bound, self.slack = [], 0.0
-        for x, w in by_bound:
-            if not bound and self.slack + x <= SMALL * THRESHOLD:
-                self.slack += x
+        self.slack = np.zeros(n)
+        rare = []
+        for w in sorted(self.lists, key=lambda w: (-df[w], w)):
+            at, x = np.array(self.lists[w][0]), np.array(self.lists[w][1])
+            if not rare and (self.slack[at] + x).max() <= SMALL * THRESHOLD:
+                self.slack[at] += x
             else:
-                bound.append((w, x))
-        bound.sort()
-        self.words, self.bounds = np.array([w for w, _ in bound], np.uint64), np.array([x for _, x in bound])
+                rare.append(w)
+        rare.sort()
+        self.words = np.array(rare, np.uint64)
+        self.begin = np.cumsum([0] + [df[w] for w in rare])
+        self.sections = np.array([s for w in rare for s in self.lists[w][0]], np.int64)
+        self.impacts = np.array([x for w in rare for x in self.lists[w][1]])
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.words >> np.uint64(48)).astype(np.int64)] = True
 
@@ -104,15 +109,23 @@ class Index:
         w = words.tolist()
         return set(zip(w, w[1:], w[2:], strict=False)) or {tuple(w)}
 
-    def upper(self, words: np.ndarray) -> np.ndarray:
-        """Upper bound of each word of a text; 0 for words of small bounds and those of no item."""
-        out = np.zeros(len(words))
-        maybe = np.flatnonzero(self.seen[(words >> np.uint64(48)).astype(np.int64)])
-        if len(self.words) and len(maybe):
-            at = np.minimum(np.searchsorted(self.words, words[maybe]), len(self.words) - 1)
-            hit = self.words[at] == words[maybe]
-            out[maybe[hit]] = self.bounds[at[hit]]
-        return out
+    def starts(self, words: np.ndarray) -> np.ndarray:
+        """Places of words from which on some section's rare words may sum to what the threshold needs within a window."""
+        place = np.flatnonzero(self.seen[(words >> np.uint64(48)).astype(np.int64)])
+        if not len(self.words) or not len(place):
+            return place[:0]
+        term = np.minimum(np.searchsorted(self.words, words[place]), len(self.words) - 1)
+        hit = self.words[term] == words[place]
+        place, term = place[hit], term[hit]
+        n = self.begin[term + 1] - self.begin[term]
+        posting = np.repeat(self.begin[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        section = self.sections[posting]
+        key = section * (len(words) + WINDOW) + np.repeat(place, n)
+        order = np.argsort(key)
+        key, section = key[order], section[order]
+        total = np.concatenate([[0.0], np.cumsum(self.impacts[posting[order]])])
+        inside = total[np.searchsorted(key, key + WINDOW)] - total[:-1]
+        return key[inside >= THRESHOLD - self.slack[section] - 1e-9] % (len(words) + WINDOW)
 
     def search(self, words: set) -> list[tuple[int, float]]:
         """All (section, score) at or above the threshold, by block-max WAND."""
@@ -160,14 +173,18 @@ def _matches(docs: DataFrame, index) -> DataFrame:
             for first, _, data, ends in chunks(batch.column(2)):
                 words, start, _ = word_hashes(data)
                 bounds = np.searchsorted(start, np.concatenate([[0], ends]))
-                upper = np.concatenate([[0.0], np.cumsum(idx.upper(words))])
-                need = THRESHOLD - idx.slack - 1e-9
                 # passages by their first word; a document's last one may be shorter
                 n = np.maximum(1, -(-(np.diff(bounds) - WINDOW) // STRIDE) + 1)
                 doc = np.repeat(np.arange(len(n)), n)
                 begin = bounds[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))
                 end = np.minimum(begin + WINDOW, bounds[doc + 1])
-                for k in np.flatnonzero(upper[end] - upper[begin] >= need).tolist():
+                # those that hold a place found by starts()
+                place = idx.starts(words)
+                of = np.searchsorted(bounds, place, "right") - 1
+                low = np.cumsum(n)[of] - n[of] + np.maximum(0, (place - bounds[of] - WINDOW) // STRIDE + 1)
+                high = np.cumsum(n)[of] - n[of] + np.minimum(n[of] - 1, (place - bounds[of]) // STRIDE)
+                marks = np.bincount(low, minlength=len(doc) + 1) - np.bincount(high + 1, minlength=len(doc) + 1) if len(place) else np.zeros(len(doc) + 1, int)
+                for k in np.flatnonzero(np.cumsum(marks)[: len(doc)] > 0).tolist():
                     passage = words[begin[k] : end[k]].tolist()
                     for section, score in idx.search(set(passage)):
                         triples = idx.triples[section]
