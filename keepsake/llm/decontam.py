@@ -6,7 +6,7 @@ score, so one threshold serves all sections. Every passage (WINDOW words, a new
 one every STRIDE words) of every document is a query. The commonest words, up to
 a share SMALL of the threshold in any section, cannot reach it by themselves, so
 a passage is passed over if for no section its other words' impacts sum to the
-rest; the others are searched with block-max WAND and all sections at or above
+rest (first with repeated words, in one sweep over the text, then without); the others are searched with block-max WAND and all sections at or above
 the threshold are retrieved. A hit
 counts if the passage holds enough of the section's word triples (the question)
 and of the words of its last sentence (the answer).
@@ -88,19 +88,20 @@ class Index:
             for w, x in weight.items():
                 postings.setdefault(w, []).append((s, x / total))
         self.lists = {w: ([s for s, _ in p], [x for _, x in p], [max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)], max(x for _, x in p)) for w, p in postings.items()}
+        # each section's commonest words, up to a share SMALL of the threshold, are left out of the rare ones' postings
         self.slack = np.zeros(n)
-        rare = []
-        for w in sorted(self.lists, key=lambda w: (-df[w], w)):
-            at, x = np.array(self.lists[w][0]), np.array(self.lists[w][1])
-            if not rare and (self.slack[at] + x).max() <= SMALL * THRESHOLD:
-                self.slack[at] += x
-            else:
-                rare.append(w)
-        rare.sort()
-        self.words = np.array(rare, np.uint64)
-        self.begin = np.cumsum([0] + [df[w] for w in rare])
-        self.sections = np.array([s for w in rare for s in self.lists[w][0]], np.int64)
-        self.impacts = np.array([x for w in rare for x in self.lists[w][1]])
+        rare: dict[int, list[tuple[int, float]]] = {}
+        weights = {w: dict(zip(*v[:2], strict=True)) for w, v in self.lists.items()}
+        for s, c in enumerate(counts):
+            for w in sorted(c, key=lambda w: (-df[w], w)):
+                if self.slack[s] + weights[w][s] <= SMALL * THRESHOLD:
+                    self.slack[s] += weights[w][s]
+                else:
+                    rare.setdefault(w, []).append((s, weights[w][s]))
+        self.words = np.array(sorted(rare), np.uint64)
+        self.begin = np.cumsum([0] + [len(rare[w]) for w in sorted(rare)])
+        self.sections = np.array([s for w in sorted(rare) for s, _ in rare[w]], np.int64)
+        self.impacts = np.array([x for w in sorted(rare) for _, x in rare[w]])
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.words >> np.uint64(48)).astype(np.int64)] = True
 
@@ -127,6 +128,14 @@ class Index:
         inside = total[np.searchsorted(key, key + WINDOW)] - total[:-1]
         return key[inside >= THRESHOLD - self.slack[section] - 1e-9] % (len(words) + WINDOW)
 
+    def possible(self, words: np.ndarray) -> bool:
+        """Whether the rare ones of these distinct words reach what some section needs."""
+        term = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        term = term[self.words[term] == words]
+        n = self.begin[term + 1] - self.begin[term]
+        posting = np.repeat(self.begin[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return bool((np.bincount(self.sections[posting], weights=self.impacts[posting], minlength=len(self.slack)) >= THRESHOLD - self.slack - 1e-9).any())
+
     def search(self, words: set) -> list[tuple[int, float]]:
         """All (section, score) at or above the threshold, by block-max WAND."""
         lists = [[0, *self.lists[w]] for w in words if w in self.lists]
@@ -185,7 +194,10 @@ def _matches(docs: DataFrame, index) -> DataFrame:
                 high = np.cumsum(n)[of] - n[of] + np.minimum(n[of] - 1, (place - bounds[of]) // STRIDE)
                 marks = np.bincount(low, minlength=len(doc) + 1) - np.bincount(high + 1, minlength=len(doc) + 1) if len(place) else np.zeros(len(doc) + 1, int)
                 for k in np.flatnonzero(np.cumsum(marks)[: len(doc)] > 0).tolist():
-                    passage = words[begin[k] : end[k]].tolist()
+                    passage = words[begin[k] : end[k]]
+                    if not idx.possible(np.unique(passage)):
+                        continue
+                    passage = passage.tolist()
                     for section, score in idx.search(set(passage)):
                         triples = idx.triples[section]
                         question = len(triples & (set(zip(passage, passage[1:], passage[2:], strict=False)) | {tuple(passage)})) / len(triples)
