@@ -85,7 +85,7 @@ def keep_in_worker(name: str, make):
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes that are hashed at a time; a longer text is one chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -116,24 +116,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(make())
 
 
-def chunks(texts: pa.Array):
-    """(first row, last row, bytes, end of each row's text) of texts that each got a final line feed, in pieces of about CHUNK_BYTES."""
-    text = lambda x: pa.scalar(x, pa.large_string())
-    texts = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), text("")), text("\n"), text(""))
+def slices(texts: pa.Array, size: int):
+    """(first row, texts without nulls) in stretches of about size bytes; a longer text is a stretch of its own.
+
+    Memory that the stretch before has taken is given back.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    n = len(texts)
-    if not n:
-        return
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1)
-        yield first, last, data[ends[first] : ends[last]], ends[first + 1 : last + 1] - ends[first]
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")))
+        yield first, pc.fill_null(texts.slice(first, last - first), pa.scalar("", texts.type))
+        pa.default_memory_pool().release_unused()
         first = last
 
 
+def chunks(texts: pa.Array):
+    """(first row, last row, bytes, end of each row's text) of texts that each got a final line feed, in pieces of about CHUNK_BYTES."""
+    text = lambda x: pa.scalar(x, texts.type)
+    for first, some in slices(texts, CHUNK_BYTES):
+        some = pc.binary_join_element_wise(some, text("\n"), text(""))
+        n = len(some)
+        ends = np.frombuffer(some.buffers()[1], np.int64 if pa.types.is_large_string(some.type) else np.int32).astype(np.int64)[some.offset : some.offset + n + 1]
+        yield first, first + n, np.frombuffer(some.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0]
+
+
 class Substrings:
     """64-bit hashes of any stretches of a sequence, in constant time each. values: a random 64-bit number for each item."""
 

@@ -78,13 +78,13 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
     """
 
     def count(batches):
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for _, hashes, _ in shingle_sets(batch.column(0), width):
                 np.add.at(total, (hashes >> np.uint64(64 - BITS)).astype(np.int64), 1)
         mean = total.mean()
         often = np.flatnonzero(total > mean + 4 * np.sqrt(mean) + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(total[often])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(total[often].astype(np.int64))], names=["bucket", "n"])
 
     found = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << BITS, np.uint8)

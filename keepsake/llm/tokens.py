@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from keepsake.llm.common import keep_in_worker
+from keepsake.llm.common import keep_in_worker, slices
 
-#: Pieces whose ids a worker remembers: about 200 MB.
-REMEMBERED = 1_000_000
+#: Pieces whose ids a worker remembers: about 100 MB.
+REMEMBERED = 500_000
 #: Bytes of text that are split at a time.
-SPLIT_BYTES = 16 << 20
+SPLIT_BYTES = 6 << 20
 #: Pieces that are one word for the vocabulary; many of them are encoded as one text.
 _WORD = re.compile("[a-zà-öø-ÿ]+").fullmatch
 _TOGETHER = 64
@@ -62,15 +62,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int):
         """For each stretch of rows: (first row, ids of all its texts, each with end_id appended, length of each)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        first = 0
-        while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SPLIT_BYTES, "right")))
-            yield first, *self._encode(texts.slice(first, last - first), end_id)
-            first = last
+        for first, some in slices(texts, SPLIT_BYTES):
+            yield first, *self._encode(some, end_id)
 
     def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
