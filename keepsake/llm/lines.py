@@ -9,8 +9,10 @@ Equal lines are grouped by 128-bit hashes. For the rest, a line of length L is
 cut into EDITS + 1 segments, so a line within EDITS edits holds one of them
 unchanged at a place that differs by few characters. Segments are keyed by
 length, number and content; a line probes the keys of every length from
-L - EDITS to L at the places that its edits allow. Pairs that meet are verified
-by a banded bit-parallel edit distance. A line is first compared with the first
+L - EDITS to L at the places that its edits allow. An edit changes the parity of
+at most four pairs of neighbouring characters, so pairs that meet are dropped if
+64 parities differ in more; the others are verified by a banded bit-parallel edit
+distance. A line is first compared with the first
 line of every key, a star for each key; after that only pairs that are not yet in
 one class are.
 
@@ -35,9 +37,11 @@ from keepsake.llm.components import components
 EDITS = 2
 NEAR_LENGTH = 24
 #: Bits of the filter of segment keys, a broadcast of 2 ** BITS / 8 bytes for any corpus.
-BITS = 26
+BITS = 27
 #: Lines whose keys a task remembers to have sent.
 REMEMBERED = 1 << 20
+#: Pair parities that may differ.
+PARITIES = 4 * EDITS
 _LAST = (1 << 63) - 1
 
 
@@ -58,6 +62,10 @@ class Lines:
         kept = last > first
         self.doc, self.number = doc[kept], number[kept]
         self.start, self.end = solid[first[kept]], solid[last[kept] - 1] + 1
+        wide = points.astype(np.uint64)
+        pairs = np.uint64(1) << (mix(wide[:-1] << np.uint64(32) | wide[1:], 25) & np.uint64(63))
+        parity = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(pairs)]) if len(pairs) else np.zeros(1, np.uint64)
+        self.parity = parity[self.end - 1] ^ parity[self.start]
         self.points = Substrings(mix(points.astype(np.uint64), 21))
         self.h1 = self.points.hash(self.start, self.end)
         self.h2 = mix(Substrings(mix(points.astype(np.uint64), 22)).hash(self.start, self.end), 23)
@@ -153,7 +161,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame, filter_words) -> DataFrame:
-    """(key, own, line): segment keys, and those probes that some segment may match."""
+    """(key, own, line, parity): segment keys, and those probes that some segment may match."""
 
     def compute(batches):
         words = filter_words.value
@@ -169,9 +177,9 @@ def _keys(docs: DataFrame, filter_words) -> DataFrame:
                 line, keys, own = x.keys(near[new])
                 place = keys >> np.uint64(64 - BITS)
                 hit = own | ((words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(own[hit]), pa.array(x.h1[line[hit]].view(np.int64))], names=["key", "own", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(own[hit]), pa.array(x.h1[line[hit]].view(np.int64)), pa.array(x.parity[line[hit]].view(np.int64))], names=["key", "own", "line", "parity"])
 
-    return docs.mapInArrow(compute, "key long, own boolean, line long")
+    return docs.mapInArrow(compute, "key long, own boolean, line long, parity long")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -204,17 +212,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scanned.where("kind = 1").groupBy("h1").agg(F.bit_or("h2").alias("bits")).toArrow()
     words[found["h1"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     lines = scanned.where("kind = 0").drop("kind")
-    # each task sends a line once or a few times; equal rows of a key then meet in one partition
-    keys = saved(_keys(source, docs.sparkSession.sparkContext.broadcast(words)).distinct(), "keys")
-    hubs = keys.where("own").groupBy("key").agg(F.min("line").alias("hub"))
-    several = keys.join(hubs, "key").where("line <> hub")
-    near = _verified(several.select(F.col("line").alias("a"), F.col("hub").alias("b")), lines, source)
+    # each task sends a line once or a few times; only keys that several lines share go on
+    keys = saved(_keys(source, docs.sparkSession.sparkContext.broadcast(words)), "keys")
+    first = F.when(F.col("own"), F.col("line"))
+    several = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min(first).alias("hub"), F.min_by("parity", first).alias("hub_parity")).where("low < high and hub is not null").drop("low", "high")
+    shared = saved(keys.join(several, "key").distinct(), "shared")
+    near = _verified(shared.where(f"line <> hub and bit_count(parity ^ hub_parity) <= {PARITIES}").select(F.col("line").alias("a"), F.col("hub").alias("b")), lines, source)
     label = components(near)
-    named = keys.join(several.select("key").distinct(), "key", "left_semi").join(label.withColumnRenamed("node", "line"), "line", "left").select("key", "own", "line", F.coalesce("component", "line").alias("class"))
+    named = shared.join(label.withColumnRenamed("node", "line"), "line", "left").select("key", "own", "line", "parity", F.coalesce("component", "line").alias("class"))
     open_keys = named.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m").select("key")
     named = saved(named.join(open_keys, "key"), "open")
-    x, y = (named.select("key", F.col("own").alias(f"own_{k}"), F.col("line").alias(k), F.col("class").alias(f"class_{k}")) for k in "ab")
-    more = _verified(x.where("own_a").join(y, "key").where("class_a <> class_b and (not own_b or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), lines, source)
+    x, y = (named.select("key", F.col("own").alias(f"own_{k}"), F.col("line").alias(k), F.col("parity").alias(f"parity_{k}"), F.col("class").alias(f"class_{k}")) for k in "ab")
+    x = x.where("own_a")
+    pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"class_a <> class_b and (not own_b or a < b) and bit_count(parity_a ^ parity_b) <= {PARITIES}"))
+    more = _verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), lines, source)
     label = components(near.unionByName(more)).select(F.col("node").alias("h1"), "component")
     classed = lines.join(small_or_not(saved(label, "classes")), "h1", "left").select("doc_id", "hash", "number", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"))
     by_doc = classed.groupBy("doc_id", "hash", "k1", "k2").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
