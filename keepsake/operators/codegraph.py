@@ -94,3 +94,59 @@ def classify_comment_format(old: DataFrame, new: DataFrame) -> DataFrame:
     """(unit_id, change) of units: unchanged, comment_only, code, added or removed."""
     both = old.select("unit_id", F.col("digest").alias("a"), F.col("doc_digest").alias("da")).join(new.select("unit_id", F.col("digest").alias("b"), F.col("doc_digest").alias("db")), "unit_id", "full")
     return both.select("unit_id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "code").when(F.col("da") != F.col("db"), "comment_only").otherwise("unchanged").alias("change"))
+
+
+class _NoLogging(ast.NodeTransformer):
+    """Drops statements that only log with plain arguments."""
+
+    def visit_Expr(self, node: ast.Expr) -> ast.AST | None:
+        call = node.value
+        if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and isinstance(call.func.value, ast.Name) and call.func.value.id in {"log", "logger", "logging"}:
+            # arguments that call something may have effects, so such a statement stays
+            if not any(isinstance(x, (ast.Call, ast.NamedExpr, ast.Await, ast.Yield)) for a in [*call.args, *(k.value for k in call.keywords)] for x in ast.walk(a)):
+                return None
+        return node
+
+
+def _private_names(tree: ast.AST) -> list[str]:
+    """Top-level names with one leading underscore, in the order of their definitions."""
+    return [s.name for s in getattr(tree, "body", []) if isinstance(s, _DEFINITIONS) and s.name.startswith("_") and not s.name.startswith("__")]
+
+
+def change_of(old: str, new: str) -> str:
+    """unchanged, logging_only, private_rename or code, for two versions of a source text."""
+    a, b = ast.parse(old), ast.parse(new)
+    if ast.dump(_without_docstrings(a)) == ast.dump(_without_docstrings(b)):
+        return "unchanged"
+    bare = [ast.dump(_NoLogging().visit(ast.parse(x))) for x in (old, new)]
+    if bare[0] == bare[1]:
+        return "logging_only"
+    names = [_private_names(a), _private_names(b)]
+    if len(names[0]) == len(names[1]):
+        renamed = {x: y for x, y in zip(*names, strict=True) if x != y}
+        taken = {x.id for x in ast.walk(a) if isinstance(x, ast.Name)} | {x.name for x in ast.walk(a) if isinstance(x, _DEFINITIONS)}
+        if renamed and not taken & set(renamed.values()) and not any(isinstance(x, ast.Constant) and x.value in renamed for x in ast.walk(a)):
+            for x in ast.walk(a):
+                if isinstance(x, ast.Name):
+                    x.id = renamed.get(x.id, x.id)
+                elif isinstance(x, _DEFINITIONS):
+                    x.name = renamed.get(x.name, x.name)
+            if ast.dump(a) == ast.dump(b):
+                return "private_rename"
+    return "code"
+
+
+def classify_sources(pairs: DataFrame) -> DataFrame:
+    """pairs (module, old, new) with change; sources that do not parse count as code."""
+
+    def in_task(batches):
+        for b in batches:
+            out = []
+            for o, n in zip(b["old"], b["new"], strict=True):
+                try:
+                    out.append(change_of(o or "", n or ""))
+                except (SyntaxError, ValueError):
+                    out.append("code")
+            yield pd.DataFrame({"module": b["module"], "change": out})
+
+    return pairs.select("module", "old", "new").mapInPandas(in_task, "module string, change string")

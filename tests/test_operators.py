@@ -263,3 +263,27 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_canonical_bytes():
     assert canonical_json_bytes({"b": [1, 2.5], "a": "é"}) == b'{"a":"\\u00e9","b":[1,2.5]}'
+
+
+@pytest.mark.parametrize(
+    "old,new,change",
+    [
+        ("def f():\n    return 1\n", "def f():\n    # why\n    return 1\n", "unchanged"),
+        ("def f():\n    log.info('a')\n    return 1\n", "def f():\n    return 1\n", "logging_only"),
+        ("def f():\n    log.info(g())\n    return 1\n", "def f():\n    return 1\n", "code"),
+        ("def _a():\n    return 1\ndef f():\n    return _a()\n", "def _b():\n    return 1\ndef f():\n    return _b()\n", "private_rename"),
+        ("def _a():\n    return '_a'\n", "def _b():\n    return '_a'\n", "code"),
+        ("x = 1\n", "x = 2\n", "code"),
+    ],
+)
+def test_source_changes(old, new, change):
+    assert codegraph.change_of(old, new) == change
+
+
+def test_failure_signatures(spark):
+    from keepsake.operators import derivations
+
+    failures = spark.createDataFrame([("r", "Traceback\n  File x\nValueError: bad shape\n\n"), ("s", "")], "run_id string, traceback string")
+    reads = spark.createDataFrame([("r", "lr", "0.1"), ("r", "secret", "x")], "run_id string, key string, value string")
+    got = {r.run_id: (r.error_class, r.last_line, r.features) for r in derivations.failure_signatures(failures, reads, ["lr"]).collect()}
+    assert got["r"] == ("ValueError", "ValueError: bad shape", {"lr": "0.1"}) and got["s"][2] is None
