@@ -90,7 +90,7 @@ def failure_signatures(failures: DataFrame, reads: DataFrame, allowed: list[str]
 
     failures: run_id, traceback. reads: run_id, key, value. The last line is cut at 500 characters.
     """
-    last = F.trim(F.element_at(F.filter(F.split("traceback", "\n"), lambda x: F.trim(x) != ""), -1))
+    last = F.trim(F.try_element_at(F.filter(F.split("traceback", "\n"), lambda x: F.trim(x) != ""), F.lit(-1)))
     features = reads.where(F.col("key").isin(allowed)).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("features"))
     rows = failures.select("run_id", last.alias("_last"))
     return rows.join(features, "run_id", "left").select("run_id", F.regexp_extract("_last", r"^([\w.]+)", 1).alias("error_class"), F.substring("_last", 1, 500).alias("last_line"), "features")

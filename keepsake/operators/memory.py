@@ -35,7 +35,7 @@ def latest_remediation(remediations: DataFrame, succeeded_only: bool = True) ->
 
 def structured_key(config_key: Column) -> Column:
     """The feature that a configuration key stands for."""
-    leaf = F.element_at(F.split(config_key, r"\."), -1)
+    leaf = F.try_element_at(F.split(config_key, r"\."), F.lit(-1))
     for name, to in ALIASES.items():
         leaf = F.when(leaf == name, to).otherwise(leaf)
     return F.when(config_key == "embedding_dim", "input_dim").otherwise(leaf)
