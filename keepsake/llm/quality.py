@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import saved, text_of
 
 THRESHOLD = 0.5
-ROUNDS = 15
+#: Rounds of expectation-maximisation at most, and the change of any estimate at which they end.
+ROUNDS, TOLERANCE = 15, 1e-3
 WINDOW = 8
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _MORE = ["n_lines", "n_distinct", "n_upper", "n_ends"]
@@ -105,8 +106,11 @@ def fit(votes: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float, li
         if not got["all"]:
             break
         # one good and one bad document that nobody has seen keep all estimates inside (0, 1)
+        before = [prior, *(x for pair in right for x in pair)]
         prior = (got["good"] + 1) / (got["all"] + 2)
         right = [tuple((got[f"{s}{j}r"] + 1) / (got[f"{s}{j}n"] + 2) for s in "gb") for j in range(n_rules)]
+        if max(abs(a - b) for a, b in zip(before, [prior, *(x for pair in right for x in pair)], strict=True)) < TOLERANCE:
+            break
     return prior, right
 
 
