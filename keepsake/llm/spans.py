@@ -2,10 +2,17 @@
 
 A sentence ends at a word that ends in ".", "!" or "?", at a line's end, or
 after MAX_WORDS words. Every run of at least SENTENCES consecutive sentences with
-at least LEAST_WORDS words is hashed (128 bits, words only, A-Z folded); the runs
-of all documents are joined on their hash, and sentences that lie in a run which
-is not the first of its hash are removed. The first is the one in the smallest
-doc_id and there the earliest; rows that share this id all count as first.
+at least LEAST_WORDS words is hashed (128 bits, words only, A-Z folded). Cuts after
+MAX_WORDS words depend on where a long sentence starts, so runs of LONG_RUN words are
+hashed too wherever sentences are long, and these are chosen by content (winnowing):
+of each WINDOW neighbouring ones that of least hash, the first of equal ones. Copies
+of a passage of LONG_RUN + WINDOW - 1 = 50 words thus share a run whatever stands
+before them, and a run of LONG_RUN words holds a whole sentence at least.
+
+The runs of all documents are joined on their hash, and sentences whose words all
+lie in runs which are not the first of their hash are removed. The first is the one
+in the smallest doc_id and there the earliest; rows that share this id all count as
+first. A sentence that lies only partly in such runs stays.
 
 Edge cases. Null or empty text has no sentences. Null ids count as the largest
 id. Repeated rows are rows of one id. Text that stands between removed sentences
@@ -25,6 +32,8 @@ from keepsake.llm.common import SPACES, Substrings, byte_values, chunks, mix, ru
 SENTENCES = 3
 LEAST_WORDS = 15
 MAX_WORDS = 12
+#: Words of a run that is chosen by content, and neighbouring ones of which one is chosen.
+LONG_RUN, WINDOW = 2 * MAX_WORDS, 27
 _LAST = (1 << 63) - 1
 
 
@@ -34,56 +43,81 @@ class Sentences:
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         self.ends = ends
         start, end = runs(~SPACES[data])
-        word_doc = np.searchsorted(ends, start, "right")
+        self.word_doc = np.searchsorted(ends, start, "right")
         feeds = np.concatenate([[0], np.cumsum(data == 10)])
         closes = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8))
         if len(start):
             closes[:-1] |= feeds[start[1:]] > feeds[end[:-1]]
             closes[-1] = True
         opens = np.concatenate([[True], closes[:-1]])[: len(start)]
+        self.whole = np.flatnonzero(opens)
         at = np.arange(len(start))
         opens |= (at - np.maximum.accumulate(np.where(opens, at, 0))) % MAX_WORDS == 0
         self.first_word = np.flatnonzero(opens)
         self.end_word = np.append(self.first_word[1:], len(start))[: len(self.first_word)]
-        self.doc = word_doc[self.first_word]
+        self.doc = self.word_doc[self.first_word]
         self.first_byte = start[self.first_word]
         self.words = Substrings(byte_values(fold_case=True)[data]).hash(start, end)
 
+    def _by_content(self) -> np.ndarray:
+        """First words of the runs of LONG_RUN words that are chosen by content."""
+        n = len(self.words)
+        size = np.diff(np.append(self.whole, n))
+        n_long = np.concatenate([[0], np.cumsum(np.repeat(size > MAX_WORDS, size))])
+        width = LONG_RUN + WINDOW - 1
+        begin = np.arange(max(n - width + 1, 0))
+        # what is cut off at either end of a passage may look short; without a long sentence between, whole sentences are enough
+        long = n_long[begin + width - MAX_WORDS] > n_long[begin + MAX_WORDS]
+        begin = begin[long & (self.word_doc[begin] == self.word_doc[begin + width - 1])]
+        at = np.arange(max(n - LONG_RUN + 1, 0))
+        runs_at = Substrings(mix(self.words, 13)).hash(at, at + LONG_RUN)
+        least, place = runs_at[begin], begin.copy()
+        for j in range(1, WINDOW):
+            other = runs_at[begin + j]
+            less = other < least
+            least[less] = other[less]
+            place[less] = begin[less] + j
+        return np.unique(place)
+
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first sentence, last sentence, two hashes) of each run."""
+        """(first word, end word, two hashes) of each run."""
         n = len(self.doc)
         i = np.arange(n)
         last = np.maximum(i + SENTENCES - 1, np.searchsorted(self.end_word, self.first_word + LEAST_WORDS, "left"))
         i = i[last < n]
         last = last[last < n]
         inside = self.doc[i] == self.doc[last]
-        i, last = i[inside], last[inside]
-        hashes = [Substrings(mix(self.words, k)).hash(self.first_word[i], self.end_word[last]) for k in (11, 12)]
-        return i, last, *hashes
+        first, end = self.first_word[i[inside]], self.end_word[last[inside]]
+        more = self._by_content()
+        known = first[end - first == LONG_RUN]
+        more = more[~np.isin(more, known)]
+        first, end = np.concatenate([first, more]), np.concatenate([end, more + LONG_RUN])
+        hashes = [Substrings(mix(self.words, k)).hash(first, end) for k in (11, 12)]
+        return first, end, *hashes
 
 
 def _runs_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, i, m, h1, h2, again): span of m sentences from the i-th of its document; again: not the first such of its document."""
+    """(doc_id, hash, i, m, h1, h2, again): span of m words from the i-th of its document; again: not the first such of its document."""
 
     def compute(batches):
         for batch in batches:
             for first, _, data, ends in chunks(batch.column(2)):
                 s = Sentences(data, ends)
-                i, last, h1, h2 = s.spans()
-                doc = s.doc[i]
+                i, end, h1, h2 = s.spans()
+                doc = s.word_doc[i]
                 order = np.lexsort((i, h2, h1, doc))
                 again = np.zeros(len(i), bool)
                 a, b = order[1:], order[:-1]
                 again[a] = (doc[a] == doc[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
-                begin = np.searchsorted(s.doc, doc)
+                begin = np.searchsorted(s.word_doc, doc)
                 rows = pa.array(doc + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((i - begin).astype(np.int32)), pa.array((last - i + 1).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(again)], names=["doc_id", "hash", "i", "m", "h1", "h2", "again"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((i - begin).astype(np.int32)), pa.array((end - i).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(again)], names=["doc_id", "hash", "i", "m", "h1", "h2", "again"])
 
     return docs.mapInArrow(compute, "doc_id long, hash long, i int, m int, h1 long, h2 long, again boolean")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, hash, gone: array of (i, m)): for each document that has any, its spans that are not the first."""
+    """(doc_id, hash, gone: array of (i, m)): for each document that has any, its spans of m words that are not the first."""
     text = text_of(text_col)
     found = saved(_runs_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))), "spans")
     place = F.coalesce("doc_id", F.lit(_LAST))
@@ -105,11 +139,14 @@ def _cleaner(text_at: int, with_counts: bool):
                 bounds = np.searchsorted(s.doc, np.arange(last - first + 1))
                 for k in range(last - first):
                     a, b = bounds[k], bounds[k + 1]
-                    drop = np.zeros(b - a + 1, np.int32)
+                    words = int(s.end_word[b - 1] - s.first_word[a]) if b > a else 0
+                    drop = np.zeros(words + 1, np.int32)
                     for g in gone[first + k] or ():
                         drop[g["i"]] += 1
                         drop[g["i"] + g["m"]] -= 1
-                    drop = np.cumsum(drop[:-1]) > 0
+                    covered = np.concatenate([[0], np.cumsum(np.cumsum(drop[:-1]) > 0)])
+                    first_word, end_word = (x[a:b] - (s.first_word[a] if b > a else 0) for x in (s.first_word, s.end_word))
+                    drop = covered[end_word] - covered[first_word] == end_word - first_word
                     begin, end = (int(ends[k - 1]) if k else 0), int(ends[k]) - 1
                     edges = np.append(s.first_byte[a:b], end)
                     kept = [data[begin : edges[0]].tobytes()] + [data[edges[j] : edges[j + 1]].tobytes() for j in np.flatnonzero(~drop)]

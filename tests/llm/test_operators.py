@@ -423,6 +423,29 @@ def test_spans(docs, rows, none):
     assert spans.remove_repeated(none).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_long_passages_at_any_phase(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = some(50)
+    docs = frame(spark, [(k, " ".join(some(7 + k) + passage + some(k))) for k in range(14)])
+    left = {x._row.doc_id: (x._row.text.split(), x.n_removed) for x in spans.remove_repeated(docs, with_counts=True).collect()}
+    assert left[0][1] == 0
+    for k in range(1, 14):
+        lost = set(passage) - set(left[k][0])
+        assert len(lost) >= spans.MAX_WORDS and len(left[k][0]) == 7 + 2 * k + 50 - len(lost)
+
+
+def test_long_passage_again_in_its_document(spark):
+    passage = [f"p{k}" for k in range(60)]
+    docs = frame(spark, [(0, " ".join(passage + [f"x{k}" for k in range(17)] + passage))])
+    (row,) = spans.remove_repeated(docs, with_counts=True).collect()
+    kept = row._row.text.split()
+    assert row.n_removed > 0 and set(kept) >= set(passage) and kept[:60] == passage
+
+
 # --- the pipeline
 
 
