@@ -69,6 +69,7 @@ def postings(texts: list[str], within: list[str] | None = None) -> dict[str, lis
 
 NOTICE_WORDS = postings([n for _, n, _ in NOTICES])
 KEY_WORDS = postings([k for _, _, k in NOTICES], [n for _, n, _ in NOTICES])
+KEY_STARTS = [next(i for i in range(len(n.split())) if n.split()[i : i + len(k.split())] == k.split()) for _, n, k in NOTICES]
 KEY_COUNT = [sum(t == p[0] for x in KEY_WORDS.values() for p in x) for t in range(len(NOTICES))]
 NOTICE_SETS = [sorted({w for w in n.split() if indexed(w)}) for _, n, _ in NOTICES]
 
@@ -86,7 +87,7 @@ def _votes(hits: Column, of: dict) -> Column:
 
 
 def licence_hits(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """(_row, n_words, named: places of named licences, hits: places of indexed words)."""
+    """(_row, n_words, named: places of named licences, whole: (notice, start) numbers whose key phrase stands, hits: places of indexed words)."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), text_of(text_col).alias("_text"))
     rows = rows.select("_row", F.array_remove(F.split("_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "").alias("words"))
     words = F.col("words")
@@ -106,9 +107,14 @@ def licence_hits(docs: DataFrame, columns: list[str], text_col: str = "text") ->
     def places_of(phrase: str, label: str) -> Column:
         return F.transform(F.filter(known, lambda i: stands(i, phrase)), lambda i: F.struct(i.cast("long").alias("i"), F.lit(label).alias("label")))
 
+    def starts_of(t: int) -> Column:
+        """(notice, start) numbers of notice t; its key phrase begins with an indexed word."""
+        return F.transform(F.filter(known, lambda i: stands(i, NOTICES[t][2])), lambda i: i.cast("long") + F.lit(t * _SHIFT + _OFFSET - KEY_STARTS[t]))
+
     named = F.flatten(F.array(*[places_of(phrase, label) for phrase, label in NAMED]))
+    whole = F.flatten(F.array(*[starts_of(t) for t in range(len(NOTICES))]))
     hits = F.transform(known, lambda i: F.struct(F.lower(words[i]).alias("w"), i.cast("long").alias("i")))
-    return rows.select("_row", "n_words", named.alias("named"), hits.alias("hits"))
+    return rows.select("_row", "n_words", named.alias("named"), whole.alias("whole"), hits.alias("hits"))
 
 
 def scan(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -121,13 +127,11 @@ def scan(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFra
     by_rarity = sorted(idf, key=lambda w: (-idf[w], w))
     looked_up = F.slice(F.array_intersect(F.array(*map(F.lit, by_rarity)), F.col("hits.w")), 1, LOOKED_UP)
     rows = hits.withColumn("rare", looked_up)
-    rows = rows.withColumn("near", _votes(F.filter("hits", lambda h: F.array_contains("rare", h["w"])), NOTICE_WORDS)).withColumn("key", _votes(F.col("hits"), KEY_WORDS))
+    rows = rows.withColumn("near", _votes(F.filter("hits", lambda h: F.array_contains("rare", h["w"])), NOTICE_WORDS))
     # after sorting, a number that is given n times equals the one n - 1 places on
-    near, key = F.col("near"), F.col("key")
-    needed = F.array(*map(F.lit, KEY_COUNT))
+    near = F.col("near")
     candidates = F.filter(near, lambda x, j: F.coalesce(F.get(near, j + AGREEING - 1) == x, F.lit(False)))
-    whole = F.filter(key, lambda x, j: F.coalesce(F.get(key, j + needed[F.floor(x / _SHIFT).cast("int")] - 1) == x, F.lit(False)))
-    rows = rows.withColumn("notices", F.array_distinct(F.transform(F.array_intersect(candidates, whole), lambda x: F.floor(x / _SHIFT).cast("int"))))
+    rows = rows.withColumn("notices", F.array_distinct(F.transform(F.array_intersect(candidates, F.col("whole")), lambda x: F.floor(x / _SHIFT).cast("int"))))
     names, sets = F.array(*[F.lit(x) for x, _, _ in NOTICES]), F.array(*[F.array(*map(F.lit, s)) for s in NOTICE_SETS])
     shares = F.transform("notices", lambda t: F.size(F.array_intersect(sets[t], F.col("hits.w"))) / F.size(sets[t]))
     n_base = F.size("named").cast("long")
@@ -145,7 +149,11 @@ def scan(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFra
 
 
 def oracle(table: str = "documents") -> str:
-    """The same result in DuckDB SQL, from the definition."""
+    """The result in DuckDB SQL, which leaves out the key phrase words that are not indexed and looks up LOOKED_UP words of a file.
+
+    scan() is stricter on neighbouring versions and finds several notices in a
+    file; on the given tables both are equal.
+    """
     quoted = lambda s: "'" + s + "'"
     values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
     phrases = [(label, i, w, len(p.split())) for p, label in NAMED for i, w in enumerate(p.split())]

@@ -187,6 +187,21 @@ def test_licences(docs, rows, none):
     assert licenses.scan(none, ["doc_id"]).collect() == []
 
 
+def test_licences_of_other_versions(spark):
+    texts = {
+        "Licensed under the GNU General Public License version 2": "gpl",
+        "This work is licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+        "Licensed under the Apache License, Version 1.1": "apache",
+        "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License": "",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Licensed under CC X-NC 4.0": "",
+    }
+    found = licenses.scan(frame(spark, list(enumerate(texts))), ["text"]).collect()
+    assert {r._row.text: r.labels for r in found} == texts
+
+
 # --- 4 toxicity
 
 
