@@ -1,9 +1,10 @@
 """Licence notices by a positional index of rare words.
 
-Notices are indexed as (word, notice, position). For each file the licence words
-of highest inverse document frequency over the corpus are looked up; two of them
-that agree on where a notice would start make a candidate, and a candidate holds
-if all words of the notice's key phrase stand at their places. Named licences
+Notices are indexed as (word, notice, position). For each notice the words
+of its key phrase that have the highest inverse document frequency over the corpus
+are looked up in every file; two of them that agree on where the notice would start
+make a candidate, and a candidate holds if all words of the notice's key phrase
+stand at their places. Named licences
 ("apache license" and the like) are found beside that wherever their words stand
 consecutively. Built-in functions only; apart from the word counts nothing is
 shuffled.
@@ -43,7 +44,7 @@ NOTICES = [
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge to any person"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 ]
-#: Rare words that are looked up for each file, and how many must agree.
+#: Rare words that the SQL looks up for each file, and how many must agree.
 LOOKED_UP, AGREEING = 6, 2
 #: Words of notices that are indexed: those of four letters or more, and those of named licences and key phrases that are rare by nature.
 SHORT_WORDS = {"gnu", "mit", "cc", "nc", "fee", "law"}
@@ -124,10 +125,13 @@ def scan(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFra
     # one number for each indexed word
     found = dict(hits.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").count().collect())
     idf = {w: round(math.log((total + 1) / (found.get(w, 0) + 1)), 6) for w in NOTICE_WORDS}
-    by_rarity = sorted(idf, key=lambda w: (-idf[w], w))
-    looked_up = F.slice(F.array_intersect(F.array(*map(F.lit, by_rarity)), F.col("hits.w")), 1, LOOKED_UP)
-    rows = hits.withColumn("rare", looked_up)
-    rows = rows.withColumn("near", _votes(F.filter("hits", lambda h: F.array_contains("rare", h["w"])), NOTICE_WORDS))
+    # a key phrase that stands holds its rarest words, so no notice is missed however many rare words the file has
+    rare: dict[str, list[tuple[int, int]]] = {}
+    for t in range(len(NOTICES)):
+        of_key = sorted((-idf[w], w, p) for w, ps in KEY_WORDS.items() for k, p in ps if k == t)
+        for _, w, p in of_key[:AGREEING]:
+            rare.setdefault(w, []).append((t, p))
+    rows = hits.withColumn("near", _votes(F.col("hits"), rare))
     # after sorting, a number that is given n times equals the one n - 1 places on
     near = F.col("near")
     candidates = F.filter(near, lambda x, j: F.coalesce(F.get(near, j + AGREEING - 1) == x, F.lit(False)))

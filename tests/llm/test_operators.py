@@ -202,6 +202,13 @@ def test_licences_of_other_versions(spark):
     assert {r._row.text: r.labels for r in found} == texts
 
 
+def test_two_notices_in_a_file(spark):
+    notices = [(label, text) for label, text, _ in licenses.NOTICES]
+    files = [(a, b, f"{x}\n\nSome words stand between these two.\n\n{y}") for (a, x), (b, y) in itertools.permutations(notices, 2)]
+    labels = {r._row.text: set(r.labels.split(",")) for r in licenses.scan(frame(spark, [(k, t) for k, (*_, t) in enumerate(files)]), ["text"]).collect()}
+    assert len(files) == 132 and [(a, b) for a, b, t in files if not {a, b} <= labels[t]] == []
+
+
 # --- 4 toxicity
 
 
