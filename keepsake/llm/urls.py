@@ -16,6 +16,7 @@ columns of any name are allowed.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,11 @@ from keepsake.llm.common import saved, text_of
 
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DAMPING, ROUNDS, LEAST_DISTRUST = 0.85, 10, 0.01
+DAMPING, LEAST_DISTRUST = 0.85, 0.01
+#: Mass that may still be on its way when PageRank ends, as a share of one seed's, and rounds after which it raises.
+TOLERANCE, ROUNDS = 1e-8, 1000
+#: Rounds whose scores are added up at a time.
+ADDED = 16
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -56,19 +61,27 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): personalised PageRank along links (src, dst) from seeds (host), which share 1 equally."""
+    """(host, score): settled personalised PageRank along links (src, dst) from seeds (host), which share 1 equally."""
     n = seeds.count()
     start = seeds.select("host", F.lit(1.0 / max(n, 1)).alias("score"))
     if not n or links.isEmpty():
         return start
     out = links.groupBy("src").agg(F.count("dst").alias("out"))
     weighted = saved(links.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("w")), "links")
-    score = start
+    # what arrives in each round; a host keeps 1 - damping of it and passes on the rest
+    moving, parts = start, [start]
     for _ in range(rounds):
-        moved = weighted.join(score, weighted["src"] == score["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("score") * damping).alias("score"))
-        score = moved.unionByName(start.select("host", (F.col("score") * (1 - damping)).alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        score = saved(score, "rank")
-    return score
+        moving = saved(weighted.join(moving, weighted["src"] == moving["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("score") * damping).alias("score")), "rank")
+        parts.append(moving)
+        if len(parts) > ADDED:
+            parts = [saved(_added(parts), "score")]
+        if (moving.agg(F.sum("score")).first()[0] or 0.0) * n < TOLERANCE:
+            return saved(_added(parts).select("host", (F.col("score") * (1 - damping)).alias("score")), "score")
+    raise RuntimeError(f"PageRank has not settled after {rounds} rounds")
+
+
+def _added(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("score").alias("score"))
 
 
 def judge(pages: DataFrame, columns: list[str], url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:

@@ -337,6 +337,16 @@ def test_page_rank(spark):
     assert score == pytest.approx({k: v for k, v in rank.items() if k in score}) and set(score) >= {"a", "b", "c"}
 
 
+def test_page_rank_reaches_far_hosts(spark):
+    edges = [(f"h{k}", f"h{k + 1}") for k in range(14)]
+    seeds = spark.createDataFrame([("h0",)], "host string")
+    score = dict(urls.spread(spark.createDataFrame(edges, "src string, dst string"), seeds).collect())
+    assert score == pytest.approx({f"h{k}": (1 - urls.DAMPING) * urls.DAMPING**k for k in range(15)})
+    loop = spark.createDataFrame([("h0", "h1"), ("h1", "h0")], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        urls.spread(loop, seeds, rounds=3)
+
+
 # --- 8 quality
 
 
