@@ -7,6 +7,7 @@ an id but not a text stay apart.
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -18,52 +19,83 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a size-checked broadcast may have; of the narrow rows used here this is about 50 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a size-checked broadcast may have, by its number of rows and the width of its fixed-size columns.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own on a local master."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own on a master that runs in this process."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if where is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="keepsake-")
         spark.conf.set("spark.checkpoint.dir", where)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
-    return where
+    return where.rstrip("/")
 
 
-_written: list[str] = []
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
+class Scratch:
+    """Tables in the shared folder that one piece of work owns; they are deleted when its with-block ends.
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/keepsake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    They cut lineage and survive lost executors. What a lazy result still reads
+    is written with result() instead: such tables are narrow, and stay until
+    drop_results().
+    """
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/keepsake-work-{uuid.uuid4().hex}", 0
+        self.broadcasts: list = []
 
-def saved_since(mark: int | None = None) -> int | list[str]:
-    """Without a mark: one for now. With one: the tables written since, which the caller now owns."""
-    if mark is None:
-        return len(_written)
-    paths = _written[mark:]
-    del _written[mark:]
-    return paths
+    def __enter__(self) -> Scratch:
+        return self
 
+    def __exit__(self, *_) -> None:
+        for x in self.broadcasts:
+            x.destroy()
+        delete(self.spark, self.path)
 
-def delete(spark: SparkSession, path: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again."""
+        self.tables += 1
+        return self._written(df, f"{self.path}/{self.tables}-{name}")
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written where it outlives this scratch space."""
+        path = f"{shared_dir(self.spark)}/keepsake-result-{uuid.uuid4().hex}-{name}"
+        _results.setdefault(self.spark.sparkContext.applicationId, []).append(path)
+        return self._written(df, path)
+
+    def broadcast(self, value):
+        """A value of plain arrays for all executors, which goes with the scratch space."""
+        self.broadcasts.append(self.spark.sparkContext.broadcast(value))
+        return self.broadcasts[-1]
+
+
+#: Paths of result tables by application, for drop_results() alone.
+_results: dict[str, list[str]] = {}
+
+
+def drop_results(spark: SparkSession) -> None:
+    """Delete the result tables of this application; frames that operators have returned can't be read any more."""
+    for path in _results.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a saved, narrow table for broadcast if it has few rows; a larger one is joined by a shuffle."""
+def small_or_not(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a saved table of fixed-size columns for broadcast if it is small; a larger one is joined by a shuffle."""
+    rows = most // (16 + 8 * len(df.columns))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

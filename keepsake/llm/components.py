@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import saved
+from keepsake.llm.common import Scratch
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -25,13 +25,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tmp: Scratch) -> DataFrame:
     """(node, component): each node that has a link, with the smallest node it reaches. links: columns a, b."""
-    stars = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    stars = tmp.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     state = lambda x: x.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state(stars)
     while before[0]:
-        stars = saved(_small_star(_large_star(stars)), "stars")
+        stars = tmp.save(_small_star(_large_star(stars)), "stars")
         now = state(stars)
         if now == before:
             break

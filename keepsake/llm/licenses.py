@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import saved, text_of
+from keepsake.llm.common import Scratch, text_of
 
 #: Phrase and label.
 NAMED = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -120,7 +120,8 @@ def licence_hits(docs: DataFrame, columns: list[str], text_col: str = "text") ->
 
 def scan(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
     """(_row, n_words, n_base, first_word, last_word, base_labels, labels, score) for each document."""
-    hits = saved(licence_hits(docs, columns, text_col), "licences")
+    with Scratch(docs.sparkSession) as tmp:
+        hits = tmp.result(licence_hits(docs, columns, text_col), "licences")
     total = hits.count()
     # one number for each indexed word
     found = dict(hits.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").count().collect())

@@ -16,8 +16,9 @@ distance. A line is first compared with the first
 line of every key, a star for each key; after that only pairs that are not yet in
 one class are.
 
-Lines without a word are never touched; lines shorter than NEAR_LENGTH
-characters are only compared for equality.
+Lines without a word are never touched; lines shorter than near_length
+characters, an argument of EDITS + 1 or more, are only compared for equality: two
+edits turn a short heading or number into any other.
 
 Edge cases. Null or empty text has no lines. Null ids count as the largest id.
 Repeated rows are rows of one id. An empty table gives an empty result. Input
@@ -31,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import Substrings, chunks, mix, saved, small_or_not, split_changed, text_of
+from keepsake.llm.common import Scratch, Substrings, chunks, mix, small_or_not, split_changed, text_of
 from keepsake.llm.components import components
 
 EDITS = 2
+#: Least characters of a line that may be a near copy, unless another length is asked for.
 NEAR_LENGTH = 24
 #: Bits of the filter of segment keys, a broadcast of 2 ** BITS / 8 bytes for any corpus.
 BITS = 27
@@ -139,7 +141,7 @@ def edits_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def _scan(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, near_length: int) -> DataFrame:
     """Rows (kind 0: doc_id, hash, number, h1, h2) of lines and (kind 1: h1, h2) of filter words: place and bits."""
 
     def compute(batches):
@@ -149,7 +151,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 x = Lines(data, ends)
                 rows = pa.array(x.doc + first)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int8)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.number.astype(np.int32)), pa.array(x.h1.view(np.int64)), pa.array(x.h2.view(np.int64))], names=["kind", "doc_id", "hash", "number", "h1", "h2"])
-                near = np.flatnonzero(x.end - x.start >= NEAR_LENGTH)
+                near = np.flatnonzero(x.end - x.start >= near_length)
                 _, keys, mine = x.keys(near)
                 place = keys[mine] >> np.uint64(64 - BITS)
                 np.bitwise_or.at(own, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
@@ -160,7 +162,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(compute, "kind tinyint, doc_id long, hash long, number int, h1 long, h2 long")
 
 
-def _keys(docs: DataFrame, filter_words) -> DataFrame:
+def _keys(docs: DataFrame, filter_words, near_length: int) -> DataFrame:
     """(key, own, line, parity): segment keys, and those probes that some segment may match."""
 
     def compute(batches):
@@ -169,7 +171,7 @@ def _keys(docs: DataFrame, filter_words) -> DataFrame:
         for batch in batches:
             for _, _, data, ends in chunks(batch.column(2)):
                 x = Lines(data, ends)
-                near = np.flatnonzero(x.end - x.start >= NEAR_LENGTH)
+                near = np.flatnonzero(x.end - x.start >= near_length)
                 near = near[np.unique(x.h1[near], return_index=True)[1]]
                 slot = (x.h1[near] % np.uint64(REMEMBERED)).astype(np.int64)
                 new = sent[slot] != x.h1[near]
@@ -182,13 +184,13 @@ def _keys(docs: DataFrame, filter_words) -> DataFrame:
     return docs.mapInArrow(compute, "key long, own boolean, line long, parity long")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
     """Those of pairs (a, b: line hashes) that are within EDITS edits."""
-    pairs = saved(pairs.select("a", "b").distinct(), "pairs")
-    needed = small_or_not(saved(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "needed"))
+    pairs = tmp.save(pairs.select("a", "b").distinct(), "pairs")
+    needed = small_or_not(tmp.save(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "needed"))
     at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("p"), "doc_id", "hash", "number")
     at = lines.join(needed, "h1", "left_semi").groupBy("h1").agg(F.min(at).alias("at"))
-    at = saved(at.groupBy("at.doc_id", "at.hash").agg(F.collect_list(F.struct("h1", "at.number")).alias("wanted")), "places")
+    at = tmp.save(at.groupBy("at.doc_id", "at.hash").agg(F.collect_list(F.struct("h1", "at.number")).alias("wanted")), "places")
     ids = small_or_not(at.select("doc_id", "hash"))
     found = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["hash"] == ids["hash"]), "left_semi").dropDuplicates(["doc_id", "hash"])
     found = found.join(at, found["doc_id"].eqNullSafe(at["doc_id"]) & (found["hash"] == at["hash"])).select(F.split("text", "\n").alias("all"), "wanted")
@@ -200,50 +202,54 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(2), batch.column(3))], names=["a", "b"])
 
     x, y = (texts.select(F.col("h1").alias(k), F.col("t").alias(f"t_{k}")) for k in "ab")
-    return saved(pairs.join(x, "a").join(y, "b").select("t_a", "t_b", "a", "b").mapInArrow(compare, "a long, b long"), "links")
+    return tmp.save(pairs.join(x, "a").join(y, "b").select("t_a", "t_b", "a", "b").mapInArrow(compare, "a long, b long"), "links")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, tmp: Scratch, id_col: str = "doc_id", text_col: str = "text", near_length: int = NEAR_LENGTH) -> DataFrame:
     """(doc_id, hash, gone: numbers of lines, from 0): for each document that has any, its lines that are not the first of their class."""
+    if near_length <= EDITS:
+        raise ValueError(f"near_length must be above {EDITS}")
     text = text_of(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    scanned = saved(_scan(source), "scan")
+    scanned = tmp.save(_scan(source, near_length), "scan")
     words = np.zeros(1 << (BITS - 6), np.uint64)
     found = scanned.where("kind = 1").groupBy("h1").agg(F.bit_or("h2").alias("bits")).toArrow()
     words[found["h1"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     lines = scanned.where("kind = 0").drop("kind")
     # each task sends a line once or a few times; only keys that several lines share go on
-    keys = saved(_keys(source, docs.sparkSession.sparkContext.broadcast(words)), "keys")
+    keys = tmp.save(_keys(source, tmp.broadcast(words), near_length), "keys")
     first = F.when(F.col("own"), F.col("line"))
     several = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min(first).alias("hub"), F.min_by("parity", first).alias("hub_parity")).where("low < high and hub is not null").drop("low", "high")
-    shared = saved(keys.join(several, "key").distinct(), "shared")
-    near = _verified(shared.where(f"line <> hub and bit_count(parity ^ hub_parity) <= {PARITIES}").select(F.col("line").alias("a"), F.col("hub").alias("b")), lines, source)
-    label = components(near)
+    shared = tmp.save(keys.join(several, "key").distinct(), "shared")
+    near = _verified(shared.where(f"line <> hub and bit_count(parity ^ hub_parity) <= {PARITIES}").select(F.col("line").alias("a"), F.col("hub").alias("b")), lines, source, tmp)
+    label = components(near, tmp)
     named = shared.join(label.withColumnRenamed("node", "line"), "line", "left").select("key", "own", "line", "parity", F.coalesce("component", "line").alias("class"))
     open_keys = named.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m").select("key")
-    named = saved(named.join(open_keys, "key"), "open")
+    named = tmp.save(named.join(open_keys, "key"), "open")
     x, y = (named.select("key", F.col("own").alias(f"own_{k}"), F.col("line").alias(k), F.col("parity").alias(f"parity_{k}"), F.col("class").alias(f"class_{k}")) for k in "ab")
     x = x.where("own_a")
     pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"class_a <> class_b and (not own_b or a < b) and bit_count(parity_a ^ parity_b) <= {PARITIES}"))
-    more = _verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), lines, source)
-    label = components(near.unionByName(more)).select(F.col("node").alias("h1"), "component")
-    classed = lines.join(small_or_not(saved(label, "classes")), "h1", "left").select("doc_id", "hash", "number", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"))
+    more = _verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), lines, source, tmp)
+    label = components(near.unionByName(more), tmp).select(F.col("node").alias("h1"), "component")
+    classed = lines.join(small_or_not(tmp.save(label, "classes")), "h1", "left").select("doc_id", "hash", "number", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"))
     by_doc = classed.groupBy("doc_id", "hash", "k1", "k2").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
     place = F.coalesce("doc_id", F.lit(_LAST))
-    by_doc = saved(by_doc.withColumn("place", place), "bydoc")
-    first = by_doc.groupBy("k1", "k2").agg(F.min("place").alias("least"), F.count("place").alias("n")).where("n > 1").select("k1", "k2", "least")
-    gone = by_doc.join(first, ["k1", "k2"]).where("place > least").select("doc_id", "hash", "numbers")
+    by_doc = tmp.save(by_doc.withColumn("place", place), "bydoc")
+    # a table of its own, so that Spark can split what stands in many documents
+    first = tmp.save(by_doc.groupBy("k1", "k2").agg(F.min("place").alias("least"), F.count("place").alias("n")).where("n > 1").select("k1", "k2", "least"), "first")
+    gone = by_doc.join(small_or_not(first), ["k1", "k2"]).where("place > least").select("doc_id", "hash", "numbers")
     inside = by_doc.where(F.size("numbers") > 1).select("doc_id", "hash", F.slice("numbers", 2, 1 << 30).alias("numbers"))
-    return gone.unionByName(inside).groupBy("doc_id", "hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("gone"))
+    return tmp.result(gone.unionByName(inside).groupBy("doc_id", "hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("gone")), "gone")
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False, near_length: int = NEAR_LENGTH) -> DataFrame:
     """(_row: struct of all columns of docs, with the lines that are left[, n_lines, removed]).
 
     A text that loses nothing stays as it is. n_lines counts lines with a word;
     removed lists the numbers of lines that go, from 0.
     """
-    rows, changed = split_changed(docs, saved(repeated_lines(docs, id_col, text_col), "gone"), id_col, text_col)
+    with Scratch(docs.sparkSession) as tmp:
+        rows, changed = split_changed(docs, repeated_lines(docs, tmp, id_col, text_col, near_length), id_col, text_col)
     rows = rows.select(F.struct("*").alias("_row")).withColumn("gone", F.array().cast("array<int>")).unionByName(changed)
     split = F.split(F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit("")), "\n")
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import saved, text_of
+from keepsake.llm.common import Scratch, text_of
 from keepsake.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -118,13 +118,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SI
     A piece of full length is a sequence of its own. Sequence ids are distinct
     numbers without other meaning.
     """
-    pieces = saved(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    with Scratch(pieces.sparkSession) as tmp:
+        pieces = tmp.result(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     short = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_size))
     columns = [c for c in pieces.columns if c != "_row"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_row"] + ["sequence_id long", "offset long"])
 
-    def in_task(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def in_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_row")
         bins, offsets = best_two_fit(rows["length"].tolist(), capacity)
         return rows[columns].assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import decontam, jaccard, licenses, lines, packing, quality, spans, tokenfile, toxicity, urls
-from keepsake.llm.common import saved, shared_dir
+from keepsake.llm.common import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,8 +39,7 @@ def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = saved(jaccard.link(table(spark, sf_dir, "documents")), "linked")
-    return jaccard.with_component_id(linked).select("doc_id", "n_shingles", "component_id")
+    return jaccard.with_component_id(jaccard.link(table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/keepsake-token-orc-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/keepsake-token-orc-{uuid.uuid4().hex}"
     tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, TOKENIZER)
     return tokenfile.token_index(spark, path)
 
