@@ -2,14 +2,15 @@
 
 A sentence ends at a word that ends in ".", "!" or "?", at a line's end, or
 after MAX_WORDS words. Every run of at least SENTENCES consecutive sentences with
-at least LEAST_WORDS words is hashed (128 bits, words only, A-Z folded). Cuts after
+at least LEAST_WORDS words is hashed (96 bits, words only, A-Z folded). Cuts after
 MAX_WORDS words depend on where a long sentence starts, so runs of LONG_RUN words are
 hashed too wherever sentences are long, and these are chosen by content (winnowing):
 of each WINDOW neighbouring ones that of least hash, the first of equal ones. Copies
 of a passage of LONG_RUN + WINDOW - 1 = 50 words thus share a run whatever stands
 before them, and a run of LONG_RUN words holds a whole sentence at least.
 
-The runs of all documents are joined on their hash, and sentences whose words all
+Runs whose hash stands in one place only are left out first (shared.py). The others
+of all documents are joined on their hash, and sentences whose words all
 lie in runs which are not the first of their hash are removed. The first is the one
 in the smallest doc_id and there the earliest; rows that share this id all count as
 first. A sentence that lies only partly in such runs stays.
@@ -24,10 +25,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import SPACES, Substrings, byte_values, chunks, mix, runs, saved, split_changed, text_of
+from keepsake.llm.common import SPACES, Scratch, Substrings, byte_values, chunks, mix, runs, small_or_not, split_changed, text_of
+from keepsake.llm.shared import Chunks, levels_of, shared_hashes
 
 SENTENCES = 3
 LEAST_WORDS = 15
@@ -35,6 +38,7 @@ MAX_WORDS = 12
 #: Words of a run that is chosen by content, and neighbouring ones of which one is chosen.
 LONG_RUN, WINDOW = 2 * MAX_WORDS, 27
 _LAST = (1 << 63) - 1
+_SPANS = "array<struct<i: int, m: int>>"
 
 
 class Sentences:
@@ -97,34 +101,67 @@ class Sentences:
 
 
 def _runs_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, i, m, h1, h2, again): span of m words from the i-th of its document; again: not the first such of its document."""
+    """(chunk, doc_id, hash, h, g, i, m, again: arrays): the spans of each document.
+
+    Each is m words from the i-th; h and g hash it, one entry for each h of a document; again: places of later ones that
+    are equal in their own document.
+    """
+    kinds = {"h": pa.int64(), "g": pa.int32(), "i": pa.int32(), "m": pa.int32()}
 
     def compute(batches):
+        numbers = Chunks(TaskContext.get().partitionId())
         for batch in batches:
-            for first, _, data, ends in chunks(batch.column(2)):
+            for first, last, data, ends in chunks(batch.column(2)):
                 s = Sentences(data, ends)
                 i, end, h1, h2 = s.spans()
                 doc = s.word_doc[i]
                 order = np.lexsort((i, h2, h1, doc))
+                i, end, h1, h2, doc = i[order], end[order], h1[order], h2[order], doc[order]
                 again = np.zeros(len(i), bool)
-                a, b = order[1:], order[:-1]
-                again[a] = (doc[a] == doc[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
-                begin = np.searchsorted(s.word_doc, doc)
-                rows = pa.array(doc + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((i - begin).astype(np.int32)), pa.array((end - i).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(again)], names=["doc_id", "hash", "i", "m", "h1", "h2", "again"])
+                again[1:] = (doc[1:] == doc[:-1]) & (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+                place = (i - np.searchsorted(s.word_doc, doc)).astype(np.int32)
+
+                def lists(which: np.ndarray, values: dict) -> list[pa.Array]:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[which], minlength=last - first))]).astype(np.int32))
+                    return [pa.ListArray.from_arrays(offsets, pa.array(v[which], kinds[k])) for k, v in values.items()]
+
+                own = {"h": h1.view(np.int64), "g": (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), "i": place, "m": (end - i).astype(np.int32)}
+                n = np.bincount(doc[~again], minlength=last - first)
+                rows = [pa.array(numbers.of(n)), batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), *lists(~again, own)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[again], minlength=last - first))]).astype(np.int32))
+                rows.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(own[k][again], kinds[k]) for k in "im"], names=["i", "m"])))
+                yield pa.RecordBatch.from_arrays(rows, names=["chunk", "doc_id", "hash", *own, "again"])
+
+    return docs.mapInArrow(compute, f"chunk long, doc_id long, hash long, h array<bigint>, g array<int>, i array<int>, m array<int>, again {_SPANS}")
+
+
+def _shared_spans(found: DataFrame, tmp: Scratch) -> DataFrame:
+    """(doc_id, hash, h, g, i, m) of the spans whose hash other rows hold too."""
+    total = found.agg(F.sum(F.size("h"))).first()[0] or 0
+    answers = shared_hashes(found.select("chunk", "h"), total)
+
+    def pick(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        h = rows.column("h").combine_chunks()
+        shared = levels_of(h.flatten().to_numpy().view(np.uint64), answers) > 0
+        owner = pa.array(np.repeat(np.arange(len(h)), h.value_lengths().to_numpy())[shared])
+        keep = pa.array(shared)
+        return pa.table({"doc_id": rows.column("doc_id").take(owner), "hash": rows.column("hash").take(owner), **{c: rows.column(c).combine_chunks().flatten().filter(keep) for c in "hgim"}})
 
-    return docs.mapInArrow(compute, "doc_id long, hash long, i int, m int, h1 long, h2 long, again boolean")
+    rows = found.select("chunk", "doc_id", "hash", "h", "g", "i", "m").groupBy("chunk")
+    return tmp.save(rows.cogroup(answers.groupBy("chunk")).applyInArrow(pick, "doc_id long, hash long, h long, g int, i int, m int"), "shared")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, tmp: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hash, gone: array of (i, m)): for each document that has any, its spans of m words that are not the first."""
     text = text_of(text_col)
-    found = saved(_runs_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))), "spans")
+    found = tmp.save(_runs_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))), "spans")
+    shared = _shared_spans(found, tmp)
     place = F.coalesce("doc_id", F.lit(_LAST))
-    # runs that stand in several documents, with the smallest id
-    several = found.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("h1", "h2", "least")
-    later = found.join(several, ["h1", "h2"]).where(place > F.col("least")).unionByName(found.where("again").withColumn("least", F.lit(_LAST))).select("doc_id", "hash", "i", "m")
-    return later.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(F.struct("i", "m"))).alias("gone"))
+    # spans that stand in several documents, with the smallest id; a table of its own, so that Spark can split what many documents share
+    several = tmp.save(shared.groupBy("h", "g").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("h", "g", "least"), "several")
+    later = shared.join(small_or_not(several), ["h", "g"]).where(place > F.col("least")).select("doc_id", "hash", "i", "m")
+    later = later.unionByName(found.where(F.size("again") > 0).select("doc_id", "hash", F.inline("again")))
+    return tmp.result(later.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(F.struct("i", "m"))).alias("gone")), "gone")
 
 
 def _cleaner(text_at: int, with_counts: bool):
@@ -170,7 +207,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text that loses nothing keeps its bytes; a null text becomes empty.
     """
-    rows, changed = split_changed(docs, saved(repeated_spans(docs, id_col, text_col), "gone"), id_col, text_col)
+    with Scratch(docs.sparkSession) as tmp:
+        rows, changed = split_changed(docs, repeated_spans(docs, tmp, id_col, text_col), id_col, text_col)
     apply = _cleaner(docs.columns.index(text_col), with_counts)
     kind = docs.schema.simpleString()
     schema = f"_row {kind}" + ", n_sentences long, n_removed long" * with_counts
