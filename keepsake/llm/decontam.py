@@ -11,9 +11,10 @@ the threshold are retrieved. A hit
 counts if the passage holds enough of the section's word triples (the question)
 and of the words of its last sentence (the answer).
 
-The index is broadcast; items are dealt into shards of about SHARD_BYTES, one
+The index goes to every task; items are dealt into shards of about shard_bytes, one
 pass over the documents each, so its size is bounded for any benchmark. Document
-frequencies are those of the shard, as in sharded search engines.
+frequencies and the mean length are those of all sections, so scores do not depend
+on the shards.
 
 Words are runs of letters, digits and non-ASCII bytes, with A-Z folded.
 
@@ -28,12 +29,11 @@ import math
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import Substrings, byte_values, chunks, runs, saved, small_or_not, text_of
+from keepsake.llm.common import Scratch, Substrings, byte_values, chunks, runs, small_or_not, text_of
 
 WINDOW, STRIDE, SECTION = 96, 16, 64
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
@@ -52,33 +52,32 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return Substrings(byte_values(fold_case=True)[data]).hash(start, end), start, end
 
 
+def sections_of(text: str) -> list[tuple[np.ndarray, set]]:
+    """The words of each section of an item, and those of its answer."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    words, _, end = word_hashes(data)
+    if not len(words):
+        return []
+    stops = np.isin(np.append(data, np.uint8(10))[end], np.frombuffer(b".!?\n", np.uint8))[:-1]
+    last = int(np.flatnonzero(stops)[-1]) + 1 if stops.any() else 0
+    parts = np.array_split(np.arange(len(words)), -(-len(words) // SECTION))
+    # an item of one sentence, or a section before the last, has no answer of its own
+    return [(words[p], set(words[p][p >= last].tolist()) if last and p[-1] == len(words) - 1 else set()) for p in parts]
+
+
 class Index:
-    """Postings of word hashes over sections, in blocks with their largest impacts."""
-
-    def __init__(self, item_ids: list, texts: list[str]):
-        sections: list[np.ndarray] = []
-        self.item: list = []
-        self.answer: list[set] = []
-        for item, text in zip(item_ids, texts, strict=True):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            words, _, end = word_hashes(data)
-            if not len(words):
-                continue
-            stops = np.isin(np.append(data, np.uint8(10))[end], np.frombuffer(b".!?\n", np.uint8))[:-1]
-            last = int(np.flatnonzero(stops)[-1]) + 1 if stops.any() else 0
-            n = max(1, -(-len(words) // SECTION))
-            for part in np.array_split(np.arange(len(words)), n):
-                sections.append(words[part])
-                self.item.append(item)
-                # an item of one sentence, or a section before the last, has no answer of its own
-                self.answer.append(set(words[part][part >= last].tolist()) if last and part[-1] == len(words) - 1 else set())
+    """Postings of word hashes over sections, in blocks with their largest impacts.
+
+    df: in how many sections of all shards each word stands; n and mean: their number and mean length.
+    """
+
+    def __init__(self, item_ids: list, texts: list[str], df: dict[int, int], n: int, mean: float):
+        both = [(item, words, answer) for item, text in zip(item_ids, texts, strict=True) for words, answer in sections_of(text)]
+        self.item = [item for item, _, _ in both]
+        self.answer = [answer for _, _, answer in both]
+        sections = [words for _, words, _ in both]
         self.triples = [self._triples(s) for s in sections]
-        n, mean = len(sections), max(1.0, float(np.mean([len(s) for s in sections])) if sections else 1.0)
         counts = [dict(zip(*map(np.ndarray.tolist, np.unique(s, return_counts=True)), strict=True)) for s in sections]
-        df: dict[int, int] = {}
-        for c in counts:
-            for w in c:
-                df[w] = df.get(w, 0) + 1
         idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
         postings: dict[int, list[tuple[int, float]]] = {}
         for s, c in enumerate(counts):
@@ -89,7 +88,7 @@ class Index:
                 postings.setdefault(w, []).append((s, x / total))
         self.lists = {w: ([s for s, _ in p], [x for _, x in p], [max(x for _, x in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)], max(x for _, x in p)) for w, p in postings.items()}
         # each section's commonest words, up to a share SMALL of the threshold, are left out of the rare ones' postings
-        self.slack = np.zeros(n)
+        self.slack = np.zeros(len(sections))
         rare: dict[int, list[tuple[int, float]]] = {}
         weights = {w: dict(zip(*v[:2], strict=True)) for w, v in self.lists.items()}
         for s, c in enumerate(counts):
@@ -174,9 +173,9 @@ class Index:
                     x[0] = bisect_left(x[1], skip, x[0])
 
 
-def _matches(docs: DataFrame, index) -> DataFrame:
+def _matches(docs: DataFrame, index: Index) -> DataFrame:
     def compute(batches):
-        idx: Index = index.value
+        idx = index
         for batch in batches:
             rows: list[tuple] = []
             for first, _, data, ends in chunks(batch.column(2)):
@@ -212,18 +211,45 @@ def _matches(docs: DataFrame, index) -> DataFrame:
     return docs.mapInArrow(compute, "doc_id long, hash long, item_id long, score double, word long, question double, answer double")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _frequencies(items: DataFrame, tmp: Scratch) -> tuple[DataFrame, int, float]:
+    """(shard, word, df) for the words of each shard of items (shard, text), and the number and mean length of all sections."""
+
+    def compute(batches):
+        for batch in batches:
+            n_words: dict[tuple[int, int], int] = {}
+            total = np.zeros(2, np.int64)
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for words, _ in sections_of(text):
+                    total += (1, len(words))
+                    for w in np.unique(words).view(np.int64).tolist():
+                        n_words[shard, w] = n_words.get((shard, w), 0) + 1
+            shards, words = [k for k, _ in n_words], [w for _, w in n_words]
+            # a row without a word holds the number of sections and of their words
+            yield pa.RecordBatch.from_arrays([pa.array([*shards, None], pa.int32()), pa.array([*words, None], pa.int64()), pa.array([*n_words.values(), int(total[0])], pa.int64()), pa.array([None] * len(words) + [int(total[1])], pa.int64())], names=["shard", "word", "n", "length"])
+
+    found = tmp.save(items.select("shard", "text").mapInArrow(compute, "shard int, word long, n long, length long"), "words")
+    n, length = found.where("word is null").agg(F.sum("n"), F.sum("length")).first()
+    df = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("df"))
+    of_shard = found.where("word is not null").select("shard", "word").distinct().join(df, "word")
+    return tmp.save(of_shard, "df"), n or 0, max(1.0, (length or 0) / max(n or 0, 1))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, hash, item_id, score, word, question, answer): for each document and item that match, the best passage and its first word."""
-    spark = docs.sparkSession
     text = text_of(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    items = saved(items.select(F.col(item_col).cast("long").alias("item_id"), text_of(item_text_col).alias("text")), "items")
-    shards = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
-    found = None
-    for k in range(shards):
-        shard: pd.DataFrame = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).toPandas().sort_values(["item_id", "text"])
-        some = _matches(source, spark.sparkContext.broadcast(Index(shard["item_id"].tolist(), shard["text"].tolist())))
-        found = some if found is None else found.unionByName(some)
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), text_of(item_text_col).alias("text"))
+    with Scratch(docs.sparkSession) as tmp:
+        shards = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+        items = tmp.save(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int")), "items")
+        frequencies, n, mean = _frequencies(items, tmp)
+        found = None
+        for k in range(shards):
+            of_shard = frequencies.where(F.col("shard") == k).select("word", "df").toArrow()
+            df = dict(zip(of_shard["word"].to_numpy().view(np.uint64).tolist(), of_shard["df"].to_pylist(), strict=True))
+            shard = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in items.where(F.col("shard") == k).collect())
+            some = _matches(source, Index([None if null else i for null, i, _ in shard], [t for *_, t in shard], df, n, mean))
+            found = some if found is None else found.unionByName(some)
     best = F.max_by(F.struct("score", "word", "question", "answer"), F.struct("score", -F.col("word"))).alias("best")
     return found.groupBy("doc_id", "hash", "item_id").agg(best).select("doc_id", "hash", "item_id", "best.*")
 
@@ -231,5 +257,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The rows of docs, unchanged, that match no item."""
     gone = contaminated(docs, items, id_col, text_col, **columns).select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_gone_hash")).distinct()
-    gone = small_or_not(saved(gone, "contaminated"))
+    with Scratch(docs.sparkSession) as tmp:
+        gone = small_or_not(tmp.result(gone, "contaminated"))
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == gone["_gone_hash"]), "left_anti")
