@@ -11,8 +11,9 @@ of the smallest id hashes; every document is scored.
 Edge cases. Null or empty text has no features and gets each model's base
 probability. Labels that are null or whose id is null or has no document are not
 used; without labelled rows every probability is 0. Null ids and repeated rows
-are scored like any other row. An empty table gives an empty result. Input
-columns of any name are allowed.
+are scored like any other row. Of several documents of one labelled id the one with
+the smallest text hash is used, and of several labels of one id the largest of each
+category. An empty table gives an empty result. Input columns of any name are allowed.
 """
 
 from __future__ import annotations
@@ -103,8 +104,9 @@ def fit_chain(x: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> lis
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", categories=CATEGORIES, sample: int = SAMPLE) -> list[Model]:
     conditions = [F.expr(c).cast("boolean").alias(f"_y{j}") for j, (_, c) in enumerate(categories)]
     marked = labels.select(F.col(label_id_col).cast("long").alias("_id"), *conditions).where(" and ".join(f"_y{j} is not null" for j in range(len(categories))) + " and _id is not null")
-    # a bounded number of labelled rows, the same ones for any layout of the table
-    marked = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id", *[f"_y{j}" for j in range(len(categories))]).limit(sample))
+    # a bounded number of labelled ids, the same ones for any layout of the table
+    marked = marked.groupBy("_id").agg(*[F.max(f"_y{j}").alias(f"_y{j}") for j in range(len(categories))])
+    marked = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).join(marked, "_id")
 
     def compute(batches):
@@ -119,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     schema = "id long, " + "".join(f"y{j} boolean, " for j in range(len(categories))) + "buckets array<int>"
     # one document for each labelled id, so the sample stays bounded where documents repeat
-    got = rows.dropDuplicates(["_id"]).select("_id", "_text", *[f"_y{j}" for j in range(len(categories))]).mapInArrow(compute, schema).toPandas().sort_values("id")
+    first = F.min_by(F.struct("_text", *[f"_y{j}" for j in range(len(categories))]), F.struct(F.xxhash64("_text"), "_text")).alias("first")
+    got = rows.groupBy("_id").agg(first).select("_id", "first.*").mapInArrow(compute, schema).toPandas().sort_values("id")
     return fit_chain([np.asarray(b, np.int64) for b in got["buckets"]], got[[f"y{j}" for j in range(len(categories))]].to_numpy(bool), (got["id"].to_numpy(np.int64) // 7 % FOLDS))
 
 
@@ -129,13 +132,11 @@ def score(docs: DataFrame, models: list[Model], columns: list[str], text_col: st
     at = np.zeros(1 << BITS, np.int32)
     at[used] = np.arange(1, len(used) + 1)
     weights = np.vstack([np.zeros(len(models)), np.column_stack([m.table()[used] for m in models])])
-    shared = docs.sparkSession.sparkContext.broadcast((at, weights, models))
     own = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     rows = docs.select(own, text_of(text_col).alias("_text"))
     names = [f"p_{c}" for c, _ in categories]
 
     def compute(batches):
-        at, weights, models = shared.value
         for batch in batches:
             parts = [np.empty((0, len(models)))]
             for _, n, row, bucket in features(batch.column(1)):
