@@ -1,35 +1,40 @@
-"""URL verdicts: rules first, then trust that spreads over links between hosts.
+"""URL verdicts: rules first, then trust that spreads over edges between hosts.
 
 A rule names a host and a path prefix; it fits the host and its subdomains, and
 the longest rule that fits a URL decides. For URLs that no rule fits, hosts are
-ranked on the graph of links between hosts: personalised PageRank spreads trust
-along links from hosts with allowed pages, and distrust against links from hosts
-that a rule blocks as a whole. A host is blocked where its distrust is above its
-trust and at least LEAST_DISTRUST of a seed's own share.
+ranked on a graph of two kinds of edges: links from a page to another host, and
+between a host and the domain that it belongs to, in both directions (a.b.example.org,
+b.example.org, example.org), so that subdomains of one site share what is known of
+it even where pages link only within their host. Personalised PageRank spreads trust
+along edges from hosts with allowed pages, and distrust against edges from hosts
+that a rule blocks as a whole; scores are in shares of one seed's start, so that the
+numbers of seeds do not weigh. A host is blocked where its distrust is above its
+trust and at least LEAST_DISTRUST.
+
+Both spread in one iteration, ROUNDS_A_JOB rounds in each Spark job, until what is
+still on its way is below TOLERANCE of a seed's share. What ends at a host without
+edges goes back to the seeds, which is the same as letting the scores sum to 1.
 
 Edge cases. A null URL, or one without "://", has an empty host and path, no rule
-and the verdict allow. Null or empty HTML has no links. Null ids and repeated rows
-are judged like any other row. An empty table gives an empty result. Input
-columns of any name are allowed.
+and the verdict allow. Null or empty HTML has no links. Hosts of one label, and
+numeric addresses, have no domain above them. Null ids and repeated rows are judged
+like any other row. An empty table gives an empty result. Input columns of any name
+are allowed.
 """
 
 from __future__ import annotations
 
 import string
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import saved, text_of
+from keepsake.llm.common import Scratch, small_or_not, text_of
 
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING, LEAST_DISTRUST = 0.85, 0.01
-#: Mass that may still be on its way when PageRank ends, as a share of one seed's, and rounds after which it raises.
-TOLERANCE, ROUNDS = 1e-8, 1000
-#: Rounds whose scores are added up at a time.
-ADDED = 16
+#: Mass that may still be on its way when PageRank ends, as a share of one seed's, rounds in a job, and rounds after which it raises.
+TOLERANCE, ROUNDS_A_JOB, ROUNDS = 1e-3, 4, 1000
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -60,43 +65,58 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.select("src", _lower(F.col("dst")).alias("dst")).where("src <> '' and src <> dst").distinct()
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): settled personalised PageRank along links (src, dst) from seeds (host), which share 1 equally."""
-    n = seeds.count()
-    start = seeds.select("host", F.lit(1.0 / max(n, 1)).alias("score"))
-    if not n or links.isEmpty():
-        return start
-    out = links.groupBy("src").agg(F.count("dst").alias("out"))
-    weighted = saved(links.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("w")), "links")
-    # what arrives in each round; a host keeps 1 - damping of it and passes on the rest
-    moving, parts = start, [start]
-    for _ in range(rounds):
-        moving = saved(weighted.join(moving, weighted["src"] == moving["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("w") * F.col("score") * damping).alias("score")), "rank")
-        parts.append(moving)
-        if len(parts) > ADDED:
-            parts = [saved(_added(parts), "score")]
-        if (moving.agg(F.sum("score")).first()[0] or 0.0) * n < TOLERANCE:
-            return saved(_added(parts).select("host", (F.col("score") * (1 - damping)).alias("score")), "score")
+def domain_edges(hosts: DataFrame) -> DataFrame:
+    """(src, dst) between each host (host) or domain above it and the next domain above, in both directions."""
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    chain = hosts.where(F.col("host").rlike(r"^[^.]+(\.[^.]+)*\.[^.0-9][^.]*$")).select(F.explode(above).alias("src")).distinct()
+    chain = chain.select("src", F.expr("substring(src, locate('.', src) + 1)").alias("dst")).where("contains(dst, '.')")
+    return chain.unionByName(chain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, tmp: Scratch, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, host, score): for each kind, settled personalised PageRank along its edges (kind, src, dst) from its seeds (kind, host), which share 1 equally."""
+    many = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("host").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("kind") == k, 1.0 / n) for k, n in sorted(many.items())], F.lit(0.0))
+    state = seeds.select("kind", "host", share.alias("total"), share.alias("moving"))
+    out = edges.groupBy("kind", "src").agg(F.count("dst").alias("out"))
+    weighted = tmp.save(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping / F.col("out")).alias("w")), "edges")
+    weighted = weighted.hint("broadcast") if weighted.limit(100_001).count() <= 100_000 else weighted
+    for done in range(ROUNDS_A_JOB, rounds + ROUNDS_A_JOB, ROUNDS_A_JOB):
+        for _ in range(ROUNDS_A_JOB):
+            # what arrives moves on in the next round
+            come = state.where("moving > 0").join(weighted, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("total"), (F.col("w") * F.col("moving")).alias("moving"))
+            stay = state.select("kind", "host", "total", F.lit(0.0).alias("moving"))
+            state = stay.unionByName(come).groupBy("kind", "host").agg(F.sum(F.col("total") + F.col("moving")).alias("total"), F.sum("moving").alias("moving"))
+        state = tmp.save(state, f"rank{done}")
+        left = state.groupBy("kind").agg(F.sum("moving").alias("m"), F.sum("total").alias("all")).collect()
+        if all(r["m"] * many[r["kind"]] < TOLERANCE for r in left):
+            whole = F.coalesce(*[F.when(F.col("kind") == r["kind"], r["all"]) for r in left], F.lit(1.0))
+            return state.select("kind", "host", (F.col("total") / whole).alias("score"))
     raise RuntimeError(f"PageRank has not settled after {rounds} rounds")
 
 
-def _added(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("score").alias("score"))
-
-
 def judge(pages: DataFrame, columns: list[str], url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
-    """(columns, host, path, rule, verdict) for each page."""
+    """(columns, host, path, rule, verdict, trust, distrust) for each page; the last two are its host's scores."""
     own = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     url = F.col(url_col).cast("string")
     pages = pages.select(own, host_of(url).alias("host"), path_of(url).alias("path"), text_of(html_col).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = pages.select("_row", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     whole = [h + p for v, h, p in rules if v == "block" and p == "/"]
-    hosts = saved(ruled.groupBy("host").agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allowed"), F.max(F.col("rule").isin(whole).cast("int")).alias("blocked")), "hosts")
-    links = saved(host_links(pages), "hostlinks")
-    blocked = hosts.where("blocked = 1 and coalesce(allowed, 0) = 0").select("host")
-    trust = spread(links, hosts.where("allowed = 1").select("host"))
-    distrust = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), blocked)
-    least = LEAST_DISTRUST / max(blocked.count(), 1)
-    bad = distrust.join(trust.withColumnRenamed("score", "trust"), "host", "left").where((F.col("score") > F.coalesce("trust", F.lit(0.0))) & (F.col("score") >= least)).select("host", F.lit("block").alias("by_host"))
-    return ruled.join(bad, "host", "left").select("_row.*", "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))
+    with Scratch(pages.sparkSession) as tmp:
+        hosts = tmp.save(ruled.groupBy("host").agg(F.max((F.col("verdict") == "allow").cast("int")).alias("allowed"), F.max(F.col("rule").isin(whole).cast("int")).alias("blocked")), "hosts")
+        links = tmp.save(host_links(pages), "links")
+        named = hosts.select("host").unionByName(links.select(F.col("dst").alias("host")))
+        edges = tmp.save(links.unionByName(domain_edges(named)).distinct(), "edges")
+        # kind 0 is trust, along edges; kind 1 distrust, against them
+        both = edges.select(F.lit(0).alias("kind"), "src", "dst").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+        trusted = hosts.where("host <> '' and allowed = 1").select(F.lit(0).alias("kind"), "host")
+        blocked = hosts.where("host <> '' and blocked = 1 and coalesce(allowed, 0) = 0").select(F.lit(1).alias("kind"), "host")
+        scores = spread(both, trusted.unionByName(blocked), tmp).groupBy("host")
+        scores = scores.agg(*[F.sum(F.when(F.col("kind") == k, F.col("score") * seeds.count()).otherwise(0.0)).alias(c) for k, c, seeds in ((0, "trust", trusted), (1, "distrust", blocked))])
+        scores = tmp.result(scores.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust")), "hosts")
+        few = scores.limit(100_001).count() <= 100_000
+    ruled = ruled.join(F.broadcast(scores) if few else scores, "host", "left")
+    by_host = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= LEAST_DISTRUST), "block").otherwise("allow")
+    return ruled.select("_row.*", "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
