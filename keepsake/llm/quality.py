@@ -15,14 +15,16 @@ gives an empty result. Input columns of any name are allowed beside id and text.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import saved, text_of
+from keepsake.llm.common import Scratch, small_or_not, text_of
 
 THRESHOLD = 0.5
-#: Rounds of expectation-maximisation at most, and the change of any estimate at which they end.
-ROUNDS, TOLERANCE = 15, 1e-3
+#: Change of any estimate at which expectation-maximisation has settled, and rounds after which it ends with a warning.
+TOLERANCE, ROUNDS = 1e-7, 2_000
 WINDOW = 8
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _MORE = ["n_lines", "n_distinct", "n_upper", "n_ends"]
@@ -81,36 +83,45 @@ def rules() -> list[tuple[str, Column, Column]]:
     ]
 
 
-def _posterior(prior: float, right: list[tuple[float, float]]) -> Column:
-    """Probability of good for the votes in _VOTES."""
-    good, bad = F.lit(prior), F.lit(1 - prior)
-    for j, (on_good, on_bad) in enumerate(right):
-        v = F.col(_VOTES)[j]
-        good = good * F.when(v == 1, on_good).when(v == -1, 1 - on_good).otherwise(1.0)
-        bad = bad * F.when(v == -1, on_bad).when(v == 1, 1 - on_bad).otherwise(1.0)
+def _weigh(vote: int, side: int, right: float) -> float:
+    """Probability of a vote by a rule that votes for this side with probability `right`, given that it votes."""
+    return right if vote == side else 1 - right if vote == -side else 1.0
+
+
+def _weigh_column(vote: Column, side: int, right: float) -> Column:
+    return F.when(vote == side, right).when(vote == -side, 1 - right).otherwise(1.0)
+
+
+def _posterior(prior, right: list[tuple], votes, weigh=_weigh):
+    """Probability of good for the votes of all rules."""
+    good, bad = prior, 1 - prior
+    for v, (on_good, on_bad) in zip(votes, right, strict=True):
+        good, bad = good * weigh(v, 1, on_good), bad * weigh(v, -1, on_bad)
     return good / (good + bad)
 
 
-def fit(votes: DataFrame, n_rules: int, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents, and each rule's accuracy on good and on bad ones."""
-    patterns = saved(votes.groupBy(_VOTES).count().coalesce(1), "votes")
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good documents, and each rule's accuracy on good and on bad ones, from vote patterns and their counts."""
     prior, right = 0.8, [(0.9, 0.5)] * n_rules
-    for _ in range(rounds):
-        good, bad = F.col("count") * F.col("r"), F.col("count") * (1 - F.col("r"))
-        sums = [F.sum(good).alias("good"), F.sum("count").alias("all")]
-        for j in range(n_rules):
-            v = F.col(_VOTES)[j]
-            for name, weight, vote in ((f"g{j}", good, 1), (f"b{j}", bad, -1)):
-                sums += [F.sum(F.when(v == vote, weight).otherwise(0.0)).alias(f"{name}r"), F.sum(F.when(v != 0, weight).otherwise(0.0)).alias(f"{name}n")]
-        got = patterns.withColumn("r", _posterior(prior, right)).agg(*sums).first()
-        if not got["all"]:
-            break
+    total = sum(n for _, n in patterns)
+    if not total:
+        return prior, right
+    for _ in range(ROUNDS):
+        good = [n * _posterior(prior, right, votes) for votes, n in patterns]
         # one good and one bad document that nobody has seen keep all estimates inside (0, 1)
+        sums = [[[1.0, 2.0], [1.0, 2.0]] for _ in range(n_rules)]
+        for (votes, n), g in zip(patterns, good, strict=True):
+            for j, v in enumerate(votes):
+                if v:
+                    for k, weight, agrees in ((0, g, 1), (1, n - g, -1)):
+                        sums[j][k][0] += weight * (v == agrees)
+                        sums[j][k][1] += weight
         before = [prior, *(x for pair in right for x in pair)]
-        prior = (got["good"] + 1) / (got["all"] + 2)
-        right = [tuple((got[f"{s}{j}r"] + 1) / (got[f"{s}{j}n"] + 2) for s in "gb") for j in range(n_rules)]
+        prior = (sum(good) + 1) / (total + 2)
+        right = [tuple(r / n for r, n in pair) for pair in sums]
         if max(abs(a - b) for a, b in zip(before, [prior, *(x for pair in right for x in pair)], strict=True)) < TOLERANCE:
-            break
+            return prior, right
+    warnings.warn(f"expectation-maximisation has not settled after {ROUNDS} rounds", stacklevel=2)
     return prior, right
 
 
@@ -119,12 +130,20 @@ def score(docs: DataFrame, columns: list[str], text_col: str = "text", threshold
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(_ROW), text_of(text_col).alias("_text"))
     voted = rules()
     votes = F.array(*[F.when(good, 1).when(bad, -1).otherwise(0).cast("tinyint") for _, good, bad in voted])
-    measured = saved(_measured(rows).withColumn(_VOTES, votes), "quality")
-    prior, right = fit(measured, len(voted))
+    with Scratch(docs.sparkSession) as tmp:
+        measured = tmp.result(_measured(rows).withColumn(_VOTES, votes), "quality")
+    # at most 3 to the number of rules, whatever the corpus
+    patterns = sorted((tuple(r[_VOTES]), r["count"]) for r in measured.groupBy(_VOTES).count().collect())
+    prior, right = fit(patterns, len(voted))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).withColumn("quality", F.round(_posterior(prior, right), 6)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    good = _posterior(F.lit(prior), right, [F.col(_VOTES)[j] for j in range(len(voted))], _weigh_column)
+    return measured.withColumn("base_failed", failed).withColumn("quality", F.round(good, 6)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
-def filter_quality(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns unchanged, that are kept."""
-    return score(docs, docs.columns, text_col, threshold).where("kept").select(f"{_ROW}.*")
+    named = docs.select(F.col(id_col).cast("long").alias("_gone"), F.xxhash64(text_of(text_col)).alias("_gone_hash"), text_of(text_col).alias("_text"))
+    scored = score(named, ["_gone", "_gone_hash"], "_text", threshold)
+    with Scratch(docs.sparkSession) as tmp:
+        gone = small_or_not(tmp.result(scored.where("not kept").select("_row.*").distinct(), "rejected"))
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(text_of(text_col)) == gone["_gone_hash"]), "left_anti")
