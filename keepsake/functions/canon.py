@@ -60,6 +60,15 @@ def evidence_digest(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *columns), 256)
 
 
+def sum_digest(label: str, member: Column) -> Column:
+    """An aggregate: the digest of a multiset of sha256 digests, whatever their order.
+
+    It covers the number of members and the exact sums of four separate parts of 60 bits each, which partial
+    aggregation computes without a list of all members in one row.
+    """
+    return digest_column(label, F.count(member), *[F.sum(number_of(F.substring(member, 15 * k + 1, 15), 15)) for k in range(4)])
+
+
 def number_of(hex_digest: Column, digits: int = 16) -> Column:
     """The leading hexadecimal digits as an exact whole number."""
     return F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("decimal(20,0)")

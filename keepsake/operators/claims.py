@@ -150,3 +150,87 @@ def promote(observations: DataFrame, ids: DataFrame) -> DataFrame:
     """CANDIDATE becomes VALIDATED for ids."""
     hit = observations.join(ids.select("observation_id").distinct().withColumn("_hit", F.lit(True)), "observation_id", "left")
     return hit.withColumn("lifecycle", F.when(F.col("_hit") & (F.col("lifecycle") == "CANDIDATE"), "VALIDATED").otherwise(F.col("lifecycle"))).drop("_hit")
+
+
+def supersede(observations: DataFrame, ids: DataFrame) -> DataFrame:
+    """CANDIDATE and VALIDATED become SUPERSEDED for ids; other states stay."""
+    hit = observations.join(ids.select("observation_id").distinct().withColumn("_hit", F.lit(True)), "observation_id", "left")
+    return hit.withColumn("lifecycle", F.when(F.col("_hit") & F.col("lifecycle").isin("CANDIDATE", "VALIDATED"), "SUPERSEDED").otherwise(F.col("lifecycle"))).drop("_hit")
+
+
+def candidate_observation(observations: DataFrame) -> DataFrame:
+    """The newest candidate of each semantic key, by a partial aggregate."""
+    newest = F.max_by(F.struct(*observations.columns), F.struct("created_at", "observation_id")).alias("_o")
+    return observations.where("lifecycle = 'CANDIDATE'").groupBy("semantic_key").agg(newest).select("_o.*")
+
+
+def detach(subscribers: DataFrame, requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(next subscribers, requests with outcome): each request (keys, subscriber_id) gives up its interest.
+
+    NOT_FOUND without such a subscriber, ALREADY_DETACHED where it is not live, LAST_INTEREST where no live one
+    of its keys remains once all requests have been served, else DETACHED. A request counts once.
+    """
+    who = [*keys, "subscriber_id"]
+    asked = requests.select(*who).distinct()
+    marked = subscribers.join(asked.withColumn("_asked", F.lit(True)), who, "left")
+    leaves = F.coalesce(F.col("_asked"), F.lit(False)) & (F.col("state") == "LIVE")
+    after = marked.withColumn("state", F.when(leaves, "DETACHED").otherwise(F.col("state"))).drop("_asked")
+    left = after.where("state = 'LIVE'").groupBy(*keys).agg(F.count(F.lit(1)).alias("_left"))
+    found = asked.join(subscribers.select(*who, "state"), who, "left").join(left, keys, "left")
+    outcome = F.when(F.col("state").isNull(), "NOT_FOUND").when(F.col("state") != "LIVE", "ALREADY_DETACHED").when(F.col("_left").isNull(), "LAST_INTEREST").otherwise("DETACHED")
+    return after.select(*subscribers.columns), found.select(*who, outcome.alias("outcome"))
+
+
+def valid_blobs(blobs: DataFrame, digests: DataFrame) -> DataFrame:
+    """The blobs that digests (blob_digest) name and that are VALID."""
+    return blobs.where("blob_state = 'VALID'").join(digests.select("blob_digest").distinct(), "blob_digest", "left_semi")
+
+
+def rule_authority(heads: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(rule_id, revision, rule_state, required_authority) of the live revision of each rule; heads: rule_id, current_revision."""
+    live = (heads["rule_id"] == revisions["rule_id"]) & (heads["current_revision"] == revisions["revision"])
+    return heads.join(revisions, live).select(heads["rule_id"], "revision", "rule_state", "required_authority")
+
+
+def refusal_reason(keys: DataFrame, derivations: DataFrame, authority: DataFrame) -> DataFrame:
+    """keys (work_key) with reason: why the newest derivation of each may not be reused, null where nothing speaks against it.
+
+    derivations: derivation_id, work_key, rule_id, rule_revision, state, quarantined, created_at. authority: of rule_authority().
+    """
+    newest = derivations.groupBy("work_key").agg(F.max_by(F.struct("rule_id", "rule_revision", "state", "quarantined"), F.struct("created_at", "derivation_id")).alias("d")).select("work_key", "d.*")
+    rows = keys.join(newest, "work_key", "left").join(authority.withColumnRenamed("revision", "_live"), "rule_id", "left")
+    rule, needs = F.col("rule_id").cast("string"), F.col("required_authority")
+    reason = (
+        F.when(~(F.coalesce("quarantined", F.lit(False)) | F.coalesce(F.col("state") == "QUARANTINED", F.lit(False))), None)
+        .when(F.col("rule_id").isNull(), "quarantined, by no rule")
+        .when(F.col("_live") != F.col("rule_revision"), F.concat(F.lit("rule "), rule, F.lit(" was tightened to revision "), F.col("_live").cast("string"), F.lit(" and requires "), needs))
+        .when(F.col("rule_state").isin("DISABLED", "TIGHTENED") & needs.isin("probe", "recompute"), F.concat(F.lit("rule "), rule, F.lit(" requires "), needs))
+        .otherwise("quarantined, after a contradiction")
+    )
+    return rows.select(*keys.columns, reason.alias("reason"))
+
+
+def apply_publications(published: DataFrame, generations: DataFrame, claims: DataFrame, subscribers: DataFrame, leaves: DataFrame, observations: DataFrame) -> dict[str, DataFrame]:
+    """The next snapshots, and the new rows, after requests whose outcome was PUBLISHED (classify_publications()).
+
+    published: request_id, work_key, generation, derivation_id, operation_id, owner_id, fence, observation_id, authority.
+    The generation becomes PUBLISHED with the derivation, the claim SUCCEEDED, live subscribers COMPLETED; edges lead from the
+    derivation to its leaves (request_id, ordinal, child_id); a decision says reuse, and by what authority, only
+    where the observation is VALIDATED.
+    """
+    key = ["work_key", "generation"]
+    done = published.select(*key, F.col("derivation_id").alias("_derivation"), F.col("operation_id").alias("_operation"))
+    hit = F.col("_derivation").isNotNull()
+    marked = generations.join(done, key, "left")
+    owned = claims.join(published.select("work_key", "owner_id", "fence", F.col("derivation_id").alias("_derivation")), ["work_key", "owner_id", "fence"], "left")
+    closes = hit & F.col("state").isin(OPEN_STATES)
+    waiting = subscribers.join(done, key, "left")
+    decided = published.join(observations.select("observation_id", "lifecycle"), "observation_id", "left")
+    reuse = F.coalesce(F.col("lifecycle") == "VALIDATED", F.lit(False))
+    return {
+        "generations": marked.withColumn("gen_state", F.when(hit, "PUBLISHED").otherwise(F.col("gen_state"))).withColumn("derivation_id", F.coalesce("_derivation", "derivation_id")).withColumn("current_operation", F.coalesce("_operation", "current_operation")).select(*generations.columns),
+        "claims": owned.withColumn("state", F.when(closes, "SUCCEEDED").otherwise(F.col("state"))).select(*claims.columns),
+        "subscribers": waiting.withColumn("state", F.when(hit & (F.col("state") == "LIVE"), "COMPLETED").otherwise(F.col("state"))).select(*subscribers.columns),
+        "edges": published.join(leaves, "request_id").select(F.col("derivation_id").alias("parent_id"), "ordinal", "child_id"),
+        "decisions": decided.select("request_id", "work_key", "derivation_id", F.when(reuse, "REUSE").otherwise("RECOMPUTE").alias("action"), F.when(reuse, "reuse").otherwise("recompute").alias("verdict"), F.when(reuse, F.col("authority")).alias("authorized_by")),
+    }

@@ -9,9 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.operators.lineage import reachable
+
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-#: Names whose use makes a unit's reach unknowable.
-ESCAPES = {"eval", "exec", "getattr", "setattr", "globals", "__import__", "compile"}
+#: Names and modules whose use makes a unit's reach unknowable.
+ESCAPES = {"__import__", "compile", "entry_points", "eval", "exec", "getattr", "globals", "setattr", "vars"}
+ESCAPE_MODULES = {"importlib", "pkg_resources"}
+#: What reachable code may do that defeats a proof about a change: names, attributes or modules that show it.
+HAZARDS = {
+    "reads_docs": {"__doc__", "getdoc", "doctest"},
+    "reads_source": {"getsource", "getsourcelines", "getsourcefile", "linecache", "tokenize"},
+    "spawns": {"threading", "multiprocessing", "subprocess", "concurrent", "Thread", "Process", "Popen", "fork", "ThreadPoolExecutor", "ProcessPoolExecutor"},
+    "dispatches": {"getattr", "setattr", "delattr", "hasattr", "globals", "locals", "vars", "eval", "exec", "__import__", "import_module", "importlib", "methodcaller", "attrgetter"},
+}
 
 
 def _digest(text: str) -> str:
@@ -25,9 +35,37 @@ def _without_docstrings(node: ast.AST) -> ast.AST:
     return node
 
 
-def units_of(module: str, text: str) -> list[tuple[str, str, str, str, list[str], list[str]]]:
-    """(module, name, code digest, docstring digest, names used, escapes) of each top-level unit; <module> holds the rest."""
+def _words(nodes: list[ast.stmt]) -> set[str]:
+    """All names, attributes and modules that nodes mention."""
+    out = set()
+    for s in nodes:
+        for x in ast.walk(s):
+            if isinstance(x, ast.Name):
+                out.add(x.id)
+            elif isinstance(x, ast.Attribute):
+                out.add(x.attr)
+            elif isinstance(x, ast.alias):
+                out |= {*x.name.split("."), x.asname or ""}
+            elif isinstance(x, ast.ImportFrom):
+                out |= set((x.module or "").split("."))
+    return out
+
+
+def hazards_of(nodes: list[ast.stmt]) -> list[str]:
+    """Sorted names of HAZARDS that nodes show; a text that ends in .py counts as reading source."""
+    words = _words(nodes)
+    found = {h for h, names in HAZARDS.items() if words & names}
+    if any(isinstance(x, ast.Constant) and isinstance(x.value, str) and x.value.endswith(".py") for s in nodes for x in ast.walk(s)):
+        found.add("reads_source")
+    return sorted(found)
+
+
+def units_of(module: str, text: str) -> list[tuple[str, str, str, str, list[str], list[str], list[str]]]:
+    """(module, name, code digest, docstring digest, names used, escapes, hazards) of each top-level unit; <module> holds the rest."""
     tree = ast.parse(text)
+    # local names of what comes from modules that load others
+    loaders = {local for _, local, origin, _ in imports_of(module, text) if origin.split(".")[0] in ESCAPE_MODULES}
+    loaders |= {local.split(".")[0] for local in loaders}
     units: dict[str, list[ast.stmt]] = {"<module>": []}
     for s in tree.body:
         targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []
@@ -40,7 +78,8 @@ def units_of(module: str, text: str) -> list[tuple[str, str, str, str, list[str]
         used = {x.id for s in body for x in ast.walk(s) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)}
         used |= {f"{x.value.id}.{x.attr}" for s in body for x in ast.walk(s) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name)}
         code = "\n".join(ast.dump(_without_docstrings(s)) for s in body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)))
-        out.append((module, name, _digest(code), _digest(docs or ""), sorted(used), sorted(used & ESCAPES)))
+        words = _words(body)
+        out.append((module, name, _digest(code), _digest(docs or ""), sorted(used), sorted(words & (ESCAPES | ESCAPE_MODULES | loaders)), hazards_of(body)))
     return out
 
 
@@ -75,7 +114,7 @@ def extract_code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         return in_task
 
     source = files.select("module", "text")
-    units = source.mapInPandas(parsed(units_of, ["module", "name", "digest", "doc_digest", "used", "escapes"]), "module string, name string, digest string, doc_digest string, used array<string>, escapes array<string>").withColumn("unit_id", F.concat_ws(":", "module", "name"))
+    units = source.mapInPandas(parsed(units_of, ["module", "name", "digest", "doc_digest", "used", "escapes", "hazards"]), "module string, name string, digest string, doc_digest string, used array<string>, escapes array<string>, hazards array<string>").withColumn("unit_id", F.concat_ws(":", "module", "name"))
     imports = source.mapInPandas(parsed(imports_of, ["module", "local", "origin", "name"]), "module string, local string, origin string, name string")
     refs = units.select("unit_id", "module", F.explode("used").alias("ref"))
     ids = units.select("unit_id", "module", "name")
@@ -90,20 +129,69 @@ def extract_code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return units, same.unionByName(across).unionByName(body).where("src <> dst").distinct()
 
 
-def classify_comment_format(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(unit_id, change) of units: unchanged, comment_only, code, added or removed."""
+def hazards_in(units: DataFrame, reached: DataFrame) -> DataFrame:
+    """(hazard): what the units that reached (node) names do; no more rows than there are HAZARDS."""
+    inside = units.join(reached.select(F.col("node").alias("unit_id")).distinct(), "unit_id", "left_semi")
+    return inside.select(F.explode("hazards").alias("hazard")).distinct()
+
+
+def _refused(changes: DataFrame, hazards: DataFrame, by: dict[str, str]) -> DataFrame:
+    """changes with refused: the hazard that defeats the proof of this change, else null."""
+    refusals = F.create_map(*[F.lit(x) for pair in by.items() for x in pair])
+    defeated = hazards.select("hazard").distinct().withColumn("_refused", F.col("hazard"))
+    rows = changes.withColumn("hazard", refusals[F.col("change")]).join(F.broadcast(defeated), "hazard", "left")  # a row for each hazard at most
+    return rows.withColumn("refused", F.col("_refused")).drop("hazard", "_refused")
+
+
+def classify_comment_format(old: DataFrame, new: DataFrame, hazards: DataFrame) -> DataFrame:
+    """(unit_id, change, refused) of units: comment_only, formatting_only (nothing but comments and layout can differ), code, added or removed.
+
+    A comment may matter to reachable code that reads docstrings, and layout to code that reads sources; hazards (hazard) says so.
+    """
     both = old.select("unit_id", F.col("digest").alias("a"), F.col("doc_digest").alias("da")).join(new.select("unit_id", F.col("digest").alias("b"), F.col("doc_digest").alias("db")), "unit_id", "full")
-    return both.select("unit_id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "code").when(F.col("da") != F.col("db"), "comment_only").otherwise("unchanged").alias("change"))
+    changes = both.select("unit_id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "code").when(F.col("da") != F.col("db"), "comment_only").otherwise("formatting_only").alias("change"))
+    return _refused(changes, hazards, {"comment_only": "reads_docs", "formatting_only": "reads_source"})
+
+
+def classify_unreachable(old: DataFrame, new: DataFrame, entries: DataFrame, new_units: DataFrame, changed: DataFrame, escapes: DataFrame) -> DataFrame:
+    """One row (applies, refused, reason): whether changed units (node) can be reached in neither version of the graph (src, dst).
+
+    Without an entry point in the new graph the class does not apply; with an escape in reach it is refused.
+    """
+    reached = reachable(old, entries).select("node").unionByName(reachable(new, entries).select("node")).distinct()
+    n = lambda rows, among, name: among.select("node").distinct().join(rows.select("node").distinct(), "node", "left_semi").agg(F.count("node").alias(name))
+    counts = n(entries, new_units, "entries").join(n(escapes, reached, "escapes")).join(n(changed, reached, "changed"))  # one row each
+    reason = F.when(F.col("entries") == 0, "no entry point in the new graph").when(F.col("escapes") > 0, "reach is unsound").when(F.col("changed") > 0, "changed units can be reached").otherwise("ok")
+    return counts.select(((F.col("entries") > 0) & ((F.col("escapes") > 0) | (F.col("changed") == 0))).alias("applies"), ((F.col("entries") > 0) & (F.col("escapes") > 0)).alias("refused"), reason.alias("reason"))
+
+
+#: Methods of a logger that only log.
+LOG_METHODS = {"debug", "info", "warning", "error", "exception", "critical", "log"}
+
+
+def _loggers(tree: ast.Module) -> set[str]:
+    """Names that the module binds to a logging.Logger at its top level, and that nothing else binds anywhere."""
+    bound = [n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load)]
+    bound += [n.arg for n in ast.walk(tree) if isinstance(n, ast.arg)] + [n.name for n in ast.walk(tree) if isinstance(n, _DEFINITIONS)]
+    bound += [a.asname or a.name.split(".")[0] for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names]
+    if bound.count("logging") != 1 or not any(isinstance(s, ast.Import) and any(a.name == "logging" and not a.asname for a in s.names) for s in tree.body):
+        return set()
+    made = {s.targets[0].id for s in tree.body if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name) and isinstance(s.value, ast.Call) and ast.dump(s.value.func) == ast.dump(ast.parse("logging.getLogger", mode="eval").body)}
+    return {name for name in made if bound.count(name) == 1}
 
 
 class _NoLogging(ast.NodeTransformer):
     """Drops statements that only log with plain arguments."""
 
+    def __init__(self, loggers: set[str]):
+        self.loggers = loggers
+
     def visit_Expr(self, node: ast.Expr) -> ast.AST | None:
         call = node.value
-        if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and isinstance(call.func.value, ast.Name) and call.func.value.id in {"log", "logger", "logging"}:
-            # arguments that call something may have effects, so such a statement stays
-            if not any(isinstance(x, (ast.Call, ast.NamedExpr, ast.Await, ast.Yield)) for a in [*call.args, *(k.value for k in call.keywords)] for x in ast.walk(a)):
+        if isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and call.func.attr in LOG_METHODS and isinstance(call.func.value, ast.Name) and call.func.value.id in self.loggers:
+            # arguments that call something, or look into an object, may have effects, so such a statement stays
+            plain = (ast.Constant, ast.Name, ast.Load, ast.Tuple, ast.List, ast.JoinedStr, ast.FormattedValue)
+            if all(isinstance(x, plain) for a in [*call.args, *(k.value for k in call.keywords)] for x in ast.walk(a)):
                 return None
         return node
 
@@ -118,13 +206,14 @@ def change_of(old: str, new: str) -> str:
     a, b = ast.parse(old), ast.parse(new)
     if ast.dump(_without_docstrings(a)) == ast.dump(_without_docstrings(b)):
         return "unchanged"
-    bare = [ast.dump(_NoLogging().visit(ast.parse(x))) for x in (old, new)]
-    if bare[0] == bare[1]:
+    loggers = _loggers(a) & _loggers(b)
+    bare = [ast.dump(_NoLogging(loggers).visit(ast.parse(x))) for x in (old, new)]
+    if loggers and bare[0] == bare[1]:
         return "logging_only"
     names = [_private_names(a), _private_names(b)]
-    if len(names[0]) == len(names[1]):
+    if len(names[0]) == len(names[1]) and "dispatches" not in {*hazards_of(a.body), *hazards_of(b.body)}:
         renamed = {x: y for x, y in zip(*names, strict=True) if x != y}
-        taken = {x.id for x in ast.walk(a) if isinstance(x, ast.Name)} | {x.name for x in ast.walk(a) if isinstance(x, _DEFINITIONS)}
+        taken = _words(a.body) | {x.name for x in ast.walk(a) if isinstance(x, _DEFINITIONS)} | {x.arg for x in ast.walk(a) if isinstance(x, ast.arg)}
         if renamed and not taken & set(renamed.values()) and not any(isinstance(x, ast.Constant) and x.value in renamed for x in ast.walk(a)):
             for x in ast.walk(a):
                 if isinstance(x, ast.Name):
@@ -136,8 +225,12 @@ def change_of(old: str, new: str) -> str:
     return "code"
 
 
-def classify_sources(pairs: DataFrame) -> DataFrame:
-    """pairs (module, old, new) with change; sources that do not parse count as code."""
+def classify_sources(pairs: DataFrame, hazards: DataFrame) -> DataFrame:
+    """(module, change, refused) of pairs (module, old, new); sources that do not parse count as code.
+
+    Reachable code that spawns threads or processes defeats the proof of logging_only, and code that dispatches by
+    name that of private_rename; hazards (hazard) says so.
+    """
 
     def in_task(batches):
         for b in batches:
@@ -149,4 +242,5 @@ def classify_sources(pairs: DataFrame) -> DataFrame:
                     out.append("code")
             yield pd.DataFrame({"module": b["module"], "change": out})
 
-    return pairs.select("module", "old", "new").mapInPandas(in_task, "module string, change string")
+    changes = pairs.select("module", "old", "new").mapInPandas(in_task, "module string, change string")
+    return _refused(changes, hazards, {"logging_only": "spawns", "private_rename": "dispatches"})

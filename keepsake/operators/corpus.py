@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.functions.canon import FramedDigest, evidence_digest
+from keepsake.functions.canon import evidence_digest
 from keepsake.functions.scratch import cut
+from keepsake.operators.lineage import reachable
 
 METRICS = ("accuracy", "macro_f1")
 
@@ -31,15 +31,16 @@ def split_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
 
 
-def row_places(df: DataFrame, by: str, name: str = "place") -> DataFrame:
+def row_places(df: DataFrame, by: str | list[str], name: str = "place") -> DataFrame:
     """df with each row's place (from 1) in the order of by, without one global window.
 
     Rows are range-partitioned; a running sum over one count for each partition gives each its offset.
     """
-    ranged = cut(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    by = [by] if isinstance(by, str) else by
+    ranged = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
     return ranged.join(counts.select("_part", before.alias("_before")), "_part").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_part", "_before")
 
 
@@ -130,39 +131,81 @@ def probe_env(recorded: DataFrame, current: DataFrame, key: str, digest: str) ->
     return bad.select(*probe_row("P1", F.col("bad") == 0, F.col("n"), F.col("n"), F.col("bad").cast("string")))
 
 
+def probe_struct(old: DataFrame, new: DataFrame, entries: DataFrame, changed: DataFrame, escapes: DataFrame) -> DataFrame:
+    """One row: whether no changed unit (node) can be reached from the entry points in the old or the new graph (src, dst).
+
+    A reachable unit with an escape may reach anything, so then the probe fails. detail: counts of both.
+    """
+    reached = reachable(old, entries).select("node").unionByName(reachable(new, entries).select("node")).distinct()
+    hit = lambda rows, name: reached.join(rows.select("node").distinct(), "node", "left_semi").agg(F.count("node").alias(name))
+    counts = reached.agg(F.count("node").alias("n")).join(hit(changed, "changed")).join(hit(escapes, "escapes"))  # one row each
+    passed = (F.col("changed") == 0) & (F.col("escapes") == 0)
+    return counts.select(*probe_row("P2", passed, F.col("n"), F.col("n"), F.concat_ws(",", F.col("changed").cast("string"), F.col("escapes").cast("string"))))
+
+
 def probe_vectors(recorded: DataFrame, recomputed: DataFrame, id_col: str, vector_col: str, salt: str, k: int = 64) -> DataFrame:
     """One row: whether k sampled vectors are bit for bit the same; detail lists ids that differ or are missing."""
     sample = hash_select(recorded.select(id_col), id_col, salt, k)
-    bits = lambda c: F.transform(c, lambda x: F.hex(x.cast("float").cast("string")))
+    return _same_vectors("P3", recorded, recomputed, sample, id_col, vector_col, "float")
+
+
+def probe_scores(a: DataFrame, b: DataFrame, id_col: str, scores_col: str, salt: str, k: int = 128) -> DataFrame:
+    """One row: whether two models' scores (an array for each row) are bit for bit the same on k sampled rows."""
+    return _same_vectors("P4", a, b, hash_select(a.select(id_col), id_col, salt, k), id_col, scores_col, "double")
+
+
+def _same_vectors(probe: str, recorded: DataFrame, recomputed: DataFrame, sample: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
+    # a number's shortest text tells all its bits but those of NaN
+    bits = lambda c: F.transform(c, lambda x: F.hex(x.cast(kind).cast("string")))
     a, b = (x.select(id_col, bits(F.col(vector_col)).alias(n)) for x, n in ((recorded, "_a"), (recomputed, "_b")))
     both = F.broadcast(sample).join(a, id_col).join(b, id_col, "left")  # at most k rows
     out = both.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(~F.col("_a").eqNullSafe(F.col("_b")), F.col(id_col)))).alias("bad"))
     total = recorded.agg(F.count(F.lit(1)).alias("total"))
-    return out.join(total).select(*probe_row("P3", F.size("bad") == 0, F.col("total"), F.col("n"), F.array_join(F.col("bad").cast("array<string>"), ",")))
+    return out.join(total).select(*probe_row(probe, F.size("bad") == 0, F.col("total"), F.col("n"), F.array_join(F.col("bad").cast("array<string>"), ",")))
+
+
+#: Entries that are folded into one digest at a time.
+FOLDED = 4096
+
+
+def ordered_digest(rows: DataFrame, place: str, columns: list[str]) -> DataFrame:
+    """One row: a digest of each column's values (null: empty) in the order of place, which numbers them from 0.
+
+    Folded in blocks that places alone fix, level by level, so it is the same for every layout of the table
+    and no list is longer than FOLDED, up to FOLDED ** 4 rows.
+    """
+    def listed(c: str):
+        return F.to_json(F.struct(F.transform("_rows", lambda x: F.coalesce(x[c].cast("string"), F.lit(""))).alias("v")))
+
+    level = rows.select(F.col(place).alias("_at"), *columns)
+    for _ in range(4):
+        entries = F.array_sort(F.collect_list(F.struct("_at", *columns)))
+        grouped = level.groupBy(F.floor(F.col("_at") / FOLDED).cast("long").alias("_block")).agg(entries.alias("_rows"))
+        level = grouped.select(F.col("_block").alias("_at"), *[F.sha2(listed(c), 256).alias(c) for c in columns])
+    return level.drop("_at")
 
 
 def table_checksums(df: DataFrame, order_by: str, stride: int = 10) -> DataFrame:
-    """(rows, sampled, checksum): every stride-th row in the order of order_by, one digest for each column, folded by name."""
-    placed = row_places(df, order_by, "_place").where((F.col("_place") - 1) % stride == 0)
+    """(rows, sampled, checksum): every stride-th row in the order of order_by, one digest for each column, folded by name.
+
+    Only order_by and a hash of the row are ranked; what is sampled is then joined to its columns. Rows that share
+    order_by stand in the order of their hashes, so equal tables of any layout have equal checksums.
+    """
     names = sorted(df.columns)
-    per_row = placed.select("_place", *[F.sha2(F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")), 256).alias(c) for c in names])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, n, first = {c: FramedDigest("column", name=c) for c in names}, 0, None
-        for b in batches:
-            for c in names:
-                for x in b[c]:
-                    sums[c].add(x.encode())
-            first = int(b["_place"].iloc[0]) if first is None and len(b) else first
-            n += len(b)
-        if n:
-            yield pd.DataFrame([(first, n, ",".join(f"{c}={s.hex()}" for c, s in sums.items()))], columns=["first", "n", "digest"])
-
-    # two levels: a digest of each range of rows, then of their list in order
-    parts = per_row.repartitionByRange("_place").sortWithinPartitions("_place").mapInPandas(fold, "first long, n long, digest string")
+    texts = [F.sha2(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))), 256).alias(f"c{j}") for j, c in enumerate(names)]
+    keyed = df.select(F.col(f"`{order_by}`").alias("_by"), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(names)]))).alias("_row"), *texts)
+    placed = row_places(keyed.select("_by", "_row"), ["_by", "_row"], "_place").where((F.col("_place") - 1) % stride == 0)
+    placed = cut(placed.select("_by", "_row", F.floor((F.col("_place") - 1) / stride).alias("_place")))
+    wanted = placed.select("_by", "_row").distinct()
+    same = lambda x, y: x["_by"].eqNullSafe(y["_by"]) & (x["_row"] == y["_row"])
+    content = keyed.join(wanted, same(keyed, wanted), "left_semi").dropDuplicates(["_by", "_row"])
+    sampled = placed.join(content, same(placed, content)).select("_place", *[f"c{j}" for j in range(len(names))])
+    digests = ordered_digest(sampled, "_place", [f"c{j}" for j in range(len(names))])
+    checksum = F.sha2(F.concat_ws("|", *[x for j, c in enumerate(names) for x in (F.lit(c), F.col(f"c{j}"))]), 256)
     total = df.agg(F.count(F.lit(1)).alias("rows"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("first", "digest"))), lambda x: x["digest"])
-    return total.join(parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sampled"), F.sha2(F.concat_ws("|", listed), 256).alias("checksum")))
+    # one row each; an empty table has no digest
+    one = total.join(digests.select(checksum.alias("checksum")), F.lit(True), "left")
+    return one.select("rows", F.ceil(F.col("rows") / stride).alias("sampled"), F.coalesce("checksum", F.lit("")).alias("checksum"))
 
 
 def probe_table(a: DataFrame, b: DataFrame, order_by: str, stride: int = 10) -> DataFrame:

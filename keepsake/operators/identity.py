@@ -1,8 +1,8 @@
 """Fingerprints of configurations, code, environments, resources and work.
 
-A set's digest is the digest of the exact sum of its members' leading hash
-digits: order-free, computed by partial aggregation, and so without a list of
-all members in one row.
+A set's digest is the digest of the exact sums of four parts of its members'
+digests: order-free, computed by partial aggregation, and so without a list of all
+members in one row.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions.canon import digest_column, number_of
+from keepsake.functions.canon import digest_column, sum_digest
 
 
 def set_digest(df: DataFrame, by: list[str], label: str, *members: Column) -> DataFrame:
     """(by, digest) of the distinct members (tuples of columns) of each group."""
     rows = df.select(*by, digest_column(f"{label}-member", *members).alias("_m")).distinct()
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(number_of(F.col("_m"), 15)).alias("_s")).select(*by, digest_column(label, F.col("_n"), F.col("_s")).alias("digest"))
+    return rows.groupBy(*by).agg(sum_digest(label, F.col("_m")).alias("digest"))
 
 
 def config_fingerprint(reads: DataFrame) -> DataFrame:

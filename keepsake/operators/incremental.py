@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.functions.canon import FramedDigest, digest_column, number_of
+from keepsake.functions.canon import FramedDigest, digest_column, number_of, sum_digest
 
 BUCKETS = 64
 CHUNK_ROWS = 8
@@ -40,7 +40,7 @@ def bucketize(rows: DataFrame, id_col: str, buckets: int = BUCKETS) -> DataFrame
 
 def multiset_digests(rows: DataFrame, bucket: Column, row_text: Column) -> DataFrame:
     """(bucket, n_rows, digest): an order-free digest that partial aggregation computes, for buckets of any size."""
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(number_of(F.sha2(row_text, 256), 15)).alias("digest"))
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"), sum_digest("rows", F.sha2(row_text, 256)).alias("digest"))
 
 
 def slice_digests(bucketed: DataFrame, row_col: str) -> DataFrame:

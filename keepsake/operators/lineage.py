@@ -10,17 +10,32 @@ from keepsake.functions.scratch import cut
 KINDS = ["code", "config", "data", "upstream", "env"]
 
 
+#: Steps along edges that one round takes.
+HOPS = 4
+
+
 def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(node, depth) of nodes that roots (node) reach along edges (src, dst), by a frontier that shrinks to nothing."""
-    edges = edges.select("src", "dst").distinct()
+    """(node, depth) of nodes that roots (node) reach along edges (src, dst), by a frontier that shrinks to nothing.
+
+    Each round follows HOPS edges before it looks up what is known already, so a deep graph takes a
+    quarter of the rounds.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
     seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, most_rounds + 1):
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+    for start in range(0, most_rounds * HOPS, HOPS):
+        steps, at = None, frontier.where(F.col("depth") == start).select("node")
+        for hop in range(1, HOPS + 1):
+            at = edges.join(at.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+            here = at.withColumn("depth", F.lit(start + hop))
+            steps = here if steps is None else steps.unionByName(here)
+        new = steps.groupBy("node").agg(F.min("depth").alias("depth")).join(seen.select("node"), "node", "left_anti")
+        frontier = cut(new)
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier)) if depth % 10 == 0 else seen.unionByName(frontier)
+        seen = cut(seen.unionByName(frontier)) if start % (10 * HOPS) == 0 else seen.unionByName(frontier)
+        if frontier.where(F.col("depth") == start + HOPS).isEmpty():
+            return seen
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 
@@ -57,13 +72,36 @@ def latest_artifacts(artifacts: DataFrame) -> DataFrame:
     return artifacts.where("quarantined_at is null").groupBy("stage").agg(F.max_by("artifact_id", F.struct("created_at", "artifact_id")).alias("artifact_id"))
 
 
-def explain_artifacts(artifacts: DataFrame, inputs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Artifacts with the numbers of their inputs, direct dependants and citing decisions."""
+def explain_artifacts(artifacts: DataFrame, inputs: DataFrame, decisions: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """Artifacts with the numbers of their inputs, direct dependants, citing decisions and contradictions."""
     a = inputs.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_inputs"))
     b = inputs.where("kind = 'upstream'").groupBy(F.col("ref").alias("artifact_id")).agg(F.count_distinct("artifact_id").alias("n_downstream"))
     c = decisions.groupBy(F.col("candidate_artifact_id").alias("artifact_id")).agg(F.count(F.lit(1)).alias("n_decisions"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    return artifacts.join(a, "artifact_id", "left").join(b, "artifact_id", "left").join(c, "artifact_id", "left").select("artifact_id", "stage", zero("n_inputs"), zero("n_downstream"), zero("n_decisions"))
+    d = contradictions.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_contradictions"))
+    out = artifacts
+    for counts in (a, b, c, d):
+        out = out.join(counts, "artifact_id", "left")
+    return out.select("artifact_id", "stage", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_inputs", "n_downstream", "n_decisions", "n_contradictions")])
+
+
+def contradictions_for(contradictions: DataFrame, artifact_id: str) -> DataFrame:
+    """Contradictions of one artifact, newest first."""
+    return contradictions.where(F.col("artifact_id") == artifact_id).orderBy(F.col("created_at").desc(), F.col("contradiction_id").desc())
+
+
+def artifacts_by_id(artifacts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The artifacts that ids (artifact_id) name."""
+    return artifacts.join(ids.select("artifact_id").distinct(), "artifact_id", "left_semi")
+
+
+def inputs_by_id(inputs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges of the artifacts that ids name, each once."""
+    return inputs.join(ids.select("artifact_id").distinct(), "artifact_id", "left_semi").distinct()
+
+
+def derivations_by_blob(derivations: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Published derivations whose result is one of blobs (blob_digest): what a bad blob invalidates."""
+    return derivations.where("state = 'PUBLISHED'").join(blobs.select("blob_digest").distinct(), "blob_digest", "left_semi")
 
 
 def insert_absent(current: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -1,42 +1,75 @@
-"""Guarded ad-hoc queries: one read-only statement, with bounds on its result."""
+"""Guarded ad-hoc queries: Spark's own parser says what a statement is, and its result is bounded."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows without and with a limit of the statement's own, and bytes of a payload.
 DEFAULT_ROWS, MOST_ROWS, MOST_BYTES = 25, 200, 10 * 1024
-#: Words that a read-only statement does not hold.
-FORBIDDEN = ["insert", "update", "delete", "drop", "alter", "create", "grant", "revoke", "truncate", "upsert", "merge", "copy", "set", "begin", "commit", "rollback", "cache", "refresh"]
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+#: Plans that do something instead of reading, and functions that run code of the JVM.
+_ACTS = ["Command", "ParsedStatement", "InsertIntoStatement", "CompoundPlanStatement"]
+_RUNS_CODE = {"reflect", "java_method", "try_reflect"}
 
 
 class Refused(ValueError):
     """The statement is not allowed."""
 
 
-def checked(sql: str) -> str:
-    """The statement without a final semicolon; raises Refused unless it is a single SELECT or WITH without forbidden words."""
-    text = sql.strip().rstrip(";").strip()
-    if not text or ";" in text:
-        raise Refused("exactly one statement is allowed")
-    if not re.match(r"(select|with)\b", text, re.IGNORECASE):
-        raise Refused("only SELECT or WITH is allowed")
-    if word := re.search(rf"\b({'|'.join(FORBIDDEN)})\b", text, re.IGNORECASE):
-        raise Refused(f"{word[0].lower()} is not allowed")
-    return text
+def _items(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _plans(node) -> Iterator:
+    """A parsed plan's nodes, with those of its common tables and subqueries."""
+    yield node
+    for child in (*_items(node.children()), *_items(node.innerChildren())):
+        if hasattr(child, "expressions"):
+            yield from _plans(child)
+    for e in _items(node.expressions()):
+        for x in _expressions(e):
+            if "Subquery" in x.getClass().getSimpleName() or x.getClass().getSimpleName() in ("Exists", "ListQuery"):
+                yield from _plans(x.plan())
+
+
+def _expressions(e) -> Iterator:
+    yield e
+    for child in _items(e.children()):
+        yield from _expressions(child)
+
+
+def parsed(spark: SparkSession, sql: str):
+    """The statement's plan; raises Refused unless it is a single one that only reads."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise Refused(f"not a single statement: {e.getCondition()}") from None
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    kinds = [loader.loadClass(_PLANS + name) for name in _ACTS]
+    for node in _plans(plan):
+        name = node.getClass().getSimpleName()
+        if any(kind.isInstance(node) for kind in kinds):
+            raise Refused(f"{name} is more than a query")
+        for e in _items(node.expressions()):
+            for x in _expressions(e):
+                if x.getClass().getSimpleName() == "UnresolvedFunction" and x.nameParts().mkString(".").lower() in _RUNS_CODE:
+                    raise Refused("functions that run other code are not allowed")
+    return plan
 
 
 def safe_select(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    """The statement's first rows: 25 unless it has a limit of its own, 200 at most."""
-    text = checked(sql)
-    limited = re.search(r"\blimit\s+\d+\s*$", text, re.IGNORECASE)
-    return spark.sql(text, **tables).limit(MOST_ROWS if limited else DEFAULT_ROWS)
+    """The first rows of a query on tables, which it names in {braces}: 25 unless it has a limit of its own, 200 at most."""
+    views = {name: f"_guarded_{name}" for name in tables}
+    plan = parsed(spark, sql.format(**views))
+    return spark.sql(sql, **tables).limit(MOST_ROWS if plan.getClass().getSimpleName() == "GlobalLimit" else DEFAULT_ROWS)
 
 
 def payload(df: DataFrame) -> tuple[str, bool]:
-    """(JSON array of a bounded result, whether it was cut at 10 KiB)."""
-    text = "[" + ",".join(r[0] for r in df.select(F.to_json(F.struct("*"))).collect()) + "]"
-    data = text.encode()
-    return (text, False) if len(data) <= MOST_BYTES else (data[:MOST_BYTES].decode(errors="ignore"), True)
+    """(JSON array of the first rows, whether it was cut at 10 KiB); no more than that leaves an executor for a row."""
+    rows = [r[0] for r in df.limit(MOST_ROWS).select(F.substring(F.to_json(F.struct("*")), 1, MOST_BYTES)).collect()]
+    data = ("[" + ",".join(rows) + "]").encode()
+    return (data.decode(), False) if len(data) <= MOST_BYTES else (data[:MOST_BYTES].decode(errors="ignore"), True)

@@ -111,3 +111,82 @@ def g21_audit_races(commits):
 FROM (SELECT work_key, count(*) AS n_chunks, cast(max(epoch(created_at)) - min(epoch(created_at)) AS bigint) AS window_s FROM {fragments} GROUP BY 1)""")
 def g22_chunk_timing(fragments):
     return op.chunk_timing(fragments, F.unix_seconds(F.col("created_at").cast("timestamp")))
+
+
+@R.query("claims", sql="""WITH b AS (SELECT work_key, fence, state, work_key % 3 AS m FROM {claims})
+SELECT work_key, CASE WHEN m = 0 THEN 'PUBLISHED' ELSE 'RUNNING' END AS gen_state, CASE WHEN m = 0 AND state IN ('CLAIMED', 'RUNNING') THEN 'SUCCEEDED' ELSE state END AS state, CASE WHEN m = 0 THEN 'COMPLETED' ELSE 'LIVE' END AS sub_state,
+  CASE WHEN m = 0 THEN CASE WHEN work_key % 2 = 0 THEN 'REUSE' ELSE 'RECOMPUTE' END END AS action, CASE WHEN m = 0 AND work_key % 2 = 0 THEN 'probe' END AS authorized_by, CASE WHEN m = 0 THEN 2 ELSE 0 END AS n_edges FROM b""")
+def g8_apply_publications(claims):
+    k = F.col("work_key")
+    published = claims.where(k % 3 == 0).select("work_key", k.alias("request_id"), F.lit(1).alias("generation"), k.alias("derivation_id"), F.lit("op").alias("operation_id"), "owner_id", "fence", k.alias("observation_id"), F.lit("probe").alias("authority"))
+    generations = claims.select("work_key", F.lit(1).alias("generation"), F.lit("RUNNING").alias("gen_state"), F.lit(None).cast("bigint").alias("derivation_id"), F.lit(None).cast("string").alias("current_operation"))
+    subscribers = claims.select("work_key", F.lit(1).alias("generation"), k.alias("subscriber_id"), F.lit("LIVE").alias("state"))
+    leaves = claims.select(k.alias("request_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("ordinal")).withColumn("child_id", F.col("request_id") * 10 + F.col("ordinal"))
+    observations = claims.select(k.alias("observation_id"), F.when(k % 2 == 0, "VALIDATED").otherwise("CANDIDATE").alias("lifecycle"))
+    out = op.apply_publications(published, generations, claims, subscribers, leaves, observations)
+    edges = out["edges"].groupBy(F.col("parent_id").alias("work_key")).agg(F.count("child_id").alias("n_edges"))
+    rows = out["generations"].select("work_key", "gen_state").join(out["claims"].select("work_key", "state"), "work_key").join(out["subscribers"].select("work_key", F.col("state").alias("sub_state")), "work_key")
+    rows = rows.join(out["decisions"].select("work_key", "action", "authorized_by"), "work_key", "left").join(edges, "work_key", "left")
+    return rows.withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+_SEEN = "(SELECT work_key AS observation_id, owner_id AS semantic_key, CASE WHEN state = 'RUNNING' THEN 'CANDIDATE' WHEN state = 'SUCCEEDED' THEN 'VALIDATED' ELSE 'INCOMPLETE' END AS lifecycle, claimed_at AS created_at FROM {claims})"
+
+
+def _seen(claims):
+    lifecycle = F.when(F.col("state") == "RUNNING", "CANDIDATE").when(F.col("state") == "SUCCEEDED", "VALIDATED").otherwise("INCOMPLETE")
+    return claims.select(F.col("work_key").alias("observation_id"), F.col("owner_id").alias("semantic_key"), lifecycle.alias("lifecycle"), F.col("claimed_at").alias("created_at"))
+
+
+@R.query("claims", sql=f"SELECT semantic_key, observation_id FROM {_SEEN} WHERE lifecycle = 'CANDIDATE' QUALIFY row_number() OVER (PARTITION BY semantic_key ORDER BY created_at DESC, observation_id DESC) = 1")
+def g11_candidate_observation(claims):
+    return op.candidate_observation(_seen(claims)).select("semantic_key", "observation_id")
+
+
+@R.query("claims", sql=f"SELECT lifecycle, count(*) AS n FROM (SELECT CASE WHEN observation_id % 7 = 0 AND lifecycle IN ('CANDIDATE', 'VALIDATED') THEN 'SUPERSEDED' WHEN observation_id % 5 = 0 AND lifecycle = 'CANDIDATE' THEN 'VALIDATED' ELSE lifecycle END AS lifecycle FROM {_SEEN}) GROUP BY 1")
+def g12_promote_supersede(claims):
+    seen = _seen(claims)
+    promoted = op.promote(seen, seen.where("observation_id % 5 = 0"))
+    return op.supersede(promoted, seen.where("observation_id % 7 = 0")).groupBy("lifecycle").agg(F.count("observation_id").alias("n"))
+
+
+_REVISIONS = "(SELECT k AS rule_id, r AS revision, CASE WHEN r < 1 + k % 2 THEN 'SUPERSEDED' WHEN k % 6 < 3 THEN 'TIGHTENED' ELSE 'ACTIVE' END AS rule_state, CASE k % 3 WHEN 0 THEN 'probe' WHEN 1 THEN 'recompute' ELSE 'identity' END AS required_authority FROM {artifacts} CROSS JOIN range(1, 3) t(r) WHERE r <= 1 + k % 2)"
+
+
+def _authority(artifacts):
+    k, r = F.col("k"), F.col("revision")
+    state = F.when(r < 1 + k % 2, "SUPERSEDED").when(k % 6 < 3, "TIGHTENED").otherwise("ACTIVE")
+    needs = F.when(k % 3 == 0, "probe").when(k % 3 == 1, "recompute").otherwise("identity")
+    revisions = artifacts.select("k", F.explode(F.sequence(F.lit(1), (1 + k % 2).cast("int"))).alias("revision")).select(k.alias("rule_id"), "revision", state.alias("rule_state"), needs.alias("required_authority"))
+    return op.rule_authority(artifacts.select(k.alias("rule_id"), (1 + k % 2).cast("int").alias("current_revision")), revisions)
+
+
+@R.query("artifacts", sql=f"SELECT rule_id, revision, rule_state, required_authority FROM {_REVISIONS} WHERE revision = 1 + rule_id % 2")
+def g16_rule_authority(artifacts):
+    return _authority(artifacts)
+
+
+@R.query("artifacts", sql=f"""WITH live AS (SELECT * FROM {_REVISIONS} WHERE revision = 1 + rule_id % 2),
+d AS (SELECT a.k AS work_key, CASE WHEN a.k % 5 <> 0 THEN a.k END AS rule_id, a.k % 4 <> 0 AS q FROM {{artifacts}} a)
+SELECT work_key, CASE WHEN NOT q THEN NULL WHEN d.rule_id IS NULL THEN 'quarantined, by no rule' WHEN revision <> 1 THEN concat('rule ', cast(d.rule_id AS varchar), ' was tightened to revision ', cast(revision AS varchar), ' and requires ', required_authority)
+  WHEN rule_state IN ('DISABLED', 'TIGHTENED') AND required_authority IN ('probe', 'recompute') THEN concat('rule ', cast(d.rule_id AS varchar), ' requires ', required_authority) ELSE 'quarantined, after a contradiction' END AS reason FROM d LEFT JOIN live USING (rule_id)""")
+def g17_refusal_reason(artifacts):
+    k = F.col("k")
+    newest = artifacts.select(k.alias("derivation_id"), k.alias("work_key"), F.when(k % 5 != 0, k).alias("rule_id"), F.lit(1).alias("rule_revision"), F.when(k % 8 == 1, "QUARANTINED").otherwise("PUBLISHED").alias("state"), ((k % 4 != 0) & (k % 8 != 1)).alias("quarantined"), F.lit(2).alias("created_at"))
+    older = newest.withColumn("created_at", F.lit(1)).withColumn("quarantined", F.lit(True))
+    return op.refusal_reason(artifacts.select(k.alias("work_key")), newest.unionByName(older), _authority(artifacts))
+
+
+@R.query("fragments", sql="""WITH s AS (SELECT work_key, fragment_index AS subscriber_id, CASE WHEN part % 5 = 0 THEN 'DETACHED' ELSE 'LIVE' END AS state FROM {fragments}), r AS (SELECT work_key, subscriber_id FROM s WHERE subscriber_id <= 3 UNION SELECT work_key, 99 FROM s WHERE work_key % 9 = 0),
+l AS (SELECT work_key, count(*) AS n FROM s WHERE state = 'LIVE' AND subscriber_id > 3 GROUP BY 1)
+SELECT work_key, subscriber_id, CASE WHEN state IS NULL THEN 'NOT_FOUND' WHEN state <> 'LIVE' THEN 'ALREADY_DETACHED' WHEN n IS NULL THEN 'LAST_INTEREST' ELSE 'DETACHED' END AS outcome FROM r LEFT JOIN s USING (work_key, subscriber_id) LEFT JOIN l USING (work_key)""")
+def g19_detach(fragments):
+    subscribers = fragments.select("work_key", F.col("fragment_index").alias("subscriber_id"), F.when(F.col("part") % 5 == 0, "DETACHED").otherwise("LIVE").alias("state"))
+    requests = subscribers.where("subscriber_id <= 3").select("work_key", "subscriber_id").unionByName(subscribers.where("work_key % 9 = 0").select("work_key", F.lit(99).cast(subscribers.schema["subscriber_id"].dataType).alias("subscriber_id")))
+    return op.detach(subscribers, requests, ["work_key"])[1]
+
+
+@R.query("commits", sql="SELECT blob AS blob_digest, blob * 10 AS size FROM (SELECT DISTINCT blob FROM {commits}) WHERE blob % 4 <> 0 AND blob IN (SELECT blob FROM {commits} WHERE attempt > 1)")
+def g23_valid_blobs(commits):
+    blobs = commits.select(F.col("blob").alias("blob_digest")).distinct().select("blob_digest", (F.col("blob_digest") * 10).alias("size"), F.when(F.col("blob_digest") % 4 == 0, "INVALID").otherwise("VALID").alias("blob_state"))
+    return op.valid_blobs(blobs, commits.where("attempt > 1").select(F.col("blob").alias("blob_digest"))).select("blob_digest", "size")

@@ -66,11 +66,30 @@ def c1_hash_select(docs):
     return op.hash_select(docs, "doc_id", "salt", 64).select("doc_id")
 
 
-@R.query("artifacts", sql="SELECT 'P1' AS probe_type, false AS passed, count(*) AS population_size, cast(count(*) FILTER (k % 9 = 0) AS varchar) AS detail FROM {artifacts}")
+@R.query("artifacts", sql="""WITH c AS (SELECT 'some' AS other, count(*) AS n, count(*) FILTER (stage IS DISTINCT FROM CASE WHEN k % 9 <> 0 THEN stage END) AS bad FROM {artifacts} UNION ALL SELECT 'none', count(*), count(*) FILTER (stage IS DISTINCT FROM stage) FROM {artifacts})
+SELECT other, 'P1' AS probe_type, bad = 0 AS passed, n AS population_size, cast(bad AS varchar) AS detail FROM c""")
 def c2_probe_env(artifacts):
     a = artifacts.select("artifact_id", F.col("stage").alias("env"))
     b = artifacts.select("artifact_id", F.when(F.col("k") % 9 != 0, F.col("stage")).alias("env"))
-    return op.probe_env(a, b, "artifact_id", "env").select("probe_type", "passed", "population_size", "detail")
+    compared = lambda x, name: op.probe_env(a, x, "artifact_id", "env").select(F.lit(name).alias("other"), "probe_type", "passed", "population_size", "detail")
+    return compared(b, "some").unionByName(compared(a, "none"))
+
+
+_SUBTREE = """WITH RECURSIVE olds(node) AS (SELECT 'a1' UNION SELECT artifact_id FROM olds JOIN {artifact_inputs} ON ref = node),
+news(node) AS (SELECT 'a1' UNION SELECT artifact_id FROM news JOIN (SELECT * FROM {artifact_inputs} WHERE cast(substr(artifact_id, 2) AS bigint) % 5 <> 3) e ON ref = node),
+reached AS (SELECT node, cast(substr(node, 2) AS bigint) AS k FROM (SELECT node FROM olds UNION SELECT node FROM news)) """
+
+
+@R.query("artifact_inputs", "artifacts", sql=_SUBTREE + """, c AS (SELECT 'inside' AS change, count(*) AS n, count(*) FILTER (k % 7 = 1) AS changed, count(*) FILTER (k % 173 = 172) AS escapes FROM reached
+UNION ALL SELECT 'outside', count(*), count(*) FILTER (k IN (2, 5, 6)), 0 FROM reached)
+SELECT change, 'P2' AS probe_type, changed = 0 AND escapes = 0 AS passed, n AS population_size, concat(cast(changed AS varchar), ',', cast(escapes AS varchar)) AS detail FROM c""")
+def c3_probe_struct(inputs, artifacts):
+    old = inputs.select(F.col("ref").alias("src"), F.col("artifact_id").alias("dst"))
+    new = old.where(F.substring("dst", 2, 20).cast("bigint") % 5 != 3)
+    units = artifacts.select(F.col("artifact_id").alias("node"), "k")
+    entry = units.where("k = 1").select("node")
+    probe = lambda changed, escapes, name: op.probe_struct(old, new, entry, changed, escapes).select(F.lit(name).alias("change"), "probe_type", "passed", "population_size", "detail")
+    return probe(units.where("k % 7 = 1"), units.where("k % 173 = 172"), "inside").unionByName(probe(units.where("k in (2, 5, 6)"), units.where("k < 0"), "outside"))
 
 
 @R.query("embeddings", sql="""WITH s AS (SELECT vec_id FROM {embeddings} ORDER BY sha256(concat('p3:', cast(vec_id AS string))), vec_id LIMIT 64)
@@ -80,14 +99,35 @@ def c4_probe_vectors(embeddings):
     return op.probe_vectors(embeddings, other, "vec_id", "embedding", "p3").select("sample_size", "passed", "detail")
 
 
-@R.query("documents", "mutated", sql="SELECT 'P5' AS probe_type, false AS passed, count(*) AS population_size, (count(*) + 9) // 10 AS sample_size, 'rows' AS detail FROM {documents}")
+@R.query("embeddings", sql="""WITH s AS (SELECT vec_id FROM {embeddings} ORDER BY sha256(concat('p4:', cast(vec_id AS string))), vec_id LIMIT 128)
+SELECT 'some' AS other, count(*) AS sample_size, count(*) FILTER (vec_id % 11 = 0) = 0 AS passed, coalesce(string_agg(cast(vec_id AS varchar), ',' ORDER BY vec_id) FILTER (vec_id % 11 = 0), '') AS detail FROM s
+UNION ALL SELECT 'none', count(*), true, '' FROM s""")
+def c5_probe_scores(embeddings):
+    a = embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 0.5).alias("logits"))
+    b = a.withColumn("logits", F.when(F.col("vec_id") % 11 == 0, F.transform("logits", lambda x: x + 1e-12)).otherwise(F.col("logits")))
+    compared = lambda x, name: op.probe_scores(a, x, "vec_id", "logits", "p4").select(F.lit(name).alias("other"), "sample_size", "passed", "detail")
+    return compared(b, "some").unionByName(compared(a.repartition(3), "none"))
+
+
+_PLACED = "SELECT *, row_number() OVER (ORDER BY doc_id) AS p FROM"
+
+
+@R.query("documents", "mutated", sql=f"""WITH a AS ({_PLACED} {{documents}}), b AS ({_PLACED} {{mutated}}), c AS ({_PLACED} (SELECT doc_id, CASE WHEN doc_id = 20 THEN 'other' ELSE text END AS text, lang, source, n_chars FROM {{documents}}) x),
+pairs AS (SELECT 'rows' AS other, (SELECT count(*) FROM b) AS m, (SELECT count(*) FROM (SELECT * FROM a WHERE p % 10 = 1 EXCEPT SELECT * FROM b)) AS d UNION ALL SELECT 'same', (SELECT count(*) FROM a), (SELECT count(*) FROM (SELECT * FROM a WHERE p % 10 = 1 EXCEPT SELECT * FROM a)) UNION ALL SELECT 'text', (SELECT count(*) FROM c), (SELECT count(*) FROM (SELECT * FROM a WHERE p % 10 = 1 EXCEPT SELECT * FROM c)))
+SELECT other, 'P5' AS probe_type, n = m AND d = 0 AS passed, n AS population_size, (n + 9) // 10 AS sample_size, CASE WHEN n <> m THEN 'rows' WHEN d > 0 THEN 'checksum' ELSE '' END AS detail FROM pairs, (SELECT count(*) AS n FROM a) t""")
 def c6_probe_table(docs, mutated):
-    return op.probe_table(docs, mutated, "doc_id").select("probe_type", "passed", "population_size", "sample_size", "detail")
+    text = docs.withColumn("text", F.when(F.col("doc_id") == 20, "other").otherwise(F.col("text")))
+    compared = lambda x, name: op.probe_table(docs, x, "doc_id").select(F.lit(name).alias("other"), "probe_type", "passed", "population_size", "sample_size", "detail")
+    return compared(mutated, "rows").unionByName(compared(docs.repartition(23), "same")).unionByName(compared(text, "text"))
 
 
-@R.query("scores", sql="SELECT 'P6' AS probe_type, true AS passed, least(count(*), 200) AS sample_size, 'accuracy,macro_f1' AS detail FROM {scores}")
+@R.query("scores", sql="""WITH picked AS (SELECT * FROM {scores} ORDER BY sha256(concat('eval_slice:accuracy,macro_f1:', cast(vec_id AS string))), vec_id LIMIT 200),
+x AS (SELECT count(*) AS n, count(*) FILTER (y = yhat) AS a, count(*) FILTER (y = CASE WHEN vec_id % 13 = 0 THEN (yhat + 3) % 10 ELSE yhat END) AS b FROM picked)
+SELECT 'other' AS other, 'P6' AS probe_type, a = b AS passed, n AS sample_size, 'accuracy,macro_f1' AS detail FROM x UNION ALL SELECT 'same', 'P6', a = a, n, 'accuracy,macro_f1' FROM x""")
 def c7_probe_metrics(scores):
-    return op.probe_metrics(scores, scores, "vec_id").select("probe_type", "passed", "sample_size", "detail")
+    other = scores.withColumn("yhat", F.when(F.col("vec_id") % 13 == 0, (F.col("yhat") + 3) % 10).otherwise(F.col("yhat")))
+    compared = lambda x, name: op.probe_metrics(scores, x, "vec_id").select(F.lit(name).alias("other"), "probe_type", "passed", "sample_size", "detail")
+    return compared(other, "other").unionByName(compared(scores.repartition(3), "same"))
 
 
 @R.query("decisions", sql="SELECT decision_id, sha256(concat(stage, chr(31), action, chr(31), cast(latency_ms AS string))) AS digest FROM {decisions}")

@@ -3,18 +3,14 @@
 from pyspark.sql import functions as F
 
 from keepsake.operators import identity as op
-from keepsake.queries.registry import Registry
+from keepsake.queries.registry import Registry, framed, summed
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
 
-def _framed(label, *parts):
-    return f"sha256(concat('keepsake/{label}/v1|', " + ", '|', ".join(f"CASE WHEN {p} IS NULL THEN '-' ELSE concat(cast(length(cast({p} AS string)) AS string), ':', cast({p} AS string)) END" for p in parts) + "))"
-
-
 def _set(table, by, label, *members):
-    return f"SELECT {by}, {_framed(label, 'n', 's')} AS digest FROM (SELECT {by}, count(*) AS n, sum(cast(cast(concat('0x', substr(m, 1, 15)) AS ubigint) AS hugeint)) AS s FROM (SELECT DISTINCT {by}, {_framed(label + '-member', *members)} AS m FROM {table}) GROUP BY {by})"
+    return f"SELECT {by}, {summed(label, 'm')} AS digest FROM (SELECT DISTINCT {by}, {framed(label + '-member', *members)} AS m FROM {table}) GROUP BY {by}"
 
 
 @R.query("decisions", sql=_set("(SELECT stage, action AS key, verdict AS value FROM {decisions})", "stage", "config", "key", "value"))
@@ -27,7 +23,7 @@ def d2_code_fingerprint(artifacts):
     return op.code_fingerprint(artifacts.select("stage", F.col("artifact_id").alias("unit_id"), F.col("size_bytes").alias("unit_digest")))
 
 
-@R.query("artifacts", "artifact_inputs", sql="WITH ups AS (" + _set("(SELECT artifact_id AS stage, ref AS up FROM {artifact_inputs})", "stage", "upstream", "up") + f") SELECT artifact_id AS stage, {_framed('work', 'artifact_id', 'size_bytes', 'duration_ms', 'k', 'digest')} AS work_key, false AS provisional FROM {{artifacts}} LEFT JOIN ups ON artifact_id = ups.stage")
+@R.query("artifacts", "artifact_inputs", sql="WITH ups AS (" + _set("(SELECT artifact_id AS stage, ref AS up FROM {artifact_inputs})", "stage", "upstream", "up") + f") SELECT artifact_id AS stage, {framed('work', 'artifact_id', 'size_bytes', 'duration_ms', 'k', 'digest')} AS work_key, false AS provisional FROM {{artifacts}} LEFT JOIN ups ON artifact_id = ups.stage")
 def d4_work_keys(artifacts, inputs):
     stages = artifacts.select(F.col("artifact_id").alias("stage"), F.col("size_bytes").alias("config"), F.col("duration_ms").alias("code"), F.col("k").alias("env"))
     upstream = inputs.select(F.col("artifact_id").alias("stage"), F.col("ref").alias("artifact_id"), F.lit(None).cast("string").alias("planned_key"))
@@ -40,6 +36,6 @@ def d8_resource_set_digest(fragments):
     return op.resource_set_digest(rows, ["read"])
 
 
-@R.query("claims", sql=f"SELECT work_key, CASE WHEN fence >= 1 THEN {_framed('claim', 'stage', 'work_key', 'fence')} END AS claim_key FROM {{claims}}")
+@R.query("claims", sql=f"SELECT work_key, CASE WHEN fence >= 1 THEN {framed('claim', 'stage', 'work_key', 'fence')} END AS claim_key FROM {{claims}}")
 def d10_claim_key(claims):
     return claims.select("work_key", op.claim_key(F.col("stage"), F.col("work_key"), F.col("fence")).alias("claim_key"))

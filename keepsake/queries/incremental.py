@@ -4,17 +4,16 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.canon import canonical_json
 from keepsake.operators import incremental as op
-from keepsake.queries.registry import Registry
+from keepsake.queries.registry import Registry, framed, summed
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 _HEX = "cast(concat('0x', substr(sha256({0}), 1, {1})) AS ubigint)"
 _BUCKET = "cast(" + _HEX.format("cast(doc_id AS string)", 16) + " % 64 AS integer)"
-_DIGESTS = "SELECT {bucket} AS bucket, count(*) AS n_rows, sum(cast({hex} AS hugeint)) AS digest FROM {{{table}}} GROUP BY 1"
 
 
 def _digests(table):
-    return _DIGESTS.format(bucket=_BUCKET, hex=_HEX.format("concat(cast(doc_id AS string), ':', text)", 15), table=table)
+    return f"SELECT {_BUCKET} AS bucket, count(*) AS n_rows, {summed('rows', 'm')} AS digest FROM (SELECT doc_id, sha256(concat(cast(doc_id AS string), ':', text)) AS m FROM {{{table}}}) GROUP BY 1"
 
 
 def _row():
@@ -101,7 +100,7 @@ def a13_verify_bijection(docs, mutated):
     return op.verify_bijection(docs, mutated.select("doc_id").unionByName(docs.where("doc_id % 50 = 3").select("doc_id")), "doc_id")
 
 
-@R.query("documents")
+@R.query("documents", sql="WITH leaves AS (" + _digests("documents") + f"), whole AS (SELECT count(*) = 64 AND min(bucket) = 0 AND max(bucket) = 63 AS complete, string_agg(concat(cast(bucket AS string), ':', digest), ',' ORDER BY bucket) AS listed FROM leaves) SELECT complete, CASE WHEN complete THEN {framed('root', 'listed')} END AS root FROM whole")
 def a14_merkle_root(docs):
     return op.merkle_root(_leaves(docs), op.BUCKETS, "digest")
 
@@ -117,6 +116,10 @@ def a16_changed_buckets(docs, mutated):
     return op.changed_buckets(_leaves(docs), _leaves(mutated))
 
 
-@R.query("documents", "mutated", sql="SELECT (SELECT count(*) FROM (SELECT doc_id, text FROM {documents} EXCEPT ALL SELECT doc_id, text FROM {mutated})) AS only_a, (SELECT count(*) FROM (SELECT doc_id, text FROM {mutated} EXCEPT ALL SELECT doc_id, text FROM {documents})) AS only_b, false AS equal")
+@R.query("documents", "mutated", sql="""WITH c AS (SELECT 'mutated' AS other, (SELECT count(*) FROM (SELECT doc_id, text FROM {documents} EXCEPT ALL SELECT doc_id, text FROM {mutated})) AS only_a, (SELECT count(*) FROM (SELECT doc_id, text FROM {mutated} EXCEPT ALL SELECT doc_id, text FROM {documents})) AS only_b
+UNION ALL SELECT 'itself', (SELECT count(*) FROM (SELECT doc_id, text FROM {documents} EXCEPT ALL SELECT doc_id, text FROM {documents})), (SELECT count(*) FROM (SELECT doc_id, text FROM {documents} EXCEPT ALL SELECT doc_id, text FROM {documents})))
+SELECT other, only_a, only_b, only_a = 0 AND only_b = 0 AS equal FROM c""")
 def a17_datasets_equal(docs, mutated):
-    return op.datasets_equal(docs.select("doc_id", "text"), mutated.select("doc_id", "text"))
+    rows = docs.select("doc_id", "text")
+    compared = lambda other, name: op.datasets_equal(rows, other.select("doc_id", "text")).withColumn("other", F.lit(name))
+    return compared(mutated, "mutated").unionByName(compared(docs.repartition(5), "itself"))

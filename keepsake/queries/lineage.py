@@ -1,5 +1,6 @@
 """Queries of the lineage graph."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake.operators import lineage as op
@@ -51,11 +52,37 @@ def e6_latest_artifacts(artifacts):
     return op.latest_artifacts(artifacts.withColumn("quarantined_at", F.when(F.col("k") % 10 == 3, 5)))
 
 
-@R.query("artifacts", "artifact_inputs", "decisions", sql="""SELECT artifact_id, stage, coalesce(a.n, 0) AS n_inputs, coalesce(b.n, 0) AS n_downstream, coalesce(c.n, 0) AS n_decisions FROM {artifacts}
-LEFT JOIN (SELECT artifact_id, count(*) AS n FROM {artifact_inputs} GROUP BY 1) a USING (artifact_id) LEFT JOIN (SELECT ref AS artifact_id, count(DISTINCT artifact_id) AS n FROM {artifact_inputs} GROUP BY 1) b USING (artifact_id)
-LEFT JOIN (SELECT candidate_artifact_id AS artifact_id, count(*) AS n FROM {decisions} GROUP BY 1) c USING (artifact_id)""")
+_CONTRADICTIONS = "(SELECT decision_id AS contradiction_id, candidate_artifact_id AS artifact_id, latency_ms AS created_at FROM {decisions} WHERE decision_id % 7 = 0 AND candidate_artifact_id IS NOT NULL)"
+
+
+def _contradictions(decisions):
+    return decisions.where("decision_id % 7 = 0 and candidate_artifact_id is not null").select(F.col("decision_id").alias("contradiction_id"), F.col("candidate_artifact_id").alias("artifact_id"), F.col("latency_ms").alias("created_at"))
+
+
+@R.query("artifacts", "artifact_inputs", "decisions", sql=f"""SELECT artifact_id, stage, coalesce(a.n, 0) AS n_inputs, coalesce(b.n, 0) AS n_downstream, coalesce(c.n, 0) AS n_decisions, coalesce(d.n, 0) AS n_contradictions FROM {{artifacts}}
+LEFT JOIN (SELECT artifact_id, count(*) AS n FROM {{artifact_inputs}} GROUP BY 1) a USING (artifact_id) LEFT JOIN (SELECT ref AS artifact_id, count(DISTINCT artifact_id) AS n FROM {{artifact_inputs}} GROUP BY 1) b USING (artifact_id)
+LEFT JOIN (SELECT candidate_artifact_id AS artifact_id, count(*) AS n FROM {{decisions}} GROUP BY 1) c USING (artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS n FROM {_CONTRADICTIONS} GROUP BY 1) d USING (artifact_id)""")
 def e8_explain_artifacts(artifacts, inputs, decisions):
-    return op.explain_artifacts(artifacts, inputs, decisions)
+    return op.explain_artifacts(artifacts, inputs, decisions, _contradictions(decisions))
+
+
+@R.query("decisions", sql=f"SELECT contradiction_id, created_at, row_number() OVER (ORDER BY created_at DESC, contradiction_id DESC) AS place FROM {_CONTRADICTIONS} WHERE artifact_id = 'a7'")
+def e5_contradictions(decisions):
+    newest_first = op.contradictions_for(_contradictions(decisions), "a7")
+    return newest_first.select("contradiction_id", "created_at", F.row_number().over(Window.orderBy(F.col("created_at").desc(), F.col("contradiction_id").desc())).alias("place"))  # one artifact's
+
+
+@R.query("artifacts", "artifact_inputs", "decisions", sql="SELECT a.artifact_id, a.size_bytes, i.ref, i.digest FROM {artifacts} a LEFT JOIN (SELECT DISTINCT artifact_id, ref, digest FROM {artifact_inputs}) i USING (artifact_id) WHERE a.artifact_id IN (SELECT candidate_artifact_id FROM {decisions} WHERE action = 'REUSE')")
+def e7_artifacts_by_id(artifacts, inputs, decisions):
+    ids = decisions.where("action = 'REUSE'").select(F.col("candidate_artifact_id").alias("artifact_id"))
+    edges = op.inputs_by_id(inputs, ids).select("artifact_id", "ref", "digest")
+    return op.artifacts_by_id(artifacts, ids).select("artifact_id", "size_bytes").join(edges, "artifact_id", "left")
+
+
+@R.query("commits", sql="SELECT work_key, chunk, blob AS blob_digest FROM {commits} WHERE attempt = 1 AND work_key % 3 <> 0 AND blob IN (SELECT blob FROM {commits} WHERE input % 50 = 7)")
+def e11_derivations_by_blob(commits):
+    derivations = commits.where("attempt = 1").select("work_key", "chunk", F.col("blob").alias("blob_digest"), F.when(F.col("work_key") % 3 != 0, "PUBLISHED").otherwise("CANDIDATE").alias("state"))
+    return op.derivations_by_blob(derivations, commits.where("input % 50 = 7").select(F.col("blob").alias("blob_digest"))).select("work_key", "chunk", "blob_digest")
 
 
 @R.query("fragments", "commits", sql="""SELECT work_key, chunk, input FROM (SELECT work_key, fragment_index AS chunk, part AS input FROM {fragments} WHERE work_key % 2 = 0 UNION ALL SELECT work_key, chunk, input FROM {commits} WHERE work_key % 2 = 1 AND attempt = 1)""")

@@ -151,6 +151,20 @@ def test_probes(spark):
     assert corpus.probe_table(t, t.withColumn("x", F.when(F.col("id") == 10, "!").otherwise(F.col("x"))), "id").first().detail == "checksum"
     assert corpus.probe_table(t, t.select("x", "id"), "id").first().detail == "schema"
     assert corpus.probe_table(t.limit(0), t.limit(0), "id").first().passed
+    same = spark.createDataFrame([(i // 3, str(i // 3)) for i in range(60)], "id long, x string")  # rows that share id, and all else
+    assert corpus.probe_table(same, same.repartition(5), "id").first().passed
+
+
+def test_probe_table_of_any_layout(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "FOLDED", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = spark.range(30_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        few, many = t.repartition(3), t.repartition(23, "x")
+        assert corpus.probe_table(few, many, "id").first().passed
+        assert corpus.probe_table(few, many.withColumn("x", F.when(F.col("id") == 20_000, "!").otherwise(F.col("x"))), "id").first().detail == "checksum"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_generated_corpus(spark):
@@ -220,19 +234,51 @@ def test_code_graph(spark):
     assert {("a:run", "b:helper"), ("a:run", "b:other"), ("a:run", "a:LIMIT"), ("b:helper", "b:<module>")} <= {tuple(r) for r in edges.collect()}
     assert [r.unit_id for r in units.where("size(escapes) > 0").collect()] == ["a:sly"]
     new, _ = codegraph.extract_code_graph(spark.createDataFrame([("a", a.replace('"""Doc."""', '"""Other."""').replace("LIMIT = 3", "LIMIT  =  3  # three").replace('eval("1")', "2")), ("b", b)], "module string, text string"))
-    changes = {r.unit_id: r.change for r in codegraph.classify_comment_format(units, new).collect()}
-    assert (changes["a:run"], changes["a:LIMIT"], changes["a:sly"], changes["b:helper"]) == ("comment_only", "unchanged", "code", "unchanged")
+    none = spark.createDataFrame([], "hazard string")
+    changes = {r.unit_id: r.change for r in codegraph.classify_comment_format(units, new, none).collect()}
+    assert (changes["a:run"], changes["a:LIMIT"], changes["a:sly"], changes["b:helper"]) == ("comment_only", "formatting_only", "code", "formatting_only")
+
+
+def test_refusals_by_what_reachable_code_does(spark):
+    old = "import threading\n\ndef run():\n    return helper()\n\ndef helper():\n    'Doc.'\n    return run.__doc__\n\ndef far():\n    return getattr(far, 'x')\n"
+    units, edges = codegraph.extract_code_graph(spark.createDataFrame([("m", old)], "module string, text string"))
+    entries = spark.createDataFrame([("m:run",)], "node string")
+    hazards = codegraph.hazards_in(units, lineage.reachable(edges, entries))
+    assert rows(hazards) == [("reads_docs",), ("spawns",)]
+    new, _ = codegraph.extract_code_graph(spark.createDataFrame([("m", old.replace("'Doc.'", "'Other.'"))], "module string, text string"))
+    got = {r.unit_id: (r.change, r.refused) for r in codegraph.classify_comment_format(units, new, hazards).collect()}
+    assert got["m:helper"] == ("comment_only", "reads_docs") and got["m:run"] == ("formatting_only", None)
+    head = "import logging\nlog = logging.getLogger('x')\n"
+    pairs = spark.createDataFrame([("a", head + "def f():\n    log.info('a')\n    return 1\n", head + "def f():\n    return 1\n"), ("b", "def _a():\n    return 1\n", "def _b():\n    return 1\n")], "module string, old string, new string")
+    assert rows(codegraph.classify_sources(pairs, hazards).na.fill("")) == [("a", "logging_only", "spawns"), ("b", "private_rename", "")]
+    far = spark.createDataFrame([("m:far",)], "node string")
+    ids, escapes = units.select(F.col("unit_id").alias("node")), units.where("size(escapes) > 0").select(F.col("unit_id").alias("node"))
+    assert codegraph.classify_unreachable(edges, edges, entries, ids, far, escapes).first() == (True, False, "ok")
+    assert codegraph.classify_unreachable(edges, edges, entries, ids, entries, escapes).first() == (False, False, "changed units can be reached")
+    assert codegraph.classify_unreachable(edges, edges, far, ids, entries, escapes).first() == (True, True, "reach is unsound")
+    assert codegraph.classify_unreachable(edges, edges, entries, far, far, escapes).first() == (False, False, "no entry point in the new graph")
+
+
+def test_escapes(spark):
+    text = "import importlib as il\nfrom pkg_resources import iter_entry_points as it\n\ndef a():\n    return il.import_module('x')\n\ndef b():\n    return vars(a)\n\ndef c():\n    return it('g')\n\ndef d():\n    return 1\n"
+    units, _ = codegraph.extract_code_graph(spark.createDataFrame([("m", text)], "module string, text string"))
+    assert {r.name for r in units.where("size(escapes) > 0").collect()} == {"a", "b", "c", "<module>"}
 
 
 def test_guard(spark):
-    for bad in ("", "select 1; select 2", "drop table x", "with x as (select 1) insert into y select * from x", "explain select 1"):
+    bad = ["", "select 1; select 2", "drop table x", "with x as (select 1) insert into y select * from x", "explain select 1", "set a = 1", "cache table x", "create table x as select 1", "begin select 1; end", "select java_method('java.lang.System', 'exit', 1)"]
+    bad += ["select * from (select reflect('java.lang.System', 'exit', 1))", "with x as (select java_method('a', 'b')) select * from x", "select 1 where exists (select java_method('a', 'b'))"]
+    for sql in bad:
         with pytest.raises(guard.Refused):
-            guard.checked(bad)
+            guard.parsed(spark, sql)
     df = spark.range(500)
-    assert guard.safe_select(spark, "SELECT id AS updated_at FROM {t}", t=df).count() == 25
+    assert guard.safe_select(spark, "SELECT id AS `set`, 'drop; insert' AS x FROM {t}", t=df).count() == 25
     assert guard.safe_select(spark, "SELECT id FROM {t} LIMIT 400", t=df).count() == 200
+    assert guard.safe_select(spark, "WITH a AS (SELECT id FROM {t} LIMIT 9) SELECT count(*) FROM a UNION ALL SELECT 1", t=df).count() == 2
     text, cut = guard.payload(guard.safe_select(spark, "SELECT id FROM {t} WHERE id < 2", t=df))
     assert json.loads(text) == [{"id": 0}, {"id": 1}] and not cut
+    text, cut = guard.payload(df.select(F.repeat(F.lit("x"), 100_000).alias("x")))
+    assert cut and len(text) == guard.MOST_BYTES
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -265,12 +311,21 @@ def test_canonical_bytes():
     assert canonical_json_bytes({"b": [1, 2.5], "a": "é"}) == b'{"a":"\\u00e9","b":[1,2.5]}'
 
 
+LOG = "import logging\nlog = logging.getLogger(__name__)\n"
+
+
 @pytest.mark.parametrize(
     "old,new,change",
     [
         ("def f():\n    return 1\n", "def f():\n    # why\n    return 1\n", "unchanged"),
-        ("def f():\n    log.info('a')\n    return 1\n", "def f():\n    return 1\n", "logging_only"),
-        ("def f():\n    log.info(g())\n    return 1\n", "def f():\n    return 1\n", "code"),
+        (LOG + "def f():\n    log.info('a')\n    return 1\n", LOG + "def f():\n    return 1\n", "logging_only"),
+        (LOG + "def f():\n    log.info(g())\n    return 1\n", LOG + "def f():\n    return 1\n", "code"),
+        (LOG + "def f():\n    log.setLevel(1)\n    return 1\n", LOG + "def f():\n    return 1\n", "code"),
+        ("log = []\ndef f():\n    log.append(1)\n    return 1\n", "log = []\ndef f():\n    return 1\n", "code"),
+        ("log = []\ndef f():\n    log.info(1)\n    return 1\n", "log = []\ndef f():\n    return 1\n", "code"),
+        (LOG + "def f(log):\n    log.info(1)\n    return 1\n", LOG + "def f(log):\n    return 1\n", "code"),
+        (LOG + "def f(x):\n    log.info(x.y)\n    return 1\n", LOG + "def f(x):\n    return 1\n", "code"),
+        ("def _a():\n    return 1\ndef f(x):\n    return getattr(x, 'y')\n", "def _b():\n    return 1\ndef f(x):\n    return getattr(x, 'y')\n", "code"),
         ("def _a():\n    return 1\ndef f():\n    return _a()\n", "def _b():\n    return 1\ndef f():\n    return _b()\n", "private_rename"),
         ("def _a():\n    return '_a'\n", "def _b():\n    return '_a'\n", "code"),
         ("x = 1\n", "x = 2\n", "code"),
