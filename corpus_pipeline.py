@@ -1,24 +1,30 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
-Every stage but the last takes documents and returns documents. Its result is to
-be written and read again before the next stage begins; the tables that a stage
-keeps in the shared folder are deleted then.
+Every stage but the last takes documents and returns documents, with the same
+columns. What a stage decides is written to the shared folder in narrow tables
+before it returns, and its other tables are deleted by then; the narrow ones stay
+until keepsake.llm.common.drop_results(), so stages of several pipelines may be
+built and read in any order.
+
+Edge cases. Null ids are kept as they are and count as the largest id where the
+first of several rows stays. Null and empty texts fail the quality rules, so they go
+in the first stage; a stage that is called by itself takes them like any other row. Rows
+that share id and text are judged alike and stay or go together; rows that
+share an id only are judged by their texts. An empty table passes through all
+stages as an empty one. Other columns stay as they are, whatever their names; an
+n_chars column, if there is one, follows the text where lines go.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import decontam, jaccard, lines, packing, quality
-from keepsake.llm.common import delete, saved, saved_since
+from keepsake.llm.common import Scratch
 from keepsake.llm.queries import TOKENIZER, table
 
 _HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Tables of stages whose results have been written by now.
-_left_over: list[str] = []
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +35,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier documents have; those of which no word is left go."""
     left = lines.remove_repeated(docs, with_counts=True)
-    left = left.where((F.size("removed") == 0) | F.col("_row.text").rlike(_HAS_WORD))
-    return left.select("_row.*").withColumn("n_chars", F.length("text").cast("long"))
+    left = left.where((F.size("removed") == 0) | F.col("_row.text").rlike(_HAS_WORD)).select("_row.*")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,31 +56,15 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(packing.token_pieces(docs, TOKENIZER))
 
 
-def _stage(work: Callable) -> Callable:
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left_over:
-            used = docs.inputFiles()
-            for path in [p for p in _left_over if not any(p.rsplit("/", 1)[-1] in f for f in used)]:
-                delete(spark, path)
-                _left_over.remove(path)
-        mark = saved_since()
-        out = work(spark, docs, sf_dir)
-        _left_over.extend(saved_since(mark))
-        return out
-
-    return stage
-
-
-STAGES = [(f.__name__, _stage(f)) for f in (quality_rules, line_dedup, ngram_jaccard_join, benchmark_decontamination, best_fit_packing)]
-#: SQL can express neither the fitted rules' verdict nor the packing; tests compare the stages with brute force.
+STAGES = [(f.__name__, f) for f in (quality_rules, line_dedup, ngram_jaccard_join, benchmark_decontamination, best_fit_packing)]
+#: SQL can express neither the fitted rules' verdict nor the packing; a test compares run() with the five stages in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of documents after all stages."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = saved(docs, name)
-    return docs
+    with Scratch(spark) as tmp:
+        for name, stage in STAGES[:-1]:
+            docs = tmp.save(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
