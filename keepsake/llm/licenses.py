@@ -44,8 +44,8 @@ NOTICES = [
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge to any person"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 ]
-#: Rare words that the SQL looks up for each file, and how many must agree.
-LOOKED_UP, AGREEING = 6, 2
+#: Rarest words of each key phrase that are looked up, all of which must agree on the start.
+AGREEING = 2
 #: Words of notices that are indexed: those of four letters or more, and those of named licences and key phrases that are rare by nature.
 SHORT_WORDS = {"gnu", "mit", "cc", "nc", "fee", "law"}
 _SHIFT, _OFFSET = 1 << 40, 1 << 30
@@ -71,7 +71,6 @@ def postings(texts: list[str], within: list[str] | None = None) -> dict[str, lis
 NOTICE_WORDS = postings([n for _, n, _ in NOTICES])
 KEY_WORDS = postings([k for _, _, k in NOTICES], [n for _, n, _ in NOTICES])
 KEY_STARTS = [next(i for i in range(len(n.split())) if n.split()[i : i + len(k.split())] == k.split()) for _, n, k in NOTICES]
-KEY_COUNT = [sum(t == p[0] for x in KEY_WORDS.values() for p in x) for t in range(len(NOTICES))]
 NOTICE_SETS = [sorted({w for w in n.split() if indexed(w)}) for _, n, _ in NOTICES]
 
 
@@ -154,32 +153,23 @@ def scan(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFra
 
 
 def oracle(table: str = "documents") -> str:
-    """The result in DuckDB SQL, which leaves out the key phrase words that are not indexed and looks up LOOKED_UP words of a file.
-
-    scan() is stricter on neighbouring versions and finds several notices in a
-    file; on the given tables both are equal.
-    """
+    """The result in DuckDB SQL by its definition: a notice holds where all words of its key phrase stand consecutively, looked up in no index."""
     quoted = lambda s: "'" + s + "'"
     values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
     phrases = [(label, i, w, len(p.split())) for p, label in NAMED for i, w in enumerate(p.split())]
-    notice = [(t, p, w) for w, ps in NOTICE_WORDS.items() for t, p in ps]
-    key = [(t, p, w, KEY_COUNT[t]) for w, ps in KEY_WORDS.items() for t, p in ps]
+    keys = [(t, i, w, len(k.split())) for t, (_, _, k) in enumerate(NOTICES) for i, w in enumerate(k.split())]
+    notice = [(t, w) for t, s in enumerate(NOTICE_SETS) for w in s]
     names = [(t, n[0], len(NOTICE_SETS[t])) for t, n in enumerate(NOTICES)]
     return rf"""
 WITH lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {table}),
 words AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM lowered),
 phrases(label, j, w, n) AS {values(phrases)},
 named AS (SELECT doc_id, label, i - j AS i FROM words JOIN phrases USING (w) GROUP BY doc_id, label, i - j, n HAVING count(*) = n),
-notice(t, p, w) AS {values(notice)},
-keys(t, p, w, n) AS {values(key)},
+keys(t, j, w, n) AS {values(keys)},
+notice(t, w) AS {values(notice)},
 names(t, label, n) AS {values(names)},
-hits AS (SELECT doc_id, w, i FROM words WHERE w IN (SELECT w FROM notice)),
-idf AS (SELECT w, round(ln(((SELECT count(*) FROM {table}) + 1) / (count(DISTINCT doc_id) + 1)), 6) AS idf FROM hits GROUP BY w),
-rare AS (SELECT doc_id, w FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, w) AS k FROM (SELECT DISTINCT doc_id, w FROM hits) JOIN idf USING (w)) WHERE k <= {LOOKED_UP}),
-near AS (SELECT doc_id, t, i - p AS start FROM hits SEMI JOIN rare USING (doc_id, w) JOIN notice USING (w) GROUP BY doc_id, t, i - p HAVING count(*) >= {AGREEING}),
-whole AS (SELECT doc_id, t, i - p AS start FROM hits JOIN keys USING (w) GROUP BY doc_id, t, i - p, n HAVING count(*) = n),
-found AS (SELECT DISTINCT doc_id, t FROM near JOIN whole USING (doc_id, t, start)),
-shares AS (SELECT doc_id, t, count(DISTINCT w) / any_value(names.n) AS share FROM found JOIN names USING (t) JOIN notice USING (t) JOIN hits USING (doc_id, w) GROUP BY doc_id, t),
+found AS (SELECT DISTINCT doc_id, t FROM words JOIN keys USING (w) GROUP BY doc_id, t, i - j, n HAVING count(*) = n),
+shares AS (SELECT doc_id, t, count(DISTINCT w) / any_value(names.n) AS share FROM found JOIN names USING (t) JOIN notice USING (t) JOIN words USING (doc_id, w) GROUP BY doc_id, t),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM named GROUP BY doc_id),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM named UNION ALL SELECT doc_id, label FROM found JOIN names USING (t)) GROUP BY doc_id)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
