@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsake.llm import components, decontam, jaccard, licenses, lines, packing, quality, spans, tokenfile, toxicity, urls
+from keepsake.llm.common import Scratch, drop_results, shared_dir
 from tests.llm.cases import frame, lower, texts, words
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -145,10 +146,21 @@ def test_best_two_fit(lengths):
     assert lengths != [6, 5, 5, 4] or len(set(bins.tolist())) == 2
 
 
-def test_two_replace_one():
-    # greedy takes 7 and 3 is not there: 2 goes out for 1 + 2 at most; with 4, 3, 3 the pair 3 + 3 beats 4
-    bins, _ = packing.best_two_fit([4, 4, 3, 3, 2], 10)
-    assert len(set(bins.tolist())) == 2
+def greedy_bins(lengths, capacity):
+    """Bins of the same filling without the swap."""
+    left, n = sorted(lengths), 0
+    while left:
+        room, n = capacity, n + 1
+        while left and left[0] <= room:
+            k = max(i for i, x in enumerate(left) if x <= room)
+            room -= left.pop(k)
+    return n
+
+
+@pytest.mark.parametrize("lengths,with_swap,without", [([9, 3, 8, 4, 1, 4, 3, 3, 3], 4, 5), ([6, 3, 2, 2, 2, 5], 2, 3)])
+def test_two_replace_one(lengths, with_swap, without):
+    bins, _ = packing.best_two_fit(lengths, 10)
+    assert (len(set(bins.tolist())), greedy_bins(lengths, 10)) == (with_swap, without)
 
 
 def test_token_file(spark, docs, rows, none, ids_of, tmp_path):
@@ -167,6 +179,35 @@ def test_token_file(spark, docs, rows, none, ids_of, tmp_path):
     assert tokenfile.token_index(spark, empty).collect() == []
 
 
+def test_token_file_prunes(spark, none, tmp_path):
+    """Row indexes and Bloom filters on doc_id: a lookup reads few row groups of few files."""
+    from pyarrow import orc
+
+    docs = spark.range(40_000).select((F.col("id") * 2).alias("doc_id"), F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.lit("some words")).alias("text"))
+    path = str(tmp_path / "tokens")
+    tokenfile.write_token_file(docs.repartition(6), path, TOKENIZER)
+    files = [f for f in sorted((tmp_path / "tokens").glob("*.orc"))]
+    spans = sorted((min(ids), max(ids)) for f in files if (ids := orc.ORCFile(f).read(columns=["doc_id"])["doc_id"].to_pylist()))
+    assert all(a[1] < b[0] for a, b in itertools.pairwise(spans))  # ranges of ids that do not meet
+    raw = [f.read_bytes() for f in files]
+    assert all(orc.ORCFile(f).nstripes >= 1 and orc.ORCFile(f).compression == "ZSTD" for f in files) and any(len(x) > 1000 for x in raw)
+
+    def rows_read(frame):
+        frame.collect()
+        metrics = frame._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+        return metrics.apply("numOutputRows").value()
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = tokenfile.read_token_file(spark, path, [30_000])
+        assert [r.doc_id for r in one.collect()] == [30_000] and "PushedFilters: [In(doc_id" in one._jdf.queryExecution().toString() or "EqualTo(doc_id" in one._jdf.queryExecution().toString()
+        assert rows_read(one) <= 2 * tokenfile.ROW_INDEX_STRIDE < rows_read(tokenfile.read_token_file(spark, path))
+        # an odd id lies inside a row group's range, so only its Bloom filter can tell that it is not there
+        assert rows_read(tokenfile.read_token_file(spark, path, [30_001])) == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 # --- 3 licences
 
 
@@ -209,6 +250,13 @@ def test_two_notices_in_a_file(spark):
     assert len(files) == 132 and [(a, b) for a, b, t in files if not {a, b} <= labels[t]] == []
 
 
+def test_all_notices_in_a_file(spark):
+    whole = "\n\n".join(f"{text}\nand so on" for _, text, _ in licenses.NOTICES)
+    found = licenses.scan(frame(spark, [(1, whole), (2, "no licence here")]), ["doc_id"]).collect()
+    labels = {r._row.doc_id: set(r.labels.split(",")) for r in found}
+    assert labels[1] >= {label for label, _, _ in licenses.NOTICES} and labels[2] == {""}
+
+
 # --- 4 toxicity
 
 
@@ -238,6 +286,67 @@ def test_chain_learns(spark, none):
     assert all(r.p_toxic < 0.01 for r in toxicity.score(docs, nothing, ["doc_id"]).collect())
 
 
+def test_chain_equals_plain_loop(spark):
+    """Probabilities by a plain loop over words, with the ties of ids that are given twice."""
+    import random
+    import re
+
+    r = random.Random(7)
+    data = [(i, " ".join(r.choice(["ok", "fine", "grr" if i % 4 == 0 else "well", "###" if i % 3 == 0 else "so"]) for _ in range(12))) for i in range(120)]
+    docs = frame(spark, [*data, (5, "a b c"), (5, "a b d"), (7, None), (None, "grr")])
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 0)) for i in range(100)] + [(9, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    models = toxicity.train(docs, labels)
+    got = Counter((x.doc_id, x._text, x.p_low_quality, x.p_toxic) for x in toxicity.score(docs.withColumn("_text", F.coalesce("text", F.lit(""))), models, ["doc_id", "_text"]).collect())
+    tables = [m.table().astype(float) for m in models]
+
+    def bucket(token):
+        data = np.frombuffer(token.encode(), np.uint8)
+        return int((toxicity.Substrings(toxicity.byte_values(fold_case=True)[data]).hash(np.array([0]), np.array([len(data)])) >> np.uint64(64 - toxicity.BITS))[0])
+
+    want = Counter()
+    for i, t in [(x.doc_id, x.text) for x in docs.collect()]:
+        buckets = {bucket(x) for x in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^\s0-9A-Za-z\u0080-\U0010ffff]+", t or "")}
+        p = []
+        for m, table in zip(models, tables, strict=True):
+            z = sum(table[b] for b in buckets) + sum(w * x for w, x in zip(m.earlier, p, strict=True)) + m.bias
+            p.append(1 / (1 + np.exp(-z)))
+        want[i, t or "", round(p[0], 4), round(p[1], 4)] += 1
+    assert Counter({(i, t, round(a, 4), round(b, 4)): n for (i, t, a, b), n in got.items()}) == want
+    # the same models for any layout: of two documents of one id, and of two labels, a defined one is used
+    again = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert [m.bias for m in again] == [m.bias for m in models] and all((a.weights == b.weights).all() for a, b in zip(again, models, strict=True))
+
+
+def test_executors_without_the_package(tmp_path):
+    """Only the driver can import the package: workers get functions and models by value."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "job.py"
+    script.write_text(
+        """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+sys.path.insert(0, sys.argv[1])
+from keepsake.llm import decontam, lines, toxicity
+docs = spark.createDataFrame([(i, f"word{i} " * 30 + ("grr" if i % 2 else "nice") + " what is the tallest mountain of all the northern lands. it is the old one.") for i in range(60)], "doc_id long, text string")
+labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 2 as int) as toxic")
+items = spark.createDataFrame([(1, "what is the tallest mountain of all the northern lands. it is the old one.")], "item_id long, text string")
+assert toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"]).where("p_toxic > 0.5").count() == 30
+assert decontam.contaminated(docs, items).count() == 60
+assert lines.remove_repeated(docs).count() == 60
+print("fine")
+"""
+    )
+    root = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script), root, str(tmp_path / "shared")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-3000:]
+
+
 # --- 5 Jaccard join
 
 
@@ -279,7 +388,8 @@ def test_jaccard_join(docs, rows, none):
 
 def test_components(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 5), (1, 2), (3, 2), (4, 4)], "a long, b long")
-    assert {(r.node, r.component) for r in components.components(links).collect()} == {(k, 5) for k in range(5, 10)} | {(1, 1), (2, 1), (3, 1)}
+    with Scratch(spark) as tmp:
+        assert {(r.node, r.component) for r in components.components(links, tmp).collect()} == {(k, 5) for k in range(5, 10)} | {(1, 1), (2, 1), (3, 1)}
 
 
 def test_chains_across_groups(spark):
@@ -325,26 +435,61 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), ["page_id"]).collect() == []
 
 
-def test_page_rank(spark):
-    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("d", "a")]
-    score = dict(urls.spread(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a",)], "host string")).collect())
-    rank = {"a": 1.0}
-    for _ in range(urls.ROUNDS):
-        new = defaultdict(float, {"a": 1 - urls.DAMPING})
+def of_kind(spark, rows, names, kind=0):
+    return spark.createDataFrame([(kind, *r) for r in rows], "kind int, " + ", ".join(f"{n} string" for n in names))
+
+
+def brute_rank(edges, seeds):
+    """Personalised PageRank by its definition; what ends at a host without edges goes back to the seeds."""
+    out = Counter(s for s, _ in edges)
+    rank = {h: 1 / len(seeds) for h in seeds}
+    for _ in range(400):
+        new, back = defaultdict(float), 1 - urls.DAMPING
+        for h, x in rank.items():
+            back += urls.DAMPING * x * (not out[h])
         for s, d in edges:
-            new[d] += urls.DAMPING * rank.get(s, 0.0) / sum(x == s for x, _ in edges)
+            new[d] += urls.DAMPING * rank.get(s, 0.0) / out[s]
+        for h in seeds:
+            new[h] += back / len(seeds)
         rank = new
-    assert score == pytest.approx({k: v for k, v in rank.items() if k in score}) and set(score) >= {"a", "b", "c"}
+    return rank
+
+
+def test_page_rank(spark):
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("d", "a"), ("c", "end")]
+    with Scratch(spark) as tmp:
+        both = of_kind(spark, edges, ("src", "dst")).unionByName(of_kind(spark, [(d, s) for s, d in edges], ("src", "dst"), 1))
+        seeds = of_kind(spark, [("a",)], ("host",)).unionByName(of_kind(spark, [("b",), ("c",)], ("host",), 1))
+        got = {(r.kind, r.host): r.score for r in urls.spread(both, seeds, tmp).collect()}
+    want = {(0, h): x for h, x in brute_rank(edges, ["a"]).items()} | {(1, h): x for h, x in brute_rank([(d, s) for s, d in edges], ["b", "c"]).items()}
+    assert got == pytest.approx({k: x for k, x in want.items() if x}, abs=1e-3)
 
 
 def test_page_rank_reaches_far_hosts(spark):
     edges = [(f"h{k}", f"h{k + 1}") for k in range(14)]
-    seeds = spark.createDataFrame([("h0",)], "host string")
-    score = dict(urls.spread(spark.createDataFrame(edges, "src string, dst string"), seeds).collect())
-    assert score == pytest.approx({f"h{k}": (1 - urls.DAMPING) * urls.DAMPING**k for k in range(15)})
-    loop = spark.createDataFrame([("h0", "h1"), ("h1", "h0")], "src string, dst string")
-    with pytest.raises(RuntimeError):
-        urls.spread(loop, seeds, rounds=3)
+    seeds = of_kind(spark, [("h0",)], ("host",))
+    with Scratch(spark) as tmp:
+        got = {r.host: r.score for r in urls.spread(of_kind(spark, edges, ("src", "dst")), seeds, tmp).collect()}
+        assert got == pytest.approx(brute_rank(edges, ["h0"])) and got["h14"] > 0
+        with pytest.raises(RuntimeError):
+            urls.spread(of_kind(spark, [("h0", "h1"), ("h1", "h0")], ("src", "dst")), seeds, tmp, rounds=4)
+
+
+def test_hosts_of_one_site_share_trust(spark):
+    """Pages without links to other hosts, as in the given tables: only edges between a host and its domain carry anything."""
+    hosts = spark.createDataFrame([("www.a.example.org",), ("b.example.org",), ("localhost",), ("10.0.0.1",), ("",), ("x..y",)], "host string")
+    edges = {(r.src, r.dst) for r in urls.domain_edges(hosts).collect()}
+    up = {("www.a.example.org", "a.example.org"), ("a.example.org", "example.org"), ("b.example.org", "example.org")}
+    assert edges == up | {(d, s) for s, d in up}
+    rules = [("block", "evil.site.io", "/"), ("allow", "good.pages.io", "/ok/")]
+    pages = [(0, "http://evil.site.io/x"), (1, "http://other.site.io/y"), (2, "http://good.pages.io/ok/1"), (3, "http://new.pages.io/z"), (4, "http://far.net/")]
+    df = spark.createDataFrame([(i, u, '<a href="/own">x</a>' * 3) for i, u in pages], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(df, ["page_id"], rules=rules).collect()}
+    assert [got[k].verdict for k in range(5)] == ["block", "block", "allow", "allow", "allow"]
+    assert got[1].rule is None and got[1].distrust > 0 and got[3].trust > 0 and got[4].trust == got[4].distrust == 0
+    chain = [("evil.site.io", "site.io"), ("other.site.io", "site.io"), ("good.pages.io", "pages.io"), ("new.pages.io", "pages.io")]
+    chain += [(d, s) for s, d in chain]
+    assert got[1].distrust == pytest.approx(brute_rank(chain, ["evil.site.io"])["other.site.io"], abs=1e-3)
 
 
 # --- 8 quality
@@ -371,6 +516,21 @@ def test_quality(docs, rows, none):
     clean = {t for i, t in rows[:40]}
     assert all(r.kept for r in got if r._row.text in clean)
     assert quality.score(none, ["doc_id"]).collect() == []
+    # posteriors by a plain loop over documents, from the same start until nothing moves
+    votes = [tuple(r._votes) for r in got]
+    prior, right = 0.8, [(0.9, 0.5)] * len(votes[0])
+    for _ in range(3000):
+        good = []
+        for v in votes:
+            g, b = prior, 1 - prior
+            for x, (p, q) in zip(v, right, strict=True):
+                if x:
+                    g, b = g * (p if x > 0 else 1 - p), b * (q if x < 0 else 1 - q)
+            good.append(g / (g + b))
+        prior = (sum(good) + 1) / (len(votes) + 2)
+        right = [((sum(g for g, v in zip(good, votes, strict=True) if v[j] > 0) + 1) / (sum(g for g, v in zip(good, votes, strict=True) if v[j]) + 2), (sum(1 - g for g, v in zip(good, votes, strict=True) if v[j] < 0) + 1) / (sum(1 - g for g, v in zip(good, votes, strict=True) if v[j]) + 2)) for j in range(len(right))]
+    assert [r.quality for r in got] == pytest.approx(good, abs=1e-4)
+    assert all(r.kept == (not r.base_failed and r.quality >= quality.THRESHOLD) for r in got)
 
 
 # --- 9 decontamination
@@ -388,6 +548,8 @@ def test_decontamination(spark, docs, rows, none):
     assert got == {(1000 + k, k) for k in range(20)}
     left = decontam.remove_contaminated(table, benchmark)
     assert left.columns == table.columns and left.count() == len(rows)
+    rows_of = lambda x: sorted((r.doc_id, r.item_id, r.score, r.word, r.question, r.answer) for r in x.collect())
+    assert rows_of(decontam.contaminated(table, benchmark)) == rows_of(decontam.contaminated(table, benchmark, shard_bytes=1 + sum(len(t) for _, t in items) // 5))
     assert decontam.contaminated(none, benchmark).collect() == [] and decontam.contaminated(docs, benchmark.limit(0)).collect() == []
 
 
@@ -396,7 +558,8 @@ def test_wand_equals_full_scan():
 
     r = random.Random(2)
     items = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 12))) for _ in range(300)]
-    index = decontam.Index(list(range(300)), items)
+    df = Counter(int(w) for t in items for w in set(decontam.word_hashes(np.frombuffer(t.encode(), np.uint8))[0].tolist()))
+    index = decontam.Index(list(range(300)), items, df, len(items), sum(len(t.split()) for t in items) / len(items))
     for _ in range(200):
         query = {int(x) for x in decontam.word_hashes(np.frombuffer(" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 12))).encode(), np.uint8))[0]}
         want = defaultdict(float)
@@ -481,19 +644,153 @@ def test_long_passage_again_in_its_document(spark):
 # --- the pipeline
 
 
-def test_pipeline_stages(spark, rows, docs, tmp_path):
+# --- the pipeline
+
+
+def plain_pipeline(rows, items, quality_of, ids_of):
+    """The five stages in plain Python; quality_of: verdict of the quality rules, which test_quality compares."""
+    docs = [(i, t) for i, t in rows if quality_of[i, t]]
+    gone = brute_lines(docs)
+    left = []
+    for i, t in docs:
+        drop = gone.get((key(i), t), set())
+        new = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop)
+        if not drop or words(new):
+            left.append((i, new))
+    sets = brute_sets(left)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = sets[a][2], sets[b][2]
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            parent[root(a)] = root(b)
+    groups = defaultdict(set)
+    for k, (i, t, _) in enumerate(sets):
+        groups[root(k)].add((key(i), t))
+    # which of several texts of the smallest id stays is a matter of hashes; the fixture has none in one group
+    first = {k: min(g) for k, g in groups.items()}
+    assert all(sum(x[0] == min(g)[0] for x in g) == 1 for g in groups.values())
+    left = [(i, t) for k, (i, t, _) in enumerate(sets) if (key(i), t) == first[root(k)]]
+    # an item counts as held where all of its words stand in a row
+    held = lambda t: any(" ".join(words(lower(item))) in " ".join(words(lower(t))) for item in items)
+    left = [(i, t) for i, t in left if not held(t)]
+    out = Counter()
+    for i, t in left:
+        ids = ids_of(t, 1)
+        for p in range(0, len(ids), packing.CAPACITY):
+            part = ids[p : p + packing.CAPACITY]
+            out[i, p // packing.CAPACITY, p, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    return left, out
+
+
+def pipeline_rows():
+    import random
+
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(1500)]
+    prose = lambda n: "\n".join(" ".join(r.choice(vocabulary) for _ in range(11)).capitalize() + "." for _ in range(n))
+    items = [" ".join(r.choice(vocabulary) for _ in range(26)) + ". " + " ".join(r.choice(vocabulary) for _ in range(5)) + "." for _ in range(4)]
+    docs = [prose(r.randint(8, 30)) for _ in range(50)]
+    line = "This one line stands in many documents of this table."
+    docs += [f"{line}\n{prose(12)}" for _ in range(5)] + [f"{prose(9)}\n{x}\n{prose(4)}" for x in items]
+    for width in (6, 7, 8, 9, 13):  # near copies that are wrapped otherwise, so that line dedup leaves them
+        w = [*docs[0].split(), f"end{width}"]
+        docs.append("\n".join(" ".join(w[j : j + width]) for j in range(0, len(w), width)))
+    docs += ["", None, "#### | |", "word " * 60, "a###b " * 50, prose(500)]
+    rows = list(enumerate(docs))
+    return rows + [(3, docs[3]), (None, prose(9))], items
+
+
+def test_pipeline_equals_plain_python(spark, ids_of, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    plain.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, "no such thing in any of these documents at all, is there?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    rows, items = pipeline_rows()
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", F.col("hash").alias("_gone"), F.lit(1).alias("_row"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    verdicts = {(r._row.doc_id, r._row.text): r.kept for r in quality.score(frame(spark, rows), ["doc_id", "text"]).collect()}
+    left, want = plain_pipeline(rows, items, verdicts, ids_of)
+    assert 0 < sum(not v for v in verdicts.values()) < 10 and len(left) < len(rows) - 10
+    table, drops = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, table, str(tmp_path))
-        if name != "best_fit_packing":
-            assert out.columns == table.columns
+        assert out.schema.simpleString() == table.schema.simpleString()
         out.write.parquet(str(tmp_path / name))
-        before, table = table.count(), spark.read.parquet(str(tmp_path / name))
-        assert 0 < table.count() <= before or name == "best_fit_packing"
-    whole = corpus_pipeline.run(spark, str(tmp_path))
-    digest = lambda df: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
-    assert digest(whole) == digest(table)
+        drops.append(table.count() - out.count())
+        table = spark.read.parquet(str(tmp_path / name))
+    assert drops[0] > 0 and drops[2] > 0 and drops[3] == len(items)
+    assert Counter((r.doc_id, r.text, r.n_chars, r._gone, r._row) for r in table.collect()) == Counter((i, t, len(t), "x", 1) for i, t in left)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+def test_stages_of_several_pipelines(spark, rows, docs, none, tmp_path):
+    """Stages are built before earlier ones are read, for two tables at once; afterwards the shared folder is as it was."""
+    from pathlib import Path
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    drop_results(spark)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    spark.createDataFrame([(1, "no such thing in any of these documents at all, is there?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    tables = [docs.select("doc_id", "text", "lang"), docs.where("doc_id < 20").select("doc_id", "text"), none.select("doc_id", "text", "n_chars")]
+    built = [[stage(spark, t, str(tmp_path)) for t in tables] for _, stage in corpus_pipeline.STAGES]
+    assert len(set(folder.iterdir()) - before) <= 2 * len(tables) * len(built)
+    for (name, _), outs in reversed(list(zip(corpus_pipeline.STAGES, built, strict=True))):
+        counts = [o.count() for o in outs]
+        assert counts[0] >= counts[1] > 0 == counts[2], name
+        assert name == "best_fit_packing" or [o.columns for o in outs] == [t.columns for t in tables]
+    drop_results(spark)
+    assert set(folder.iterdir()) == before
+
+
+@pytest.mark.parametrize("name", ["op3_rare_word_licences", "op5_grouped_prefix_join"])
+def test_query_equals_sql(spark, docs, name, tmp_path):
+    """The registered query against its SQL, on the awkward cases; rows of one id and other texts are told apart by neither, so ids are made distinct."""
+    import duckdb
+
+    from keepsake.llm import queries
+
+    distinct = docs.select("text").repartition(1).withColumn("doc_id", F.monotonically_increasing_id())
+    distinct.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLE[name])
+    columns = sorted(got.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(map(repr, ([r[c] for c in columns] for r in got.collect()))) == sorted(map(repr, ([r[k] for k in at] for r in want.fetchall())))
+
+
+def test_short_lines_by_argument(spark):
+    docs = frame(spark, [(1, "abc\nlong enough to be near"), (2, "abd\nlong enough to be neat"), (3, "xyz")])
+    removed = lambda n: {r._row.doc_id: r.removed for r in lines.remove_repeated(docs, with_counts=True, near_length=n).collect()}
+    assert removed(24) == {1: [], 2: [], 3: []} and removed(20) == {1: [], 2: [1], 3: []} and removed(3) == {1: [], 2: [0, 1], 3: []}
+    with pytest.raises(ValueError):
+        lines.remove_repeated(docs, near_length=2)
+
+
+def test_large_groups_of_near_copies(spark):
+    """Stars and pairs against all pairs: many texts around the threshold, which no single star covers."""
+    import random
+
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for j in r.sample(range(120), r.randint(1, 6)):
+            w[j] = f"n{k}x{j}" if r.random() < 0.5 else f"v{j}"
+        texts.append(" ".join(w))
+    got = {x.doc_id: x.component_id for x in jaccard.with_component_id(jaccard.link(frame(spark, list(enumerate(texts))))).collect()}
+    sets = [s for _, _, s in brute_sets(list(enumerate(texts)))]
+    least = list(range(len(sets)))
+    for _ in range(len(sets)):
+        new = [min([least[a]] + [least[b] for b in range(len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]) for a in range(len(sets))]
+        if new == least:
+            break
+        least = new
+    assert got == dict(enumerate(least)) and 1 < len(set(least)) < 150
