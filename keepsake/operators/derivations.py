@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,62 @@ def with_subscribers(leaf_rows: DataFrame, subscribers: DataFrame) -> DataFrame:
     return leaf_rows.join(n, "derivation_id", "left").withColumn("subscribers", F.coalesce("subscribers", F.lit(0)))
 
 
+def leaf_path(roots: DataFrame, leaves: DataFrame, derivations: DataFrame, claims: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """(root_id, ordinal, child_id, slice_digest, blob_digest, state, action, authorized_by, owner_id, fence, subscribers) of all leaves of each root.
+
+    A leaf that the root's run produced is COMPUTED; another is RESTORE, authorised by identity. roots: root_id, root_run.
+    leaves: root_id, ordinal, child_id, slice_digest. derivations: derivation_id, work_key, generation, blob_digest, state,
+    run_id. claims: work_key, owner_id, fence. subscribers: work_key, generation.
+    """
+    waiting = subscribers.groupBy("work_key", "generation").agg(F.count(F.lit(1)).alias("subscribers"))
+    child = derivations.withColumnRenamed("derivation_id", "child_id")
+    rows = roots.join(leaves, "root_id").join(child, "child_id").join(claims.select("work_key", "owner_id", "fence"), "work_key", "left").join(waiting, ["work_key", "generation"], "left")
+    restored = ~F.col("run_id").eqNullSafe(F.col("root_run"))
+    return rows.select("root_id", "ordinal", "child_id", "slice_digest", "blob_digest", "state", F.when(restored, "RESTORE").otherwise("COMPUTED").alias("action"), F.when(restored, "identity").alias("authorized_by"), "owner_id", "fence", F.coalesce("subscribers", F.lit(0)).alias("subscribers"))
+
+
+def receipts(roots: DataFrame, leaves: DataFrame, derivations: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(root_id, n_leaves, receipt): canonical JSON of each root, its leaves in order, and where their blobs are.
+
+    Parts whose blob is not known are left out. roots: root_id. leaves: root_id, ordinal, child_id, slice_digest. derivations: derivation_id,
+    work_key, blob_digest. blobs: blob_digest, location, size. A root's leaves are as many as it has buckets.
+    """
+    stored = derivations.join(blobs.select("blob_digest", "location", "size"), "blob_digest")
+    leaf = leaves.join(stored.withColumnRenamed("derivation_id", "child_id"), "child_id")
+    # JSON objects keep the order of a struct's fields, so these are sorted by name
+    listed = leaf.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "blob_digest", "child_id", "location", "size", "slice_digest"))).alias("_leaves"), F.count(F.lit(1)).alias("_n"))
+    whole = roots.select("root_id").join(stored.withColumnRenamed("derivation_id", "root_id"), "root_id").join(listed, "root_id", "left")
+    parts = F.transform(F.coalesce("_leaves", F.array().cast(listed.schema["_leaves"].dataType)), lambda x: F.struct(x["blob_digest"].alias("blob_digest"), x["child_id"].alias("child_id"), x["location"].alias("location"), x["ordinal"].alias("ordinal"), x["size"].alias("size"), x["slice_digest"].alias("slice_digest")))
+    body = F.to_json(F.struct("blob_digest", parts.alias("leaves"), "location", "root_id", "size", "work_key"))
+    return whole.select("root_id", F.coalesce("_n", F.lit(0)).alias("n_leaves"), body.alias("receipt"))
+
+
+def replay_scenarios(decisions: DataFrame, transfers: DataFrame, fragments: DataFrame, failures: DataFrame, remediations: DataFrame, n_reuse: int = 5, n_verdicts: int = 10, n_transfers: int = 6, n_fragments: int = 2) -> DataFrame:
+    """(scenario, place, ref, note) of what can be shown again; a scenario without material is one row that says why.
+
+    1 reuse: the newest reuse decisions. 2 verdicts: the newest decisions, if both reuse and recompute are among all.
+    3 takeover: the newest transfers and the keys with most fragments. 4 failures, each with its best remediation.
+    """
+    newest = lambda df, order, k: df.orderBy(*order).limit(k)
+    placed = lambda df, scenario, ref, note, *order: df.select(F.lit(scenario).alias("scenario"), F.row_number().over(Window.orderBy(*order)).cast("int").alias("place"), ref.cast("string").alias("ref"), note.cast("string").alias("note"))  # noqa: E731  of a few rows
+    latest = [F.desc("created_at"), F.desc("decision_id")]
+    reuse = placed(newest(decisions.where("verdict = 'reuse'"), latest, n_reuse), "reuse", F.col("decision_id"), F.col("stage"), *latest)
+    both = decisions.agg(F.count_if(F.col("verdict") == "reuse").alias("_a"), F.count_if(F.col("verdict") == "recompute").alias("_b")).where("_a > 0 and _b > 0")
+    some = newest(decisions.where("verdict in ('reuse', 'recompute')"), latest, n_verdicts).join(both)  # one row, or none
+    verdicts = placed(some, "verdicts", F.col("decision_id"), F.col("verdict"), *latest)
+    moved = [F.desc("to_fence"), F.desc("work_key")]
+    takeover = placed(newest(transfers, moved, n_transfers), "takeover", F.col("work_key"), F.col("reason"), *moved)
+    counted = [F.desc("n"), F.desc("work_key")]
+    rollup = placed(newest(fragments.groupBy("work_key").agg(F.count(F.lit(1)).alias("n")), counted, n_fragments), "fragments", F.col("work_key"), F.col("n"), *counted)
+    best = remediations.groupBy("signature_id").agg(F.max_by("remediation_id", F.struct("succeeded", "created_at", "remediation_id")).alias("_r"))
+    first = [F.desc("created_at"), F.desc("signature_id")]
+    failed = placed(newest(failures.join(best, "signature_id", "left"), first, n_reuse), "failures", F.col("signature_id"), F.coalesce(F.col("_r").cast("string"), F.lit("none")), *first)
+    found = reuse.unionByName(verdicts).unionByName(takeover).unionByName(rollup).unionByName(failed)
+    names = decisions.sparkSession.createDataFrame([("reuse", "no reuse decision"), ("verdicts", "not both verdicts"), ("takeover", "no transfer"), ("fragments", "no fragment"), ("failures", "no failure")], "scenario string, note string")
+    missing = names.join(found.select("scenario").distinct(), "scenario", "left_anti").select("scenario", F.lit(0).alias("place"), F.lit(None).cast("string").alias("ref"), "note")
+    return found.unionByName(missing)
+
+
 def verify_receipts(receipts: DataFrame, verified: DataFrame) -> DataFrame:
     """(receipt_id, ok, mismatch, unavailable): counts over the blobs that each receipt names; verified: digest, status."""
     rows = receipts.join(verified, "digest", "left").withColumn("status", F.coalesce("status", F.lit("unavailable")))
@@ -85,12 +143,17 @@ def tighten_rules(rules: DataFrame, contradictions: DataFrame, authority: Column
     return old.unionByName(new)
 
 
-def failure_signatures(failures: DataFrame, reads: DataFrame, allowed: list[str]) -> DataFrame:
-    """(run_id, error_class, last_line, features): what a failure's traceback and recorded configuration say.
+def failure_signatures(failures: DataFrame, reads: DataFrame, allowed: list[str], encoder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(run_id, error_class, last_line, summary, features[, embedding]): what a failure's traceback and recorded configuration say.
 
-    failures: run_id, traceback. reads: run_id, key, value. The last line is cut at 500 characters.
+    failures: run_id, stage, traceback. reads: run_id, key, value. The last line is cut at 500 characters. encoder turns
+    the summary into a vector.
     """
     last = F.trim(F.try_element_at(F.filter(F.split("traceback", "\n"), lambda x: F.trim(x) != ""), F.lit(-1)))
     features = reads.where(F.col("key").isin(allowed)).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("features"))
-    rows = failures.select("run_id", last.alias("_last"))
-    return rows.join(features, "run_id", "left").select("run_id", F.regexp_extract("_last", r"^([\w.]+)", 1).alias("error_class"), F.substring("_last", 1, 500).alias("last_line"), "features")
+    rows = failures.select("run_id", "stage", last.alias("_last")).join(features, "run_id", "left")
+    known = F.array_join(F.transform(F.array_sort(F.map_keys(F.coalesce("features", F.create_map().cast("map<string,string>")))), lambda k: F.concat(k, F.lit("="), F.element_at("features", k))), ", ")
+    line, kind = F.substring(F.coalesce("_last", F.lit("")), 1, 500), F.regexp_extract("_last", r"^([\w.]+)", 1)
+    summary = F.concat_ws(" | ", "stage", F.coalesce(kind, F.lit("")), line, known)
+    out = rows.select("run_id", kind.alias("error_class"), F.substring("_last", 1, 500).alias("last_line"), summary.alias("summary"), "features")
+    return out if encoder is None else out.withColumn("embedding", encoder(F.col("summary")))

@@ -16,15 +16,72 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search_failures(signatures: DataFrame, queries: DataFrame, k: int = 8, by_error: bool = True) -> DataFrame:
-    """The k nearest signatures of each query (query_id, stage, error_class, vector) in its stage, and class if asked."""
+def search_failures(signatures: DataFrame, queries: DataFrame, k: int = 8, by_error: bool = True, by_stage: bool = True, most_queries: int = 10_000) -> DataFrame:
+    """The k nearest signatures of each query (query_id, stage, error_class, vector): of its stage, and class, if asked.
+
+    With by_stage False, and for queries whose stage is null, all stages count; the same holds for classes. Up to most_queries
+    queries go to every task, which then passes on k rows of each; more of them are joined by stage and class.
+    """
     q = queries.select("query_id", F.col("stage").alias("_stage"), F.col("error_class").alias("_class"), F.col("vector").alias("_vector"))
-    on = F.col("stage") == F.col("_stage")
-    if by_error:
-        on = on & (F.col("error_class") == F.col("_class"))
-    w = Window.partitionBy("query_id").orderBy("distance", "signature_id")
-    found = signatures.join(q, on).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_vector")))
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_stage", "_class", "_vector")
+    few = q.limit(most_queries + 1).count() <= most_queries
+    on = F.lit(True)
+    for wanted, own, asked in ((by_stage, "stage", "_stage"), (by_error, "error_class", "_class")):
+        if wanted:
+            on = on & ((F.col(own) == F.col(asked)) | F.col(asked).isNull() if few else F.col(own) == F.col(asked))
+    if not few and not (by_stage or by_error):
+        raise ValueError(f"more than {most_queries} queries need a stage or a class to be joined by")
+    found = signatures.join(F.broadcast(q) if few else q, on).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_vector"))).drop("_stage", "_class", "_vector")
+    # the k nearest of each partition first, so that few rows meet in one task
+    order = [F.col("distance").asc_nulls_last(), F.col("signature_id")]
+    part = Window.partitionBy("query_id", "_part").orderBy(*order)
+    near = found.withColumn("_part", F.pmod(F.xxhash64("signature_id"), F.lit(64))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= k).drop("_k", "_part")
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
+
+
+#: Fixed value: what is said of a weak match.
+ADVISORY = "advisory: does not block"
+
+
+def memory_view(tiered: DataFrame, remediations: DataFrame) -> DataFrame:
+    """Matches as they are shown: tier, whether it blocks, an advisory label for weak ones only, features sorted, known ones alone, and the best remediation.
+
+    tiered: query_id, signature_id, place, distance, tier, causal, agreeing (arrays), structured (map).
+    """
+    best = latest_remediation(remediations, succeeded_only=False).select("signature_id", F.col("remediation_id").alias("best_remediation"), F.col("succeeded").alias("remediation_succeeded"))
+    rows = tiered.join(best, "signature_id", "left")
+    known = F.map_filter("structured", lambda _, v: v.isNotNull())
+    return rows.select("query_id", "signature_id", "place", "distance", "tier", F.col("tier").isin("exact", "strong_semantic").alias("blocks"), F.when(F.col("tier") == "weak", ADVISORY).alias("advisory"), F.array_sort("agreeing").alias("agreeing"), F.array_sort("causal").alias("causal"), known.alias("structured"), "best_remediation", "remediation_succeeded")
+
+
+def embedding_problems(revisions: DataFrame, spaces: DataFrame) -> DataFrame:
+    """(signature_id, space, problem) of active embeddings that break a rule of their space (space, dim, normalised).
+
+    unknown_space, dimension, not_normalised, or repeated where a signature has several active ones in a space.
+    """
+    rows = revisions.where("active").join(spaces, "space", "left")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    checks = F.array_compact(F.array(F.when(F.col("dim").isNull(), "unknown_space"), F.when(F.size("embedding") != F.col("dim"), "dimension"), F.when(F.col("normalised") & (F.abs(norm - 1) > 1e-3), "not_normalised")))
+    single = rows.select("signature_id", "space", F.explode(checks).alias("problem"))
+    twice = rows.groupBy("signature_id", "space").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature_id", "space", F.lit("repeated").alias("problem"))
+    return single.unionByName(twice)
+
+
+def active_embeddings(revisions: DataFrame, spaces: DataFrame, space: str) -> DataFrame:
+    """Active embeddings of one space that break none of its rules."""
+    bad = embedding_problems(revisions, spaces).where(F.col("space") == space).select("signature_id").distinct()
+    return revisions.where(F.col("active") & (F.col("space") == space)).join(bad, "signature_id", "left_anti")
+
+
+def append_signatures(new: DataFrame, path: str, dim: int) -> None:
+    """Append signatures (with a column embedding) to a table; a vector of another dimension fails the write."""
+    checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"dimension is not {dim}: "), F.size("embedding").cast("string"))))
+    new.withColumn("embedding", checked).write.mode("append").parquet(path)
+
+
+def append_remediations(new: DataFrame, signatures: DataFrame, path: str) -> DataFrame:
+    """Append the remediations whose signature is known to a table; returns the others."""
+    new.join(signatures.select("signature_id"), "signature_id", "left_semi").select(*new.columns).write.mode("append").parquet(path)
+    return new.join(signatures.select("signature_id"), "signature_id", "left_anti").select(*new.columns)
 
 
 def latest_remediation(remediations: DataFrame, succeeded_only: bool = True) -> DataFrame:
@@ -68,11 +125,17 @@ def tier(causal: Column, agreeing: Column, same_stage: Column, same_class: Colum
     )
 
 
-def preflight(plans: DataFrame, matches: DataFrame, strict: bool = True) -> DataFrame:
-    """plans (query_id) with blocked, tier and signature_id of the nearest match that blocks; plans without one pass."""
+def preflight(plans: DataFrame, matches: DataFrame, remediations: DataFrame, strict: bool = True) -> DataFrame:
+    """plans (query_id, vector) with blocked, tier, signature_id and best remediation of the nearest match that blocks, and why a plan passes unsearched.
+
+    Plans without a match that blocks pass, and so do plans without a vector, with a reason: what cannot be searched is not held up.
+    """
     blocking = ["exact"] if strict else ["exact", "strong_semantic"]
     first = matches.where(F.col("tier").isin(blocking)).groupBy("query_id").agg(F.min_by(F.struct("tier", "signature_id"), "place").alias("m"))
-    return plans.select("query_id").join(first, "query_id", "left").select("query_id", F.col("m").isNotNull().alias("blocked"), "m.tier", "m.signature_id")
+    rows = plans.select("query_id", F.col("vector").isNull().alias("_blind")).join(first, "query_id", "left").select("query_id", "_blind", "m.tier", "m.signature_id")
+    fix = latest_remediation(remediations).select("signature_id", "remediation_id")
+    seen = F.col("signature_id").isNotNull() & ~F.col("_blind")
+    return rows.join(fix, "signature_id", "left").select("query_id", seen.alias("blocked"), F.when(seen, F.col("tier")).alias("tier"), F.when(seen, F.col("signature_id")).alias("signature_id"), F.when(seen, F.col("remediation_id")).alias("remediation_id"), F.when(F.col("_blind"), "no embedding").alias("reason"))
 
 
 def apply_remediation(config: DataFrame, changes: DataFrame) -> DataFrame:
@@ -81,6 +144,6 @@ def apply_remediation(config: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def shape_mismatch(reads: DataFrame) -> DataFrame:
-    """(plan_id) whose configured input_dim differs from the features' embedding_dim; reads: plan_id, key, value."""
+    """(plan_id, input_dim, embedding_dim) of plans whose configured input_dim differs from the features' embedding_dim; reads: plan_id, key, value."""
     wide = reads.groupBy("plan_id").agg(F.max(F.when(F.col("key") == "input_dim", F.col("value"))).alias("input_dim"), F.max(F.when(F.col("key") == "embedding_dim", F.col("value"))).alias("embedding_dim"))
     return wide.where("input_dim <> embedding_dim")

@@ -55,3 +55,45 @@ def g15_tighten_rules(artifacts):
     rules = op.ensure_rules(artifacts.limit(0).select(F.col("k").alias("rule_id"), F.lit(1).alias("revision"), F.lit("").alias("rule_state"), F.lit(True).alias("is_head")), artifacts.select(F.col("k").alias("rule_id")))
     against = artifacts.select(F.col("k").alias("rule_id"), F.when(F.col("k") % 5 == 0, 1).otherwise(9).alias("revision"), F.lit("seen").alias("evidence"), F.when(F.col("k") % 10 == 0, "recompute").otherwise("probe").alias("authority"))
     return op.tighten_rules(rules, against, F.col("authority"))
+
+
+_PATH = """WITH d AS (SELECT DISTINCT part AS derivation_id FROM {fragments})
+SELECT f.work_key AS root_id, f.fragment_index AS ordinal, CASE WHEN d.derivation_id % 50 = f.work_key % 50 THEN 'COMPUTED' ELSE 'RESTORE' END AS action, CASE WHEN d.derivation_id % 50 <> f.work_key % 50 THEN 'identity' END AS authorized_by, c.fence, coalesce(s.n, 0) AS subscribers
+FROM {fragments} f JOIN d ON d.derivation_id = f.part LEFT JOIN {claims} c ON c.work_key = f.part LEFT JOIN (SELECT owner_id, count(*) AS n FROM {claims} GROUP BY 1) s ON s.owner_id = f.part"""
+
+
+def _leaves(fragments):
+    return fragments.select(F.col("work_key").alias("root_id"), F.col("fragment_index").alias("ordinal"), F.col("part").alias("child_id"), F.col("duration_ms").cast("string").alias("slice_digest"))
+
+
+def _derivations(fragments):
+    d = F.col("derivation_id")
+    return fragments.select(F.col("part").alias("derivation_id")).distinct().select("derivation_id", d.alias("work_key"), F.lit(1).alias("generation"), d.alias("blob_digest"), F.lit("PUBLISHED").alias("state"), (d % 50).alias("run_id"))
+
+
+@R.query("fragments", "claims", sql=_PATH)
+def f15_leaf_path(fragments, claims):
+    roots = fragments.select(F.col("work_key").alias("root_id")).distinct().withColumn("root_run", F.col("root_id") % 50)
+    subscribers = claims.select(F.col("owner_id").alias("work_key"), F.lit(1).alias("generation"))
+    return op.leaf_path(roots, _leaves(fragments), _derivations(fragments), claims, subscribers).select("root_id", "ordinal", "action", "authorized_by", "fence", "subscribers")
+
+
+@R.query("fragments", sql="""WITH l AS (SELECT work_key AS root_id, fragment_index AS ordinal, part, duration_ms FROM {fragments}), parts AS (SELECT DISTINCT part FROM {fragments}),
+j AS (SELECT root_id, count(*) AS n, string_agg(concat('{"blob_digest":', cast(part AS varchar), ',"child_id":', cast(part AS varchar), ',"location":"cas/', cast(part AS varchar), '","ordinal":', cast(ordinal AS varchar), ',"size":', cast(part * 10 AS varchar), ',"slice_digest":"', cast(duration_ms AS varchar), '"}'), ',' ORDER BY ordinal) AS s FROM l WHERE part % 6 <> 0 GROUP BY 1)
+SELECT part AS root_id, coalesce(n, 0) AS n_leaves, concat('{"blob_digest":', cast(part AS varchar), ',"leaves":[', coalesce(s, ''), '],"location":"cas/', cast(part AS varchar), '","root_id":', cast(part AS varchar), ',"size":', cast(part * 10 AS varchar), ',"work_key":', cast(part AS varchar), '}') AS receipt FROM parts LEFT JOIN j ON root_id = part WHERE part % 6 <> 0""")
+def f16_receipts(fragments):
+    derivations = _derivations(fragments)
+    b = F.col("blob_digest")
+    blobs = derivations.where(b % 6 != 0).select("blob_digest", F.concat(F.lit("cas/"), b.cast("string")).alias("location"), (b * 10).alias("size"))
+    return op.receipts(derivations.select(F.col("derivation_id").alias("root_id")), _leaves(fragments), derivations, blobs)
+
+
+_TOP = "SELECT '{0}' AS scenario, cast(row_number() OVER (ORDER BY {3}) AS integer) AS place, cast({1} AS varchar) AS ref, cast({2} AS varchar) AS note FROM {4} QUALIFY row_number() OVER (ORDER BY {3}) <= {5}"
+
+
+@R.query("decisions", "transfers", "fragments", "signatures", "remediations", sql=" UNION ALL ".join([
+    _TOP.format("reuse", "decision_id", "stage", "created_at DESC, decision_id DESC", "{decisions} WHERE verdict = 'reuse'", 5), _TOP.format("verdicts", "decision_id", "verdict", "created_at DESC, decision_id DESC", "{decisions} WHERE verdict IN ('reuse', 'recompute')", 10),
+    "SELECT 'takeover' AS scenario, 0 AS place, NULL AS ref, 'no transfer' AS note", _TOP.format("fragments", "work_key", "n", "n DESC, work_key DESC", "(SELECT work_key, count(*) AS n FROM {fragments} GROUP BY 1)", 2),
+    _TOP.format("failures", "signature_id", "coalesce(cast(remediation_id AS varchar), 'none')", "s.created_at DESC, signature_id DESC", "{signatures} s LEFT JOIN (SELECT signature_id, remediation_id FROM {remediations}) r USING (signature_id)", 5)]))
+def f18_replay_scenarios(decisions, transfers, fragments, signatures, remediations):
+    return op.replay_scenarios(decisions, transfers.where("to_fence < 0"), fragments, signatures, remediations)
