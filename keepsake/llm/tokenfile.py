@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import text_of
+from keepsake.llm.common import Scratch, text_of
 from keepsake.llm.tokens import encoder
 
 SCHEMA = "doc_id long, ids array<int>"
@@ -65,7 +65,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = read_token_file(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    rows = rows.mapInArrow(digest, "file string, doc_id long, n_tokens long, ids_crc32 long")
+    # the files are read once, into a narrow table
+    with Scratch(spark) as tmp:
+        rows = tmp.result(rows.mapInArrow(digest, "file string, doc_id long, n_tokens long, ids_crc32 long"), "tokens")
     # one row for each file: a running sum over these gives the ids before each file
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_sum"), F.min("doc_id").alias("_least"))
     before = Window.orderBy("_least", "file").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 
 from keepsake.llm.common import keep_in_worker, slices
 
-#: Pieces whose ids a worker remembers: about 100 MB.
-REMEMBERED = 500_000
+#: Pieces whose ids a worker remembers: about 80 MB.
+REMEMBERED = 400_000
 #: Bytes of text that are split at a time.
-SPLIT_BYTES = 6 << 20
+SPLIT_BYTES = 2 << 20
 #: Pieces that are one word for the vocabulary; many of them are encoded as one text.
 _WORD = re.compile("[a-zà-öø-ÿ]+").fullmatch
 _TOGETHER = 64
@@ -71,10 +71,15 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         words = pc.dictionary_encode(split.flatten())
         row_end = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        ids_of = np.array([*self._pieces(words.dictionary.to_pylist()), np.uint32(end_id).tobytes()], object)
-        codes = np.insert(words.indices.to_numpy(), row_end, len(ids_of) - 1)  # the end id is a last piece of each row
-        ids = np.frombuffer(b"".join(ids_of[codes].tolist()), "<u4")
-        ends = np.cumsum(np.fromiter(map(len, ids_of), np.int64, len(ids_of))[codes])[row_end + np.arange(len(row_end))] // 4
+        pieces = [*self._pieces(words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint32(end_id).tobytes()]
+        codes = np.insert(words.indices.to_numpy(), row_end, len(pieces) - 1)  # the end id is a last piece of each row
+        # each piece's ids are laid out from its place in all_ids
+        all_ids, size = np.frombuffer(b"".join(pieces), "<u4"), np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
+        begin = np.cumsum(size) - size
+        length = size[codes]
+        piece_end = np.cumsum(length, dtype=np.int64)
+        ids = all_ids[np.repeat(begin[codes] - piece_end + length, length) + np.arange(piece_end[-1] if len(codes) else 0)]
+        ends = piece_end[row_end + np.arange(len(row_end))]
         count = np.diff(np.concatenate([[0], ends]))
         if special.any():
             parts = np.split(ids, ends[:-1])
