@@ -51,6 +51,10 @@ class FramedDigest:
         self._sum.update(len(data).to_bytes(8, "big"))
         self._sum.update(data)
 
+    def framed(self, data: bytes) -> None:
+        """Rows that are already led by their lengths."""
+        self._sum.update(data)
+
     def hex(self) -> str:
         return self._sum.hexdigest()
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from keepsake.functions.canon import evidence_digest
 from keepsake.functions.scratch import cut
@@ -72,6 +75,43 @@ def hash_embed(text: Column, dim: int = 64) -> Column:
     return embed(text)
 
 
+def embed(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], dim: int, text_col: str = "text") -> DataFrame:
+    """df with embedding (array of float): encoder turns a list of texts into rows of numbers, in Arrow batches.
+
+    Null texts count as empty. A result of another shape fails the job.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            vectors = np.asarray(encoder(texts), np.float32) if texts else np.empty((0, dim), np.float32)
+            if vectors.shape != (len(texts), dim):
+                raise ValueError(f"the encoder gave {vectors.shape}, not {(len(texts), dim)}")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * len(texts) + 1, dim, dtype=np.int32)), pa.array(vectors.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "embedding"])
+
+    return df.mapInArrow(compute, StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+
+
+def shard_digests(features: DataFrame, order_by: str = "doc_id") -> DataFrame:
+    """(shard, n_rows, digest): sha256 of each shard's vectors as little-endian 32-bit floats in the order of order_by, in constant memory."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, total, n, done = None, None, 0, []
+        for batch in batches:
+            for k, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != shard:
+                    done += [(shard, n, total.hexdigest())] if total else []
+                    shard, total, n = k, hashlib.sha256(), 0
+                total.update(vector.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                n += 1
+        done += [(shard, n, total.hexdigest())] if total else []
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], names=["shard", "n_rows", "digest"])
+
+    ordered = features.select(F.col("shard").cast("int").alias("shard"), "embedding", order_by).repartition("shard").sortWithinPartitions("shard", order_by)
+    return ordered.select("shard", "embedding").mapInArrow(digest, "shard int, n_rows long, digest string")
+
+
 def join_features(dataset: DataFrame, features: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return dataset.join(features, id_col)
 

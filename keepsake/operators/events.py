@@ -48,6 +48,30 @@ def attach_probes(events: DataFrame, probe: str = "signup", stages: tuple[str, .
     return events.withColumn("stage_id", stage).where(F.col("event_type") == probe).select("event_id", "stage_id")
 
 
+def coverage_share(sample: Column, population: Column) -> Column:
+    """The share of a population that a sample covers, from 0 to 1; null without a population."""
+    return F.when(population > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), sample / population)))
+
+
+#: The status after each type of event.
+STATUS = {"plan.completed": "Planned", "stage.started": "Running", "stage.completed": "Succeeded", "stage.failed": "Failed"}
+
+
+def stage_status(events: DataFrame) -> DataFrame:
+    """(run_id, stage, status, error, runtime_s): where each stage stands after its newest event; partial aggregates only.
+
+    events: run_id, stage, seq, type, ts, error_class, message. run.started begins anew: what came before it does
+    not count. An error, as class and message, is that of a failure that nothing has followed.
+    """
+    began = events.where("type = 'run.started'").groupBy("run_id").agg(F.max("seq").alias("_began"))
+    rows = events.where(F.col("type").isin(*STATUS)).join(began, "run_id", "left").where(F.col("seq") > F.coalesce("_began", F.lit(-1)))
+    start, end = F.col("type") == "stage.started", F.col("type").isin("stage.completed", "stage.failed")
+    text = F.concat_ws(": ", "error_class", "message")
+    last = rows.groupBy("run_id", "stage").agg(F.max_by("type", "seq").alias("type"), F.max_by(F.when(start, F.col("ts")), F.when(start, F.col("seq"))).alias("_start"), F.max_by(F.when(end, F.col("ts")), F.when(end, F.col("seq"))).alias("_end"), F.max_by(text, "seq").alias("_error"))
+    names = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    return last.select("run_id", "stage", names[F.col("type")].alias("status"), F.when(F.col("type") == "stage.failed", F.col("_error")).alias("error"), F.when(end, F.unix_seconds(F.col("_end").cast("timestamp")) - F.unix_seconds(F.col("_start").cast("timestamp"))).alias("runtime_s"))
+
+
 def quarantine_feed(events: DataFrame, quarantine: str = "error", reversal: str = "view") -> DataFrame:
     """(event_id, reversed_by): each quarantine with the next reversal of its run."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)

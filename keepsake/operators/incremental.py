@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from keepsake.functions.canon import FramedDigest, digest_column, number_of, sum
 
 BUCKETS = 64
 CHUNK_ROWS = 8
+#: Buckets up to which those to compute are sent to all tasks; the number of buckets is a parameter.
+MOST_BROADCAST = 100_000
 
 
 def id_bytes(id_col: str) -> Column:
@@ -24,8 +28,19 @@ def bucket_of(id_text: Column, buckets: int = BUCKETS) -> Column:
     return (number_of(F.sha2(id_text, 256)) % F.lit(buckets)).cast("int")
 
 
-def validate_ids(rows: DataFrame, id_col: str, line_col: str) -> DataFrame:
-    """(line, first_line, problem) of missing and of repeated ids."""
+def typed_ids(raw: Column) -> Column:
+    """A JSON id's canonical text, or null for what is neither a string nor a whole number: 7 and "7" differ, true is no id."""
+    raw = F.trim(raw)
+    return F.when(raw.rlike(r'^(-?(0|[1-9][0-9]*)|".*")$'), raw)
+
+
+def validate_ids(rows: DataFrame, id_col: str, line_col: str, raw_col: str | None = None) -> DataFrame:
+    """(line, first_line, problem) of missing and of repeated ids, and, of raw_col's JSON texts, of ids of a wrong type (missing: null or "null")."""
+    if raw_col is not None:
+        rows = rows.withColumn(id_col, typed_ids(F.col(raw_col)))
+        lost = F.col(raw_col).isNull() | (F.trim(raw_col) == "null")
+        wrong = rows.where(F.col(id_col).isNull() & ~lost).select(F.col(line_col).alias("line"), F.lit(None).cast("long").alias("first_line"), F.lit("type").alias("problem"))
+        return wrong.unionByName(validate_ids(rows.where(F.col(id_col).isNotNull() | lost), id_col, line_col))
     missing = rows.where(F.col(id_col).isNull()).select(F.col(line_col).alias("line"), F.lit(None).cast("long").alias("first_line"), F.lit("missing").alias("problem"))
     first = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(line_col).cast("long").alias("first_line"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = rows.join(first, id_col).where(F.col(line_col) > F.col("first_line")).select(F.col(line_col).alias("line"), "first_line", F.lit("duplicate").alias("problem"))
@@ -44,24 +59,32 @@ def multiset_digests(rows: DataFrame, bucket: Column, row_text: Column) -> DataF
 
 
 def slice_digests(bucketed: DataFrame, row_col: str) -> DataFrame:
-    """(bucket, n_rows, slice_digest) of bucketize()'s rows: one pass in order, in constant memory."""
+    """(bucket, n_rows, slice_digest) of bucketize()'s rows: one pass in order over Arrow batches, in constant memory."""
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, total, n = None, None, 0
         for batch in batches:
-            done = []
-            for b, row in zip(batch["bucket"], batch["row"], strict=True):
-                if b != bucket:
+            done, buckets = [], batch.column(0).to_numpy()
+            texts = pc.fill_null(batch.column(1), "").cast(pa.binary())
+            data, ends = memoryview(texts.buffers()[2] or b""), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            lengths = np.diff(ends).astype(">u8").tobytes()
+            cuts = np.flatnonzero(np.diff(buckets)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(buckets)], strict=True):
+                if len(buckets) and buckets[a] != bucket:
                     if total is not None:
                         done.append((bucket, n, total.hex()))
-                    bucket, total, n = b, FramedDigest("slice", bucket=int(b)), 0
-                total.add((row or "").encode())
-                n += 1
-            yield pd.DataFrame(done, columns=["bucket", "n_rows", "slice_digest"])
+                    bucket, total, n = int(buckets[a]), FramedDigest("slice", bucket=int(buckets[a])), 0
+                # what add() would hash for each row, laid out for the whole run of rows
+                total and total.framed(b"".join(x for k in range(a, b) for x in (lengths[8 * k : 8 * k + 8], data[ends[k] : ends[k + 1]])))
+                n += b - a
+            yield of(done)
         if total is not None:
-            yield pd.DataFrame([(bucket, n, total.hex())], columns=["bucket", "n_rows", "slice_digest"])
+            yield of([(bucket, n, total.hex())])
+
+    def of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["bucket", "n_rows", "slice_digest"])
 
-    return bucketed.select("bucket", F.col(row_col).alias("row")).mapInPandas(digest, "bucket int, n_rows long, slice_digest string")
+    return bucketed.select("bucket", F.col(row_col).cast("string").alias("row")).mapInArrow(digest, "bucket int, n_rows long, slice_digest string")
 
 
 def microchunks(rows: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
@@ -70,6 +93,14 @@ def microchunks(rows: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     return rows.withColumn("position", at).withColumn("chunk", F.floor(F.col("position") / size).cast("int"))
 
 
+def chunk_digests(chunks: DataFrame, row_col: str, globals_digest: str) -> DataFrame:
+    """(bucket, chunk, n_rows, chunk_digest, chunk_key) of microchunks()'s rows: a chunk has CHUNK_ROWS rows at most, so its list is short."""
+    listed = F.array_sort(F.collect_list(F.struct("position", F.col(row_col).cast("string").alias("row"))))
+    framed = F.concat_ws("|", F.transform(listed, lambda x: F.concat(F.length(F.coalesce(x["row"], F.lit(""))).cast("string"), F.lit(":"), F.coalesce(x["row"], F.lit("")))))
+    made = chunks.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(framed, 256).alias("chunk_digest"))
+    return made.withColumn("chunk_key", digest_column("chunk", F.lit(globals_digest), F.col("bucket"), F.col("chunk"), F.col("chunk_digest")))
+
+
 def leaf_keys(slices: DataFrame, globals_digest: str, digest_col: str = "slice_digest") -> DataFrame:
     return slices.withColumn("leaf_key", digest_column("leaf", F.lit(globals_digest), F.col("bucket"), F.col(digest_col)))
 
@@ -82,8 +113,9 @@ def diff_leaves(new: DataFrame, current: DataFrame, key: str = "leaf_key") -> Da
 
 def map_changed(rows: DataFrame, leaves: DataFrame, mapper: Callable, schema: str, restored: DataFrame | None = None) -> DataFrame:
     """mapper (as for mapInPandas) over the rows of leaves to COMPUTE, with what other leaves have restored."""
-    todo = leaves.where("action = 'COMPUTE'").select("bucket")
-    made = rows.join(F.broadcast(todo), "bucket", "left_semi").mapInPandas(mapper, schema)  # one row for each bucket at most
+    todo = leaves.where("action = 'COMPUTE'").select("bucket").distinct()
+    few = todo.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    made = rows.join(F.broadcast(todo) if few else todo, "bucket", "left_semi").mapInPandas(mapper, schema)
     return made if restored is None else made.unionByName(restored)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +63,48 @@ def reconcile_exit(events: DataFrame, statuses: DataFrame) -> DataFrame:
     return rows.select("trace_id", "exit_code", reason.alias("reason"))
 
 
-def trace_accesses(events: DataFrame) -> DataFrame:
-    """(trace_id, line_no, kind, ref, mode): what each call touched; relative paths under the process's latest directory.
+#: Calls that change a process's directory, and those that make a process.
+DIRECTORY_CALLS, FORK_CALLS = ("chdir", "fchdir"), ("clone", "clone3", "fork", "vfork")
+
 
-    The directory of a process is the last successful chdir before, by a running
-    last value, so no trace has to be folded in one function call.
+def directories(events: DataFrame) -> DataFrame:
+    """(trace_id, pid, line_no, cwd): where each process is after a line; a new process starts where its parent is.
+
+    Only calls that change directories or make processes are folded, in the order of a trace's lines.
     """
+    ok = ~F.col("ret").startswith("-1")
+    path, fd_path = F.regexp_extract("args", r'"((?:[^"\\]|\\.)*)"', 1), F.regexp_extract("args", r"^-?\d+<([^>]*)>", 1)
+    few = events.where((F.col("kind") == "syscall") & ok & F.col("name").isin(*DIRECTORY_CALLS, *FORK_CALLS))
+    few = few.select("trace_id", F.col("pid").cast("string").alias("pid"), F.col("line_no").cast("long").alias("line_no"), "name", F.when(F.col("name") == "fchdir", fd_path).otherwise(path).alias("path"), F.regexp_extract("ret", r"^(\d+)", 1).alias("child"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        at, out = {}, []
+        for r in rows.sort_values("line_no").itertuples(index=False):
+            pid = r.child if r.name in FORK_CALLS else r.pid
+            here = at.get(r.pid)
+            new = here if r.name in FORK_CALLS else r.path if r.path.startswith("/") or here is None else posixpath.normpath(posixpath.join(here, r.path))
+            if new:
+                at[pid] = new
+                out.append((r.trace_id, pid, r.line_no, new))
+        return pd.DataFrame(out, columns=["trace_id", "pid", "line_no", "cwd"])
+
+    return few.groupBy("trace_id").applyInPandas(fold, "trace_id string, pid string, line_no long, cwd string")
+
+
+def trace_accesses(events: DataFrame) -> DataFrame:
+    """(trace_id, line_no, kind, ref, mode): what each call touched; relative paths under the call's own directory, else under the process's latest one."""
     calls = events.where("kind = 'syscall'")
     ok = ~F.col("ret").startswith("-1")
     path = F.regexp_extract("args", r'"((?:[^"\\]|\\.)*)"', 1)
     second = F.regexp_extract("args", r'"(?:[^"\\]|\\.)*",\s*(?:[^",]+,\s*)?"((?:[^"\\]|\\.)*)"', 1)
     fd_path = F.regexp_extract("args", r"^-?\d+<([^>]*)>", 1)
-    w = Window.partitionBy("trace_id", "pid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    calls = calls.withColumn("_cwd", F.last(F.when((F.col("name") == "chdir") & ok, path), ignorenulls=True).over(w))
+    w = Window.partitionBy("trace_id", "_pid").orderBy("line_no", F.col("_moved").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    calls = calls.withColumn("_pid", F.col("pid").cast("string"))
+    # a change counts from the next line on
+    moves = directories(events).select("trace_id", F.col("pid").alias("_pid"), (F.col("line_no") + 1).alias("line_no"), F.col("cwd").alias("_moved"))
+    calls = calls.unionByName(moves, allowMissingColumns=True).withColumn("_cwd", F.last("_moved", ignorenulls=True).over(w)).where("_moved is null")
+    # openat(5</dir>, "x") is under /dir
+    calls = calls.withColumn("_cwd", F.when(F.col("name").endswith("at") & (fd_path != ""), fd_path).otherwise(F.col("_cwd")))
     absolute = lambda p: F.when(p.startswith("/") | F.col("_cwd").isNull(), p).otherwise(F.concat_ws("/", F.col("_cwd"), p))
     entry = lambda kind, ref, mode: F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), F.lit(mode).alias("mode"))
     write = F.col("args").rlike(r"O_WRONLY|O_RDWR|O_CREAT|O_TRUNC|O_APPEND")
@@ -168,7 +200,7 @@ def detect_drift(predicted: DataFrame, actual: DataFrame, network: DataFrame) ->
     """(trace_id, drift): network activity, an input that was not predicted, or changed inputs; null if none."""
     both = predicted.select("trace_id", "ref", F.col("version").alias("_p"), F.lit(True).alias("_in_p")).join(actual.select("trace_id", "ref", F.col("version").alias("_a"), F.lit(True).alias("_in_a")), ["trace_id", "ref"], "full")
     per = both.groupBy("trace_id").agg(F.bool_or(F.col("_in_p").isNull()).alias("hidden"), F.bool_or(F.col("_in_a").isNull() | ~F.col("_p").eqNullSafe(F.col("_a"))).alias("changed"))
-    rows = per.join(network.select("trace_id").distinct().withColumn("_net", F.lit(True)), "trace_id", "left")
+    rows = per.join(network.select("trace_id").distinct().withColumn("_net", F.lit(True)), "trace_id", "full")
     return rows.select("trace_id", F.when(F.col("_net"), "network").when(F.col("hidden"), "hidden_input").when(F.col("changed"), "changed_inputs").alias("drift"))
 
 

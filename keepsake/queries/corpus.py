@@ -33,6 +33,15 @@ def b7_hash_embed(docs):
     return docs.select("doc_id", op.hash_embed(F.col("text")).alias("embedding"))
 
 
+@R.query("documents")
+def b6_embed_shards(docs):
+    def lengths(texts):
+        return [[len(t), t.count(" "), t.count("\n"), 1.0] for t in texts]
+
+    shards = op.assign_shards(docs.select("doc_id", "text"), 7)
+    return op.shard_digests(op.embed(shards, lengths, 4))
+
+
 @R.query("snapshot", "embeddings", sql="SELECT doc_id, target, len(embedding) AS dim, label FROM {snapshot} JOIN (SELECT vec_id AS doc_id, embedding, label FROM {embeddings}) USING (doc_id)")
 def b8_join_features(snapshot, embeddings):
     return op.join_features(snapshot, embeddings.withColumnRenamed("vec_id", "doc_id")).select("doc_id", "target", F.size("embedding").alias("dim"), "label")
@@ -169,9 +178,20 @@ def i10_alarms(events):
 
 
 @R.query("events", sql="""WITH m AS (SELECT user_id, event_id, event_type, max(CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stage_id FROM {events})
-SELECT event_id, stage_id FROM m WHERE event_type = 'signup'""")
+SELECT event_id, stage_id, CASE WHEN event_id % 100 > 10 THEN round(greatest(0.0, least(1.0, (event_id % 70 - 3) / (event_id % 100 - 10))), 9) END AS coverage FROM m WHERE event_type = 'signup'""")
 def i2_attach_probes(events):
-    return ev.attach_probes(events)
+    k = F.col("event_id")
+    return ev.attach_probes(events).withColumn("coverage", F.round(ev.coverage_share(k % 70 - 3, k % 100 - 10), 9))
+
+
+@R.query("events", sql="""WITH e AS (SELECT user_id AS run_id, concat('s', cast(event_id % 5 AS varchar)) AS stage, event_id AS seq, ts, event_type AS t FROM {events}),
+b AS (SELECT run_id, max(seq) AS began FROM e WHERE t = 'signup' AND seq % 3 = 0 GROUP BY 1), r AS (SELECT e.* FROM e LEFT JOIN b USING (run_id) WHERE t <> 'signup' AND seq > coalesce(began, -1))
+SELECT run_id, stage, CASE arg_max(t, seq) WHEN 'purchase' THEN 'Planned' WHEN 'view' THEN 'Running' WHEN 'click' THEN 'Succeeded' ELSE 'Failed' END AS status, CASE WHEN arg_max(t, seq) = 'error' THEN concat('E: ', cast(max(seq) AS varchar)) END AS error,
+  CASE WHEN arg_max(t, seq) IN ('click', 'error') THEN cast(epoch(arg_max(ts, seq) FILTER (t IN ('click', 'error'))) AS bigint) - cast(epoch(arg_max(ts, seq) FILTER (t = 'view')) AS bigint) END AS runtime_s FROM r GROUP BY 1, 2""")
+def i1_stage_fold(events):
+    k, t = F.col("event_id"), F.col("event_type")
+    kind = F.when(t == "purchase", "plan.completed").when(t == "view", "stage.started").when(t == "click", "stage.completed").when(t == "error", "stage.failed").when(k % 3 == 0, "run.started").otherwise("other")
+    return ev.stage_status(events.select(F.col("user_id").alias("run_id"), F.concat(F.lit("s"), (k % 5).cast("string")).alias("stage"), k.alias("seq"), kind.alias("type"), "ts", F.lit("E").alias("error_class"), k.cast("string").alias("message")))
 
 
 @R.query("events", sql="""WITH q AS (SELECT user_id, event_id, event_type, min(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reversed_by FROM {events})

@@ -35,6 +35,15 @@ def a1_validate_ids(items):
     return bad.join(rows.select("id", "line"), "line").agg(F.count("line").alias("duplicates"), F.count_distinct("id").alias("ids"))
 
 
+@R.query("documents", sql="""WITH x AS (SELECT doc_id AS line, CASE WHEN doc_id % 31 = 0 THEN 'true' WHEN doc_id % 29 = 0 THEN 'null' WHEN doc_id % 23 = 0 THEN '1.5' WHEN doc_id % 2 = 0 THEN cast(doc_id % 90 AS varchar) ELSE concat('"', cast(doc_id % 90 AS varchar), '"') END AS raw FROM {documents}),
+t AS (SELECT line, raw, CASE WHEN raw IN ('true', '1.5') THEN 'type' WHEN raw = 'null' THEN 'missing' END AS problem FROM x), f AS (SELECT line, problem, CASE WHEN problem IS NULL THEN min(line) OVER (PARTITION BY raw) END AS first_line FROM t)
+SELECT line, CASE WHEN problem IS NULL THEN first_line END AS first_line, coalesce(problem, 'duplicate') AS problem FROM f WHERE problem IS NOT NULL OR line > first_line""")
+def a1_typed_ids(docs):
+    k = F.col("doc_id")
+    raw = F.when(k % 31 == 0, "true").when(k % 29 == 0, "null").when(k % 23 == 0, "1.5").when(k % 2 == 0, (k % 90).cast("string")).otherwise(F.concat(F.lit('"'), (k % 90).cast("string"), F.lit('"')))
+    return op.validate_ids(docs.select(k.alias("line"), raw.alias("raw")), "id", "line", "raw")
+
+
 @R.query("documents", sql=f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM {{documents}} GROUP BY 1")
 def a3_bucket_histogram(docs):
     return docs.groupBy(op.bucket_of(op.id_bytes("doc_id")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -46,9 +55,10 @@ def a5_slice_digests(docs):
     return op.slice_digests(op.bucketize(docs.withColumn("row", canonical), "doc_id"), "row")
 
 
-@R.query("documents", sql=f"""SELECT bucket, cast(floor((k - 1) / 8) AS integer) AS chunk, count(*) AS n_rows FROM (SELECT {_BUCKET} AS bucket, row_number() OVER (PARTITION BY {_BUCKET} ORDER BY cast(doc_id AS string)) AS k FROM {{documents}}) GROUP BY 1, 2""")
+@R.query("documents", sql=f"""WITH x AS (SELECT {_BUCKET} AS bucket, row_number() OVER (PARTITION BY {_BUCKET} ORDER BY cast(doc_id AS string)) - 1 AS k, text FROM {{documents}}),
+c AS (SELECT bucket, cast(floor(k / 8) AS integer) AS chunk, count(*) AS n_rows, sha256(string_agg(concat(cast(length(text) AS varchar), ':', text), '|' ORDER BY k)) AS chunk_digest FROM x GROUP BY 1, 2) SELECT *, {framed('chunk', "'globals'", 'bucket', 'chunk', 'chunk_digest')} AS chunk_key FROM c""")
 def a6_microchunks(docs):
-    return op.microchunks(op.bucketize(docs.select("doc_id"), "doc_id")).groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n_rows"))
+    return op.chunk_digests(op.microchunks(op.bucketize(docs.select("doc_id", "text"), "doc_id")), "text", "globals")
 
 
 @R.query("documents", "mutated", sql=_BOTH + "SELECT new.bucket, CASE WHEN old.bucket IS NULL THEN 'COMPUTE' ELSE 'RESTORE' END AS action, new.n_rows FROM new LEFT JOIN old ON new.bucket = old.bucket AND new.digest = old.digest")
@@ -83,9 +93,8 @@ def a11_pending_chunks(items):
 
 @R.query("documents", sql="SELECT cast(doc_id AS string) AS id_bytes, row_number() OVER (ORDER BY cast(doc_id AS string)) AS place FROM {documents}")
 def a12_reduce(docs):
-    # places are ranks in the global order, by counting instead of one global window
-    ordered = op.reduce_leaves(docs.select(op.id_bytes("doc_id").alias("id_bytes")))
-    return ordered_places(ordered, "id_bytes")
+    # the global order, as places by counting; the places need no sort before
+    return ordered_places(docs.select(op.id_bytes("doc_id").alias("id_bytes")), "id_bytes")
 
 
 def ordered_places(df, by):

@@ -53,30 +53,49 @@ def next_claim(state: tuple | None, kind: str, owner: str | None, fence: int | N
     return phase, own, challenger, top, beats, anchor
 
 
-def claim_board(events: DataFrame) -> DataFrame:
+def claim_board(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The board of claims (work_key, phase, owner, challenger, fence, beats) from a stream of (work_key, type, owner, fence, ts).
 
-    State is a few values for each key. A key that is neither terminal nor heard of for a lease's time is reported as lease_expired.
+    State is a few values for each key and goes when the claim is terminal; its last row has been reported by then. A key that
+    is not heard of for a lease's time, by the watermark, is reported as lease_expired and kept until another
+    lease's time has passed. Within a batch, a key's events count in the order of their times.
     """
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else None
         if state.hasTimedOut:
+            if now[0] == "lease_expired":
+                state.remove()
+                return
             now = ("lease_expired", *now[1:])
         else:
-            for f in frames:
-                for r in f.sort_values("ts").itertuples(index=False):
-                    now = next_claim(now, r.type, r.owner, None if pd.isna(r.fence) else int(r.fence), r.ts.timestamp())
-        state.update(now)
-        if now[0] not in (*TERMINAL, "lease_expired"):
-            state.setTimeoutDuration(LEASE_S * 1000)
+            rows = pd.concat(list(frames)).sort_values("ts", kind="stable")  # one key's events of one batch
+            for r in rows.itertuples(index=False):
+                now = next_claim(now, r.type, r.owner, None if pd.isna(r.fence) else int(r.fence), r.ts.timestamp())
+        if now[0] in TERMINAL:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(now)
+            state.setTimeoutTimestamp(max(int(now[5] * 1000) + LEASE_S * 1000, state.getCurrentWatermarkMs() + 1 + LEASE_S * 1000 * (now[0] == "lease_expired")))
         yield pd.DataFrame([(*key, *now[:5])], columns=["work_key", "phase", "owner", "challenger", "fence", "beats"])
 
-    return events.groupBy("work_key").applyInPandasWithState(
-        fold, "work_key string, phase string, owner string, challenger string, fence long, beats long", "phase string, owner string, challenger string, fence long, beats long, anchor double", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).groupBy("work_key").applyInPandasWithState(
+        fold, "work_key string, phase string, owner string, challenger string, fence long, beats long", "phase string, owner string, challenger string, fence long, beats long, anchor double", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def reaper(heartbeats: DataFrame, lease_s: int = LEASE_S, late: str = "10 seconds") -> DataFrame:
+    """(work_key, fence, expired_at) of open claims whose lease has run out, once each, from a stream of (work_key, fence, open, ts).
+
+    Every event renews the lease, and one that is not open ends the claim. Session windows of a lease's length end where no event
+    renews them, so the watermark alone decides and state goes with its window; in append mode.
+    """
+    window = F.session_window("ts", f"{lease_s} seconds")
+    last = heartbeats.withWatermark("ts", late).groupBy("work_key", window).agg(F.max_by(F.struct("open", "fence"), "ts").alias("last"))
+    return last.where("last.open").select("work_key", "last.fence", F.col("session_window.end").alias("expired_at"))
+
+
 def stage_status(events: DataFrame) -> DataFrame:
     """(run_id, stage, status, runtime_s) from a stream of (run_id, stage, type, ts): the newest event of each stage decides."""
     newest = events.groupBy("run_id", "stage").agg(F.max_by("type", "ts").alias("type"), F.max_by(F.when(F.col("type") == "stage.started", F.col("ts")), F.when(F.col("type") == "stage.started", F.col("ts"))).alias("started"), F.max("ts").alias("last"))

@@ -210,6 +210,41 @@ def test_trace(spark):
     assert {r.trace_id: r.state for r in trace.coverage(about, events, trace.trace_accesses(events), clean, "/work/out").collect()}["t"] == "INCOMPLETE_NETWORK"
 
 
+def test_directories_of_processes(spark):
+    text = """1 chdir("/work") = 0
+1 clone(child_stack=NULL) = 2
+2 openat(AT_FDCWD, "a", O_RDONLY) = 3</work/a>
+2 chdir("sub") = 0
+2 openat(AT_FDCWD, "b", O_RDONLY) = 3</work/sub/b>
+1 openat(AT_FDCWD, "c", O_RDONLY) = 4</work/c>
+1 fchdir(5</other>) = 0
+1 vfork() = 9
+9 openat(AT_FDCWD, "d", O_RDONLY) = 3</other/d>
+9 openat(7</deep>, "e", O_RDONLY) = 4</deep/e>
+9 chdir("gone") = -1 ENOENT (No such file or directory)
+9 chdir("../up") = 0
+9 openat(AT_FDCWD, "f", O_RDONLY) = 3</up/f>"""
+    lines = spark.createDataFrame([("t", n, x) for n, x in enumerate(text.split("\n"))], "trace_id string, line_no int, line string")
+    events, _ = trace.join_resumed(trace.parse_trace(lines))
+    got = {(r.line_no, r.ref) for r in trace.trace_accesses(events).where("mode = 'read'").collect()}
+    assert got == {(2, "/work/a"), (4, "/work/sub/b"), (5, "/work/c"), (8, "/other/d"), (9, "/deep/e"), (12, "/up/f")}
+
+
+def test_companion_drift_and_invariants(spark, tmp_path):
+    r = spark.createDataFrame([("t", "file", "a", "read", "h"), ("t", "file", "n", "negative", "absent")], "trace_id string, kind string, ref string, mode string, version string")
+    more = spark.createDataFrame([("t", "file", "a", "read", "other"), ("t", "file", "b", "read", "h")], r.schema)
+    assert rows(trace.merge_companion(r, more).select("ref", "version")) == [("a", "h"), ("b", "h"), ("n", "absent")]
+    bad = r.unionByName(r.limit(0)).unionByName(spark.createDataFrame([("t", "file", "x", "negative", "h"), ("t", "file", "y", "read", "absent"), ("t", "file", "a", "read", "h")], r.schema))
+    assert rows(trace.validate_traces(bad)) == [("t", "a", "repeated"), ("t", "x", "absence"), ("t", "y", "absence")]
+    io_of = lambda rows_: spark.createDataFrame(rows_, "trace_id string, ref string, version string")
+    predicted = io_of([("same", "a", "1"), ("new", "a", "1"), ("edit", "a", "1"), ("less", "a", "1"), ("net", "a", "1")])
+    actual = io_of([("same", "a", "1"), ("new", "a", "1"), ("new", "b", "1"), ("edit", "a", "2"), ("net", "a", "1")])
+    network = spark.createDataFrame([("net",), ("only",)], "trace_id string")
+    assert rows(trace.detect_drift(predicted, actual, network).na.fill("")) == [("edit", "changed_inputs"), ("less", "changed_inputs"), ("net", "network"), ("new", "hidden_input"), ("only", "network"), ("same", "")]
+    reads = spark.createDataFrame([("fit", "lr"), ("fit", "seed"), ("eval", "k")], "stage string, key string")
+    assert rows(trace.downstream_only_config(spark.createDataFrame([("lr",), ("zz",)], "key string"), reads)) == [("eval", "downstream_only", []), ("fit", "affected", ["lr"])]
+
+
 def test_trace_resources(spark):
     r = spark.createDataFrame([("t", "file", "/p/x", "read", "syscall", "hash", 1), ("t", "file", "a", "read", "python", "hash", 5), ("t", "file", "a", "read", "syscall", "symlink", 4), ("t", "file", "a", "read", "syscall", "hash", 2), ("t", "file", "a", "negative", "syscall", "hash", 0), ("t", "file", "n", "negative", "syscall", "hash", 0)], "trace_id string, kind string, ref string, mode string, source string, resolver string, line_no int")
     one = trace.dedup_resources(r)
@@ -335,10 +370,56 @@ def test_source_changes(old, new, change):
     assert codegraph.change_of(old, new) == change
 
 
+def test_embedding_by_shards(spark):
+    df = spark.createDataFrame([(i, i % 3, None if i == 4 else "x" * i) for i in range(40)], "doc_id long, shard int, text string")
+    got = corpus.embed(df.repartition(5), lambda texts: [[len(t), 0.5] for t in texts], 2)
+    assert sorted((r.doc_id, r.embedding) for r in got.collect()) == [(i, [0.0 if i == 4 else float(i), 0.5]) for i in range(40)]
+    want = {k: hashlib.sha256(b"".join(np.array([0 if i == 4 else i, 0.5], "<f4").tobytes() for i in range(k, 40, 3))).hexdigest() for k in range(3)}
+    assert {r.shard: r.digest for r in corpus.shard_digests(got).collect()} == want
+    with pytest.raises(Exception, match="the encoder gave"):
+        corpus.embed(df, lambda texts: [[1.0] for _ in texts], 2).collect()
+
+
+def test_config_edges_and_drift(spark):
+    """Operators without a table of their own among the given ones."""
+    from keepsake.operators import identity
+
+    specs = spark.createDataFrame([(1, ["a", "b"], "/x", "linux"), (2, ["a", "b"], "/x", "linux"), (3, ["b", "a"], "/x", "linux")], "id int, argv array<string>, cwd string, platform string")
+    d = {r.id: r.spec_digest for r in identity.spec_digest(specs, ["argv", "cwd", "platform"]).collect()}
+    assert d[1] == d[2] != d[3]
+    keys = {r[0]: (r[1], r[2]) for r in specs.select("id", identity.semantic_key(F.col("cwd"), F.to_json("argv"), F.col("platform")), identity.semantic_key(F.col("cwd"), F.to_json("argv"), F.lit("other"))).collect()}
+    assert keys[1] == keys[2] and keys[1][0] != keys[1][1] and keys[3][0] != keys[1][0]
+    envs = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {"b": "2", "a": "1"}), (3, {"a": "1"})], "id int, packages map<string,string>")
+    e = {r.id: r.digest for r in identity.env_fingerprint(envs, ["packages"]).collect()}
+    assert e[1] == e[2] != e[3]
+    plans = spark.createDataFrame([("p", "e", "d", [("f.py", "c")], "g", ["q"]), ("r", "e", "none", [], "g", [])], "artifact_id string, env string, data string, code array<struct<ref:string,digest:string>>, config string, upstream array<string>")
+    edges = {(r.artifact_id, r.kind, r.ref) for r in identity.artifact_inputs(plans, "none").collect()}
+    assert edges == {("p", "env", "env"), ("p", "data", "data"), ("p", "config", "config"), ("p", "code", "f.py"), ("p", "upstream", "q"), ("r", "env", "env"), ("r", "config", "config")}
+    slices = spark.createDataFrame([(0, "x"), (1, "y")], "bucket int, slice_digest string")
+    assert identity.dataset_digest(slices).first() == identity.dataset_digest(slices.repartition(2)).first() != identity.dataset_digest(slices.where("bucket = 0")).first()
+    edges, units = spark.createDataFrame([("c1", "a", "b"), ("c2", "a", "c")], "commit string, src string, dst string"), spark.createDataFrame([("a", "1"), ("b", "1")], "unit_id string, digest string")
+    new_edges, new_units = lineage.upsert_code_graph(edges, units, spark.createDataFrame([("c2", "b", "c")], edges.schema), spark.createDataFrame([("b", "2")], units.schema), "c2")
+    assert rows(new_edges) == [("c1", "a", "b"), ("c2", "b", "c")] and rows(new_units) == [("a", "1"), ("b", "2")]
+    reads = spark.createDataFrame([(1, "input_dim", "3"), (1, "embedding_dim", "4"), (2, "input_dim", "3"), (2, "embedding_dim", "3"), (3, "input_dim", "3")], "plan_id int, key string, value string")
+    assert rows(memory.shape_mismatch(reads)) == [(1, "3", "4")]
+
+
+def test_memory_appends(spark, tmp_path):
+    path, signatures = str(tmp_path / "s"), spark.createDataFrame([(1, [0.5, 0.5])], "signature_id int, embedding array<float>")
+    memory.append_signatures(signatures, path, 2)
+    with pytest.raises(Exception, match="dimension is not 3"):
+        memory.append_signatures(signatures, path, 3)
+    fixes = spark.createDataFrame([(7, 1), (8, 99)], "remediation_id int, signature_id int")
+    assert rows(memory.append_remediations(fixes, spark.read.parquet(path), str(tmp_path / "r"))) == [(8, 99)]
+    assert rows(spark.read.parquet(str(tmp_path / "r"))) == [(7, 1)]
+
+
 def test_failure_signatures(spark):
     from keepsake.operators import derivations
 
-    failures = spark.createDataFrame([("r", "Traceback\n  File x\nValueError: bad shape\n\n"), ("s", "")], "run_id string, traceback string")
+    failures = spark.createDataFrame([("r", "eval", "Traceback\n  File x\nValueError: bad shape\n\n"), ("s", "env", "")], "run_id string, stage string, traceback string")
     reads = spark.createDataFrame([("r", "lr", "0.1"), ("r", "secret", "x")], "run_id string, key string, value string")
     got = {r.run_id: (r.error_class, r.last_line, r.features) for r in derivations.failure_signatures(failures, reads, ["lr"]).collect()}
     assert got["r"] == ("ValueError", "ValueError: bad shape", {"lr": "0.1"}) and got["s"][2] is None
+    full = {r.run_id: r for r in derivations.failure_signatures(failures, reads, ["lr"], lambda text: corpus.hash_embed(text, 8)).collect()}
+    assert full["r"].summary == "eval | ValueError | ValueError: bad shape | lr=0.1" and len(full["s"].embedding) == 8

@@ -46,12 +46,22 @@ def test_stage_status(spark, tmp_path):
 def test_claim_board(spark, tmp_path):
     schema = "work_key string, type string, owner string, fence long, ts timestamp"
     batches = [
-        [("k", "claim.acquired", "a", 1, at(0)), ("k", "claim.heartbeat", None, None, at(5)), ("m", "claim.acquired", "z", 1, at(1))],
+        [("k", "claim.heartbeat", None, None, at(5)), ("k", "claim.acquired", "a", 1, at(0)), ("m", "claim.acquired", "z", 1, at(1)), ("lost", "claim.acquired", "y", 1, at(2))],
         [("k", "claim.takeover", "b", 2, at(60)), ("k", "claim.heartbeat", None, 1, at(61)), ("m", "claim.completed", None, 1, at(62))],
+        [("k", "claim.heartbeat", None, 2, at(90)), ("k", "claim.heartbeat", None, 2, at(170))],
+        [("k", "claim.heartbeat", None, 2, at(200))],
     ]
-    got = drain(spark, folds.claim_board(stream(spark, tmp_path, batches, schema)), "board", "update")
+    got = drain(spark, folds.claim_board(stream(spark, tmp_path, batches, schema), late="0 seconds"), "board", "update")
     seen = {(r.work_key, r.phase, r.owner, r.challenger, r.fence, r.beats) for r in got}
-    assert {("k", "owned", "a", None, 1, 1), ("k", "took_over", "b", "a", 2, 0), ("m", "completed", "z", None, 1, 0)} <= seen
+    assert {("k", "owned", "a", None, 1, 1), ("k", "took_over", "b", "a", 2, 0), ("m", "completed", "z", None, 1, 0), ("lost", "lease_expired", "y", None, 1, 0)} <= seen
+    assert not any(k == "m" and phase == "lease_expired" for k, phase, *_ in seen)  # its state went when it was done
+
+
+def test_reaper(spark, tmp_path):
+    schema = "work_key string, fence long, open boolean, ts timestamp"
+    batches = [[("a", 1, True, at(0)), ("b", 3, True, at(0)), ("c", 1, True, at(5))], [("b", 3, True, at(40)), ("c", 1, False, at(10))], [("z", 1, True, at(80))], [("z", 1, True, at(300))], [("z", 2, True, at(900))]]
+    got = {(r.work_key, r.fence, r.expired_at) for r in drain(spark, folds.reaper(stream(spark, tmp_path, batches, schema), late="0 seconds"), "reaper", "append")}
+    assert {("a", 1, at(45)), ("b", 3, at(85))} <= got and not any(k == "c" for k, *_ in got)
 
 
 def test_lease_view(spark):
