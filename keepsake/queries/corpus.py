@@ -187,7 +187,7 @@ def i2_attach_probes(events):
 @R.query("events", sql="""WITH e AS (SELECT user_id AS run_id, concat('s', cast(event_id % 5 AS varchar)) AS stage, event_id AS seq, ts, event_type AS t FROM {events}),
 b AS (SELECT run_id, max(seq) AS began FROM e WHERE t = 'signup' AND seq % 3 = 0 GROUP BY 1), r AS (SELECT e.* FROM e LEFT JOIN b USING (run_id) WHERE t <> 'signup' AND seq > coalesce(began, -1))
 SELECT run_id, stage, CASE arg_max(t, seq) WHEN 'purchase' THEN 'Planned' WHEN 'view' THEN 'Running' WHEN 'click' THEN 'Succeeded' ELSE 'Failed' END AS status, CASE WHEN arg_max(t, seq) = 'error' THEN concat('E: ', cast(max(seq) AS varchar)) END AS error,
-  CASE WHEN arg_max(t, seq) IN ('click', 'error') THEN cast(epoch(arg_max(ts, seq) FILTER (t IN ('click', 'error'))) AS bigint) - cast(epoch(arg_max(ts, seq) FILTER (t = 'view')) AS bigint) END AS runtime_s FROM r GROUP BY 1, 2""")
+  CASE WHEN arg_max(t, seq) IN ('click', 'error') THEN cast(floor(epoch(arg_max(ts, seq) FILTER (t IN ('click', 'error')))) AS bigint) - cast(floor(epoch(arg_max(ts, seq) FILTER (t = 'view'))) AS bigint) END AS runtime_s FROM r GROUP BY 1, 2""")
 def i1_stage_fold(events):
     k, t = F.col("event_id"), F.col("event_type")
     kind = F.when(t == "purchase", "plan.completed").when(t == "view", "stage.started").when(t == "click", "stage.completed").when(t == "error", "stage.failed").when(k % 3 == 0, "run.started").otherwise("other")
