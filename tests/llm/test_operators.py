@@ -45,6 +45,33 @@ def key(i):
     return LAST if i is None else i
 
 
+# --- hashes that several rows hold
+
+
+def test_shared_hashes(spark, monkeypatch):
+    import random
+
+    from keepsake.llm import shared
+
+    monkeypatch.setattr(shared, "BUCKET", 100)
+    r = random.Random(3)
+    pool = [r.getrandbits(64) >> 16 << 16 for _ in range(400)]
+    rows = [(k // 4, sorted({r.choice(pool) if r.random() < 0.4 else r.getrandbits(64) >> 16 << 16 for _ in range(r.randint(0, 12))} | ({pool[0]} if k % 2 else set()))) for k in range(200)]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    df = spark.createDataFrame([(c, [signed(h) for h in hs]) for c, hs in rows], "chunk long, h array<bigint>").repartitionByRange(3, "chunk").sortWithinPartitions("chunk")
+    limit = 3 << 62
+    total = Counter(h for _, hs in rows for h in hs if h < limit)
+    answers = defaultdict(list)
+    for x in shared.shared_hashes(df, sum(total.values()), limit).collect():
+        answers[x.chunk].append(x)
+    for c, hs in rows:
+        import pyarrow as pa
+
+        table = pa.table({"hashes": pa.array([bytes(x.hashes) for x in answers[c]], pa.binary()), "levels": pa.array([bytes(x.levels) for x in answers[c]], pa.binary())})
+        got = shared.levels_of(np.array(hs, np.uint64), table).tolist()
+        assert got == [int(4 * np.log2(min(total[h], 1 << 30))) if total[h] > 1 else 0 for h in hs]
+
+
 # --- 1 line dedup
 
 
