@@ -58,6 +58,29 @@ def spec_digest(specs: DataFrame, columns: list[str]) -> DataFrame:
     return specs.withColumn("spec_digest", digest_column("spec", *[F.to_json(F.struct(F.col(c))) for c in sorted(columns)]))
 
 
+#: What each identity of an execution's specification covers: columns, or fields of struct columns.
+_PURITY = [f"purity.{x}" for x in ("contract_id", "network", "clock", "random", "env_names")]
+_VERSIONS = ["tracer_version", "companion_version", "adapter_registry_version"]
+IDENTITIES = {
+    "spec": ["namespace_id", "argv", "cwd_rel", "output", "platform", "purity", "adapter", *_VERSIONS],
+    "compatibility": ["argv", "cwd_rel", "output", "platform", *_PURITY, "adapter", *_VERSIONS],
+    "coverage_profile": ["platform.os", "platform.arch", "image_pinned", *_PURITY, "adapter", *_VERSIONS],
+    "platform": ["platform"],
+    "output_contract": ["output"],
+}
+
+
+def spec_identities(specs: DataFrame, identities: dict[str, list[str]] = IDENTITIES) -> DataFrame:
+    """specs with <name>_digest for each identity.
+
+    Specs that agree on compatibility may share observations, whatever their namespace and number of qualification runs; a
+    coverage profile asks whether an image is pinned, not which. A null adapter or image is a value of its own.
+    """
+    rows = specs.withColumn("image_pinned", F.col("platform.image_digest").isNotNull())
+    covered = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    return rows.select(*specs.columns, *[digest_column(name, *[F.lit(x) for x in parts], *[covered(c) for c in parts]).alias(f"{name}_digest") for name, parts in identities.items()])
+
+
 def semantic_key(spec: Column, inputs: Column, platform: Column) -> Column:
     """A key of what is computed: invariant to path, host, clock and revision, which are no part of it."""
     return digest_column("semantic", spec, inputs, platform)

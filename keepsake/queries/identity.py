@@ -39,3 +39,16 @@ def d8_resource_set_digest(fragments):
 @R.query("claims", sql=f"SELECT work_key, CASE WHEN fence >= 1 THEN {framed('claim', 'stage', 'work_key', 'fence')} END AS claim_key FROM {{claims}}")
 def d10_claim_key(claims):
     return claims.select("work_key", op.claim_key(F.col("stage"), F.col("work_key"), F.col("fence")).alias("claim_key"))
+
+
+@R.query("artifacts", sql="""WITH s AS (SELECT k % 3 AS ns, k % 7 AS a, k % 2 AS o, CASE WHEN k % 5 > 0 THEN k % 5 END AS img, k % 4 AS net, k % 6 AS runs FROM {artifacts}), d AS (SELECT DISTINCT ns, a, o, coalesce(img, -1) AS img, net, runs FROM s)
+SELECT 'spec' AS identity, count(*) AS n FROM d UNION ALL SELECT 'compatibility', count(*) FROM (SELECT DISTINCT a, o, img, net FROM d) UNION ALL SELECT 'coverage_profile', count(*) FROM (SELECT DISTINCT img = -1, net FROM d)
+UNION ALL SELECT 'platform', count(*) FROM (SELECT DISTINCT img FROM d) UNION ALL SELECT 'output_contract', count(*) FROM (SELECT DISTINCT o FROM d)""")
+def d7_spec_identities(artifacts):
+    k, text = F.col("k"), lambda m: (F.col("k") % m).cast("string")
+    platform = F.struct(F.lit("linux").alias("os"), F.lit("x86").alias("arch"), F.when(k % 5 > 0, text(5)).alias("image_digest"))
+    purity = F.struct(F.lit("c").alias("contract_id"), text(4).alias("network"), F.lit("t").alias("clock"), F.lit("r").alias("random"), F.array(F.lit("HOME")).alias("env_names"), (k % 6).alias("qualification_runs"))
+    versions = [F.lit("1").alias(c) for c in ("tracer_version", "companion_version", "adapter_registry_version")]
+    specs = artifacts.select(text(3).alias("namespace_id"), F.array(F.lit("run"), text(7)).alias("argv"), F.lit(".").alias("cwd_rel"), F.struct(text(2).alias("path_rel"), F.lit("file").alias("kind")).alias("output"), platform.alias("platform"), purity.alias("purity"), F.lit(None).cast("struct<adapter_id: string>").alias("adapter"), *versions)
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("identity"), F.col(f"{i}_digest").alias("digest")) for i in op.IDENTITIES])).alias("x")
+    return op.spec_identities(specs).select(listed).select("x.*").groupBy("identity").agg(F.count_distinct("digest").alias("n"))
