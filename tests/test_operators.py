@@ -97,6 +97,18 @@ def test_lineage(spark):
         lineage.unquarantine(artifacts, "a", " ")
 
 
+def test_reachable_in_deep_graphs(spark):
+    import random
+
+    r = random.Random(6)
+    edges = [(k, k + 1) for k in range(22)] + [(r.randrange(30), r.randrange(30)) for _ in range(12)] + [(40, 41)]
+    depth, at = {0: 0}, [0]
+    while at:
+        at = [b for a in at for x, b in edges if x == a and b not in depth and not depth.update({b: depth[a] + 1})]
+    got = lineage.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,)], "node long"))
+    assert dict(rows(got)) == depth and len(depth) > 22
+
+
 def test_commit_outcomes(spark):
     attempts = spark.createDataFrame([(1, 0, "i", "b", 1, "accepted"), (1, 0, "i", "b", 2, "accepted"), (1, 0, "i", "z", 3, "accepted"), (1, 0, "i", "b", 4, "stale_fence"), (2, 0, "i", "b", 1, "stale_fence"), (2, 0, "i", "c", 2, "accepted")], "work_key long, chunk int, input string, blob string, attempt int, reason string")
     got = claims.classify_commits(attempts, ["work_key", "chunk"], ["attempt"]).orderBy("work_key", "attempt")
