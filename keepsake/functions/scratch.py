@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed into spark.checkpoint.dir, or on a local master without that setting into a folder of our own."""
+    """df, checkpointed into spark.checkpoint.dir, or without that setting, on a master that runs in this process, into a folder of our own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if where is None and not sc.master.startswith("local"):
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="keepsake-"))
     return df.checkpoint()
