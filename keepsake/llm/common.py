@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
+#: Rows and bytes of what is sent to Python at a time.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own on a master that runs in this process."""
     sc = spark.sparkContext
@@ -55,9 +59,15 @@ class Scratch:
         self.broadcasts: list = []
 
     def __enter__(self) -> Scratch:
+        # texts travel to Python in small batches here, for the memory of executors
+        self.settings = {k: self.spark.conf.get(k, None) for k in ARROW_BATCH}
+        for k, v in ARROW_BATCH.items():
+            self.spark.conf.set(k, v)
         return self
 
     def __exit__(self, *_) -> None:
+        for k, v in self.settings.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         for x in self.broadcasts:
             x.destroy()
         delete(self.spark, self.path)

@@ -37,14 +37,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    (
-        ordered.mapInArrow(encode, SCHEMA)
-        .write.option("orc.stripe.size", STRIPE_BYTES)
-        .option("orc.row.index.stride", ROW_INDEX_STRIDE)
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("compression", "zstd")
-        .orc(path)
-    )
+    with Scratch(docs.sparkSession):
+        writer = ordered.mapInArrow(encode, SCHEMA).write.option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_INDEX_STRIDE)
+        writer.option("orc.bloom.filter.columns", "doc_id").option("compression", "zstd").orc(path)
 
 
 def read_token_file(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
