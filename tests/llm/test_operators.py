@@ -45,6 +45,24 @@ def key(i):
     return LAST if i is None else i
 
 
+# --- scratch tables
+
+
+def test_scratch(spark):
+    from pathlib import Path
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as tmp:
+        own, kept = tmp.save(spark.range(5), "own"), tmp.result(spark.range(3), "kept")
+        assert spark.conf.get(name) != before and own.count() == 5 and Path(tmp.path.removeprefix("file:")).exists()
+        raise ZeroDivisionError
+    assert spark.conf.get(name) == before and kept.count() == 3 and not Path(tmp.path.removeprefix("file:")).exists()
+    drop_results(spark)
+    assert not [p for p in folder.iterdir() if p.name.startswith("keepsake-")]
+
+
 # --- hashes that several rows hold
 
 
