@@ -36,7 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import SPACES, Scratch, Substrings, byte_values, chunks, mix, rolling, runs, small_or_not, text_of
@@ -51,6 +51,8 @@ LOW = 0.35
 LIMIT = int(LOW * 2**64)
 #: Shingles of the partners that are compared with one first set in one group.
 SHARE = 1 << 19
+#: Shingles before a shared one that may have found a pair already.
+LOOK_BACK = 4
 #: Hubs of a group whose sketches are compared.
 HUBS = 8
 #: 64-bit words of a set's sketch.
@@ -267,14 +269,18 @@ def _link(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: in
     # all pairs of groups that are not in one component; b is the shorter one, or the one of larger id
     spread, open_tokens = _open(tokens, member_of, few)
     open_tokens = open_tokens.join(sketches.withColumnRenamed("set_id", "gid").drop("n"), "gid")
-    open_tokens = tmp.save(open_tokens.select("h", "gid", "i", "n", "slack", "one", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]), "open")
+    in_order = Window.partitionBy("gid").orderBy("i")  # a prefix
+    before = [F.lag("h", k).over(in_order).alias(f"p{k}") for k in range(1, LOOK_BACK + 1)]
+    open_tokens = tmp.save(open_tokens.select("h", "gid", "i", "n", "slack", "one", *before, *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]), "open")
     x, y = (open_tokens.select("h", F.col("gid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in open_tokens.columns[2:]]) for k in "ab")
     # of two similar sets the shorter one holds a shared shingle in a prefix that is shorter still
     y = y.where(F.col("i_b") <= F.col("n_b") - least_overlap(F.col("n_b"), F.col("n_b"), threshold))
     overlap = f"ceil({threshold} * (n_a + n_b) / {100 + threshold})"
     can = f"100 * n_b >= {threshold} * n_a and least(n_a - i_a, n_b - i_b) >= {overlap}"
     differ = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SKETCH))
-    pairs = x.join(y, (x["h"] == y["h"]) & F.expr(f"(n_b < n_a or n_b = n_a and a < b) and not coalesce(one_a = one_b, false) and {can} and {differ} <= n_a + n_b - 2 * {overlap} + slack_a + slack_b")).select("a", "b").distinct()
+    # where one of the shingles just before is shared as well, that one has found the pair: it passes all that this one passes
+    known = " or ".join(f"p{j}_a in ({', '.join(f'p{k}_b' for k in range(1, LOOK_BACK + 1))})" for j in range(1, LOOK_BACK + 1))
+    pairs = x.join(y, (x["h"] == y["h"]) & F.expr(f"(n_b < n_a or n_b = n_a and a < b) and not coalesce(one_a = one_b, false) and {can} and not coalesce({known}, false) and {differ} <= n_a + n_b - 2 * {overlap} + slack_a + slack_b")).select("a", "b").distinct()
     inside = spread.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     x, y = (member_of.select(F.col("gid").alias(k), F.col("set_id").alias(f"set_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
     pairs = pairs.unionByName(inside).join(x, "a").join(y, "b").where("component_a <> component_b and (a <> b or set_a < set_b)").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
