@@ -11,7 +11,7 @@ that a rule blocks as a whole; scores are in shares of one seed's start, so that
 numbers of seeds do not weigh. A host is blocked where its distrust is above its
 trust and at least LEAST_DISTRUST.
 
-Both spread in one iteration, ROUNDS_A_JOB rounds in each Spark job, until what is
+Both spread in one iteration, several rounds in each Spark job, until what is
 still on its way is below TOLERANCE of a seed's share. What ends at a host without
 edges goes back to the seeds, which is the same as letting the scores sum to 1.
 
@@ -35,6 +35,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DAMPING, LEAST_DISTRUST = 0.85, 0.01
 #: Mass that may still be on its way when PageRank ends, as a share of one seed's, rounds in a job, and rounds after which it raises.
 TOLERANCE, ROUNDS_A_JOB, ROUNDS = 1e-3, 4, 1000
+#: Moves of a graph that one task holds.
+SMALL_GRAPH = 100_000
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -80,14 +82,20 @@ def spread(edges: DataFrame, seeds: DataFrame, tmp: Scratch, damping: float = DA
     share = F.coalesce(*[F.when(F.col("kind") == k, 1.0 / n) for k, n in sorted(many.items())], F.lit(0.0))
     state = seeds.select("kind", "host", share.alias("total"), share.alias("moving"))
     out = edges.groupBy("kind", "src").agg(F.count("dst").alias("out"))
-    weighted = tmp.save(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping / F.col("out")).alias("w")), "edges")
-    weighted = weighted.hint("broadcast") if weighted.limit(100_001).count() <= 100_000 else weighted
-    for done in range(ROUNDS_A_JOB, rounds + ROUNDS_A_JOB, ROUNDS_A_JOB):
-        for _ in range(ROUNDS_A_JOB):
+    moves = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping / F.col("out")).alias("w"))
+    # what a host has got so far stays where it is: a move to itself without a weight
+    hosts = moves.select("kind", "host").unionByName(moves.select("kind", F.col("dst").alias("host"))).unionByName(seeds.select("kind", "host")).distinct()
+    moves = tmp.save(moves.unionByName(hosts.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("w"))), "moves")
+    # a small graph is kept in one task, where rounds need no exchange; a larger one is shuffled in each round
+    few = moves.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH
+    moves = F.broadcast(moves) if few else moves
+    rounds_a_job = 4 * ROUNDS_A_JOB if few else ROUNDS_A_JOB
+    for done in range(rounds_a_job, rounds + rounds_a_job, rounds_a_job):
+        state = state.coalesce(1) if few else state
+        for _ in range(rounds_a_job):
             # what arrives moves on in the next round
-            come = state.where("moving > 0").join(weighted, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("total"), (F.col("w") * F.col("moving")).alias("moving"))
-            stay = state.select("kind", "host", "total", F.lit(0.0).alias("moving"))
-            state = stay.unionByName(come).groupBy("kind", "host").agg(F.sum(F.col("total") + F.col("moving")).alias("total"), F.sum("moving").alias("moving"))
+            step = state.join(moves, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.when(F.col("w").isNull(), F.col("total")).otherwise(0.0).alias("total"), F.coalesce(F.col("w") * F.col("moving"), F.lit(0.0)).alias("moving"))
+            state = step.groupBy("kind", "host").agg(F.sum(F.col("total") + F.col("moving")).alias("total"), F.sum("moving").alias("moving"))
         state = tmp.save(state, f"rank{done}")
         left = state.groupBy("kind").agg(F.sum("moving").alias("m"), F.sum("total").alias("all")).collect()
         if all(r["m"] * many[r["kind"]] < TOLERANCE for r in left):
