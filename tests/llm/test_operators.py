@@ -500,7 +500,9 @@ def brute_rank(edges, seeds):
     return rank
 
 
-def test_page_rank(spark):
+@pytest.mark.parametrize("small", [urls.SMALL_GRAPH, 0])
+def test_page_rank(spark, monkeypatch, small):
+    monkeypatch.setattr(urls, "SMALL_GRAPH", small)
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("d", "a"), ("c", "end")]
     with Scratch(spark) as tmp:
         both = of_kind(spark, edges, ("src", "dst")).unionByName(of_kind(spark, [(d, s) for s, d in edges], ("src", "dst"), 1))
