@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import tempfile
+import threading
 import types
 import uuid
 
@@ -57,19 +58,28 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/keepsake-work-{uuid.uuid4().hex}", 0
         self.broadcasts: list = []
+        self.bucketed: list[str] = []
 
     def __enter__(self) -> Scratch:
-        # texts travel to Python in small batches here, for the memory of executors
-        self.settings = {k: self.spark.conf.get(k, None) for k in ARROW_BATCH}
-        for k, v in ARROW_BATCH.items():
-            self.spark.conf.set(k, v)
+        # texts travel to Python in small batches here, for the memory of executors; the first to open sets that, the last to close ends it
+        with _lock:
+            if not _open:
+                _settings.update({k: self.spark.conf.get(k, None) for k in ARROW_BATCH})
+                for k, v in ARROW_BATCH.items():
+                    self.spark.conf.set(k, v)
+            _open.add(self.path)
         return self
 
     def __exit__(self, *_) -> None:
-        for k, v in self.settings.items():
-            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        with _lock:
+            _open.discard(self.path)
+            if not _open:
+                for k, v in _settings.items():
+                    self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         for x in self.broadcasts:
             x.destroy()
+        for name in self.bucketed:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         delete(self.spark, self.path)
 
     def _written(self, df: DataFrame, path: str) -> DataFrame:
@@ -81,6 +91,15 @@ class Scratch:
         self.tables += 1
         return self._written(df, f"{self.path}/{self.tables}-{name}")
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """df, written in as many buckets of key as there are shuffle partitions: work by key needs no shuffle of it."""
+        self.tables += 1
+        table = f"keepsake_{uuid.uuid4().hex}"
+        self.bucketed.append(table)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, key).option("path", f"{self.path}/{self.tables}-{name}").option("compression", "zstd").saveAsTable(table)
+        return self.spark.table(table)
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """df, written where it outlives this scratch space."""
         path = f"{shared_dir(self.spark)}/keepsake-result-{uuid.uuid4().hex}-{name}"
@@ -93,6 +112,11 @@ class Scratch:
         return self.broadcasts[-1]
 
 
+#: Scratch spaces that are open, and the session's own settings meanwhile.
+_open: set[str] = set()
+_settings: dict[str, str | None] = {}
+_lock = threading.Lock()
+
 #: Paths of result tables by application, for drop_results() alone.
 _results: dict[str, list[str]] = {}
 

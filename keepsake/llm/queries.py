@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontam, jaccard, licenses, lines, packing, quality, spans, tokenfile, toxicity, urls
-from keepsake.llm.common import shared_dir
+from keepsake.llm import audit, bpe, decontam, fim, jaccard, licenses, lines, packing, quality, spans, tokenfile, toxicity, urls
+from keepsake.llm.common import Scratch, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,24 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("_row.doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), F.col("_row.text").alias("text"))
 
 
+def op11_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as tmp:
+        tokens = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], BYTE_RANKS, public_tokenizers.PATTERN, tmp)
+        both = bpe.decode(tokens, BYTE_RANKS)
+        digests = both.select("_row.doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        return tmp.result(digests, "tokens")
+
+
+def op12_boundary_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), ["doc_id"])
+    restored = fim.restore(F.col("form"), F.col("output"))
+    return made.select("_row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_segment_line_dedup": op1_segment_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -78,8 +97,13 @@ QUERIES = {
     "op8_weak_supervision": op8_weak_supervision,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_distinct_word_bpe": op11_distinct_word_bpe,
+    "op12_boundary_fim": op12_boundary_fim,
+    "op13_survival_words": op13_survival_words,
 }
 ORACLE: dict[str, str] = {
+    "op12_boundary_fim": fim.oracle(),
+    "op13_survival_words": audit.oracle(),
     "op3_rare_word_licences": licenses.oracle(),
     "op5_grouped_prefix_join": """
 WITH RECURSIVE lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
