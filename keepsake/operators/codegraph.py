@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ast
 import hashlib
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.functions.scratch import cut
 from keepsake.operators.lineage import reachable
 
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -60,12 +62,18 @@ def hazards_of(nodes: list[ast.stmt]) -> list[str]:
     return sorted(found)
 
 
+def _chain(x: ast.AST) -> list[str]:
+    """The names of an attribute of an attribute of ... a name, else nothing."""
+    if isinstance(x, ast.Name):
+        return [x.id]
+    return [*above, x.attr] if isinstance(x, ast.Attribute) and (above := _chain(x.value)) else []
+
+
 def units_of(module: str, text: str) -> list[tuple[str, str, str, str, list[str], list[str], list[str]]]:
     """(module, name, code digest, docstring digest, names used, escapes, hazards) of each top-level unit; <module> holds the rest."""
     tree = ast.parse(text)
     # local names of what comes from modules that load others
-    loaders = {local for _, local, origin, _ in imports_of(module, text) if origin.split(".")[0] in ESCAPE_MODULES}
-    loaders |= {local.split(".")[0] for local in loaders}
+    loaders = {local for _, local, _, origin, _ in imports_of(module, text) if local and origin.split(".")[0] in ESCAPE_MODULES}
     units: dict[str, list[ast.stmt]] = {"<module>": []}
     for s in tree.body:
         targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []
@@ -76,57 +84,137 @@ def units_of(module: str, text: str) -> list[tuple[str, str, str, str, list[str]
     for name, body in units.items():
         docs = ast.get_docstring(body[0], clean=False) if len(body) == 1 and isinstance(body[0], _DEFINITIONS) else ast.get_docstring(tree, clean=False) if name == "<module>" else None
         used = {x.id for s in body for x in ast.walk(s) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)}
-        used |= {f"{x.value.id}.{x.attr}" for s in body for x in ast.walk(s) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name)}
+        used |= {".".join(chain) for s in body for x in ast.walk(s) if isinstance(x, ast.Attribute) and (chain := _chain(x))}
         code = "\n".join(ast.dump(_without_docstrings(s)) for s in body if not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)))
         words = _words(body)
         out.append((module, name, _digest(code), _digest(docs or ""), sorted(used), sorted(words & (ESCAPES | ESCAPE_MODULES | loaders)), hazards_of(body)))
     return out
 
 
-def imports_of(module: str, text: str) -> list[tuple[str, str, str, str]]:
-    """(module, local name, from module, name there or empty for the module itself)."""
+def imports_of(module: str, text: str) -> list[tuple[str, str, int, str, str]]:
+    """(unit, local name, level, from module, name there) of each imported name; a module itself has no name there.
+
+    level counts the leading dots of a relative import. `import a.b` binds a, and a.b is imported
+    under no local name; a star import has the local name and the name *.
+    """
     out = []
-    for x in ast.walk(ast.parse(text)):
-        if isinstance(x, ast.Import):
-            out += [(module, a.asname or a.name, a.name, "") for a in x.names]
-        elif isinstance(x, ast.ImportFrom) and x.module:
-            out += [(module, a.asname or a.name, x.module, a.name) for a in x.names]
+    tree = ast.parse(text)
+    for s in tree.body:
+        targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []
+        names = [s.name] if isinstance(s, _DEFINITIONS) else [n.id for t in targets for n in ast.walk(t) if isinstance(n, ast.Name)]
+        for unit in names or ["<module>"]:
+            for x in ast.walk(s):
+                if isinstance(x, ast.Import):
+                    for a in x.names:
+                        out.append((unit, a.asname or a.name.split(".")[0], 0, a.name if a.asname else a.name.split(".")[0], ""))
+                        if not a.asname and "." in a.name:
+                            out.append((unit, "", 0, a.name, ""))
+                elif isinstance(x, ast.ImportFrom):
+                    out += [(unit, a.asname or a.name, x.level, x.module or "", a.name) for a in x.names]
     return out
 
 
-def extract_code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units, edges) of files (module, text). A file that does not parse gives no units.
+def absolute_module(module: Column, is_package: Column, level: Column, origin: Column) -> Column:
+    """The full name of the module that an import names; a package's own level is its name, another module's that of its package."""
+    parts = F.split(module, r"\.")
+    keep = F.greatest(F.lit(0), F.size(parts) - level + is_package.cast("int"))
+    near = F.concat_ws(".", F.slice(parts, 1, keep), F.when(origin != "", F.array(origin)))
+    return F.when(level == 0, origin).otherwise(near)
+
+
+def _module_roots(units: DataFrame) -> DataFrame:
+    return units.select("module").distinct()
 
-    edges: (src, dst) of unit ids; every unit also leads to its module's body.
+
+def resolve(refs: DataFrame, units: DataFrame, bindings: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(src, dst) of refs (src, module, path): the unit ids that the dotted names path mean in a module, and the modules passed on the way.
+
+    units: module, name. bindings: module, local, origin, name, all absolute. A name is a unit of the module, else a
+    submodule of it, or what it is bound to there, to any depth of re-exports; a star binding stands for every name that the
+    module does not have itself. A name that a known module lacks leads to that module's body. A frontier of
+    distinct (where it began, module, rest of the path) moves on until nothing new is left, so cycles of imports end.
+    """
+    keys = refs.select("module", "path").distinct()
+    known = cut(units.select("module", "name").distinct())
+    roots = cut(_module_roots(known))
+    bound = cut(bindings.where("local <> ''").select(F.col("module").alias("at"), F.col("local").alias("head"), "origin", F.col("name").alias("there")).distinct())
+    star = bound.where("head = '*'").select("at", "origin")
+    named = bound.where("head <> '*'")
+    frontier = cut(keys.select(F.struct("module", "path").alias("key"), F.col("module").alias("at"), F.col("path").alias("rest")))
+    seen, found = frontier, []
+    for n in range(most_rounds):
+        step = frontier.withColumn("head", F.get("rest", 0)).withColumn("tail", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))
+        ended, going = step.where("head is null"), step.where("head is not null")
+        own = going.join(known.select(F.col("module").alias("at"), F.col("name").alias("head")), ["at", "head"], "left_semi")
+        rest = going.join(known.select(F.col("module").alias("at"), F.col("name").alias("head")), ["at", "head"], "left_anti")
+        inner = rest.join(roots.select(F.col("module").alias("sub")), F.concat_ws(".", "at", "head") == F.col("sub")).select("key", F.col("sub").alias("at"), F.col("tail").alias("rest"))
+        via = rest.join(named, ["at", "head"]).select("key", F.col("origin").alias("at"), F.when(F.col("there") == "", F.col("tail")).otherwise(F.concat(F.array("there"), "tail")).alias("rest"))
+        wide = rest.join(named.select("at", "head"), ["at", "head"], "left_anti").join(star, "at").select("key", F.col("origin").alias("at"), "rest")
+        # the body of each module that is passed runs; a module without the name is where the search ends
+        bodies = ended.select("key", "at").unionByName(rest.select("key", "at")).join(roots.select(F.col("module").alias("at")), "at", "left_semi")
+        found.append(cut(own.select("key", F.concat_ws(":", "at", "head").alias("dst")).unionByName(bodies.select("key", F.concat_ws(":", "at", F.lit("<module>")).alias("dst"))).distinct()))
+        moved = inner.unionByName(via).unionByName(wide).distinct()
+        frontier = cut(moved.join(seen, ["key", "at", "rest"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError(f"names are not resolved after {most_rounds} rounds")
+    targets = reduce(DataFrame.unionByName, found).distinct()
+    return refs.join(targets.select("key.module", "key.path", "dst"), ["module", "path"]).select("src", "dst").distinct()
+
+
+def import_edges(imports: DataFrame, units: DataFrame) -> DataFrame:
+    """(src, dst): units that import, to the bodies that this runs: of the modules they name, of the submodules they name, and of all packages above.
+
+    imports: src, origin, name, absolute.
     """
+    named = imports.select("src", F.explode(F.array("origin", F.when(F.col("name") != "", F.concat_ws(".", "origin", "name")).otherwise(F.col("origin")))).alias("m"))
+    runs = named.select("src", F.split("m", r"\.").alias("p")).select("src", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", 1, k), "."))).alias("module")).distinct()
+    return runs.join(_module_roots(units), "module", "left_semi").select("src", F.concat_ws(":", "module", F.lit("<module>")).alias("dst"))
+
+
+def read_imports(files: DataFrame) -> DataFrame:
+    """(module, unit, local, origin, name), absolute, of files (module, text, and is_package where it is known)."""
+    package = F.col("is_package") if "is_package" in files.columns else F.lit(False)
+    source = files.select("module", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(package, F.lit(False)).alias("is_package"))
+    rows = source.mapInPandas(_parsed(lambda m, t: imports_of(m, t), ["unit", "local", "level", "origin", "name"], carry=["module", "is_package"]), "module string, is_package boolean, unit string, local string, level int, origin string, name string")
+    return rows.select("module", "unit", "local", absolute_module(F.col("module"), F.col("is_package"), F.col("level"), F.col("origin")).alias("origin"), "name")
+
 
-    def parsed(f, columns):
-        def in_task(batches):
-            for b in batches:
-                rows = []
-                for m, t in zip(b["module"], b["text"], strict=True):
-                    try:
-                        rows += f(m, t or "")
-                    except (SyntaxError, ValueError):
-                        continue
-                yield pd.DataFrame(rows, columns=columns)
+def _parsed(f, columns: list[str], carry: list[str] = ()):
+    """f(module, text) for each row of files, a row for each that it gives, with columns of the file; files that do not parse give none."""
+
+    def in_task(batches):
+        for b in batches:
+            rows = []
+            for at, (m, t) in enumerate(zip(b["module"], b["text"], strict=True)):
+                try:
+                    rows += [(*(b[c].iloc[at] for c in carry), *r) for r in f(m, t or "")]
+                except (SyntaxError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=[*carry, *columns])
 
-        return in_task
+    return in_task
 
+
+def extract_code_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, edges) of files (module, text, and is_package where it is known). A file that does not parse gives no units.
+
+    edges: (src, dst) of unit ids. A unit leads to what its names mean through imports and re-exports, to the bodies
+    that its imports run, and to its own module's body; a body leads to those of the packages that hold it.
+    """
     source = files.select("module", "text")
-    units = source.mapInPandas(parsed(units_of, ["module", "name", "digest", "doc_digest", "used", "escapes", "hazards"]), "module string, name string, digest string, doc_digest string, used array<string>, escapes array<string>, hazards array<string>").withColumn("unit_id", F.concat_ws(":", "module", "name"))
-    imports = source.mapInPandas(parsed(imports_of, ["module", "local", "origin", "name"]), "module string, local string, origin string, name string")
-    refs = units.select("unit_id", "module", F.explode("used").alias("ref"))
-    ids = units.select("unit_id", "module", "name")
-    named = ids.select(F.col("unit_id").alias("dst"), F.col("module").alias("m"), F.col("name").alias("n"))
-    same = refs.join(named, (F.col("module") == F.col("m")) & (F.col("ref") == F.col("n"))).select(F.col("unit_id").alias("src"), "dst")
-    local = imports.select(F.col("module").alias("im"), "local", "origin", F.col("name").alias("there"))
-    head, rest = F.substring_index("ref", ".", 1), F.when(F.col("ref").contains("."), F.substring_index("ref", ".", -1)).otherwise("")
-    via = refs.withColumn("_head", head).withColumn("_rest", rest).join(local, (F.col("module") == F.col("im")) & (F.col("_head") == F.col("local")))
-    target = F.when(F.col("there") != "", F.col("there")).when(F.col("_rest") != "", F.col("_rest")).otherwise("<module>")
-    across = via.select(F.col("unit_id").alias("src"), "origin", target.alias("target")).join(named, (F.col("origin") == F.col("m")) & (F.col("target") == F.col("n"))).select("src", "dst")
+    units = source.mapInPandas(_parsed(units_of, ["module", "name", "digest", "doc_digest", "used", "escapes", "hazards"]), "module string, name string, digest string, doc_digest string, used array<string>, escapes array<string>, hazards array<string>").withColumn("unit_id", F.concat_ws(":", "module", "name"))
+    ids = cut(units.select("unit_id", "module", "name"))
+    imports = cut(read_imports(files))
+    refs = units.select(F.col("unit_id").alias("src"), "module", F.explode("used").alias("ref")).select("src", "module", F.split("ref", r"\.").alias("path"))
+    across = resolve(refs, ids, imports.select("module", "local", "origin", "name"))
+    # a name that means nothing in its own module, a builtin for one, leads to that module's body, as every unit does
+    runs = import_edges(imports.select(F.concat_ws(":", "module", "unit").alias("src"), "origin", "name"), ids)
     body = ids.where("name <> '<module>'").select(F.col("unit_id").alias("src"), F.concat_ws(":", "module", F.lit("<module>")).alias("dst"))
-    return units, same.unionByName(across).unionByName(body).where("src <> dst").distinct()
+    above = import_edges(ids.where("name = '<module>'").select(F.col("unit_id").alias("src"), F.col("module").alias("origin"), F.lit("").alias("name")), ids)
+    return units, across.unionByName(runs).unionByName(body).unionByName(above).where("src <> dst").distinct()
 
 
 def hazards_in(units: DataFrame, reached: DataFrame) -> DataFrame:
@@ -201,46 +289,127 @@ def _private_names(tree: ast.AST) -> list[str]:
     return [s.name for s in getattr(tree, "body", []) if isinstance(s, _DEFINITIONS) and s.name.startswith("_") and not s.name.startswith("__")]
 
 
-def change_of(old: str, new: str) -> str:
-    """unchanged, logging_only, private_rename or code, for two versions of a source text."""
+def renames_of(old: str, new: str) -> dict[str, str]:
+    """Old and new name of each private definition that stands in the same place under another name."""
+    a, b = _private_names(ast.parse(old)), _private_names(ast.parse(new))
+    return {x: y for x, y in zip(a, b, strict=True) if x != y} if len(a) == len(b) else {}
+
+
+def _renamed(tree: ast.Module, own: dict[str, str], there: dict[str, str]) -> ast.Module:
+    """tree with its own private names and those that it takes from other modules renamed; names that an `as` gives stay."""
+    local = dict(own)
+    for x in ast.walk(tree):
+        if isinstance(x, ast.ImportFrom):
+            for a in x.names:
+                if a.name in there:
+                    if a.asname is None:
+                        local[a.name] = there[a.name]
+                    a.name = there[a.name]
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Name):
+            x.id = local.get(x.id, x.id)
+        elif isinstance(x, ast.Attribute):
+            x.attr = (own | there).get(x.attr, x.attr)
+        elif isinstance(x, _DEFINITIONS):
+            x.name = own.get(x.name, x.name)
+    return tree
+
+
+def change_of(old: str, new: str, there: dict[str, str] | None = None) -> str:
+    """unchanged, logging_only, private_rename or code, for two versions of a source text.
+
+    there: renames of private names of other modules, of which this one takes some.
+    """
     a, b = ast.parse(old), ast.parse(new)
+    there = there or {}
     if ast.dump(_without_docstrings(a)) == ast.dump(_without_docstrings(b)):
         return "unchanged"
     loggers = _loggers(a) & _loggers(b)
     bare = [ast.dump(_NoLogging(loggers).visit(ast.parse(x))) for x in (old, new)]
     if loggers and bare[0] == bare[1]:
         return "logging_only"
-    names = [_private_names(a), _private_names(b)]
-    if len(names[0]) == len(names[1]) and "dispatches" not in {*hazards_of(a.body), *hazards_of(b.body)}:
-        renamed = {x: y for x, y in zip(*names, strict=True) if x != y}
+    own = renames_of(old, new)
+    if (own or there) and "dispatches" not in {*hazards_of(a.body), *hazards_of(b.body)}:
+        # a name that is renamed to one that the text has already, or that stands in a text constant, proves nothing
         taken = _words(a.body) | {x.name for x in ast.walk(a) if isinstance(x, _DEFINITIONS)} | {x.arg for x in ast.walk(a) if isinstance(x, ast.arg)}
-        if renamed and not taken & set(renamed.values()) and not any(isinstance(x, ast.Constant) and x.value in renamed for x in ast.walk(a)):
-            for x in ast.walk(a):
-                if isinstance(x, ast.Name):
-                    x.id = renamed.get(x.id, x.id)
-                elif isinstance(x, _DEFINITIONS):
-                    x.name = renamed.get(x.name, x.name)
-            if ast.dump(a) == ast.dump(b):
-                return "private_rename"
+        both = {*own.items(), *there.items()}
+        if len({x for x, _ in both}) == len(both) and not taken & {y for _, y in both} and not any(isinstance(x, ast.Constant) and x.value in dict(both) for x in ast.walk(a)) and ast.dump(_renamed(a, own, there)) == ast.dump(b):
+            return "private_rename"
     return "code"
 
 
+def private_uses(module: str, text: str) -> list[tuple[str]]:
+    """Private names that a text may take from elsewhere: imported, as attributes of what is not its own object, or in text constants."""
+    tree = ast.parse(text)
+    names = {x.attr for x in ast.walk(tree) if isinstance(x, ast.Attribute) and not (isinstance(x.value, ast.Name) and x.value.id in ("self", "cls"))}
+    names |= {a.name for x in ast.walk(tree) if isinstance(x, ast.ImportFrom) for a in x.names}
+    names |= {x.value for x in ast.walk(tree) if isinstance(x, ast.Constant) and isinstance(x.value, str) and x.value.isidentifier()}
+    return [(n,) for n in sorted(names) if n.startswith("_") and not n.startswith("__")]
+
+
+def settle_renames(verdicts: DataFrame, uses: DataFrame) -> DataFrame:
+    """(module, change) of verdicts (module, change), where a private rename counts only if it is proved in all modules that uses (owner, user) bind to it.
+
+    An owner's rename and its users stand or fall together, through chains of uses as well: a user that is unchanged
+    still takes the old name. Other classes stay as they are.
+    """
+    bad = verdicts.where("change <> 'private_rename'").select(F.col("module").alias("node"))
+    links = uses.select(F.col("owner").alias("src"), F.col("user").alias("dst")).unionByName(uses.select(F.col("user").alias("src"), F.col("owner").alias("dst")))
+    spoiled = reachable(links, bad).select(F.col("node").alias("module"), F.lit(True).alias("_spoiled"))
+    rows = verdicts.join(spoiled, "module", "left")
+    return rows.select("module", F.when((F.col("change") == "private_rename") & F.col("_spoiled"), "code").otherwise(F.col("change")).alias("change"))
+
+
+def rename_uses(pairs: DataFrame) -> DataFrame:
+    """(owner, user, old_name, new_name): private names of one module whose definition is renamed, and each other module that may take them.
+
+    A user imports the name from any module, or has it as an attribute or in a text constant. Where such a name means
+    another thing the rename is refused without need, never proved without ground.
+    """
+    both = pairs.select("module", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))
+
+    def renamed(batches):
+        for b in batches:
+            rows = []
+            for m, o, n in zip(b["module"], b["old"], b["new"], strict=True):
+                try:
+                    rows += [(m, x, y) for x, y in renames_of(o, n).items()]
+                except (SyntaxError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=["owner", "old_name", "new_name"])
+
+    renames = cut(both.where("old <> new").mapInPandas(renamed, "owner string, old_name string, new_name string"))
+    old = both.select("module", F.col("old").alias("text"))
+    # the index of uses by name; only names that are renamed somewhere leave it
+    used = old.mapInPandas(_parsed(private_uses, ["name"], carry=["module"]), "module string, name string")
+    used = used.join(renames.select(F.col("old_name").alias("name")).distinct(), "name", "left_semi")
+    return renames.join(used, (F.col("name") == F.col("old_name")) & (F.col("module") != F.col("owner"))).select("owner", F.col("module").alias("user"), "old_name", "new_name")
+
+
 def classify_sources(pairs: DataFrame, hazards: DataFrame) -> DataFrame:
-    """(module, change, refused) of pairs (module, old, new); sources that do not parse count as code.
+    """(module, change, refused) of pairs (module, old, new), one row for each module, unchanged ones too; sources that do not parse count as code.
 
-    Reachable code that spawns threads or processes defeats the proof of logging_only, and code that dispatches by
-    name that of private_rename; hazards (hazard) says so.
+    A private rename is proved over all modules together: every module that may take the name is verified with the
+    rename, and one that is unchanged, or changed in another way, defeats it. Reachable code that spawns threads
+    or processes defeats the proof of logging_only, and code that dispatches by name that of private_rename; hazards
+    (hazard) says so.
     """
 
     def in_task(batches):
         for b in batches:
             out = []
-            for o, n in zip(b["old"], b["new"], strict=True):
+            for o, n, there in zip(b["old"], b["new"], b["there"], strict=True):
                 try:
-                    out.append(change_of(o or "", n or ""))
+                    renames = {r["old_name"]: r["new_name"] for r in there} if there is not None else {}
+                    clear = there is None or len(renames) == len({(r["old_name"], r["new_name"]) for r in there})
+                    out.append(change_of(o or "", n or "", renames) if clear else "code")
                 except (SyntaxError, ValueError):
                     out.append("code")
             yield pd.DataFrame({"module": b["module"], "change": out})
 
-    changes = pairs.select("module", "old", "new").mapInPandas(in_task, "module string, change string")
-    return _refused(changes, hazards, {"logging_only": "spawns", "private_rename": "dispatches"})
+    uses = cut(rename_uses(pairs))
+    # no more than the private names that a module mentions
+    there = uses.groupBy(F.col("user").alias("module")).agg(F.collect_set(F.struct("old_name", "new_name")).alias("there"))
+    rows = pairs.select("module", "old", "new").join(there, "module", "left")
+    verdicts = cut(rows.mapInPandas(in_task, "module string, change string"))
+    return _refused(settle_renames(verdicts, uses), hazards, {"logging_only": "spawns", "private_rename": "dispatches"})
