@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
 import posixpath
+import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: System calls after which a trace cannot be complete, and those of sockets.
 LOSS_CALLS = ["io_uring_setup", "io_uring_enter", "io_uring_register", "ptrace", "process_vm_readv", "process_vm_writev", "memfd_create"]
@@ -63,66 +67,178 @@ def reconcile_exit(events: DataFrame, statuses: DataFrame) -> DataFrame:
     return rows.select("trace_id", "exit_code", reason.alias("reason"))
 
 
-#: Calls that change a process's directory, and those that make a process.
-DIRECTORY_CALLS, FORK_CALLS = ("chdir", "fchdir"), ("clone", "clone3", "fork", "vfork")
-
-
-def directories(events: DataFrame) -> DataFrame:
-    """(trace_id, pid, line_no, cwd): where each process is after a line; a new process starts where its parent is.
-
-    Only calls that change directories or make processes are folded, in the order of a trace's lines.
+#: System calls by what they do to descriptors, directories and paths.
+FORK_CALLS = ("clone", "clone3", "fork", "vfork")
+DUP_CALLS = ("dup", "dup2", "dup3")
+OPEN_CALLS = ("open", "openat", "openat2", "creat")
+PATH_CALLS = ("stat", "lstat", "access", "readlink", "execve", "rename", "unlink", "mkdir", "rmdir", "truncate", "chdir", "open", "creat")
+AT_CALLS = ("openat", "openat2", "newfstatat", "statx", "faccessat", "faccessat2", "readlinkat", "renameat", "renameat2", "unlinkat", "mkdirat", "execveat")
+DESCRIPTOR_CALLS = ("fstat", "getdents", "getdents64", "fchdir")
+FOLDED_CALLS = sorted({*FORK_CALLS, *DUP_CALLS, *PATH_CALLS, *AT_CALLS, *DESCRIPTOR_CALLS, "mmap", "fcntl", "close", "close_range"})
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"(?:\.\.\.)?|[(\[{]|[)\]}]|,|[^",()\[\]{}]+|.', re.S)
+_DESCRIPTOR = re.compile(r"(-?\d+)(?:<([^>]*)>)?$")
+
+
+def arguments(text: str) -> list[str]:
+    """The arguments of a call: split at commas outside quotes and brackets."""
+    out, depth = [""], 0
+    for token in _TOKEN.findall(text):
+        depth += (token in "([{") - (token in ")]}")
+        if token == "," and depth <= 0:
+            out.append("")
+        else:
+            out[-1] += token
+    return [x.strip() for x in out]
+
+
+def quoted(token: str) -> str | None:
+    """The text of a quoted argument; null for one that the log cut short, and for others."""
+    if len(token) < 2 or token[0] != '"' or token[-1] != '"':
+        return None
+    return codecs.escape_decode(token[1:-1].encode())[0].decode("utf-8", "replace") if "\\" in token else token[1:-1]
+
+
+def descriptor(token: str) -> tuple[int | None, str | None]:
+    """Number and noted path of a descriptor; no number for the current directory and for what is none."""
+    found = _DESCRIPTOR.match(token)
+    return (int(found[1]), found[2] or None) if found else (None, None)
+
+
+class Process:
+    """What a process has open: path and close-on-exec by number; and where it is, in a list that processes may share."""
+
+    def __init__(self, cwd: list, files: dict):
+        self.cwd, self.files = cwd, files
+
+    def child(self, flags: str) -> Process:
+        return Process(self.cwd if "CLONE_FS" in flags else list(self.cwd), self.files if "CLONE_FILES" in flags else dict(self.files))
+
+    def path_of(self, token: str) -> str | None:
+        """What a descriptor is open on, else what the log notes beside it."""
+        number, noted = descriptor(token)
+        return self.files.get(number, (noted, False))[0]
+
+    def absolute(self, path: str | None, at: str | None = None) -> str | None:
+        """path under the directory of the descriptor `at` or the current one; null if that descriptor is unknown."""
+        if path is None or path.startswith("/"):
+            return path and posixpath.normpath(path)
+        base = self.path_of(at) if at is not None and descriptor(at)[0] is not None else self.cwd[0] or ""
+        return None if base is None else posixpath.normpath(posixpath.join(base, path))
+
+    def call(self, name: str, args: list[str], ret: str) -> tuple[str | None, str | None]:
+        """The path or paths that a call is about, after what it does to descriptors and directories."""
+        args = [*args, *[""] * (6 - len(args))]
+        (value, noted), ok = descriptor(ret.split(" ")[0]), not ret.startswith("-1")
+        if name in DUP_CALLS or name == "fcntl" and args[1].startswith("F_DUPFD"):
+            source = self.path_of(args[0])
+            if ok and value is not None and source is not None:
+                self.files[value] = (source, self.files.get(descriptor(args[0])[0], (None, False))[1] or "CLOEXEC" in args[1] + args[2])
+        elif name == "fcntl" and args[1] == "F_SETFD" and ok and (number := descriptor(args[0])[0]) in self.files:
+            self.files[number] = (self.files[number][0], "FD_CLOEXEC" in args[2])
+        elif name == "close":
+            self.files.pop(descriptor(args[0])[0], None)
+        elif name == "close_range" and args[0].isdigit() and args[1].lstrip("~").isdigit():
+            last = int(args[1]) if args[1].isdigit() else 1 << 32
+            for number in [n for n in self.files if int(args[0]) <= n <= last]:
+                del self.files[number]
+        elif name in DESCRIPTOR_CALLS or name == "mmap":
+            path = self.path_of(args[4 if name == "mmap" else 0])
+            if name == "fchdir" and ok and path is not None:
+                self.cwd[0] = path
+            return path, None
+        elif name in ("renameat", "renameat2", "rename"):
+            two = ((None, args[0]), (None, args[1])) if name == "rename" else ((args[0], args[1]), (args[2], args[3]))
+            return tuple(self.absolute(quoted(p), at) for at, p in two)
+        elif name in PATH_CALLS or name in AT_CALLS:
+            at, token = (args[0], args[1]) if name in AT_CALLS else (None, args[0])
+            path = self.absolute(noted if noted is not None and name in OPEN_CALLS else quoted(token), at)
+            if name == "chdir" and ok and path is not None:
+                self.cwd[0] = path
+            elif name in ("execve", "execveat") and ok:
+                self.files = {n: f for n, f in self.files.items() if not f[1]}
+            elif name in OPEN_CALLS and ok and value is not None and path not in (None, "/dev/urandom", "/dev/random"):
+                self.files[value] = (path, "O_CLOEXEC" in ",".join(args[1:]))
+            return path, None
+        return None, None
+
+
+def resolve_calls(events: DataFrame, workspace: str | None = None) -> DataFrame:
+    """(trace_id, line_no, name, args, ret, path, second): what each call is about, by the descriptors and directories of its process.
+
+    A trace's calls are folded in the order of its lines, in sorted streams: a task holds the descriptors of one
+    trace's processes and one batch of lines. A new process shares its parent's descriptors or directory, or has copies, as
+    the flags of clone say; exec closes what is marked so. Paths that the log notes beside descriptors count where
+    the fold does not know better. workspace: where processes begin; paths inside it are given relative to it.
+    Without it, a relative path of a process that has not changed directory stays relative.
+    """
+    root = None if workspace is None else posixpath.normpath(workspace)
+
+    def inside(path: str | None) -> str | None:
+        if root is None or path is None or path != root and not path.startswith(root.rstrip("/") + "/"):
+            return path
+        return posixpath.relpath(path, root)
+
+    def in_task(batches: Iterator[pa.RecordBatch]):
+        trace, processes = object(), {}
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            paths, seconds = [], []
+            for t, pid, name, args, ret in zip(columns[0], *columns[2:], strict=True):
+                if t != trace:
+                    trace, processes = t, {}
+                process = processes.setdefault(pid, Process([root], {}))
+                if name in FORK_CALLS:
+                    child = descriptor(ret)[0]
+                    if child is not None and child >= 0:
+                        processes[child] = process.child(args)
+                    path = second = None
+                else:
+                    path, second = process.call(name, arguments(args), ret)
+                paths.append(inside(path))
+                seconds.append(inside(second))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.string()), pa.array(seconds, pa.string())], names=[*batch.schema.names, "path", "second"])
+
+    few = events.where((F.col("kind") == "syscall") & F.col("name").isin(*FOLDED_CALLS))
+    few = few.select("trace_id", F.col("line_no").cast("long").alias("line_no"), F.col("pid").cast("long").alias("pid"), "name", "args", "ret")
+    ordered = few.repartition("trace_id").sortWithinPartitions("trace_id", "line_no")
+    kinds = StructType([*few.schema.fields, StructField("path", StringType()), StructField("second", StringType())])
+    return ordered.mapInArrow(in_task, kinds).drop("pid")
+
+
+def trace_accesses(events: DataFrame, workspace: str | None = None) -> DataFrame:
+    """(trace_id, line_no, kind, ref, mode): what each call touched, by resolve_calls().
+
+    A call about a descriptor that nobody has opened, or a path that the log cut short, touches nothing that is
+    known. An open of random bytes and getrandom are reads of a device; a mapped file is read.
     """
-    ok = ~F.col("ret").startswith("-1")
-    path, fd_path = F.regexp_extract("args", r'"((?:[^"\\]|\\.)*)"', 1), F.regexp_extract("args", r"^-?\d+<([^>]*)>", 1)
-    few = events.where((F.col("kind") == "syscall") & ok & F.col("name").isin(*DIRECTORY_CALLS, *FORK_CALLS))
-    few = few.select("trace_id", F.col("pid").cast("string").alias("pid"), F.col("line_no").cast("long").alias("line_no"), "name", F.when(F.col("name") == "fchdir", fd_path).otherwise(path).alias("path"), F.regexp_extract("ret", r"^(\d+)", 1).alias("child"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        at, out = {}, []
-        for r in rows.sort_values("line_no").itertuples(index=False):
-            pid = r.child if r.name in FORK_CALLS else r.pid
-            here = at.get(r.pid)
-            new = here if r.name in FORK_CALLS else r.path if r.path.startswith("/") or here is None else posixpath.normpath(posixpath.join(here, r.path))
-            if new:
-                at[pid] = new
-                out.append((r.trace_id, pid, r.line_no, new))
-        return pd.DataFrame(out, columns=["trace_id", "pid", "line_no", "cwd"])
-
-    return few.groupBy("trace_id").applyInPandas(fold, "trace_id string, pid string, line_no long, cwd string")
-
-
-def trace_accesses(events: DataFrame) -> DataFrame:
-    """(trace_id, line_no, kind, ref, mode): what each call touched; relative paths under the call's own directory, else under the process's latest one."""
-    calls = events.where("kind = 'syscall'")
-    ok = ~F.col("ret").startswith("-1")
-    path = F.regexp_extract("args", r'"((?:[^"\\]|\\.)*)"', 1)
-    second = F.regexp_extract("args", r'"(?:[^"\\]|\\.)*",\s*(?:[^",]+,\s*)?"((?:[^"\\]|\\.)*)"', 1)
-    fd_path = F.regexp_extract("args", r"^-?\d+<([^>]*)>", 1)
-    w = Window.partitionBy("trace_id", "_pid").orderBy("line_no", F.col("_moved").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    calls = calls.withColumn("_pid", F.col("pid").cast("string"))
-    # a change counts from the next line on
-    moves = directories(events).select("trace_id", F.col("pid").alias("_pid"), (F.col("line_no") + 1).alias("line_no"), F.col("cwd").alias("_moved"))
-    calls = calls.unionByName(moves, allowMissingColumns=True).withColumn("_cwd", F.last("_moved", ignorenulls=True).over(w)).where("_moved is null")
-    # openat(5</dir>, "x") is under /dir
-    calls = calls.withColumn("_cwd", F.when(F.col("name").endswith("at") & (fd_path != ""), fd_path).otherwise(F.col("_cwd")))
-    absolute = lambda p: F.when(p.startswith("/") | F.col("_cwd").isNull(), p).otherwise(F.concat_ws("/", F.col("_cwd"), p))
+    calls = resolve_calls(events, workspace)
+    others = events.where((F.col("kind") == "syscall") & F.col("name").isin(*SOCKET_CALLS, "getrandom"))
+    calls = calls.unionByName(others.select("trace_id", F.col("line_no").cast("long").alias("line_no"), "name", "args", "ret"), allowMissingColumns=True)
+    ok, name, path = ~F.col("ret").startswith("-1"), F.col("name"), F.col("path")
     entry = lambda kind, ref, mode: F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), F.lit(mode).alias("mode"))
-    write = F.col("args").rlike(r"O_WRONLY|O_RDWR|O_CREAT|O_TRUNC|O_APPEND")
+    write = F.col("args").rlike(r"O_WRONLY|O_RDWR|O_CREAT|O_TRUNC|O_APPEND") | (name == "creat")
     missing = F.col("ret").rlike(r"^-1 (ENOENT|ENOTDIR)")
-    name = F.col("name")
+    opens, links = name.isin(*OPEN_CALLS), name.isin("readlink", "readlinkat")
+    probes = name.isin("stat", "lstat", "newfstatat", "statx", "access", "faccessat", "faccessat2", "fstat")
     found = (
         F.when(name.isin(SOCKET_CALLS), F.array(entry("socket", name, "network")))
-        .when(name.isin("open", "openat", "stat", "lstat", "newfstatat", "access", "faccessat2", "readlink", "execve") & missing, F.array(entry("file", absolute(path), "negative")))
-        .when(name.isin("open", "openat") & ok & write, F.array(entry("file", absolute(path), "write")))
-        .when(name.isin("open", "openat") & ok & F.col("args").contains("O_DIRECTORY"), F.array(entry("directory", absolute(path), "enumerate")))
-        .when(name.isin("open", "openat") & ok, F.array(entry("file", absolute(path), "read")))
-        .when((name == "execve") & ok, F.array(entry("subprocess", absolute(path), "execute")))
-        .when(name.isin("getdents", "getdents64") & ok, F.array(entry("directory", fd_path, "enumerate")))
-        .when((name == "readlink") & ok, F.array(entry("file", absolute(path), "symlink")))
-        .when(name.isin("rename", "renameat", "renameat2") & ok, F.array(entry("file", absolute(path), "write"), entry("file", absolute(second), "write")))
-        .when(name.isin("unlink", "unlinkat", "mkdir", "rmdir", "truncate") & ok, F.array(entry("file", absolute(path), "write")))
+        .when(name == "getrandom", F.array(entry("device", F.lit("device:getrandom"), "read")))
+        .when(opens & F.col("args").rlike("/dev/u?random"), F.array(entry("device", F.lit("device:urandom"), "read")))
+        .when((opens | probes | links | (name == "execve")) & missing, F.array(entry("file", path, "negative")))
+        .when(links & F.col("ret").startswith("-1 EINVAL"), F.array(entry("file", path, "negative")))
+        .when(opens & ok & write, F.array(entry("file", path, "write")))
+        .when(opens & ok & F.col("args").contains("O_DIRECTORY"), F.array(entry("directory", path, "enumerate")))
+        .when(opens & ok, F.array(entry("file", path, "read")))
+        # a probe that shows another kind of file than a regular one reads none
+        .when(probes & ok & (F.col("args").contains("S_IFREG") | ~F.col("args").contains("S_IF")), F.array(entry("file", path, "read")))
+        .when(name.isin("execve", "execveat") & ok, F.array(entry("subprocess", path, "execute")))
+        .when(name.isin("getdents", "getdents64") & ok, F.array(entry("directory", path, "enumerate")))
+        .when((name == "mmap") & ok, F.array(entry("file", path, "read")))
+        .when(links & ok, F.array(entry("file", path, "symlink")))
+        .when(name.isin("rename", "renameat", "renameat2") & ok, F.array(entry("file", path, "write"), entry("file", F.col("second"), "write")))
+        .when(name.isin("unlink", "unlinkat", "mkdir", "mkdirat", "rmdir", "truncate") & ok, F.array(entry("file", path, "write")))
     )
-    return calls.select("trace_id", "line_no", F.explode(found).alias("a")).select("trace_id", "line_no", "a.*")
+    return calls.select("trace_id", "line_no", F.explode(found).alias("a")).select("trace_id", "line_no", "a.*").where("ref is not null")
 
 
 def resolve_versions(accesses: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Queries of the code graph, over tables of names derived from parts."""
+"""Queries of the code graph, over tables of names derived from parts, and of access traces, over logs derived from line items."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake.operators import codegraph as op
+from keepsake.operators import trace
 from keepsake.queries.registry import Registry
 
 R = Registry()
@@ -45,3 +47,40 @@ def j17_settle_renames(part):
     k = F.col("p_partkey")
     verdicts = part.select(k.alias("module"), F.when(k % 17 == 0, "code").when(k % 5 == 0, "unchanged").otherwise("private_rename").alias("change"))
     return op.settle_renames(verdicts, part.where(k % 3 == 1).select(k.alias("owner"), (k + 10).alias("user")))
+
+
+_LINES = "(SELECT l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_partkey % 50 AS d, l_suppkey AS f FROM {lineitem})"
+
+
+@R.query("lineitem", sql=f"""WITH l AS {_LINES}
+SELECT t AS trace_id, kind, ref, mode, count(*) AS n FROM (
+  SELECT t, 'directory' AS kind, concat('/d', cast(d AS string)) AS ref, 'enumerate' AS mode FROM l
+  UNION ALL SELECT t, 'file', CASE WHEN n % 3 = 0 THEN concat('f', cast(f AS string)) ELSE concat('/d', cast(d AS string), '/f', cast(f AS string)) END, 'read' FROM l
+  UNION ALL SELECT t, 'file', CASE WHEN n % 3 = 0 THEN concat('f', cast(f AS string)) ELSE concat('/d', cast(d AS string), '/f', cast(f AS string)) END, 'read' FROM l WHERE n % 2 = 0
+  UNION ALL SELECT t, 'file', concat('/d', cast(d AS string), '/up'), 'negative' FROM l
+  UNION ALL SELECT t, 'subprocess', '/bin/x', 'execute' FROM l WHERE n % 4 = 0
+  UNION ALL SELECT t, 'file', concat('/d', cast(d AS string), '/kept'), 'write' FROM l WHERE n % 4 <> 0) GROUP BY ALL""")
+def j5_descriptors(lineitem):
+    """A trace for each order: each item opens a directory and a file in it, in every third case in the workspace, forks, and in every fourth execs before it writes beside it."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = lineitem.select(F.col("l_orderkey").alias("trace_id"), F.row_number().over(w).alias("n"), (F.col("l_partkey") % 50).cast("string").alias("d"), F.col("l_suppkey").cast("string").alias("f"))
+    n = F.col("n")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    pid, child = n.cast("string"), (n + 1000).cast("string")
+    lines = F.array(
+        text(pid, ' openat(AT_FDCWD, "/d', F.col("d"), '", O_RDONLY|O_DIRECTORY|O_CLOEXEC) = 3'),
+        text(pid, F.when(n % 3 == 0, " openat(AT_FDCWD, ").otherwise(" openat(3, "), '"f', F.col("f"), '", O_RDONLY) = 4'),
+        text(pid, " mmap(NULL, 10, PROT_READ, MAP_PRIVATE, ", F.when(n % 2 == 0, "4").otherwise("9"), ", 0) = 0x7f00"),
+        text(pid, " close(4) = 0"),
+        text(pid, " mmap(NULL, 10, PROT_READ, MAP_PRIVATE, 4, 0) = 0x7f00"),
+        text(pid, " clone(child_stack=NULL, flags=SIGCHLD) = ", child),
+        text(child, " fchdir(3) = 0"),
+        text(child, ' openat(AT_FDCWD, "x/../up", O_RDONLY) = -1 ENOENT (No such file or directory)'),
+        F.when(n % 4 == 0, text(child, ' execve("/bin/x", ["x", "a, b"], 0x7ff /* 3 vars */) = 0')),
+        text(child, " dup2(3, 7) = 7"),
+        text(child, ' openat(7, "kept", O_WRONLY|O_CREAT, 0644) = 5'),
+    )
+    logs = rows.select("trace_id", "n", F.posexplode(lines).alias("k", "line")).where("line is not null")
+    events, _ = trace.join_resumed(trace.parse_trace(logs.select("trace_id", (F.col("n") * 100 + F.col("k")).alias("line_no"), "line")))
+    found = trace.trace_accesses(events, "/work")
+    return found.groupBy("trace_id", "kind", "ref", "mode").agg(F.count(F.lit(1)).alias("n"))

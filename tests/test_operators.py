@@ -242,6 +242,71 @@ def test_directories_of_processes(spark):
     assert got == {(2, "/work/a"), (4, "/work/sub/b"), (5, "/work/c"), (8, "/other/d"), (9, "/deep/e"), (12, "/up/f")}
 
 
+def accesses(spark, text, **more):
+    lines = spark.createDataFrame([("t", n, x.strip()) for n, x in enumerate(text.strip().split("\n"))], "trace_id string, line_no int, line string")
+    events, _ = trace.join_resumed(trace.parse_trace(lines))
+    return sorted((r.line_no, r.kind, r.ref, r.mode) for r in trace.trace_accesses(events, **more).collect())
+
+
+def test_descriptors_without_noted_paths(spark):
+    got = accesses(spark, """1 chdir("/work") = 0
+        1 openat(AT_FDCWD, "sub", O_RDONLY|O_DIRECTORY|O_CLOEXEC) = 3
+        1 openat(3, "a, b", O_RDONLY) = 4
+        1 dup(4) = 5
+        1 close(4) = 0
+        1 mmap(NULL, 5, PROT_READ, MAP_PRIVATE, 5, 0) = 0x7f
+        1 mmap(NULL, 5, PROT_READ, MAP_PRIVATE, 4, 0) = 0x7f
+        1 getdents64(3, 0x55 /* 3 entries */, 32768) = 80
+        1 fchdir(3) = 0
+        1 open("c", O_RDONLY) = 4
+        1 fcntl(4, F_DUPFD_CLOEXEC, 10) = 10
+        1 execve("/bin/y", ["y"], 0x7f) = 0
+        1 openat(3, "gone", O_RDONLY) = 6
+        1 fstat(10, {st_mode=S_IFREG|0644}) = 0
+        1 fstat(4, {st_mode=S_IFREG|0644}) = 0
+        1 close_range(3, 9, 0) = 0
+        1 fstat(4, {st_mode=S_IFREG|0644}) = 0
+        1 openat(AT_FDCWD, "d\\303\\251", O_RDONLY) = 3
+        1 openat(AT_FDCWD, "cut"..., O_RDONLY) = 3
+        1 renameat2(3, "../x", AT_FDCWD, "y", RENAME_NOREPLACE) = 0""")
+    assert got == [
+        (1, "directory", "/work/sub", "enumerate"), (2, "file", "/work/sub/a, b", "read"), (5, "file", "/work/sub/a, b", "read"), (7, "directory", "/work/sub", "enumerate"), (9, "file", "/work/sub/c", "read"),
+        (11, "subprocess", "/bin/y", "execute"), (14, "file", "/work/sub/c", "read"), (17, "file", "/work/sub/dé", "read"), (19, "file", "/work/sub/x", "write"), (19, "file", "/work/sub/y", "write"),
+    ]
+
+
+def test_descriptors_shared_and_copied_on_fork(spark):
+    got = accesses(spark, """1 openat(AT_FDCWD, "/a", O_RDONLY) = 3
+        1 clone(child_stack=NULL, flags=CLONE_VM|CLONE_FS|CLONE_FILES|SIGCHLD) = 2
+        1 clone3({flags=0, exit_signal=SIGCHLD}, 88) = 4
+        2 close(3) = 0
+        2 chdir("/home") = 0
+        1 mmap(NULL, 5, PROT_READ, MAP_PRIVATE, 3, 0) = 0x7f
+        4 mmap(NULL, 5, PROT_READ, MAP_PRIVATE, 3, 0) = 0x7f
+        1 open("rel", O_RDONLY) = 3
+        4 open("rel", O_RDONLY) = -1 ENOENT (No such file or directory)
+        2 fcntl(3, F_SETFD, FD_CLOEXEC) = 0
+        2 execve("/bin/z", ["z"], 0x7f) = 0
+        2 mmap(NULL, 5, PROT_READ, MAP_PRIVATE, 3, 0) = 0x7f
+        1 mmap(NULL, 5, PROT_READ, MAP_PRIVATE, 3, 0) = 0x7f
+        2 getrandom("x", 8, 0) = 8
+        2 open("/dev/urandom", O_RDONLY) = 5
+        2 stat("dir", {st_mode=S_IFDIR|0755}) = 0
+        2 readlink("plain", 0x7f, 99) = -1 EINVAL (Invalid argument)
+        2 fork() = -1 EAGAIN (Resource temporarily unavailable)""", workspace="/w")
+    assert got == [
+        (0, "file", "/a", "read"), (6, "file", "/a", "read"), (7, "file", "/home/rel", "read"), (8, "file", "rel", "negative"), (10, "subprocess", "/bin/z", "execute"), (12, "file", "/home/rel", "read"),
+        (13, "device", "device:getrandom", "read"), (14, "device", "device:urandom", "read"), (16, "file", "/home/plain", "negative"),
+    ]
+
+
+def test_traces_are_apart(spark):
+    lines = [(t, n, x) for t in ("t", "u", None) for n, x in enumerate([f'1 openat(AT_FDCWD, "/{t}", O_RDONLY) = 3' if t else "1 close(3) = 0", "1 mmap(NULL, 5, PROT_READ, MAP_PRIVATE, 3, 0) = 0x7f"])]
+    events, _ = trace.join_resumed(trace.parse_trace(spark.createDataFrame(lines, "trace_id string, line_no int, line string")))
+    assert sorted((r.trace_id, r.line_no, r.ref) for r in trace.trace_accesses(events).collect()) == [("t", 0, "/t"), ("t", 1, "/t"), ("u", 0, "/u"), ("u", 1, "/u")]
+    assert trace.trace_accesses(events.limit(0)).count() == 0
+
+
 def test_companion_drift_and_invariants(spark, tmp_path):
     r = spark.createDataFrame([("t", "file", "a", "read", "h"), ("t", "file", "n", "negative", "absent")], "trace_id string, kind string, ref string, mode string, version string")
     more = spark.createDataFrame([("t", "file", "a", "read", "other"), ("t", "file", "b", "read", "h")], r.schema)
