@@ -36,6 +36,8 @@ from keepsake.llm.common import Scratch, keep_in_worker, slices, text_of
 
 #: Bytes of text of a chunk, and those that are split at a time; a longer text is a chunk of its own.
 CHUNK_BYTES, SPLIT_BYTES = 32 << 20, 1 << 20
+#: Words that a task encodes before it sends their ids back.
+HELD_WORDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,6 +73,16 @@ def vocabulary(path: str) -> Vocabulary:
     return keep_in_worker(f"bpe {path}", lambda: Vocabulary(path))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, all lowest bytes first: the bytes of small numbers compress well that way."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: pa.Scalar) -> np.ndarray:
+    buffer = data.as_buffer()
+    return np.frombuffer(buffer or b"", np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() if buffer.size else np.empty(0, "<u4")
+
+
 def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
     """values[start:start + length] of each entry of which, one after another."""
     n = length[which]
@@ -79,7 +91,10 @@ def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.
 
 
 def _chunks(rows: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, _row, codes: of the text's pre-tokens, words: on a chunk's first row, its distinct words by code)."""
+    """(chunk, _row, codes: planes of the text's pre-tokens' codes, words: on a chunk's first row, its distinct words by code).
+
+    A chunk's most frequent words get its lowest codes.
+    """
 
     def in_task(batches: Iterator[pa.RecordBatch]):
         import regex
@@ -90,15 +105,24 @@ def _chunks(rows: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             some = pa.concat_arrays(own)
-            listed = pa.array([list(words), *[None] * (len(some) - 1)], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), (task << 32) + number)), some, pa.array(codes, pa.binary()), listed], names=["chunk", "_row", "codes", "words"])
+            order = np.argsort(-sum(np.bincount(c, minlength=len(words)) for c in pieces(codes)), kind="stable")
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
+            listed = pa.ListArray.from_arrays(pa.array([0, *[len(words)] * len(some)], pa.int32()), pa.array(list(words), pa.string()).take(pa.array(order)))
+            listed = pc.if_else(pa.array(np.arange(len(some)) == 0), listed, pa.scalar(None, listed.type))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), (task << 32) + number)), some, pa.array([planes(rank[c]) for c in codes], pa.binary()), listed], names=["chunk", "_row", "codes", "words"])
+
+        def pieces(arrays: list[np.ndarray]) -> Iterator[np.ndarray]:
+            """Few long arrays of many short ones."""
+            for at in range(0, len(arrays), 1000):
+                yield np.concatenate(arrays[at : at + 1000])
 
         for batch in batches:
             for first, texts in slices(batch.column(1), SPLIT_BYTES):
                 own.append(batch.column(0).slice(first, len(texts)))
                 for text in texts.to_pylist():
                     found = find(text)
-                    codes.append(np.fromiter([words.setdefault(w, len(words)) for w in found], "<u4", len(found)).tobytes())
+                    codes.append(np.fromiter([words.setdefault(w, len(words)) for w in found], "<u4", len(found)))
                 size += texts.nbytes
                 if size >= chunk_bytes:
                     yield closed()
@@ -111,20 +135,44 @@ def _chunks(rows: DataFrame, pattern: str, chunk_bytes: int) -> DataFrame:
 
 
 def _encoded(words: DataFrame, ranks: str) -> DataFrame:
-    """(chunk, code, ids) of words (chunk, code, word); a word is encoded once for all chunks."""
+    """(chunk, codes, lengths, ids): of words (chunk, code, word), a word encoded once for all chunks.
+
+    The words of a chunk that a task has at hand go back as one row: planes of the steps between sorted codes, of
+    the numbers of ids and of the ids. A task holds HELD_WORDS at a time.
+    """
+
+    def packed(chunk: np.ndarray, code: np.ndarray, which: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+        order = np.lexsort([code, chunk])
+        chunk, code, which = chunk[order], code[order].astype(np.int64), which[order]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        values, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length
+        cuts = [*np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)).tolist(), len(chunk)]
+        made = [(chunk[a], planes(np.diff(code[a:b], prepend=0)), planes(length[which[a:b]]), planes(gather(values, start, length, which[a:b]))) for a, b in zip(cuts, cuts[1:])]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["chunk", "codes", "lengths", "ids"])
 
     def in_task(batches: Iterator[pa.RecordBatch]):
-        last, last_ids = None, b""
+        last, ids = None, []
+        chunks, codes, which, held = [], [], [], 0
         for batch in batches:
             word = batch.column(2)
             if not len(word):
                 continue
             new = np.append(word[0].as_py() != last, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)).astype(bool)
-            ids = pa.array([last_ids, *vocabulary(ranks).encode_words(word.filter(pa.array(new)).to_pylist())], pa.binary())
-            last, last_ids = word[len(word) - 1].as_py(), ids[len(ids) - 1].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids.take(pa.array(np.cumsum(new)))], names=["chunk", "code", "ids"])
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(in_task, "chunk long, code int, ids binary")
+            which.append(np.cumsum(new) + len(ids) - 1)
+            ids += vocabulary(ranks).encode_words(word.filter(pa.array(new)).to_pylist())
+            last = word[len(word) - 1].as_py()
+            chunks.append(batch.column(0).to_numpy())
+            codes.append(batch.column(1).to_numpy())
+            held += len(word)
+            if held >= HELD_WORDS:
+                yield packed(np.concatenate(chunks), np.concatenate(codes), np.concatenate(which), ids)
+                # the last word may go on
+                ids, chunks, codes, which, held = ids[-1:], [], [], [], 0
+        if held:
+            yield packed(np.concatenate(chunks), np.concatenate(codes), np.concatenate(which), ids)
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(in_task, "chunk long, codes binary, lengths binary, ids binary")
 
 
 def encode(docs: DataFrame, columns: list[str], ranks: str, pattern: str, tmp: Scratch, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -138,12 +186,12 @@ def encode(docs: DataFrame, columns: list[str], ranks: str, pattern: str, tmp: S
 
     def laid_out(left: pa.Table, right: pa.Table) -> pa.Table:
         """One chunk's texts, and the ids of its words."""
-        by_code = right.column("ids").combine_chunks().take(pc.sort_indices(right.column("code")))
-        by_code = by_code.combine_chunks() if isinstance(by_code, pa.ChunkedArray) else by_code
-        ends = np.frombuffer(by_code.buffers()[1], np.int32)[by_code.offset : by_code.offset + len(by_code) + 1].astype(np.int64) // 4
-        values = np.frombuffer(by_code.buffers()[2] or b"", "<u4")
-        start, length = ends[:-1], np.diff(ends)
-        ids = [gather(values, start, length, np.frombuffer(c.as_buffer(), "<u4")).tobytes() if c.as_buffer().size else b"" for c in left.column("codes")]
+        code = [np.cumsum(from_planes(c), dtype=np.int64) for c in right.column("codes")]
+        length, values = ([from_planes(x) for x in right.column(name)] for name in ("lengths", "ids"))
+        code, length, values = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (code, length, values))
+        ends, by_code = np.cumsum(length, dtype=np.int64), np.argsort(code)
+        start, length = (ends - length)[by_code], length[by_code].astype(np.int64)
+        ids = [gather(values, start, length, from_planes(c)).tobytes() for c in left.column("codes")]
         return pa.table([left.column("_row"), pa.array(ids, pa.binary())], names=["_row", "ids"])
 
     texts = chunks.select("chunk", "_row", "codes").groupBy("chunk")

@@ -66,6 +66,7 @@ def test_words_are_encoded_once(spark, tmp_path, monkeypatch):
             return [len(w).to_bytes(4, "little") for w in batch]
 
     monkeypatch.setattr(bpe, "vocabulary", lambda path: Counting())
+    monkeypatch.setattr(bpe, "HELD_WORDS", 5)
     docs = frame(spark, [(k, f"the same words {k % 7} and others") for k in range(300)]).repartition(6)
     with Scratch(spark) as tmp:
         got = bpe.encode(docs, ["doc_id"], RANKS, public_tokenizers.PATTERN, tmp, chunk_bytes=500).collect()
