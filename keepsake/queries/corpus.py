@@ -203,3 +203,68 @@ def i7_quarantine_feed(events):
 @R.query("events", sql="""SELECT user_id, event_type AS status, event_id FROM {events} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def i1_stage_status(events):
     return ev.latest_status(events)
+
+
+_CLAIM_KINDS = ["acquired", "heartbeat", "takeover", "contended", "subscribed", "heartbeat", "lease_expired", "heartbeat", "subscribe_completed", "completed", "failed"]
+_KIND = "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN 'claim.{v}'" for k, v in enumerate(_CLAIM_KINDS)) + " END"
+
+
+@R.query("events", sql=f"""WITH RECURSIVE e AS (SELECT user_id AS work_key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) AS us, {_KIND} AS t, CASE WHEN event_id % 5 > 0 THEN concat('o', cast(event_id % 7 AS varchar)) END AS owner,
+  CASE WHEN event_id % 4 > 0 THEN event_id // 400 - 3 * cast(event_id % 10 = 9 AS bigint) END AS fence, CASE WHEN event_id % 3 = 0 THEN concat('p', cast(event_id % 7 AS varchar)) END AS from_, CASE WHEN event_id % 8 > 1 THEN concat('w', cast(event_id % 3 AS varchar)) END AS worker FROM {{events}}),
+f(work_key, i, phase, owner, challenger, fence, beats, anchor) AS (
+  SELECT work_key, cast(0 AS bigint), cast('' AS varchar), cast(NULL AS varchar), cast(NULL AS varchar), cast(NULL AS bigint), cast(0 AS bigint), us FROM e WHERE i = 1
+  UNION ALL SELECT f.work_key, e.i,
+    CASE WHEN e.fence < f.fence THEN f.phase WHEN t = 'claim.heartbeat' THEN CASE f.phase WHEN 'lease_expired' THEN 'owned' ELSE f.phase END WHEN t = 'claim.acquired' THEN 'owned' WHEN t = 'claim.takeover' THEN 'took_over' ELSE substr(t, 7) END,
+    CASE WHEN e.fence < f.fence THEN f.owner WHEN t IN ('claim.acquired', 'claim.takeover', 'claim.contended') THEN e.owner WHEN t = 'claim.subscribed' THEN coalesce(e.owner, f.owner) ELSE f.owner END,
+    CASE WHEN e.fence < f.fence THEN f.challenger WHEN t = 'claim.acquired' THEN NULL WHEN t = 'claim.takeover' THEN coalesce(from_, f.owner) WHEN t = 'claim.contended' THEN worker WHEN t = 'claim.subscribed' THEN coalesce(f.challenger, worker) ELSE f.challenger END,
+    coalesce(greatest(e.fence, f.fence), e.fence, f.fence),
+    CASE WHEN e.fence < f.fence THEN f.beats WHEN t IN ('claim.acquired', 'claim.takeover') THEN 0 WHEN t = 'claim.heartbeat' THEN f.beats + 1 ELSE f.beats END,
+    CASE WHEN e.fence < f.fence THEN f.anchor WHEN t IN ('claim.acquired', 'claim.takeover', 'claim.contended', 'claim.heartbeat') THEN us ELSE f.anchor END
+  FROM f JOIN e ON e.work_key = f.work_key AND e.i = f.i + 1)
+SELECT work_key, phase, owner, challenger, fence, beats, anchor FROM f QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY i DESC) = 1""")
+def i3_claims_board(events):
+    """Claims by user, whose events are of the nine types in turn, some with a fence that is behind."""
+    k = F.col("event_id")
+    kind = F.get(F.array(*[F.lit(f"claim.{x}") for x in _CLAIM_KINDS]), (k % 11).cast("int"))
+    text = lambda p, n: F.concat(F.lit(p), (k % n).cast("string"))
+    fence = F.when(k % 4 > 0, F.floor(k / 400) - 3 * (k % 10 == 9).cast("long"))
+    claims = events.select(F.col("user_id").alias("work_key"), k.alias("seq"), "ts", kind.alias("type"), F.when(k % 5 > 0, text("o", 7)).alias("owner"), fence.alias("fence"), F.when(k % 3 == 0, text("p", 7)).alias("took_over_from"), F.when(k % 8 > 1, text("w", 3)).alias("worker"))
+    return ev.claims_board(claims).withColumn("anchor", F.unix_micros(F.col("anchor").cast("timestamp")))
+
+
+def _median_sql(seconds: int) -> str:
+    return f"""WITH v AS (SELECT epoch_us(ts) // {seconds * 1_000_000} * {seconds} AS start_s, value, row_number() OVER (PARTITION BY epoch_us(ts) // {seconds * 1_000_000} ORDER BY value) AS i, count(*) OVER (PARTITION BY epoch_us(ts) // {seconds * 1_000_000}) AS n FROM {{events}} WHERE event_type = 'signup' AND value IS NOT NULL),
+m AS (SELECT start_s, n, value AS exact, CASE WHEN value > 0 THEN cast(ceil(ln(value) / ln(1.01 / 0.99)) AS bigint) END AS bucket FROM v WHERE i = (n + 1) // 2)
+SELECT start_s, n, bucket, round(coalesce(2 * power(1.01 / 0.99, bucket) / (1.01 / 0.99 + 1), 0.0), 6) AS value, true AS within FROM m"""
+
+
+def _measured(found, events, seconds):
+    """found, with whether its value is within the stated error of the exact median."""
+    rows = events.where((F.col("event_type") == "signup") & F.col("value").isNotNull())
+    exact = rows.groupBy(ev.period_start(F.col("ts"), seconds).alias("start_s")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("exact"))
+    return found.join(exact, "start_s").select("start_s", "n", "bucket", F.round("value", 6).alias("value"), (F.abs(F.col("value") - F.col("exact")) <= 0.0100001 * F.col("exact")).alias("within"))
+
+
+@R.query("events", sql=_median_sql(3600))
+def i9_latency_medians(events):
+    return _measured(ev.latency_medians(events, "signup", 3600), events, 3600)
+
+
+@R.query("events", sql=_median_sql(86_400))
+def i9_rolled_up_medians(events):
+    """Sketches of five minutes, merged to days."""
+    fine = ev.quantile_sketch(events.where(F.col("event_type") == "signup").withColumn("start_s", ev.period_start(F.col("ts"), 300)), ["start_s"], F.col("value"))
+    days = ev.merge_sketches(fine.withColumn("start_s", F.floor(F.col("start_s") / 86_400) * 86_400), ["start_s"])
+    return _measured(ev.sketch_quantile(days, ["start_s"]), events, 86_400)
+
+
+_ALARMS = [("reuse_rate", "count(*) FILTER (event_type = 'view') / nullif(count(*) FILTER (event_type IN ('view', 'click')), 0)", "v < 0.6", 3, 3600), ("retries", "sum(value) FILTER (event_type = 'purchase')", "v > 50", 2, 3600), ("failures", "count(*) FILTER (event_type = 'error')", "v > 0", 1, 60)]
+
+
+@R.query("events", sql=" UNION ALL ".join(f"""SELECT '{name}' AS alarm, here * {seconds} AS start_s, round(total, 6) AS value FROM (SELECT here, sum(v) OVER w AS total, count(*) OVER w AS k FROM (SELECT epoch_us(ts) // {seconds * 1_000_000} AS here, {v} AS v FROM {{events}} GROUP BY 1) WHERE {breach} WINDOW w AS (ORDER BY here RANGE BETWEEN {periods - 1} PRECEDING AND CURRENT ROW)) WHERE k = {periods}""" for name, v, breach, periods, seconds in _ALARMS))
+def i10_alarm_sums(events):
+    kind, v = F.col("event_type"), F.col("value")
+    rate = F.try_divide(F.count_if(kind == "view"), F.count_if(kind.isin("view", "click")))
+    runs = [("reuse_rate", rate, v < 0.6, 3, 3600), ("retries", F.sum(F.when(kind == "purchase", v)), v > 50, 2, 3600), ("failures", F.count_if(kind == "error").cast("double"), v > 0, 1, 60)]
+    found = [ev.alarm_runs(events, value, breach, periods, seconds).select(F.lit(name).alias("alarm"), "start_s", F.round("value", 6).alias("value")) for name, value, breach, periods, seconds in runs]
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LEASE_S = 45
-TERMINAL = ("completed", "failed", "adopted")
 
 
 def stream_tally(events: DataFrame) -> DataFrame:
@@ -30,61 +25,6 @@ def dedup_events(events: DataFrame, keys: list[str], late: str = "10 minutes") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-#: How an event changes a claim's phase; heartbeats bring an expired lease back.
-PHASES = {"claim.acquired": "owned", "claim.takeover": "took_over", "claim.contended": "contended", "claim.subscribed": "subscribed", "claim.adopted": "adopted", "claim.lease_expired": "lease_expired", "claim.completed": "completed", "claim.failed": "failed"}
-
-
-def next_claim(state: tuple | None, kind: str, owner: str | None, fence: int | None, at: float) -> tuple:
-    """(phase, owner, challenger, fence, beats, anchor) after one event; events with a lower fence change nothing."""
-    phase, own, challenger, top, beats, anchor = state or ("", None, None, 0, 0, at)
-    if fence is not None and fence < top:
-        return phase, own, challenger, top, beats, anchor
-    top = fence if fence is not None else top
-    if kind == "claim.heartbeat":
-        return ("owned" if phase == "lease_expired" else phase), own, challenger, top, beats + 1, at
-    if kind == "claim.acquired":
-        return "owned", owner, None, top, 0, at
-    if kind == "claim.takeover":
-        return "took_over", owner, own, top, 0, at
-    if kind == "claim.contended":
-        return "contended", own, owner, top, beats, anchor
-    if kind in PHASES:
-        return PHASES[kind], own or owner, challenger, top, beats, anchor
-    return phase, own, challenger, top, beats, anchor
-
-
-def claim_board(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The board of claims (work_key, phase, owner, challenger, fence, beats) from a stream of (work_key, type, owner, fence, ts).
-
-    State is a few values for each key and goes when the claim is terminal; its last row has been reported by then. A key that
-    is not heard of for a lease's time, by the watermark, is reported as lease_expired and kept until another
-    lease's time has passed. Within a batch, a key's events count in the order of their times.
-    """
-
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            if now[0] == "lease_expired":
-                state.remove()
-                return
-            now = ("lease_expired", *now[1:])
-        else:
-            rows = pd.concat(list(frames)).sort_values("ts", kind="stable")  # one key's events of one batch
-            for r in rows.itertuples(index=False):
-                now = next_claim(now, r.type, r.owner, None if pd.isna(r.fence) else int(r.fence), r.ts.timestamp())
-        if now[0] in TERMINAL:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(now)
-            state.setTimeoutTimestamp(max(int(now[5] * 1000) + LEASE_S * 1000, state.getCurrentWatermarkMs() + 1 + LEASE_S * 1000 * (now[0] == "lease_expired")))
-        yield pd.DataFrame([(*key, *now[:5])], columns=["work_key", "phase", "owner", "challenger", "fence", "beats"])
-
-    return events.withWatermark("ts", late).groupBy("work_key").applyInPandasWithState(
-        fold, "work_key string, phase string, owner string, challenger string, fence long, beats long", "phase string, owner string, challenger string, fence long, beats long, anchor double", "update", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def reaper(heartbeats: DataFrame, lease_s: int = LEASE_S, late: str = "10 seconds") -> DataFrame:
     """(work_key, fence, expired_at) of open claims whose lease has run out, once each, from a stream of (work_key, fence, open, ts).
 
@@ -92,7 +32,8 @@ def reaper(heartbeats: DataFrame, lease_s: int = LEASE_S, late: str = "10 second
     renews them, so the watermark alone decides and state goes with its window; in append mode.
     """
     window = F.session_window("ts", f"{lease_s} seconds")
-    last = heartbeats.withWatermark("ts", late).groupBy("work_key", window).agg(F.max_by(F.struct("open", "fence"), "ts").alias("last"))
+    # the highest fence decides, then time: a zombie's late heartbeat does not bring an ended claim back
+    last = heartbeats.withWatermark("ts", late).groupBy("work_key", window).agg(F.max_by(F.struct("open", "fence"), F.struct("fence", "ts")).alias("last"))
     return last.where("last.open").select("work_key", "last.fence", F.col("session_window.end").alias("expired_at"))
 
 

@@ -5,12 +5,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from keepsake.operators.events import lease_view
-from keepsake.streaming import folds
+from keepsake.streaming import folds, stateful
 
 
 def drain(spark, df, name, mode):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(600)
     assert q.exception() is None
     return spark.table(name).collect()
 
@@ -44,6 +44,7 @@ def test_stage_status(spark, tmp_path):
 
 
 def test_claim_board(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "work_key string, type string, owner string, fence long, ts timestamp"
     batches = [
         [("k", "claim.heartbeat", None, None, at(5)), ("k", "claim.acquired", "a", 1, at(0)), ("m", "claim.acquired", "z", 1, at(1)), ("lost", "claim.acquired", "y", 1, at(2))],
@@ -51,7 +52,7 @@ def test_claim_board(spark, tmp_path):
         [("k", "claim.heartbeat", None, 2, at(90)), ("k", "claim.heartbeat", None, 2, at(170))],
         [("k", "claim.heartbeat", None, 2, at(200))],
     ]
-    got = drain(spark, folds.claim_board(stream(spark, tmp_path, batches, schema), late="0 seconds"), "board", "update")
+    got = drain(spark, stateful.claim_board(stream(spark, tmp_path, batches, schema), late="0 seconds"), "board", "update")
     seen = {(r.work_key, r.phase, r.owner, r.challenger, r.fence, r.beats) for r in got}
     assert {("k", "owned", "a", None, 1, 1), ("k", "took_over", "b", "a", 2, 0), ("m", "completed", "z", None, 1, 0), ("lost", "lease_expired", "y", None, 1, 0)} <= seen
     assert not any(k == "m" and phase == "lease_expired" for k, phase, *_ in seen)  # its state went when it was done
