@@ -186,17 +186,20 @@ def probe_struct(old: DataFrame, new: DataFrame, entries: DataFrame, changed: Da
 def probe_vectors(recorded: DataFrame, recomputed: DataFrame, id_col: str, vector_col: str, salt: str, k: int = 64) -> DataFrame:
     """One row: whether k sampled vectors are bit for bit the same; detail lists ids that differ or are missing."""
     sample = hash_select(recorded.select(id_col), id_col, salt, k)
-    return _same_vectors("P3", recorded, recomputed, sample, id_col, vector_col, "float")
+    return _same_vectors("P3", recorded, recomputed, sample, id_col, vector_col)
 
 
 def probe_scores(a: DataFrame, b: DataFrame, id_col: str, scores_col: str, salt: str, k: int = 128) -> DataFrame:
     """One row: whether two models' scores (an array for each row) are bit for bit the same on k sampled rows."""
-    return _same_vectors("P4", a, b, hash_select(a.select(id_col), id_col, salt, k), id_col, scores_col, "double")
+    return _same_vectors("P4", a, b, hash_select(a.select(id_col), id_col, salt, k), id_col, scores_col)
 
 
-def _same_vectors(probe: str, recorded: DataFrame, recomputed: DataFrame, sample: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
+def _same_vectors(probe: str, recorded: DataFrame, recomputed: DataFrame, sample: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    kind, other = (x.schema[vector_col].dataType.simpleString() for x in (recorded, recomputed))
+    if kind != other or kind not in ("array<float>", "array<double>"):
+        raise TypeError(f"bits of {kind} and {other} can't be compared")
     # a number's shortest text tells all its bits but those of NaN
-    bits = lambda c: F.transform(c, lambda x: F.hex(x.cast(kind).cast("string")))
+    bits = lambda c: F.transform(c, lambda x: F.hex(x.cast("string")))
     a, b = (x.select(id_col, bits(F.col(vector_col)).alias(n)) for x, n in ((recorded, "_a"), (recomputed, "_b")))
     both = F.broadcast(sample).join(a, id_col).join(b, id_col, "left")  # at most k rows
     out = both.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(~F.col("_a").eqNullSafe(F.col("_b")), F.col(id_col)))).alias("bad"))

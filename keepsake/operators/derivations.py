@@ -53,19 +53,19 @@ def leaf_path(roots: DataFrame, leaves: DataFrame, derivations: DataFrame, claim
 
 
 def receipts(roots: DataFrame, leaves: DataFrame, derivations: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(root_id, n_leaves, receipt): canonical JSON of each root, its leaves in order, and where their blobs are.
+    """(root_id, n_leaves, n_unavailable, receipt): canonical JSON of each root, its leaves in order, and where their blobs are.
 
-    Parts whose blob is not known are left out. roots: root_id. leaves: root_id, ordinal, child_id, slice_digest. derivations: derivation_id,
+    A leaf whose derivation or blob is not known is listed without what is not known, and counted as unavailable. roots: root_id. leaves: root_id, ordinal, child_id, slice_digest. derivations: derivation_id,
     work_key, blob_digest. blobs: blob_digest, location, size. A root's leaves are as many as it has buckets.
     """
-    stored = derivations.join(blobs.select("blob_digest", "location", "size"), "blob_digest")
-    leaf = leaves.join(stored.withColumnRenamed("derivation_id", "child_id"), "child_id")
+    stored = derivations.join(blobs.select("blob_digest", "location", "size"), "blob_digest", "left")
+    leaf = leaves.join(stored.withColumnRenamed("derivation_id", "child_id"), "child_id", "left")
     # JSON objects keep the order of a struct's fields, so these are sorted by name
-    listed = leaf.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "blob_digest", "child_id", "location", "size", "slice_digest"))).alias("_leaves"), F.count(F.lit(1)).alias("_n"))
+    listed = leaf.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "blob_digest", "child_id", "location", "size", "slice_digest"))).alias("_leaves"), F.count(F.lit(1)).alias("_n"), F.count_if(F.col("location").isNull()).alias("_lost"))
     whole = roots.select("root_id").join(stored.withColumnRenamed("derivation_id", "root_id"), "root_id").join(listed, "root_id", "left")
     parts = F.transform(F.coalesce("_leaves", F.array().cast(listed.schema["_leaves"].dataType)), lambda x: F.struct(x["blob_digest"].alias("blob_digest"), x["child_id"].alias("child_id"), x["location"].alias("location"), x["ordinal"].alias("ordinal"), x["size"].alias("size"), x["slice_digest"].alias("slice_digest")))
     body = F.to_json(F.struct("blob_digest", parts.alias("leaves"), "location", "root_id", "size", "work_key"))
-    return whole.select("root_id", F.coalesce("_n", F.lit(0)).alias("n_leaves"), body.alias("receipt"))
+    return whole.select("root_id", F.coalesce("_n", F.lit(0)).alias("n_leaves"), F.coalesce("_lost", F.lit(0)).alias("n_unavailable"), body.alias("receipt"))
 
 
 def replay_scenarios(decisions: DataFrame, transfers: DataFrame, fragments: DataFrame, failures: DataFrame, remediations: DataFrame, n_reuse: int = 5, n_verdicts: int = 10, n_transfers: int = 6, n_fragments: int = 2) -> DataFrame:
@@ -146,11 +146,12 @@ def tighten_rules(rules: DataFrame, contradictions: DataFrame, authority: Column
 def failure_signatures(failures: DataFrame, reads: DataFrame, allowed: list[str], encoder: Callable[[Column], Column] | None = None) -> DataFrame:
     """(run_id, error_class, last_line, summary, features[, embedding]): what a failure's traceback and recorded configuration say.
 
-    failures: run_id, stage, traceback. reads: run_id, key, value. The last line is cut at 500 characters. encoder turns
+    failures: run_id, stage, traceback. reads: run_id, key, value; of a key read with several values the largest counts. The last line is cut at 500 characters. encoder turns
     the summary into a vector.
     """
     last = F.trim(F.try_element_at(F.filter(F.split("traceback", "\n"), lambda x: F.trim(x) != ""), F.lit(-1)))
-    features = reads.where(F.col("key").isin(allowed)).groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("features"))
+    once = reads.where(F.col("key").isin(allowed)).groupBy("run_id", "key").agg(F.max("value").alias("value"))
+    features = once.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("features"))
     rows = failures.select("run_id", "stage", last.alias("_last")).join(features, "run_id", "left")
     known = F.array_join(F.transform(F.array_sort(F.map_keys(F.coalesce("features", F.create_map().cast("map<string,string>")))), lambda k: F.concat(k, F.lit("="), F.element_at("features", k))), ", ")
     line, kind = F.substring(F.coalesce("_last", F.lit("")), 1, 500), F.regexp_extract("_last", r"^([\w.]+)", 1)

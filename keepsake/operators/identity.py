@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions.canon import digest_column, sum_digest
+from keepsake.functions.scratch import cut
 
 
 def set_digest(df: DataFrame, by: list[str], label: str, *members: Column) -> DataFrame:
@@ -35,19 +36,49 @@ def env_fingerprint(environments: DataFrame, columns: list[str]) -> DataFrame:
     return environments.withColumn("digest", digest_column("env", *[text(environments.schema[c]) for c in sorted(columns)]))
 
 
-def work_keys(stages: DataFrame, upstream: DataFrame) -> DataFrame:
+def work_keys(stages: DataFrame, upstream: DataFrame, keys: tuple[str, ...] = ("stage",)) -> DataFrame:
     """stages (stage, config, code, env) with work_key and provisional; upstream: stage, artifact_id (null: not known yet).
 
     Keys depend on the set of upstream artifacts; a stage with an unknown one is provisional.
+    keys: the columns that tell stages apart.
     """
-    known = upstream.select("stage", F.coalesce("artifact_id", F.concat(F.lit("planned:"), F.col("planned_key"))).alias("up"), F.col("artifact_id").isNull().alias("open"))
-    ups = set_digest(known, ["stage"], "upstream", F.col("up")).withColumnRenamed("digest", "_up")
-    is_open = known.groupBy("stage").agg(F.bool_or("open").alias("_open"))
-    rows = stages.join(ups, "stage", "left").join(is_open, "stage", "left")
+    keys = list(keys)
+    known = upstream.select(*keys, F.coalesce("artifact_id", F.concat(F.lit("planned:"), F.col("planned_key"))).alias("up"), F.col("artifact_id").isNull().alias("open"))
+    ups = set_digest(known, keys, "upstream", F.col("up")).withColumnRenamed("digest", "_up")
+    is_open = known.groupBy(*keys).agg(F.bool_or("open").alias("_open"))
+    rows = stages.join(ups, keys, "left").join(is_open, keys, "left")
     key = digest_column("work", F.col("stage"), F.col("config"), F.col("code"), F.col("env"), F.col("_up"))
     return rows.select(*stages.columns, F.when(F.trim("stage") != "", key).alias("work_key"), F.coalesce("_open", F.lit(False)).alias("provisional"))
 
 
+def plan_keys(stages: DataFrame, edges: DataFrame, artifacts: DataFrame, most_levels: int = 1000) -> DataFrame:
+    """stages (plan, stage, config, code, env) with work_key, provisional and level, for many plans at once, level by level.
+
+    edges: plan, stage, parent. artifacts: plan, stage, artifact_id of stages that are done. A stage's key takes its parents'
+    artifacts, and of parents without one planned:<their key>, which makes it provisional. A stage is planned in the round
+    after the last of its parents, so there are as many rounds as the longest path has stages; a cycle, or a parent that is
+    neither a stage nor done, raises.
+    """
+    keys = ["plan", "stage"]
+    own = stages.select(*keys, "config", "code", "env")
+    done = artifacts.select("plan", F.col("stage").alias("parent"), "artifact_id")
+    ups = cut(edges.select(*keys, "parent").distinct().join(done, ["plan", "parent"], "left"))
+    left = cut(own)
+    planned = cut(own.limit(0).select("*", F.lit("").alias("work_key"), F.lit(False).alias("provisional"), F.lit(0).alias("level")))
+    for level in range(most_levels):
+        if left.isEmpty():
+            return planned
+        above = planned.select("plan", F.col("stage").alias("parent"), F.col("work_key").alias("planned_key"))
+        known = ups.join(above, ["plan", "parent"], "left")
+        ready = left.join(known.where("artifact_id is null and planned_key is null").select(*keys).distinct(), keys, "left_anti")
+        made = cut(work_keys(ready, known.join(ready.select(*keys), keys, "left_semi"), tuple(keys)).withColumn("level", F.lit(level)))
+        if made.isEmpty():
+            raise ValueError("plans have a cycle, or a parent that is neither a stage nor done")
+        planned = cut(planned.unionByName(made))
+        left = cut(left.join(made.select(*keys), keys, "left_anti"))
+    raise RuntimeError(f"plans are deeper than {most_levels} levels")
+
+
 def resource_set_digest(resources: DataFrame, modes: list[str] | None = None) -> DataFrame:
     """(trace_id, digest) of the resources (kind, ref, mode, version) of each trace, or those of some modes."""
     rows = resources if modes is None else resources.where(F.col("mode").isin(modes))

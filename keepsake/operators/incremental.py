@@ -29,9 +29,15 @@ def bucket_of(id_text: Column, buckets: int = BUCKETS) -> Column:
 
 
 def typed_ids(raw: Column) -> Column:
-    """A JSON id's canonical text, or null for what is neither a string nor a whole number: 7 and "7" differ, true is no id."""
+    """A JSON id's canonical text, or null for what is neither a string nor a whole number: 7 and "7" differ, true is no id.
+
+    A string's escapes are resolved and written anew, so texts of equal strings are equal; -0 is 0.
+    """
     raw = F.trim(raw)
-    return F.when(raw.rlike(r'^(-?(0|[1-9][0-9]*)|".*")$'), raw)
+    whole = F.when(raw == "-0", "0").otherwise(raw)
+    values = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")
+    anew = F.to_json(values)
+    return F.when(raw.rlike(r"^-?(0|[1-9][0-9]*)$"), whole).when(raw.startswith('"') & (F.size(values) == 1) & F.get(values, 0).isNotNull(), F.substr(anew, F.lit(2), F.length(anew) - 2))
 
 
 def validate_ids(rows: DataFrame, id_col: str, line_col: str, raw_col: str | None = None) -> DataFrame:

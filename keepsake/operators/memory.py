@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.functions.scratch import cut
+from keepsake.operators.corpus import row_places
+
 STRONG, WEAK = 0.15, 0.35
 #: Names that a configuration key's last part stands for.
 ALIASES = {"max_seq_length": "max_seq_len", "learning_rate": "lr"}
@@ -16,21 +21,29 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search_failures(signatures: DataFrame, queries: DataFrame, k: int = 8, by_error: bool = True, by_stage: bool = True, most_queries: int = 10_000) -> DataFrame:
+def search_failures(signatures: DataFrame, queries: DataFrame, k: int = 8, by_error: bool = True, by_stage: bool = True, most_bytes: int = 24 << 20) -> DataFrame:
     """The k nearest signatures of each query (query_id, stage, error_class, vector): of its stage, and class, if asked.
 
-    With by_stage False, and for queries whose stage is null, all stages count; the same holds for classes. Up to most_queries
-    queries go to every task, which then passes on k rows of each; more of them are joined by stage and class.
+    With by_stage False, and for queries whose stage is null, all stages count; the same holds for classes. Queries of up to
+    most_bytes go to every task, which then passes on k rows of each. Of more, those that name a stage or class are joined by
+    what they name, and the others go to every task in blocks of that size, with the same result.
     """
     q = queries.select("query_id", F.col("stage").alias("_stage"), F.col("error_class").alias("_class"), F.col("vector").alias("_vector"))
-    few = q.limit(most_queries + 1).count() <= most_queries
-    on = F.lit(True)
-    for wanted, own, asked in ((by_stage, "stage", "_stage"), (by_error, "error_class", "_class")):
-        if wanted:
-            on = on & ((F.col(own) == F.col(asked)) | F.col(asked).isNull() if few else F.col(own) == F.col(asked))
-    if not few and not (by_stage or by_error):
-        raise ValueError(f"more than {most_queries} queries need a stage or a class to be joined by")
-    found = signatures.join(F.broadcast(q) if few else q, on).withColumn("distance", cosine_distance(F.col("embedding"), F.col("_vector"))).drop("_stage", "_class", "_vector")
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    q = q.select("query_id", "_stage" if by_stage else text("_stage"), "_class" if by_error else text("_class"), "_vector")
+    sizes = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vector")).alias("width")).first()
+    rows = max(1, most_bytes // (64 + 8 * max(sizes["width"] or 0, 1)))  # rows of a block
+    same = {"_stage": F.col("stage") == F.col("_stage"), "_class": F.col("error_class") == F.col("_class")}
+    if sizes["n"] <= rows:
+        pairs = signatures.join(F.broadcast(q), (same["_stage"] | F.col("_stage").isNull()) & (same["_class"] | F.col("_class").isNull()))
+    else:
+        named = lambda *names: q.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() if c in names else F.col(c).isNull() for c in same]))
+        parts = [signatures.join(named(*names), reduce(lambda a, b: a & b, [same[c] for c in names])) for names in (("_stage", "_class"), ("_stage",), ("_class",))]
+        free = cut(row_places(named(), ["query_id"], "_place"))
+        blocks = -(-free.count() // rows)
+        parts += [signatures.join(F.broadcast(free.where(F.floor((F.col("_place") - 1) / rows) == b).drop("_place")), F.lit(True)) for b in range(blocks)]
+        pairs = reduce(DataFrame.unionByName, parts)
+    found = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("_vector"))).drop("_stage", "_class", "_vector")
     # the k nearest of each partition first, so that few rows meet in one task
     order = [F.col("distance").asc_nulls_last(), F.col("signature_id")]
     part = Window.partitionBy("query_id", "_part").orderBy(*order)

@@ -79,8 +79,9 @@ def f15_leaf_path(fragments, claims):
 
 
 @R.query("fragments", sql="""WITH l AS (SELECT work_key AS root_id, fragment_index AS ordinal, part, duration_ms FROM {fragments}), parts AS (SELECT DISTINCT part FROM {fragments}),
-j AS (SELECT root_id, count(*) AS n, string_agg(concat('{"blob_digest":', cast(part AS varchar), ',"child_id":', cast(part AS varchar), ',"location":"cas/', cast(part AS varchar), '","ordinal":', cast(ordinal AS varchar), ',"size":', cast(part * 10 AS varchar), ',"slice_digest":"', cast(duration_ms AS varchar), '"}'), ',' ORDER BY ordinal) AS s FROM l WHERE part % 6 <> 0 GROUP BY 1)
-SELECT part AS root_id, coalesce(n, 0) AS n_leaves, concat('{"blob_digest":', cast(part AS varchar), ',"leaves":[', coalesce(s, ''), '],"location":"cas/', cast(part AS varchar), '","root_id":', cast(part AS varchar), ',"size":', cast(part * 10 AS varchar), ',"work_key":', cast(part AS varchar), '}') AS receipt FROM parts LEFT JOIN j ON root_id = part WHERE part % 6 <> 0""")
+places AS (SELECT part, CASE WHEN part % 6 <> 0 THEN concat(',"location":"cas/', cast(part AS varchar), '"') ELSE '' END AS place, CASE WHEN part % 6 <> 0 THEN concat(',"size":', cast(part * 10 AS varchar)) ELSE '' END AS size FROM parts),
+j AS (SELECT root_id, count(*) AS n, count(*) FILTER (part % 6 = 0) AS lost, string_agg(concat('{"blob_digest":', cast(part AS varchar), ',"child_id":', cast(part AS varchar), place, ',"ordinal":', cast(ordinal AS varchar), size, ',"slice_digest":"', cast(duration_ms AS varchar), '"}'), ',' ORDER BY ordinal) AS s FROM l JOIN places USING (part) GROUP BY 1)
+SELECT part AS root_id, coalesce(n, 0) AS n_leaves, coalesce(lost, 0) AS n_unavailable, concat('{"blob_digest":', cast(part AS varchar), ',"leaves":[', coalesce(s, ''), ']', place, ',"root_id":', cast(part AS varchar), size, ',"work_key":', cast(part AS varchar), '}') AS receipt FROM places LEFT JOIN j ON root_id = part""")
 def f16_receipts(fragments):
     derivations = _derivations(fragments)
     b = F.col("blob_digest")

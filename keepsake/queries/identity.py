@@ -52,3 +52,33 @@ def d7_spec_identities(artifacts):
     specs = artifacts.select(text(3).alias("namespace_id"), F.array(F.lit("run"), text(7)).alias("argv"), F.lit(".").alias("cwd_rel"), F.struct(text(2).alias("path_rel"), F.lit("file").alias("kind")).alias("output"), platform.alias("platform"), purity.alias("purity"), F.lit(None).cast("struct<adapter_id: string>").alias("adapter"), *versions)
     listed = F.explode(F.array(*[F.struct(F.lit(i).alias("identity"), F.col(f"{i}_digest").alias("digest")) for i in op.IDENTITIES])).alias("x")
     return op.spec_identities(specs).select(listed).select("x.*").groupBy("identity").agg(F.count_distinct("digest").alias("n"))
+
+
+#: Parents of each stage of a plan.
+_PARENTS = {"s0": [], "s1": ["s0"], "s2": ["s0", "s1"], "s3": ["s2"], "s4": ["s1", "s3"]}
+
+
+def _planned_sql() -> str:
+    """A level after the other, each from the keys of those before it; s0 is done in every third plan and s2 in every fifth."""
+    done = {"s0": "p.k % 3 = 0", "s2": "p.k % 5 = 0"}
+    parts = ["p AS (SELECT p_partkey AS k FROM {part})"]
+    for s, parents in _PARENTS.items():
+        ups = [f"SELECT p.k, CASE WHEN {done.get(u, 'false')} THEN concat('{u}-', cast(p.k AS string)) ELSE concat('planned:', x.work_key) END AS up FROM p JOIN {u} x ON x.k = p.k" for u in parents] or ["SELECT k, '' AS up FROM p WHERE false"]
+        parts.append(f"u{s} AS (SELECT k, up FROM ({' UNION ALL '.join(ups)}))")
+        parts.append(f"d{s} AS ({_set(f'u{s}', 'k', 'upstream', 'up')})")
+        opened = " OR ".join(f"NOT ({done.get(u, 'false')})" for u in parents) or "false"
+        key = framed("work", "stage", "config", "code", "env", "digest")
+        parts.append(f"{s} AS (SELECT p.k, stage, {key} AS work_key, {opened} AS provisional FROM (SELECT p.k, '{s}' AS stage, p.k AS config, p.k % 7 AS code, 'e' AS env, digest FROM p LEFT JOIN d{s} d ON d.k = p.k) p)")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT k AS plan, stage, work_key, provisional FROM {s}" for s in _PARENTS)
+
+
+@R.query("part", sql=_planned_sql())
+def d4_plan_keys(part):
+    """Plans of five stages in five levels, some of whose stages are done."""
+    k = F.col("p_partkey")
+    stages = part.select(k.alias("plan"), F.explode(F.array(*map(F.lit, _PARENTS))).alias("stage"), k.alias("config"), (k % 7).alias("code"), F.lit("e").alias("env"))
+    pairs = [(s, u) for s, us in _PARENTS.items() for u in us]
+    edges = part.select(k.alias("plan"), F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(u).alias("parent")) for s, u in pairs])).alias("e")).select("plan", "e.*")
+    done = part.select(k.alias("plan"), F.explode(F.array_compact(F.array(F.when(k % 3 == 0, "s0"), F.when(k % 5 == 0, "s2")))).alias("stage"))
+    artifacts = done.select("plan", "stage", F.concat_ws("-", "stage", F.col("plan").cast("string")).alias("artifact_id"))
+    return op.plan_keys(stages, edges, artifacts).select("plan", "stage", "work_key", "provisional")
