@@ -471,7 +471,7 @@ def test_urls(spark):
     assert by_id[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert by_id[1] == ("a.example.net", "/de/", "net/", "block")
     assert by_id[2] == ("example.com", "/de/y", "example.com/de/", "block")
-    assert by_id[3] == ("x.example.com", "", None, "allow")
+    assert by_id[3] == ("x.example.com", "", None, "block")  # all pages of its domain are blocked, and it links to blocked ones
     assert by_id[4][2:] == (None, "block")  # links to a blocked host only
     assert by_id[6] == ("y.org", "/fr/1", "org/fr/", "allow")
     assert by_id[7][2:] == (None, "allow")  # trusted more than distrusted
@@ -485,17 +485,19 @@ def of_kind(spark, rows, names, kind=0):
 
 
 def brute_rank(edges, seeds):
-    """Personalised PageRank by its definition; what ends at a host without edges goes back to the seeds."""
+    """Personalised PageRank by its definition, from seeds that weigh alike or as they say; what ends at a host without edges goes back to the seeds."""
     out = Counter(s for s, _ in edges)
-    rank = {h: 1 / len(seeds) for h in seeds}
+    weights = seeds if isinstance(seeds, dict) else dict.fromkeys(seeds, 1.0)
+    seeds = {h: w / sum(weights.values()) for h, w in weights.items()}
+    rank = dict(seeds)
     for _ in range(400):
         new, back = defaultdict(float), 1 - urls.DAMPING
         for h, x in rank.items():
             back += urls.DAMPING * x * (not out[h])
         for s, d in edges:
             new[d] += urls.DAMPING * rank.get(s, 0.0) / out[s]
-        for h in seeds:
-            new[h] += back / len(seeds)
+        for h, w in seeds.items():
+            new[h] += back * w
         rank = new
     return rank
 
@@ -506,7 +508,7 @@ def test_page_rank(spark, monkeypatch, small):
     edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("d", "a"), ("c", "end")]
     with Scratch(spark) as tmp:
         both = of_kind(spark, edges, ("src", "dst")).unionByName(of_kind(spark, [(d, s) for s, d in edges], ("src", "dst"), 1))
-        seeds = of_kind(spark, [("a",)], ("host",)).unionByName(of_kind(spark, [("b",), ("c",)], ("host",), 1))
+        seeds = of_kind(spark, [("a",)], ("host",)).unionByName(of_kind(spark, [("b",), ("c",)], ("host",), 1)).withColumn("weight", F.lit(0.7))
         got = {(r.kind, r.host): r.score for r in urls.spread(both, seeds, tmp).collect()}
     want = {(0, h): x for h, x in brute_rank(edges, ["a"]).items()} | {(1, h): x for h, x in brute_rank([(d, s) for s, d in edges], ["b", "c"]).items()}
     assert got == pytest.approx({k: x for k, x in want.items() if x}, abs=1e-3)
@@ -514,11 +516,11 @@ def test_page_rank(spark, monkeypatch, small):
 
 def test_page_rank_reaches_far_hosts(spark):
     edges = [(f"h{k}", f"h{k + 1}") for k in range(14)]
-    seeds = of_kind(spark, [("h0",)], ("host",))
+    seeds = of_kind(spark, [("h0",)], ("host",)).withColumn("weight", F.lit(1.0))
     with Scratch(spark) as tmp:
         got = {r.host: r.score for r in urls.spread(of_kind(spark, edges, ("src", "dst")), seeds, tmp).collect()}
         assert got == pytest.approx(brute_rank(edges, ["h0"])) and got["h14"] > 0
-        with pytest.raises(RuntimeError):
+        with pytest.raises(RuntimeError):  # not settled
             urls.spread(of_kind(spark, [("h0", "h1"), ("h1", "h0")], ("src", "dst")), seeds, tmp, rounds=4)
 
 
@@ -539,6 +541,32 @@ def test_hosts_of_one_site_share_trust(spark):
     assert got[1].distrust == pytest.approx(brute_rank(chain, ["evil.site.io"])["other.site.io"], abs=1e-3)
 
 
+def test_shares_of_pages_weigh_and_suffixes_join_nobody(spark):
+    rules = [("block", "bad.com", "/de/"), ("block", "a.co.uk", "/"), ("allow", "good.org", "/ok/")]
+    urls_ = [f"http://bad.com/{'de' if k < 8 else 'en'}/{k}" for k in range(10)] + [f"http://mild.com/{k}" for k in range(3)] + ["http://a.co.uk/1", "http://b.co.uk/2", "http://www.a.co.uk/3", "http://good.org/ok/1", "http://good.org/x"]
+    urls_ += [f"http://once.io/{k}" for k in range(4)] + ["http://even.net/1"]
+    rules += [("block", "once.io", "/0"), ("block", "even.net", "/none"), ("allow", "even.net", "/none")]
+    df = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls_)], "page_id long, url string, html string")
+    got = {urls_[r.page_id]: r for r in urls.judge(df, ["page_id"], rules=rules).collect()}
+    assert got["http://bad.com/en/9"].verdict == "block" and got["http://bad.com/en/9"].rule is None  # most of its host is blocked
+    edges = [("a.co.uk", "www.a.co.uk"), ("www.a.co.uk", "a.co.uk")]
+    weights = {"bad.com": 0.8, "a.co.uk": 1.0, "www.a.co.uk": 1.0, "once.io": 0.25}
+    whole = sum(weights.values())
+    for h, u in (("bad.com", "http://bad.com/en/9"), ("www.a.co.uk", "http://www.a.co.uk/3"), ("once.io", "http://once.io/3")):
+        assert got[u].distrust == pytest.approx(whole * brute_rank(edges, weights)[h], abs=1e-3)
+    assert {got[u].verdict for u in urls_ if "mild" in u} == {"allow"} and got["http://b.co.uk/2"].verdict == "allow"
+    assert got["http://www.a.co.uk/3"].rule == "a.co.uk/" and got["http://good.org/x"].trust == pytest.approx(0.5, abs=1e-3)
+    assert got["http://b.co.uk/2"].distrust == 0 and got["http://once.io/3"].verdict == ("block" if got["http://once.io/3"].distrust >= urls.LEAST_DISTRUST else "allow")
+    assert got["http://even.net/1"].verdict == "allow"
+
+
+def test_equal_trust_and_distrust_allow(spark):
+    rules = [("block", "x.com", "/b"), ("allow", "x.com", "/a")]
+    pages = [(0, "http://x.com/a", ""), (1, "http://x.com/b", ""), (2, "http://x.com/c", "<a href='/own'>" + "z" * 3_000_000)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), ["page_id"], rules=rules).collect()}
+    assert got[2].verdict == "allow" and got[2].trust > 0 and got[2].distrust > 0
+
+
 # --- 8 quality
 
 
