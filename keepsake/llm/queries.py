@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import audit, bpe, decontam, fim, jaccard, licenses, lines, packing, quality, spans, tokenfile, toxicity, urls
-from keepsake.llm.common import Scratch, shared_dir
+from keepsake.llm.common import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,9 +46,9 @@ def op6_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/keepsake-token-orc-{uuid.uuid4().hex}"
-    tokenfile.write_token_file(table(spark, sf_dir, "documents"), path, TOKENIZER)
-    return tokenfile.token_index(spark, path)
+    with Scratch(spark) as tmp:  # the files go when they have been read back
+        tokenfile.write_token_file(table(spark, sf_dir, "documents"), f"{tmp.path}/token-orc", TOKENIZER)
+        return tokenfile.token_index(spark, f"{tmp.path}/token-orc")
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,33 @@ def test_token_file(spark, docs, rows, none, ids_of, tmp_path):
     assert tokenfile.token_index(spark, empty).collect() == []
 
 
+def test_repeated_ids_stand_as_in_the_file(spark, ids_of, tmp_path):
+    rows = [(7, f"word{k} " * (5 - k)) for k in range(5)] + [(7, "word0 " * 5), (3, "x"), (None, "b"), (None, "a a")]
+    path = str(tmp_path / "ties")
+    tokenfile.write_token_file(frame(spark, rows).repartition(3), path, TOKENIZER)
+    files = sorted((tmp_path / "ties").glob("*.orc"))
+    from pyarrow import orc
+
+    in_files = sorted(([r for r in orc.ORCFile(f).read().to_pylist()] for f in files), key=lambda x: (bool(x) and x[0]["doc_id"] is not None, x[0]["doc_id"] or 0) if x else (True, LAST))
+    flat = [r for f in in_files for r in f]
+    index = sorted(tokenfile.token_index(spark, path).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in index] == [(r["doc_id"], len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in flat]
+    assert [r.start for r in index] == list(itertools.accumulate([0] + [r.n_tokens for r in index[:-1]]))
+
+
+def test_registered_token_file_leaves_nothing(spark):
+    import os
+    from pathlib import Path
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the given tables are not here")
+    from keepsake.llm.queries import QUERIES
+
+    assert QUERIES["op7_token_orc"](spark, "/root/testdata/sf0.001").count() > 0
+    drop_results(spark)
+    assert not [p for p in Path(shared_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith("keepsake-")]
+
+
 def test_token_file_prunes(spark, none, tmp_path):
     """Row indexes and Bloom filters on doc_id: a lookup reads few row groups of few files."""
     from pyarrow import orc
@@ -292,7 +319,7 @@ def test_two_notices_in_a_file(spark):
     notices = [(label, text) for label, text, _ in licenses.NOTICES]
     files = [(a, b, f"{x}\n\nSome words stand between these two.\n\n{y}") for (a, x), (b, y) in itertools.permutations(notices, 2)]
     labels = {r._row.text: set(r.labels.split(",")) for r in licenses.scan(frame(spark, [(k, t) for k, (*_, t) in enumerate(files)]), ["text"]).collect()}
-    assert len(files) == 132 and [(a, b) for a, b, t in files if not {a, b} <= labels[t]] == []
+    assert len(files) == len(notices) * (len(notices) - 1) and [(a, b) for a, b, t in files if not {a, b} <= labels[t]] == []
 
 
 def test_all_notices_in_a_file(spark):
@@ -302,6 +329,36 @@ def test_all_notices_in_a_file(spark):
     assert labels[1] >= {label for label, _, _ in licenses.NOTICES} and labels[2] == {""}
 
 
+def test_headers_and_prose_that_share_phrases(spark):
+    fsf = "is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation"
+    texts = {
+        "This library " + fsf.format("Lesser General"): "lgpl,lgpl-notice",
+        "This program " + fsf.format("General"): "gpl,gpl-notice",
+        "This program " + fsf.format("Affero General"): "agpl-notice",
+        "The tool reads source and binary forms of programs.": "",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+        "permission is hereby granted free of charge to any person obtaining a copy": "",  # the second phrase is missing
+        "GNU General public licen\u017fe and MIT \u212aicense": "",  # letters that only a full lower case maps to ASCII
+    }
+    found = licenses.scan(frame(spark, list(enumerate(texts))), ["text"]).collect()
+    assert {r._row.text: r.labels for r in found} == texts
+
+
+def test_phrases_are_compared_at_candidates_only(spark, docs, rows):
+    """Prose made of the templates' common words has places where a phrase could begin, and hardly a candidate."""
+    common = "the license you may use this software free of charge for any purpose in source and binary forms subject to the terms of the public license "
+    df = frame(spark, rows + [(9000 + k, common * 20) for k in range(50)] + [(8000, "Released under the MIT License.")])
+    rare = licenses.rare_words(df)
+    assert all(sum(len([1 for t, _ in ps if t == k]) for ps in rare.values()) == licenses.AGREEING for k in range(len(licenses.TEMPLATES)))
+    got = licenses.matches(df, ["doc_id"], "text", rare).select("_row.doc_id", "words", F.size("candidates").alias("tests"), F.size("found").alias("found")).collect()
+    starts = {p.split()[0] for _, of in licenses.TEMPLATES for _, _, p in of}
+    could = sum(w.lower() in starts for r in got for w in r.words)
+    tests = sum(r.tests for r in got)
+    assert sum(r.found for r in got) <= tests < could / 20
+    # the index decides: without its words nothing is found
+    assert licenses.matches(df, ["doc_id"], "text", {"zzz": [(0, 0)]}).where("size(found) > 0").count() == 0
+
+
 # --- 4 toxicity
 
 
