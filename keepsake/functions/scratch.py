@@ -1,20 +1,32 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage, and working folders, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed into spark.checkpoint.dir, or without that setting, on a master that runs in this process, into a folder of our own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or without that setting, on a master that runs in this process, a folder of our own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if where is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="keepsake-"))
+        where = tempfile.mkdtemp(prefix="keepsake-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -1,8 +1,14 @@
 """Queries of the incremental keyed map."""
 
+import hashlib
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from keepsake.functions.canon import canonical_json
+from keepsake.functions.scratch import cut, delete, shared_folder
+from keepsake.operators import durable
 from keepsake.operators import incremental as op
 from keepsake.queries.registry import Registry, framed, summed
 
@@ -132,3 +138,24 @@ def a17_datasets_equal(docs, mutated):
     rows = docs.select("doc_id", "text")
     compared = lambda other, name: op.datasets_equal(rows, other.select("doc_id", "text")).withColumn("other", F.lit(name))
     return compared(mutated, "mutated").unionByName(compared(docs.repartition(5), "itself"))
+
+
+@R.query("documents", sql=f"""WITH x AS (SELECT doc_id, {_BUCKET} AS bucket, row_number() OVER (PARTITION BY {_BUCKET} ORDER BY cast(doc_id AS string)) - 1 AS k, text FROM {{documents}})
+SELECT doc_id, bucket, cast(floor(k / 8) AS integer) AS chunk, bucket % 4 = 0 AS restored, sha256(text) AS digest, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words FROM x""")
+def a11_resumed_map(docs):
+    """A map that has been committed for a quarter of the buckets before, and is then run over all."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/keepsake-chunks-{uuid.uuid4().hex}"
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def mapper(row: dict) -> dict:
+        text = row["text"] or ""
+        return {"doc_id": row["doc_id"], "digest": hashlib.sha256(text.encode()).hexdigest(), "n_words": len(word.findall(text))}
+
+    rows = op.bucketize(docs.select("doc_id", "text"), "doc_id")
+    run = lambda some: durable.run_chunks(some, "text", mapper, "doc_id long, digest string, n_words long", path, "globals")
+    try:
+        run(rows.where("bucket % 4 = 0"))
+        return cut(run(rows).select("doc_id", "bucket", "chunk", "restored", "digest", "n_words"))
+    finally:
+        delete(spark, path)
