@@ -211,52 +211,59 @@ def _same_vectors(probe: str, recorded: DataFrame, recomputed: DataFrame, sample
 FOLDED = 4096
 
 
-def ordered_digest(rows: DataFrame, place: str, columns: list[str]) -> DataFrame:
+def ordered_digest(rows: DataFrame, place: str, columns: list[str], n: int | None = None) -> DataFrame:
     """One row: a digest of each column's values (null: empty) in the order of place, which numbers them from 0.
 
-    Folded in blocks that places alone fix, level by level, so it is the same for every layout of the table
-    and no list is longer than FOLDED, up to FOLDED ** 4 rows.
+    Folded in blocks that places alone fix, level by level until one block is left, so it is the same for every layout
+    of the table and no list is longer than FOLDED. n: the number of rows, counted if it is not given.
     """
     def listed(c: str):
         return F.to_json(F.struct(F.transform("_rows", lambda x: F.coalesce(x[c].cast("string"), F.lit(""))).alias("v")))
 
-    level = rows.select(F.col(place).alias("_at"), *columns)
-    for _ in range(4):
+    level, left = rows.select(F.col(place).alias("_at"), *columns), rows.count() if n is None else n
+    while True:
         entries = F.array_sort(F.collect_list(F.struct("_at", *columns)))
         grouped = level.groupBy(F.floor(F.col("_at") / FOLDED).cast("long").alias("_block")).agg(entries.alias("_rows"))
-        level = grouped.select(F.col("_block").alias("_at"), *[F.sha2(listed(c), 256).alias(c) for c in columns])
-    return level.drop("_at")
+        level, left = grouped.select(F.col("_block").alias("_at"), *[F.sha2(listed(c), 256).alias(c) for c in columns]), -(-left // FOLDED)
+        if left <= 1:
+            return level.drop("_at")
 
 
 def table_checksums(df: DataFrame, order_by: str, stride: int = 10) -> DataFrame:
     """(rows, sampled, checksum): every stride-th row in the order of order_by, one digest for each column, folded by name.
 
-    Only order_by and a hash of the row are ranked; what is sampled is then joined to its columns. Rows that share
+    Only order_by and a hash of the row are ranked; the columns of what is sampled alone are digested. Rows that share
     order_by stand in the order of their hashes, so equal tables of any layout have equal checksums.
     """
     names = sorted(df.columns)
-    texts = [F.sha2(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))), 256).alias(f"c{j}") for j, c in enumerate(names)]
-    keyed = df.select(F.col(f"`{order_by}`").alias("_by"), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(names)]))).alias("_row"), *texts)
-    placed = row_places(keyed.select("_by", "_row"), ["_by", "_row"], "_place").where((F.col("_place") - 1) % stride == 0)
-    placed = cut(placed.select("_by", "_row", F.floor((F.col("_place") - 1) / stride).alias("_place")))
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(names)])))
+    keyed = df.select(F.col(f"`{order_by}`").alias("_by"), row.alias("_row"), *[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(names)])
+    ranked = row_places(keyed.select("_by", "_row"), ["_by", "_row"], "_place")
+    placed = cut(ranked.where((F.col("_place") - 1) % stride == 0).select("_by", "_row", F.floor((F.col("_place") - 1) / stride).alias("_place")))
+    sampled = placed.count()
     wanted = placed.select("_by", "_row").distinct()
     same = lambda x, y: x["_by"].eqNullSafe(y["_by"]) & (x["_row"] == y["_row"])
     content = keyed.join(wanted, same(keyed, wanted), "left_semi").dropDuplicates(["_by", "_row"])
-    sampled = placed.join(content, same(placed, content)).select("_place", *[f"c{j}" for j in range(len(names))])
-    digests = ordered_digest(sampled, "_place", [f"c{j}" for j in range(len(names))])
+    content = content.select("_by", "_row", *[F.sha2(F.to_json(F.struct(F.col(f"c{j}").alias("v"))), 256).alias(f"c{j}") for j in range(len(names))])
+    rows = placed.join(content, same(placed, content)).select("_place", *[f"c{j}" for j in range(len(names))])
+    digests = ordered_digest(rows, "_place", [f"c{j}" for j in range(len(names))], sampled)
     checksum = F.sha2(F.concat_ws("|", *[x for j, c in enumerate(names) for x in (F.lit(c), F.col(f"c{j}"))]), 256)
     total = df.agg(F.count(F.lit(1)).alias("rows"))
     # one row each; an empty table has no digest
     one = total.join(digests.select(checksum.alias("checksum")), F.lit(True), "left")
-    return one.select("rows", F.ceil(F.col("rows") / stride).alias("sampled"), F.coalesce("checksum", F.lit("")).alias("checksum"))
+    return cut(one.select("rows", F.ceil(F.col("rows") / stride).alias("sampled"), F.coalesce("checksum", F.lit("")).alias("checksum")))
 
 
-def probe_table(a: DataFrame, b: DataFrame, order_by: str, stride: int = 10) -> DataFrame:
-    """One row: same names, types and order of columns, same number of rows, same checksum of every stride-th row."""
+def probe_table(a: DataFrame, b: DataFrame, order_by: str, stride: int = 10, checksums: DataFrame | None = None) -> DataFrame:
+    """One row: same names, types and order of columns, same number of rows, same checksum of every stride-th row.
+
+    checksums: those of a by table_checksums(), where it is compared several times.
+    """
     same = [(f.name, f.dataType.simpleString()) for f in a.schema] == [(f.name, f.dataType.simpleString()) for f in b.schema]
     if not same:
         return a.agg(F.count(F.lit(1)).alias("n")).select(*probe_row("P5", F.lit(False), F.col("n"), F.lit(0), F.lit("schema")))
-    x, y = (table_checksums(df, order_by, stride).toDF("rows", "sampled", f"sum_{n}") for df, n in ((a, "a"), (b, "b")))
+    x = (table_checksums(a, order_by, stride) if checksums is None else checksums).toDF("rows", "sampled", "sum_a")
+    y = table_checksums(b, order_by, stride).toDF("rows", "sampled", "sum_b")
     both = x.join(y.withColumnRenamed("rows", "rows_b").withColumnRenamed("sampled", "sampled_b"))
     passed = (F.col("rows") == F.col("rows_b")) & (F.col("sum_a") == F.col("sum_b"))
     return both.select(*probe_row("P5", passed, F.col("rows"), F.col("sampled"), F.when(F.col("rows") != F.col("rows_b"), "rows").when(~passed, "checksum").otherwise("")))

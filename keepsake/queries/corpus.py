@@ -126,7 +126,8 @@ pairs AS (SELECT 'rows' AS other, (SELECT count(*) FROM b) AS m, (SELECT count(*
 SELECT other, 'P5' AS probe_type, n = m AND d = 0 AS passed, n AS population_size, (n + 9) // 10 AS sample_size, CASE WHEN n <> m THEN 'rows' WHEN d > 0 THEN 'checksum' ELSE '' END AS detail FROM pairs, (SELECT count(*) AS n FROM a) t""")
 def c6_probe_table(docs, mutated):
     text = docs.withColumn("text", F.when(F.col("doc_id") == 20, "other").otherwise(F.col("text")))
-    compared = lambda x, name: op.probe_table(docs, x, "doc_id").select(F.lit(name).alias("other"), "probe_type", "passed", "population_size", "sample_size", "detail")
+    own = op.table_checksums(docs, "doc_id")
+    compared = lambda x, name: op.probe_table(docs, x, "doc_id", checksums=own).select(F.lit(name).alias("other"), "probe_type", "passed", "population_size", "sample_size", "detail")
     return compared(mutated, "rows").unionByName(compared(docs.repartition(23), "same")).unionByName(compared(text, "text"))
 
 
