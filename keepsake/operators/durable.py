@@ -69,13 +69,11 @@ def run_chunks(rows: DataFrame, row_col: str, mapper: Callable[[dict], dict], sc
     placed = microchunks(rows, size)
     expected = cut(chunk_digests(placed, row_col, globals_digest).select("bucket", "chunk", "n_rows", "chunk_key"))
     before = cut(committed(spark, path, schema).select("chunk_key").distinct())
-    todo = cut(pending_chunks(expected, before, ["chunk_key"]))
-    for w in range(waves):
-        some = todo.where(F.pmod(F.xxhash64("chunk_key"), F.lit(waves)) == w).select("bucket", "chunk", F.col("chunk_key").alias("_chunk_key"))
-        if some.isEmpty():
-            continue
-        given = placed.join(some, ["bucket", "chunk"]).withColumn("_position", F.col("position").cast("long")).drop("chunk", "position")
-        given.mapInPandas(in_task, full).write.parquet(f"{path}/wave-{uuid.uuid4().hex}")
+    todo = cut(pending_chunks(expected, before, ["chunk_key"]).withColumn("_wave", F.pmod(F.xxhash64("chunk_key"), F.lit(waves))))
+    wanted = todo.select("bucket", "chunk", F.col("chunk_key").alias("_chunk_key"), "_wave")
+    given = cut(placed.join(wanted, ["bucket", "chunk"]).withColumn("_position", F.col("position").cast("long")).drop("chunk", "position"))
+    for w in sorted(r["_wave"] for r in todo.select("_wave").distinct().collect()):
+        given.where(F.col("_wave") == w).drop("_wave").mapInPandas(in_task, full).write.parquet(f"{path}/wave-{uuid.uuid4().hex}")
     done = committed(spark, path, schema)
     counts = done.groupBy("chunk_key").agg(F.count(F.lit(1)).alias("_n"))
     missing = expected.join(counts, "chunk_key", "left").where(F.coalesce("_n", F.lit(0)) != F.col("n_rows"))

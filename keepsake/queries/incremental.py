@@ -153,7 +153,7 @@ def a11_resumed_map(docs):
         return {"doc_id": row["doc_id"], "digest": hashlib.sha256(text.encode()).hexdigest(), "n_words": len(word.findall(text))}
 
     rows = op.bucketize(docs.select("doc_id", "text"), "doc_id")
-    run = lambda some: durable.run_chunks(some, "text", mapper, "doc_id long, digest string, n_words long", path, "globals")
+    run = lambda some: durable.run_chunks(some, "text", mapper, "doc_id long, digest string, n_words long", path, "globals", waves=2)
     try:
         run(rows.where("bucket % 4 = 0"))
         return cut(run(rows).select("doc_id", "bucket", "chunk", "restored", "digest", "n_words"))
