@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.scratch import cut
@@ -84,6 +86,28 @@ def explain_artifacts(artifacts: DataFrame, inputs: DataFrame, decisions: DataFr
     return out.select("artifact_id", "stage", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_inputs", "n_downstream", "n_decisions", "n_contradictions")])
 
 
+def explain_lists(artifacts: DataFrame, inputs: DataFrame, decisions: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """(artifact_id, list, place, ref, note): what explains each artifact, a row for each entry and its place from 1.
+
+    inputs by kind and reference, noted with their digest; dependants by id; the decisions that cite it and its
+    contradictions, newest first, noted with their time (timestamps in microseconds). artifacts: those asked for.
+    """
+    asked = artifacts.select("artifact_id").distinct()
+    entry = lambda df, name, ref, note, *order: df.select("artifact_id", F.lit(name).alias("list"), ref.cast("string").alias("ref"), note.cast("string").alias("note"), F.row_number().over(Window.partitionBy("artifact_id").orderBy(*order)).alias("place"))
+    own = inputs.join(asked, "artifact_id", "left_semi").select("artifact_id", "kind", "ref", "digest").distinct()
+    built = inputs.where("kind = 'upstream'").select(F.col("ref").alias("artifact_id"), F.col("artifact_id").alias("by")).distinct().join(asked, "artifact_id", "left_semi")
+    cited = decisions.withColumnRenamed("candidate_artifact_id", "artifact_id").join(asked, "artifact_id", "left_semi")
+    against = contradictions.join(asked, "artifact_id", "left_semi")
+    time = lambda df: F.unix_micros(F.col("created_at").cast("timestamp")) if df.schema["created_at"].dataType.typeName().startswith("timestamp") else F.col("created_at")
+    parts = [
+        entry(own, "inputs", F.concat_ws(":", "kind", "ref"), F.col("digest"), "kind", "ref", "digest"),
+        entry(built, "dependants", F.col("by"), F.lit(None), "by"),
+        entry(cited, "decisions", F.col("decision_id"), time(cited), F.desc("created_at"), F.desc("decision_id")),
+        entry(against, "contradictions", F.col("contradiction_id"), time(against), F.desc("created_at"), F.desc("contradiction_id")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def contradictions_for(contradictions: DataFrame, artifact_id: str) -> DataFrame:
     """Contradictions of one artifact, newest first."""
     return contradictions.where(F.col("artifact_id") == artifact_id).orderBy(F.col("created_at").desc(), F.col("contradiction_id").desc())

@@ -66,6 +66,16 @@ def e8_explain_artifacts(artifacts, inputs, decisions):
     return op.explain_artifacts(artifacts, inputs, decisions, _contradictions(decisions))
 
 
+@R.query("artifacts", "artifact_inputs", "decisions", sql=f"""WITH a AS (SELECT artifact_id FROM {{artifacts}} WHERE stage IN ('features', 'eval')),
+e AS (SELECT artifact_id, 'inputs' AS list, concat(kind, ':', ref) AS ref, digest AS note, row_number() OVER (PARTITION BY artifact_id ORDER BY kind, ref, digest) AS place FROM (SELECT DISTINCT artifact_id, kind, ref, digest FROM {{artifact_inputs}})
+UNION ALL SELECT ref, 'dependants', artifact_id, NULL, row_number() OVER (PARTITION BY ref ORDER BY artifact_id) FROM (SELECT DISTINCT ref, artifact_id FROM {{artifact_inputs}} WHERE kind = 'upstream')
+UNION ALL SELECT candidate_artifact_id, 'decisions', cast(decision_id AS string), cast(epoch_us(created_at) AS string), row_number() OVER (PARTITION BY candidate_artifact_id ORDER BY created_at DESC, decision_id DESC) FROM {{decisions}}
+UNION ALL SELECT artifact_id, 'contradictions', cast(contradiction_id AS string), cast(created_at AS string), row_number() OVER (PARTITION BY artifact_id ORDER BY created_at DESC, contradiction_id DESC) FROM {_CONTRADICTIONS})
+SELECT e.* FROM e JOIN a USING (artifact_id)""")
+def e8_explain_lists(artifacts, inputs, decisions):
+    return op.explain_lists(artifacts.where("stage in ('features', 'eval')"), inputs, decisions, _contradictions(decisions))
+
+
 @R.query("decisions", sql=f"SELECT contradiction_id, created_at, row_number() OVER (ORDER BY created_at DESC, contradiction_id DESC) AS place FROM {_CONTRADICTIONS} WHERE artifact_id = 'a7'")
 def e5_contradictions(decisions):
     newest_first = op.contradictions_for(_contradictions(decisions), "a7")
