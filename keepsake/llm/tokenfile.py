@@ -55,23 +55,26 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def digest(batches):
-        part, seen = None, 0
+        last, seen = None, 0
         for batch in batches:
             lists = batch.column(3)
-            parts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            places = []
-            for p in parts:
-                part, seen = p, seen + 1 if p == part else 0
-                places.append(seen)
+            block = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            begins = np.flatnonzero((np.diff(block, axis=1) != 0).any(axis=0)) + 1 if len(batch) else []
+            # numbers from the last change of file or part on; the first rows go on where the batch before has ended
+            starts = np.concatenate([[0], begins]).astype(np.int64)
+            places = np.arange(len(batch)) - np.repeat(starts, np.diff(np.append(starts, len(batch))))
+            if len(batch):
+                places[: starts[1] if len(starts) > 1 else None] += seen if last == tuple(block[:, 0]) else 0
+                last, seen = tuple(block[:, -1]), int(places[-1]) + 1
             ends = lists.offsets.to_numpy().astype(np.int64)
             data = memoryview(np.ascontiguousarray(lists.values.to_numpy()).astype("<i4", copy=False)).cast("B")
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.int64()), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["file", "part", "doc_id", "place", "n_tokens", "ids_crc32"])
 
-    rows = read_token_file(spark, path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"), "doc_id", "ids")
+    rows = read_token_file(spark, path).select(F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"), "doc_id", "ids")
     # the files are read once, into a narrow table
     with Scratch(spark) as tmp:
-        rows = tmp.result(rows.mapInArrow(digest, "file string, part long, doc_id long, place long, n_tokens long, ids_crc32 long"), "tokens")
+        rows = tmp.result(rows.mapInArrow(digest, "file long, part long, doc_id long, place long, n_tokens long, ids_crc32 long"), "tokens")
     # one row for each file: a running sum over these gives the ids before each file
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_sum"), F.min("doc_id").alias("_least"), F.count_if(F.col("doc_id").isNull()).alias("_nulls"))
     before = Window.orderBy(F.col("_nulls") == 0, "_least", "file").rowsBetween(Window.unboundedPreceding, -1)
