@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -685,22 +686,72 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.contaminated(none, benchmark).collect() == [] and decontam.contaminated(docs, benchmark.limit(0)).collect() == []
 
 
+def bm25_index(items):
+    """An index of items that are one section each, and a plain scorer: {section: score} of all sections for a set of words."""
+    hashed = [decontam.word_hashes(np.frombuffer(t.encode(), np.uint8))[0].tolist() for t in items]
+    df = Counter(w for h in hashed for w in set(h))
+    mean = sum(map(len, hashed)) / len(items)
+
+    def weight(w, h):
+        f = h.count(w)
+        return np.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * f * (decontam.K1 + 1) / (f + decontam.K1 * (1 - decontam.B + decontam.B * len(h) / mean))
+
+    def scores(query):
+        return {s: sum(weight(w, h) for w in query & set(h)) / sum(weight(w, h) for w in set(h)) for s, h in enumerate(hashed)}
+
+    known = np.array(sorted(df), np.uint64)
+    return decontam.Index(list(range(len(items))), items, (known, np.array([df[int(w)] for w in known])), len(items), mean), scores
+
+
 def test_wand_equals_full_scan():
     import random
 
     r = random.Random(2)
-    items = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 12))) for _ in range(300)]
-    df = Counter(int(w) for t in items for w in set(decontam.word_hashes(np.frombuffer(t.encode(), np.uint8))[0].tolist()))
-    index = decontam.Index(list(range(300)), items, df, len(items), sum(len(t.split()) for t in items) / len(items))
+    index, scores = bm25_index([" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 12))) for _ in range(300)])
     for _ in range(200):
-        query = {int(x) for x in decontam.word_hashes(np.frombuffer(" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 12))).encode(), np.uint8))[0]}
-        want = defaultdict(float)
-        for w in query:
-            if w in index.lists:
-                for s, x in zip(*index.lists[w][:2], strict=True):
-                    want[s] += x
-        want = {s: x for s, x in want.items() if x >= decontam.THRESHOLD - 1e-12}
-        assert dict(index.search(query)) == pytest.approx(want)
+        query = decontam.word_hashes(np.frombuffer(" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 12))).encode(), np.uint8))[0]
+        want = {s: x for s, x in scores(set(query.tolist())).items() if x >= decontam.THRESHOLD - 1e-12}
+        assert dict(index.search(np.unique(query))) == pytest.approx(want)
+        # the filters before the search lose nothing
+        if want:
+            assert index.possible(np.unique(query)) and len(index.starts(query))
+
+
+def plain_sections(text):
+    """(words, answer words) of each section by plain Python."""
+    found = list(re.finditer(r"[0-9a-z\x80-\U0010ffff]+", text.lower()))
+    words = [m.group() for m in found]
+    last = max((i + 1 for i, m in enumerate(found[:-1]) if text[m.end() : m.end() + 1] in tuple(".!?\n")), default=0)
+    parts = np.array_split(np.arange(len(words)), -(-len(words) // decontam.SECTION)) if words else []
+    return [([words[i] for i in p], {words[i] for i in p if last and i >= last and p[-1] == len(words) - 1}) for p in parts]
+
+
+def test_sections_triples_and_answers():
+    import random
+
+    r = random.Random(9)
+    items = ["", "one", "two words", "a b c. d", "  .  ", "no stop at all", "é ü. ß!"] + ["".join(r.choice(["ab ", "c", "d. ", "e\n", "f? ", "é "]) for _ in range(r.randint(1, 400))) for _ in range(60)]
+    h = lambda t: decontam.word_hashes(np.frombuffer(t.encode(), np.uint8))[0]
+    known = np.unique(np.concatenate([h(t) for t in items]))
+    index = decontam.Index([*range(len(items) - 1), None], items, (known, np.ones(len(known), np.int64)), 100, 20.0)
+    want = [(i, w, a) for i, t in enumerate(items) for w, a in plain_sections(t)]
+    assert index.item.tolist() == [i for i, _, _ in want] and index.null.sum() == 1
+    for s, (_, w, a) in enumerate(want):
+        assert len(index.triple[index.triple_begin[s] : index.triple_begin[s + 1]]) == len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))})
+        assert set(index.words[index.answer[index.answer_begin[s] : index.answer_begin[s + 1]]].tolist()) == {int(h(x)[0]) for x in a}
+        assert index.overlap(s, h(" ".join(w))) == (1.0, 1.0)
+
+
+def test_index_is_small():
+    """A worker holds at most four bytes for a byte of benchmark, also where an item's words are mostly its own section's."""
+    import random
+
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(20_000)]
+    items = [" ".join(r.choices(vocabulary, k=r.randint(30, 120))) + ". " + r.choice(vocabulary) + "." for _ in range(4_000)]
+    known = np.unique(np.concatenate([decontam.word_hashes(np.frombuffer(t.encode(), np.uint8))[0] for t in items]))
+    index = decontam.Index(list(range(len(items))), items, (known, np.full(len(known), 10)), len(items), 60.0)
+    assert index.nbytes() <= 4 * sum(len(t) for t in items)
 
 
 # --- 10 spans
