@@ -25,6 +25,8 @@ give an empty result. Input columns of any name are allowed.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
 SHARD_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: Postings of a word beyond which a search reads them in place.
+LONG = 16 * BLOCK
 #: Share of the threshold that the commonest words of any section may make up together.
 SMALL = 0.4
 
@@ -192,11 +196,13 @@ class Index:
 
     def search(self, words: np.ndarray) -> list[tuple[int, float]]:
         """All (section, score) at or above the threshold for distinct words, by block-max WAND."""
-        # of each list: place in it, its sections, its term, its largest impact
-        lists = [[0, self.sections[self.begin[t] : self.begin[t + 1]], t, float(self.most[t])] for t in self.terms(words)[1].tolist()]
+        # of each list: place in it, its sections, its blocks' largest impacts, its largest impact, its term; a long one stays an array
+        lists = []
+        for t in self.terms(words)[1].tolist():
+            sections = self.sections[self.begin[t] : self.begin[t + 1]]
+            lists.append([0, sections if len(sections) > LONG else sections.tolist(), self.block_most[self.block_begin[t] : self.block_begin[t + 1]], float(self.most[t]), t])
         found, end = [], self.n_sections
-        at = lambda x: int(x[1][x[0]]) if x[0] < len(x[1]) else end
-        block_most = lambda x, b: float(self.block_most[min(self.block_begin[x[2]] + b, self.block_begin[x[2] + 1] - 1)])
+        at = lambda x: x[1][x[0]] if x[0] < len(x[1]) else end
         while True:
             lists = sorted((x for x in lists if x[0] < len(x[1])), key=at)
             total, pivot = 0.0, None
@@ -207,15 +213,15 @@ class Index:
                     break
             if pivot is None:
                 return found
-            section = at(lists[pivot])
+            section = int(at(lists[pivot]))
             while pivot + 1 < len(lists) and at(lists[pivot + 1]) == section:
                 pivot += 1
             ahead = lists[: pivot + 1]
-            blocks = [(x[0] + int(np.searchsorted(x[1][x[0] :], section))) // BLOCK for x in ahead]
-            if sum(block_most(x, b) for x, b in zip(ahead, blocks, strict=True)) >= THRESHOLD - 1e-12:
+            blocks = [bisect_left(x[1], section, x[0]) // BLOCK for x in ahead]
+            if sum(x[2][min(b, len(x[2]) - 1)] for x, b in zip(ahead, blocks, strict=True)) >= THRESHOLD - 1e-12:
                 if at(ahead[0]) == section:
                     # summed in the order of hashes, which is the same in every shard
-                    term, place = np.array(sorted((x[2], x[0]) for x in ahead)).T
+                    term, place = np.array(sorted((x[4], x[0]) for x in ahead)).T
                     score = float(self.impacts(term, section, self.counts[self.begin[term] + place]).sum())
                     if score >= THRESHOLD - 1e-12:
                         found.append((section, score))
@@ -223,12 +229,13 @@ class Index:
                         x[0] += 1
                 else:
                     for x in ahead:
-                        x[0] += int(np.searchsorted(x[1][x[0] :], section))
+                        if at(x) < section:
+                            x[0] = bisect_left(x[1], section, x[0])
             else:  # on to where some block ends, or the next list begins
-                skip = min([int(x[1][min((b + 1) * BLOCK, len(x[1])) - 1]) + 1 for x, b in zip(ahead, blocks, strict=True)] + [at(x) for x in lists[pivot + 1 : pivot + 2]])
-                skip = max(skip, section + 1)
+                skip = min([x[1][min((b + 1) * BLOCK, len(x[1])) - 1] + 1 for x, b in zip(ahead, blocks, strict=True)] + [at(x) for x in lists[pivot + 1 : pivot + 2]])
+                skip = max(int(skip), section + 1)
                 for x in ahead:
-                    x[0] += int(np.searchsorted(x[1][x[0] :], skip))
+                    x[0] = bisect_left(x[1], skip, x[0])
 
     def overlap(self, section: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of a section's word triples and of its answer's words that a passage holds; without an answer 1."""
