@@ -14,7 +14,11 @@ at most four pairs of neighbouring characters, so pairs that meet are dropped if
 64 parities differ in more; the others are verified by a banded bit-parallel edit
 distance. A line is first compared with the first
 line of every key, a star for each key; after that only pairs that are not yet in
-one class are.
+one class are. A key with more than HOT such comparisons is split first: without
+the segment that its lines share, they are cut into EDITS + 1 segments again, and
+only those that share one of these as well are compared; again until no key is hot.
+What is left of two lines that an alignment with the shared segment links is within
+EDITS edits too, so no link is lost; whole lines are verified, so none is made up.
 
 Lines without a word are never touched; lines shorter than near_length
 characters, an argument of EDITS + 1 or more, are only compared for equality: two
@@ -42,6 +46,8 @@ NEAR_LENGTH = 24
 BITS = 27
 #: Lines whose keys a task remembers to have sent.
 REMEMBERED = 1 << 20
+#: Comparisons (own lines times lines) beyond which a key is split by further segments.
+HOT = 1 << 16
 #: Pair parities that may differ.
 PARITIES = 4 * EDITS
 _LAST = (1 << 63) - 1
@@ -73,8 +79,8 @@ class Lines:
         self.h2 = mix(Substrings(mix(points.astype(np.uint64), 22)).hash(self.start, self.end), 23)
 
     def keys(self, which: np.ndarray):
-        """(line, key, own) of the segments (own) and probes of lines given by index, all long enough."""
-        lines, keys, owns = [], [], []
+        """(line, key, own, form) of the segments (own) and probes of lines given by index, all long enough; form tells _cut() where."""
+        lines, keys, owns, forms = [], [], [], []
         length = self.end[which] - self.start[which]
         for less in range(EDITS + 1):  # segments of lines that are so much shorter
             size = length - less
@@ -92,7 +98,8 @@ class Lines:
                     lines.append(which[fits])
                     keys.append(key)
                     owns.append(np.full(len(key), less == 0 and shift == 0))
-        return np.concatenate(lines), np.concatenate(keys), np.concatenate(owns)
+                    forms.append(np.full(len(key), (less * (EDITS + 1) + i) * (2 * EDITS + 1) + shift + EDITS, np.int8))
+        return np.concatenate(lines), np.concatenate(keys), np.concatenate(owns), np.concatenate(forms)
 
 
 def edits_within(a: str, b: str, most: int) -> bool:
@@ -152,7 +159,7 @@ def _scan(docs: DataFrame, near_length: int) -> DataFrame:
                 rows = pa.array(x.doc + first)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int8)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.number.astype(np.int32)), pa.array(x.h1.view(np.int64)), pa.array(x.h2.view(np.int64))], names=["kind", "doc_id", "hash", "number", "h1", "h2"])
                 near = np.flatnonzero(x.end - x.start >= near_length)
-                _, keys, mine = x.keys(near)
+                _, keys, mine, _ = x.keys(near)
                 place = keys[mine] >> np.uint64(64 - BITS)
                 np.bitwise_or.at(own, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
         used = np.flatnonzero(own)
@@ -163,7 +170,7 @@ def _scan(docs: DataFrame, near_length: int) -> DataFrame:
 
 
 def _keys(docs: DataFrame, filter_words, near_length: int) -> DataFrame:
-    """(key, own, line, parity): segment keys, and those probes that some segment may match."""
+    """(key, own, form, line, parity): segment keys, and those probes that some segment may match."""
 
     def compute(batches):
         words = filter_words.value
@@ -176,33 +183,105 @@ def _keys(docs: DataFrame, filter_words, near_length: int) -> DataFrame:
                 slot = (x.h1[near] % np.uint64(REMEMBERED)).astype(np.int64)
                 new = sent[slot] != x.h1[near]
                 sent[slot] = x.h1[near]
-                line, keys, own = x.keys(near[new])
+                line, keys, own, form = x.keys(near[new])
                 place = keys >> np.uint64(64 - BITS)
                 hit = own | ((words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(own[hit]), pa.array(x.h1[line[hit]].view(np.int64)), pa.array(x.parity[line[hit]].view(np.int64))], names=["key", "own", "line", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(own[hit]), pa.array(form[hit]), pa.array(x.h1[line[hit]].view(np.int64)), pa.array(x.parity[line[hit]].view(np.int64))], names=["key", "own", "form", "line", "parity"])
 
-    return docs.mapInArrow(compute, "key long, own boolean, line long, parity long")
+    return docs.mapInArrow(compute, "key long, own boolean, form tinyint, line long, parity long")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
-    """Those of pairs (a, b: line hashes) that are within EDITS edits."""
-    pairs = tmp.save(pairs.select("a", "b").distinct(), "pairs")
-    needed = small_or_not(tmp.save(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "needed"))
+def _texts(needed: DataFrame, lines: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
+    """(h1, t): the text of each line that needed (h1) names."""
+    needed = small_or_not(tmp.save(needed.distinct(), "needed"))
     at = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("p"), "doc_id", "hash", "number")
     at = lines.join(needed, "h1", "left_semi").groupBy("h1").agg(F.min(at).alias("at"))
     at = tmp.save(at.groupBy("at.doc_id", "at.hash").agg(F.collect_list(F.struct("h1", "at.number")).alias("wanted")), "places")
     ids = small_or_not(at.select("doc_id", "hash"))
     found = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["hash"] == ids["hash"]), "left_semi").dropDuplicates(["doc_id", "hash"])
     found = found.join(at, found["doc_id"].eqNullSafe(at["doc_id"]) & (found["hash"] == at["hash"])).select(F.split("text", "\n").alias("all"), "wanted")
-    texts = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), F.regexp_replace(F.get("all", w["number"]), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("t")))))
+    return found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), F.regexp_replace(F.get("all", w["number"]), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("t")))))
+
+
+def _within(pairs: DataFrame) -> DataFrame:
+    """(a, b) of those pairs (a, b, t_a, t_b) whose texts are within EDITS edits."""
 
     def compare(batches):
         for batch in batches:
             keep = [edits_within(x, y, EDITS) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(2), batch.column(3))], names=["a", "b"])
 
+    return pairs.select("t_a", "t_b", "a", "b").mapInArrow(compare, "a long, b long")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
+    """Those of pairs (a, b: line hashes) that are within EDITS edits."""
+    pairs = tmp.save(pairs.select("a", "b").distinct(), "pairs")
+    texts = _texts(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")), lines, docs, tmp)
     x, y = (texts.select(F.col("h1").alias(k), F.col("t").alias(f"t_{k}")) for k in "ab")
-    return tmp.save(pairs.join(x, "a").join(y, "b").select("t_a", "t_b", "a", "b").mapInArrow(compare, "a long, b long"), "links")
+    return tmp.save(_within(pairs.join(x, "a").join(y, "b")), "links")
+
+
+def _open(shared: DataFrame, label: DataFrame, tmp: Scratch) -> DataFrame:
+    """Rows of those keys of shared whose lines are of several classes, with class and hot."""
+    named = shared.join(label.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("component", "line")).drop("component")
+    size = F.count_if("own") * F.count("key")
+    open_keys = named.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m"), (size > HOT).alias("hot")).where("l <> m").select("key", "hot")
+    return tmp.save(named.join(open_keys, "key"), "open")
+
+
+def _pairs(named: DataFrame, *more: str) -> DataFrame:
+    """Pairs of an own line and another one of its key, of different classes, as a and b with the columns more of each."""
+    x, y = (named.select("key", F.col("own").alias(f"own_{k}"), F.col("line").alias(k), F.col("parity").alias(f"parity_{k}"), F.col("class").alias(f"class_{k}"), *(F.col(m).alias(f"{m}_{k}") for m in more)) for k in "ab")
+    return x.where("own_a").join(y, (x["key"] == y["key"]) & F.expr(f"class_a <> class_b and (not own_b or a < b) and bit_count(parity_a ^ parity_b) <= {PARITIES}"))
+
+
+def _cut(text, less, number, shift):
+    """(begin, width) of segment number, shifted, where text has less characters more than the line that is cut."""
+    size = F.length(text) - less
+    longer = size % (EDITS + 1)
+    base = ((size - longer) / (EDITS + 1)).cast("int")
+    return base * number + F.greatest(F.lit(0), number - (EDITS + 1 - longer)) + shift, base + F.when(number >= EDITS + 1 - longer, 1).otherwise(0)
+
+
+def _without(text, begin, width):
+    return F.concat(F.substring(text, F.lit(1), begin), F.substring(text, begin + width + 1, F.length(text)))
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """Rows (key, own, line, parity, less, t, whole) by the segments of t, what is left of their lines, which t loses."""
+    shifts = [(i, s) for i in range(EDITS + 1) for s in range(-i, i + 1)]
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in shifts)))
+    rows = rows.select("*", at.alias("at")).where(F.expr(f"at.s between less - ({EDITS} - at.i) and less + {EDITS} - at.i"))
+    begin, width = _cut(F.col("t"), F.col("less"), F.col("at.i"), F.col("at.s"))
+    rows = rows.withColumn("begin", begin).withColumn("width", width).where("begin >= 0 and begin + width <= length(t)")
+    key = F.xxhash64("key", F.length("t") - F.col("less"), "at.i", F.substring(F.col("t"), F.col("begin") + 1, F.col("width")))
+    return rows.select(key.alias("key"), F.expr("own and less = 0 and at.s = 0").alias("own"), "line", "parity", "less", _without(F.col("t"), F.col("begin"), F.col("width")).alias("t"), "whole")
+
+
+def _hot_links(hot: DataFrame, links: DataFrame, lines: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
+    """links, and those between lines of hot keys: by further segments until no key is hot."""
+    texts = _texts(hot.select(F.col("line").alias("h1")), lines, docs, tmp)
+    form = lambda of: F.expr(of).cast("int")
+    less, number, shift = form(f"form div {(EDITS + 1) * (2 * EDITS + 1)}"), form(f"form div {2 * EDITS + 1} % {EDITS + 1}"), form(f"form % {2 * EDITS + 1} - {EDITS}")
+    begin, width = _cut(F.col("t"), F.col("less"), number, shift)
+    rows = hot.withColumn("less", less).join(texts.withColumnRenamed("h1", "line"), "line").withColumn("begin", begin).withColumn("width", width)
+    rows = rows.select("key", "own", "line", "parity", "less", _without(F.col("t"), F.col("begin"), F.col("width")).alias("t"), F.col("t").alias("whole"))
+    while True:
+        keys = tmp.save(_segments(rows).distinct(), "keys")
+        first = F.when(F.col("own"), F.struct("line", "parity", "whole"))
+        several = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min(first).alias("hub")).where("low < high and hub is not null").drop("low", "high")
+        shared = tmp.save(keys.join(several, "key"), "shared")
+        stars = shared.where(f"line <> hub.line and bit_count(parity ^ hub.parity) <= {PARITIES}").select(F.col("line").alias("a"), F.col("hub.line").alias("b"), F.col("whole").alias("t_a"), F.col("hub.whole").alias("t_b"))
+        links = tmp.save(links.unionByName(_within(stars)).distinct(), "links")
+        named = _open(shared.drop("hub"), components(links, tmp), tmp)
+        # what is too short for further segments is compared as it is
+        short = F.expr(f"length(t) - less <= {EDITS}")
+        pairs = _pairs(named.where(~F.col("hot") | short), "whole").withColumnsRenamed({"whole_a": "t_a", "whole_b": "t_b"})
+        links = tmp.save(links.unionByName(_within(pairs)).distinct(), "links")
+        rows = named.where(F.col("hot") & ~short)
+        if rows.isEmpty():
+            return links
 
 
 def repeated_lines(docs: DataFrame, tmp: Scratch, id_col: str = "doc_id", text_col: str = "text", near_length: int = NEAR_LENGTH) -> DataFrame:
@@ -223,14 +302,13 @@ def repeated_lines(docs: DataFrame, tmp: Scratch, id_col: str = "doc_id", text_c
     shared = tmp.save(keys.join(several, "key").distinct(), "shared")
     near = _verified(shared.where(f"line <> hub and bit_count(parity ^ hub_parity) <= {PARITIES}").select(F.col("line").alias("a"), F.col("hub").alias("b")), lines, source, tmp)
     label = components(near, tmp)
-    named = shared.join(label.withColumnRenamed("node", "line"), "line", "left").select("key", "own", "line", "parity", F.coalesce("component", "line").alias("class"))
-    open_keys = named.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m").select("key")
-    named = tmp.save(named.join(open_keys, "key"), "open")
-    x, y = (named.select("key", F.col("own").alias(f"own_{k}"), F.col("line").alias(k), F.col("parity").alias(f"parity_{k}"), F.col("class").alias(f"class_{k}")) for k in "ab")
-    x = x.where("own_a")
-    pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"class_a <> class_b and (not own_b or a < b) and bit_count(parity_a ^ parity_b) <= {PARITIES}"))
-    more = _verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), lines, source, tmp)
-    label = components(near.unionByName(more), tmp).select(F.col("node").alias("h1"), "component")
+    named = _open(shared.drop("hub", "hub_parity"), label, tmp)
+    more = _verified(_pairs(named.where("not hot")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), lines, source, tmp)
+    links = near.unionByName(more)
+    hot = named.where("hot")
+    if not hot.isEmpty():
+        links = _hot_links(hot, links, lines, source, tmp)
+    label = components(links, tmp).select(F.col("node").alias("h1"), "component")
     classed = lines.join(small_or_not(tmp.save(label, "classes")), "h1", "left").select("doc_id", "hash", "number", F.coalesce("component", "h1").alias("k1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("k2"))
     by_doc = classed.groupBy("doc_id", "hash", "k1", "k2").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
     place = F.coalesce("doc_id", F.lit(_LAST))

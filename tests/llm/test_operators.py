@@ -157,6 +157,36 @@ def test_line_dedup(docs, rows, none):
     assert lines.remove_repeated(none).collect() == []
 
 
+def test_hot_segments_are_split(spark, monkeypatch):
+    """Lines that share segments are compared by further ones: with every key hot, the classes are those of brute force."""
+    import random
+
+    monkeypatch.setattr(lines, "HOT", 1)
+    r = random.Random(3)
+    made = ["".join(r.choice("ab é😀") for _ in range(3)) + "one start of " + "".join(r.choice("abcd") for _ in range(r.randint(12, 14))) for _ in range(60)]
+    made += ["-" * k for k in (24, 25, 26, 30)] + ["x" * 12 + c * 12 for c in "xyz"]
+    for x in made[:60]:
+        y = list(x)
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(len(y))
+            y[k : k + 1] = r.choice([[], [y[k], "q"], ["z"]])
+        made.append("".join(y))
+    rows = [(k, x + "\n" + r.choice(made)) for k, x in enumerate(made)]
+    gone = brute_lines(rows)
+    got = {(x._row.doc_id): set(x.removed) for x in lines.remove_repeated(frame(spark, rows), with_counts=True).collect()}
+    assert got == {k: gone.get((k, t), set()) for k, t in rows} and any(got.values())
+
+
+def test_lines_of_one_start(spark, monkeypatch):
+    """The lines of one start that are compared grow with their number, not with its square."""
+    compared = []
+    whole = lines._pairs
+    monkeypatch.setattr(lines, "_pairs", lambda named, *more: compared.append(named.groupBy("key").agg((F.count_if("own") * F.count("key")).alias("n")).agg(F.sum("n")).first()[0] or 0) or whole(named, *more))
+    table = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a start: "), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 18)).alias("text"))
+    assert lines.remove_repeated(table, with_counts=True).agg(F.sum(F.size("removed"))).first()[0] == 0
+    assert sum(compared) < 100 * 4000
+
+
 # --- 2 packing and 7 token files
 
 
