@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from keepsake.functions.scratch import cut
-from keepsake.operators.corpus import row_places
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 STRONG, WEAK = 0.15, 0.35
 #: Names that a configuration key's last part stands for.
@@ -21,34 +22,119 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Signatures that a task compares with a block of queries, and pairs whose scores it holds at a time.
+BLOCK_ROWS, TILE_PAIRS = 32_768, 1 << 22
+#: Far above the rounding of a product of unit vectors: what is within this of the k-th is measured anew.
+MARGIN = 1e-9
+
+
 def search_failures(signatures: DataFrame, queries: DataFrame, k: int = 8, by_error: bool = True, by_stage: bool = True, most_bytes: int = 24 << 20) -> DataFrame:
     """The k nearest signatures of each query (query_id, stage, error_class, vector): of its stage, and class, if asked.
 
-    With by_stage False, and for queries whose stage is null, all stages count; the same holds for classes. Queries of up to
-    most_bytes go to every task, which then passes on k rows of each. Of more, those that name a stage or class are joined by
-    what they name, and the others go to every task in blocks of that size, with the same result.
+    With by_stage False, and for queries whose stage is null, all stages count; the same holds for classes. The result has
+    the columns of signatures but the embedding. Blocks of BLOCK_ROWS signatures meet blocks of queries of most_bytes that
+    name the same stage and class; a block gives k rows for each of its queries, by products of matrices, and all that are
+    as near as these by MARGIN are measured as cosine_distance() does.
     """
-    q = queries.select("query_id", F.col("stage").alias("_stage"), F.col("error_class").alias("_class"), F.col("vector").alias("_vector"))
-    text = lambda c: F.lit(None).cast("string").alias(c)
-    q = q.select("query_id", "_stage" if by_stage else text("_stage"), "_class" if by_error else text("_class"), "_vector")
-    sizes = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vector")).alias("width")).first()
-    rows = max(1, most_bytes // (64 + 8 * max(sizes["width"] or 0, 1)))  # rows of a block
-    same = {"_stage": F.col("stage") == F.col("_stage"), "_class": F.col("error_class") == F.col("_class")}
-    if sizes["n"] <= rows:
-        pairs = signatures.join(F.broadcast(q), (same["_stage"] | F.col("_stage").isNull()) & (same["_class"] | F.col("_class").isNull()))
-    else:
-        named = lambda *names: q.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() if c in names else F.col(c).isNull() for c in same]))
-        parts = [signatures.join(named(*names), reduce(lambda a, b: a & b, [same[c] for c in names])) for names in (("_stage", "_class"), ("_stage",), ("_class",))]
-        free = cut(row_places(named(), ["query_id"], "_place"))
-        blocks = -(-free.count() // rows)
-        parts += [signatures.join(F.broadcast(free.where(F.floor((F.col("_place") - 1) / rows) == b).drop("_place")), F.lit(True)) for b in range(blocks)]
-        pairs = reduce(DataFrame.unionByName, parts)
-    found = pairs.withColumn("distance", cosine_distance(F.col("embedding"), F.col("_vector"))).drop("_stage", "_class", "_vector")
-    # the k nearest of each partition first, so that few rows meet in one task
-    order = [F.col("distance").asc_nulls_last(), F.col("signature_id")]
-    part = Window.partitionBy("query_id", "_part").orderBy(*order)
-    near = found.withColumn("_part", F.pmod(F.xxhash64("signature_id"), F.lit(64))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= k).drop("_k", "_part")
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
+    text = lambda c, asked, to: (F.col(c).cast("string") if asked else F.lit(None).cast("string")).alias(to)
+    q = queries.select("query_id", text("stage", by_stage, "_stage"), text("error_class", by_error, "_class"), _numbers(queries, "vector").alias("_vector"))
+    q = q.withColumn("_kind", F.when(F.col("_stage").isNotNull(), 2).otherwise(0) + F.when(F.col("_class").isNotNull(), 1).otherwise(0)).fillna("", ["_stage", "_class"])
+    kinds = q.groupBy("_kind").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vector")).alias("width")).collect()  # at most four
+    width, n = max([1, *[x["width"] or 0 for x in kinds]]), sum(x["n"] for x in kinds)
+    blocks, salts = max(1, -(-n // max(1, most_bytes // (64 + 8 * width)))), max(1, -(-signatures.count() // BLOCK_ROWS))
+    named = [F.struct(F.lit(x["_kind"]).alias("_kind"), (F.col("stage").cast("string") if x["_kind"] & 2 else F.lit("")).alias("_stage"), (F.col("error_class").cast("string") if x["_kind"] & 1 else F.lit("")).alias("_class")) for x in kinds]
+    meet = F.filter(F.array(*named), lambda x: x["_stage"].isNotNull() & x["_class"].isNotNull()) if kinds else F.array().cast("array<struct<_kind:int,_stage:string,_class:string>>")
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    shown = [c for c in signatures.columns if c != "embedding"]
+    left = signatures.select(*shown, _numbers(signatures, "embedding").alias("embedding"), F.pmod(F.xxhash64("signature_id"), F.lit(salts)).alias("_salt"), F.explode(meet).alias("_key")).select("*", "_key.*", each(blocks).alias("_block")).drop("_key")
+    right = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"), each(salts).alias("_salt"))
+    key = ["_kind", "_stage", "_class", "_salt", "_block"]
+    kinds_of = StructType([StructField("query_id", q.schema["query_id"].dataType), *[signatures.schema[c] for c in shown], StructField("distance", DoubleType())])
+
+    def in_task(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("signature_id", "ascending")], null_placement="at_start"))
+        of_query, of_row, distance = nearest(rows.column("embedding"), asked.column("_vector"), k)
+        found = rows.select(shown).take(pa.array(of_row))
+        columns = [asked.column("query_id").take(pa.array(of_query)), *found.columns, distance]
+        return pa.table(columns, names=["query_id", *shown, "distance"])
+
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(in_task, kinds_of).select(*shown, "query_id", "distance")
+    last = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("signature_id"))
+    return near.withColumn("place", F.row_number().over(last)).where(F.col("place") <= k)
+
+
+def _numbers(df: DataFrame, c: str) -> Column:
+    return F.col(c) if df.schema[c].dataType.simpleString() == "array<float>" else F.col(c).cast("array<double>")
+
+
+def _vectors(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each width; -1: those that are null or hold nulls."""
+    lists = column.combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ends, values = lists.offsets.to_numpy().astype(np.int64), lists.values
+    widths = np.diff(ends)
+    nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    widths[(nulls[ends[1:]] > nulls[ends[:-1]]) | lists.is_null().to_numpy(zero_copy_only=False)] = -1
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    at = lambda w: np.flatnonzero(widths == w)
+    return {int(w): (at(w), flat[ends[at(w)][:, None] + np.arange(max(w, 0))]) for w in np.unique(widths)}
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """cosine_distance() of rows, added up in the same order; null: masked."""
+    dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+    size = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+    return np.ma.array(1.0 - dot(a, b) / np.where(size == 0, 1.0, size), mask=size == 0)
+
+
+def nearest(rows: pa.ChunkedArray, queries: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Places of queries and of their k nearest rows, and distances; of rows equally far the first, NaN and then null last."""
+    with np.errstate(all="ignore"):
+        return _nearest(_vectors(rows), _vectors(queries), k)
+
+
+def _nearest(rows: dict, queries: dict, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+    few = {}
+    for width, (places, vectors) in rows.items():  # of equal vectors only the first k can be asked for
+        seen = Counter()
+        first = [i for i, v in enumerate(vectors) if not seen.update((key := v.tobytes(),)) and seen[key] <= k]
+        few[width] = places[first], vectors[first]
+    for width, (asked, x) in queries.items():
+        at, y = few.get(width, (np.empty(0, np.int64), np.empty((0, max(width, 0)))))
+        # vectors that cannot be compared are null far away, as are all for a query that holds no numbers
+        unlike = np.sort(np.concatenate([np.empty(0, np.int64), *[rows[w][0] for w in rows if w != width or width < 0]]))[:k]
+        at, y = (at, y) if width >= 0 else (at[:0], y[:0])
+        lengths = [np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (x, y)]
+        tame = [np.isfinite(n) & (n > 1e-100) & (n < 1e100) for n in lengths]
+        units = [m / np.where(t, n, 1.0)[:, None] for m, n, t in zip((x, y), lengths, tame, strict=True)]
+        smooth, odd = np.flatnonzero(tame[1]), np.flatnonzero(~tame[1])
+        step = max(1, TILE_PAIRS // max(1, len(y)))
+        for start in range(0, len(x), step):
+            tile = np.arange(start, min(start + step, len(x)))
+            plain, rest = tile[tame[0][tile]], tile[~tame[0][tile]]
+            pairs = [(np.repeat(plain, len(odd)), np.tile(odd, len(plain))), (np.repeat(rest, len(y)), np.tile(np.arange(len(y)), len(rest)))]
+            if len(plain) and len(smooth):
+                score = units[0][plain] @ units[1][smooth].T
+                if len(smooth) > k:
+                    a, b = np.nonzero(score >= np.partition(score, len(smooth) - k, axis=1)[:, len(smooth) - k, None] - MARGIN)
+                else:
+                    a, b = np.indices(score.shape).reshape(2, -1)
+                pairs.append((plain[a], smooth[b]))
+            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            far = [_exact(x[a[i : i + 65536]], y[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
+            far = np.ma.concatenate(far) if far else np.ma.array(np.empty(0), mask=np.empty(0, bool))
+            rank = np.where(np.ma.getmaskarray(far), 2, np.isnan(far.data))
+            a = np.concatenate([asked[a], np.repeat(asked[tile], len(unlike))])
+            b = np.concatenate([at[b], np.tile(unlike, len(tile))])
+            d = np.concatenate([np.where(rank == 0, far.data, 0.0), np.zeros(len(b) - len(rank))])
+            rank = np.concatenate([rank, np.full(len(b) - len(rank), 2)])
+            order = np.lexsort((b, d, rank, a))
+            a, b, d, rank = a[order], b[order], d[order], rank[order]
+            good = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out.append((a[good], b[good], np.where(rank[good] == 1, np.nan, d[good]), rank[good]))
+    a, b, d, rank = (np.concatenate(c) for c in zip(*out, strict=True))
+    return a, b, pa.array(d, pa.float64(), mask=rank == 2)
 
 
 #: Fixed value: what is said of a weak match.

@@ -7,6 +7,7 @@ from keepsake.queries.registry import Registry
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
+_SEARCHED = "signature_id", "stage", "error_class", "embedding"
 _SEARCH = """found AS (SELECT q.signature_id AS query_id, s.signature_id, s.stage, s.error_class, list_cosine_distance(list_transform(s.embedding, lambda x: cast(x AS double)), list_transform(q.embedding, lambda x: cast(x AS double))) AS distance
 FROM {signatures} s JOIN {signatures} q ON q.signature_id % 20 = 0 AND s.stage = q.stage AND s.error_class = q.error_class),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, signature_id) AS place FROM found) WHERE place <= 8)"""
@@ -18,7 +19,7 @@ def _queries(signatures):
 
 @R.query("signatures", sql=f"WITH {_SEARCH} SELECT query_id, signature_id, place, round(distance, 5) + 0.0 AS distance FROM top")
 def h1_search_failures(signatures):
-    return op.search_failures(signatures, _queries(signatures)).select("query_id", "signature_id", "place", (F.round("distance", 5) + 0.0).alias("distance"))
+    return op.search_failures(signatures.select(*_SEARCHED), _queries(signatures)).select("query_id", "signature_id", "place", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
 @R.query("remediations", sql="SELECT signature_id, remediation_id, to_value FROM {remediations} WHERE succeeded")
@@ -73,7 +74,7 @@ FROM {signatures} s JOIN {signatures} q ON q.signature_id % 20 = 0 AND (q.signat
 SELECT query_id, signature_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, signature_id) AS place FROM found) WHERE place <= 8""")
 def h2_search_any_stage(signatures):
     queries = _queries(signatures).withColumn("stage", F.when(F.col("query_id") % 40 != 0, F.col("stage")))
-    return op.search_failures(signatures, queries, by_error=False).select("query_id", "signature_id", "place")
+    return op.search_failures(signatures.select(*_SEARCHED), queries, by_error=False).select("query_id", "signature_id", "place")
 
 
 @R.query("signatures", "remediations", sql=_TIER + """SELECT t.query_id, t.signature_id, t.tier, t.tier IN ('exact', 'strong_semantic') AS blocks, CASE WHEN t.tier = 'weak' THEN 'advisory: does not block' END AS advisory,

@@ -3,7 +3,9 @@
 import threading
 import time
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake.operators import corpus, derivations, identity, incremental, memory
@@ -54,6 +56,36 @@ def test_failure_search_is_the_same_at_every_size(spark):
     assert memory.search_failures(signatures, queries.limit(0)).count() == 0
 
 
+def test_failure_search_equals_every_pair(spark, monkeypatch):
+    """Odd vectors, many copies and many blocks, against cosine_distance() of every pair."""
+    rng = np.random.default_rng(5)
+    odd = [None, [], [0.0] * 4, [1.0, None, 2.0, 3.0], [1.0, 2.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1e200] * 4, [1e-200] * 4, [-0.0, 1.0, 0.0, 0.0]]
+    vectors = [odd[k % 10] if k % 4 == 0 else [1.0, 2.0, 3.0, 4.0] if k % 4 == 1 else rng.normal(size=4).tolist() for k in range(240)]
+    rows = [(f"i{k:03d}" if k % 50 else None, None if k % 13 == 0 else f"s{k % 2}", f"e{k % 3}", v) for k, v in enumerate(vectors)]
+    signatures = spark.createDataFrame(rows, "signature_id string, stage string, error_class string, embedding array<double>")
+    asked = [(q, [None, "s0", "s1"][q % 3], [None, "e0"][q % 2], v) for q, v in enumerate([*odd, *vectors[1:40]])]
+    queries = spark.createDataFrame(asked, "query_id long, stage string, error_class string, vector array<double>")
+    same = lambda a, b: F.col(a).isNull() | (F.col(a) == F.col(b))
+    pairs = queries.toDF("query_id", "a", "b", "v").join(signatures, same("a", "stage") & same("b", "error_class")).withColumn("distance", memory.cosine_distance(F.col("embedding"), F.col("v")))
+    placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("signature_id")))).where("place <= 5")
+    read = lambda df: sorted((r.query_id, r.place, repr(r.distance), str(r.signature_id)) for r in df.select("query_id", "place", "distance", "signature_id").collect())
+    want = read(placed)
+    for block, tile in ((1 << 15, 1 << 22), (50, 60)):
+        monkeypatch.setattr(memory, "BLOCK_ROWS", block)
+        monkeypatch.setattr(memory, "TILE_PAIRS", tile)
+        for size in (1 << 20, 1000):
+            got = read(memory.search_failures(signatures, queries, k=5, most_bytes=size))
+            assert [x[:3] for x in got] == [x[:3] for x in want] and {x for x in got if x[3] != "None"} == {x for x in want if x[3] != "None"}
+
+
+def test_failure_search_makes_no_row_for_a_pair(spark):
+    """Only k rows of a block for each query leave a task: a plan that joins every pair had one for each."""
+    signatures = spark.range(3000).select(F.col("id").alias("signature_id"), F.lit("s").alias("stage"), F.lit("e").alias("error_class"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"))
+    found = memory.search_failures(signatures, signatures.where("signature_id % 20 = 0").select(F.col("signature_id").alias("query_id"), "stage", "error_class", F.col("embedding").alias("vector")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and found.count() == 8 * 150
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
