@@ -6,6 +6,7 @@ import codecs
 import posixpath
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,13 +25,14 @@ _CALL = _PID + r"(\w+)\((.*)\)\s*=\s*(.+)$"
 def parse_trace(lines: DataFrame) -> DataFrame:
     """lines with pid, kind (syscall, exit, killed, unfinished, resumed, unparsed), name, args and ret; blank lines go."""
     line = F.rtrim(F.col("line"))
-    has = lambda p: line.rlike(_PID + p)
+    # a plain search for a part of each pattern comes first, as most lines are whole calls
+    has = lambda part, p: line.contains(part) & line.rlike(_PID + p)
     kind = (
-        F.when(has(r".*<unfinished\s+\.\.\.>$"), "unfinished")
-        .when(has(r"<\.\.\.\s+\S+\s+resumed>"), "resumed")
+        F.when(has("<unfinished", r".*<unfinished\s+\.\.\.>$"), "unfinished")
+        .when(has("resumed>", r"<\.\.\.\s+\S+\s+resumed>"), "resumed")
         .when(line.rlike(_CALL), "syscall")
-        .when(has(r"\+\+\+\s+killed\s+by\s+\S+\s+\+\+\+$"), "killed")
-        .when(has(r"\+\+\+\s+exited\s+with\s+-?\d+\s+\+\+\+$"), "exit")
+        .when(has("killed", r"\+\+\+\s+killed\s+by\s+\S+\s+\+\+\+$"), "killed")
+        .when(has("exited", r"\+\+\+\s+exited\s+with\s+-?\d+\s+\+\+\+$"), "exit")
         .otherwise("unparsed")
     )
     part = lambda p, g: F.regexp_extract(line, p, g)
@@ -38,7 +40,7 @@ def parse_trace(lines: DataFrame) -> DataFrame:
     k = F.col("kind")
     return (
         rows.withColumn("pid", F.when(k != "unparsed", part(_PID, 1).cast("long")).otherwise(-1))
-        .withColumn("name", F.when(k == "syscall", part(_CALL, 2)).when(k == "resumed", part(r"<\.\.\.\s+(\S+)\s+resumed>", 1)).otherwise(k))
+        .withColumn("name", F.when(k == "syscall", part(_PID + r"(\w+)\(", 2)).when(k == "resumed", part(r"<\.\.\.\s+(\S+)\s+resumed>", 1)).otherwise(k))
         .withColumn("args", F.when(k == "syscall", part(_CALL, 3)).when(k == "killed", part(r"killed\s+by\s+(\S+)", 1)).when(k == "unfinished", part(_PID + r"(.*?)\s*<unfinished\s+\.\.\.>$", 2)).when(k == "resumed", part(r"resumed>(.*)$", 1)).otherwise(""))
         .withColumn("ret", F.when(k == "syscall", F.trim(part(_CALL, 4))).when(k == "exit", part(r"exited\s+with\s+(-?\d+)", 1)).otherwise(""))
     )
@@ -47,7 +49,8 @@ def parse_trace(lines: DataFrame) -> DataFrame:
 def join_resumed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events with each resumed call put together, reasons (trace_id, reason)) by looking one line back in each process."""
     w = Window.partitionBy("trace_id", "pid").orderBy("line_no")
-    halves = parsed.where(F.col("kind").isin("unfinished", "resumed"))
+    # the plain search spares the patterns of lines that are whole, which are read in the other branch
+    halves = parsed.where((F.col("line").contains("<unfinished") | F.col("line").contains("resumed>")) & F.col("kind").isin("unfinished", "resumed"))
     halves = halves.withColumn("_head", F.when(F.lag("kind").over(w) == "unfinished", F.lag("args").over(w))).withColumn("_next", F.lead("kind").over(w))
     body = F.concat(F.col("pid").cast("string"), F.lit("  "), F.col("_head"), F.when(F.col("args").rlike(r"\)\s*="), F.lit("")).otherwise(F.lit(")")), F.col("args"))
     joined = parse_trace(halves.where("kind = 'resumed' and _head is not null").select("trace_id", "line_no", body.alias("line")))
@@ -79,7 +82,12 @@ _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"(?:\.\.\.)?|[(\[{]|[)\]}]|,|[^",()\[\]{}]
 _DESCRIPTOR = re.compile(r"(-?\d+)(?:<([^>]*)>)?$")
 
 
-def arguments(text: str) -> list[str]:
+#: Fixed value: texts that a worker remembers for each helper, as calls repeat.
+KEPT = 1 << 16
+
+
+@lru_cache(KEPT)
+def arguments(text: str) -> tuple[str, ...]:
     """The arguments of a call: split at commas outside quotes and brackets."""
     out, depth = [""], 0
     for token in _TOKEN.findall(text):
@@ -88,9 +96,10 @@ def arguments(text: str) -> list[str]:
             out.append("")
         else:
             out[-1] += token
-    return [x.strip() for x in out]
+    return tuple(x.strip() for x in out)
 
 
+@lru_cache(KEPT)
 def quoted(token: str) -> str | None:
     """The text of a quoted argument; null for one that the log cut short, and for others."""
     if len(token) < 2 or token[0] != '"' or token[-1] != '"':
@@ -98,12 +107,25 @@ def quoted(token: str) -> str | None:
     return codecs.escape_decode(token[1:-1].encode())[0].decode("utf-8", "replace") if "\\" in token else token[1:-1]
 
 
+@lru_cache(KEPT)
 def descriptor(token: str) -> tuple[int | None, str | None]:
     """Number and noted path of a descriptor; no number for the current directory and for what is none."""
     found = _DESCRIPTOR.match(token)
     return (int(found[1]), found[2] or None) if found else (None, None)
 
 
+@lru_cache(KEPT)
+def _joined(base: str, path: str) -> str:
+    return posixpath.normpath(posixpath.join(base, path))
+
+
+@lru_cache(KEPT)
+def _inside(path: str | None, root: str | None) -> str | None:
+    if root is None or path is None or path != root and not path.startswith(root.rstrip("/") + "/"):
+        return path
+    return posixpath.relpath(path, root)
+
+
 class Process:
     """What a process has open: path and close-on-exec by number; and where it is, in a list that processes may share."""
 
@@ -121,13 +143,13 @@ class Process:
     def absolute(self, path: str | None, at: str | None = None) -> str | None:
         """path under the directory of the descriptor `at` or the current one; null if that descriptor is unknown."""
         if path is None or path.startswith("/"):
-            return path and posixpath.normpath(path)
+            return path and _joined("", path)
         base = self.path_of(at) if at is not None and descriptor(at)[0] is not None else self.cwd[0] or ""
-        return None if base is None else posixpath.normpath(posixpath.join(base, path))
+        return None if base is None else _joined(base, path)
 
-    def call(self, name: str, args: list[str], ret: str) -> tuple[str | None, str | None]:
+    def call(self, name: str, args: tuple[str, ...], ret: str) -> tuple[str | None, str | None]:
         """The path or paths that a call is about, after what it does to descriptors and directories."""
-        args = [*args, *[""] * (6 - len(args))]
+        args = (*args, *[""] * (6 - len(args)))
         (value, noted), ok = descriptor(ret.split(" ")[0]), not ret.startswith("-1")
         if name in DUP_CALLS or name == "fcntl" and args[1].startswith("F_DUPFD"):
             source = self.path_of(args[0])
@@ -162,43 +184,45 @@ class Process:
         return None, None
 
 
-def resolve_calls(events: DataFrame, workspace: str | None = None) -> DataFrame:
+def resolve_calls(events: DataFrame, workspace: str | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
     """(trace_id, line_no, name, args, ret, path, second): what each call is about, by the descriptors and directories of its process.
 
     A trace's calls are folded in the order of its lines, in sorted streams: a task holds the descriptors of one
     trace's processes and one batch of lines. A new process shares its parent's descriptors or directory, or has copies, as
     the flags of clone say; exec closes what is marked so. Paths that the log notes beside descriptors count where
     the fold does not know better. workspace: where processes begin; paths inside it are given relative to it.
-    Without it, a relative path of a process that has not changed directory stays relative.
+    Without it, a relative path of a process that has not changed directory stays relative. beside: other calls to pass
+    through in the same reading of the events, without a path.
     """
     root = None if workspace is None else posixpath.normpath(workspace)
 
-    def inside(path: str | None) -> str | None:
-        if root is None or path is None or path != root and not path.startswith(root.rstrip("/") + "/"):
-            return path
-        return posixpath.relpath(path, root)
+    others = set(beside)
 
     def in_task(batches: Iterator[pa.RecordBatch]):
         trace, processes = object(), {}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+            columns = [batch.column(c).to_pylist() for c in ("trace_id", "pid", "name", "args", "ret")]
             paths, seconds = [], []
-            for t, pid, name, args, ret in zip(columns[0], *columns[2:], strict=True):
+            for t, pid, name, args, ret in zip(*columns, strict=True):
                 if t != trace:
                     trace, processes = t, {}
-                process = processes.setdefault(pid, Process([root], {}))
-                if name in FORK_CALLS:
+                process = processes.get(pid)
+                if process is None:
+                    process = processes[pid] = Process([root], {})
+                if name in others:
+                    path = second = None
+                elif name in FORK_CALLS:
                     child = descriptor(ret)[0]
                     if child is not None and child >= 0:
                         processes[child] = process.child(args)
                     path = second = None
                 else:
                     path, second = process.call(name, arguments(args), ret)
-                paths.append(inside(path))
-                seconds.append(inside(second))
+                paths.append(_inside(path, root))
+                seconds.append(_inside(second, root))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.string()), pa.array(seconds, pa.string())], names=[*batch.schema.names, "path", "second"])
 
-    few = events.where((F.col("kind") == "syscall") & F.col("name").isin(*FOLDED_CALLS))
+    few = events.where((F.col("kind") == "syscall") & F.col("name").isin(*FOLDED_CALLS, *beside))
     few = few.select("trace_id", F.col("line_no").cast("long").alias("line_no"), F.col("pid").cast("long").alias("pid"), "name", "args", "ret")
     ordered = few.repartition("trace_id").sortWithinPartitions("trace_id", "line_no")
     kinds = StructType([*few.schema.fields, StructField("path", StringType()), StructField("second", StringType())])
@@ -211,9 +235,7 @@ def trace_accesses(events: DataFrame, workspace: str | None = None) -> DataFrame
     A call about a descriptor that nobody has opened, or a path that the log cut short, touches nothing that is
     known. An open of random bytes and getrandom are reads of a device; a mapped file is read.
     """
-    calls = resolve_calls(events, workspace)
-    others = events.where((F.col("kind") == "syscall") & F.col("name").isin(*SOCKET_CALLS, "getrandom"))
-    calls = calls.unionByName(others.select("trace_id", F.col("line_no").cast("long").alias("line_no"), "name", "args", "ret"), allowMissingColumns=True)
+    calls = resolve_calls(events, workspace, (*SOCKET_CALLS, "getrandom"))
     ok, name, path = ~F.col("ret").startswith("-1"), F.col("name"), F.col("path")
     entry = lambda kind, ref, mode: F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), F.lit(mode).alias("mode"))
     write = F.col("args").rlike(r"O_WRONLY|O_RDWR|O_CREAT|O_TRUNC|O_APPEND") | (name == "creat")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keepsake.operators import corpus, derivations, identity, incremental, memory
+from keepsake.operators import corpus, derivations, identity, incremental, memory, trace
 from keepsake.plans import guard
 
 
@@ -86,6 +86,15 @@ def test_failure_search_makes_no_row_for_a_pair(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and found.count() == 8 * 150
 
 
+def test_trace_accesses_read_the_events_once(spark):
+    """Sockets and random bytes come out of the fold's own reading of the events, in which other calls keep their descriptors."""
+    calls = [("socket", "AF_INET", "3"), ("openat", 'AT_FDCWD, "a", O_RDONLY', "4"), ("getrandom", '"x", 8, 0', "8"), ("mmap", "NULL, 1, PROT_READ, MAP_PRIVATE, 4, 0", "0x7f"), ("connect", "3", "-1 EPERM (x)")]
+    events = spark.createDataFrame([("t", n, 1, "syscall", *c) for n, c in enumerate(calls)], "trace_id string, line_no long, pid long, kind string, name string, args string, ret string").repartition(3)
+    found = trace.trace_accesses(events, "/w")
+    assert sorted((r.line_no, r.kind, r.ref, r.mode) for r in found.collect()) == [(0, "socket", "socket", "network"), (1, "file", "a", "read"), (2, "device", "device:getrandom", "read"), (3, "file", "a", "read"), (4, "socket", "connect", "network")]
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
