@@ -135,6 +135,8 @@ def resolve(refs: DataFrame, units: DataFrame, bindings: DataFrame, most_rounds:
     distinct (where it began, module, rest of the path) moves on until nothing new is left, so cycles of imports end.
     """
     keys = refs.select("module", "path").distinct()
+    # every round looks these tables up: they are shuffled, for a broadcast would pass through the driver each time
+    apart = lambda df: df.hint("merge")
     known = cut(units.select("module", "name").distinct())
     roots = cut(_module_roots(known))
     bound = cut(bindings.where("local <> ''").select(F.col("module").alias("at"), F.col("local").alias("head"), "origin", F.col("name").alias("there")).distinct())
@@ -145,23 +147,23 @@ def resolve(refs: DataFrame, units: DataFrame, bindings: DataFrame, most_rounds:
     for n in range(most_rounds):
         step = frontier.withColumn("head", F.get("rest", 0)).withColumn("tail", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))
         ended, going = step.where("head is null"), step.where("head is not null")
-        own = going.join(known.select(F.col("module").alias("at"), F.col("name").alias("head")), ["at", "head"], "left_semi")
-        rest = going.join(known.select(F.col("module").alias("at"), F.col("name").alias("head")), ["at", "head"], "left_anti")
-        inner = rest.join(roots.select(F.col("module").alias("sub")), F.concat_ws(".", "at", "head") == F.col("sub")).select("key", F.col("sub").alias("at"), F.col("tail").alias("rest"))
-        via = rest.join(named, ["at", "head"]).select("key", F.col("origin").alias("at"), F.when(F.col("there") == "", F.col("tail")).otherwise(F.concat(F.array("there"), "tail")).alias("rest"))
-        wide = rest.join(named.select("at", "head"), ["at", "head"], "left_anti").join(star, "at").select("key", F.col("origin").alias("at"), "rest")
+        own = going.join(apart(known.select(F.col("module").alias("at"), F.col("name").alias("head"))), ["at", "head"], "left_semi")
+        rest = going.join(apart(known.select(F.col("module").alias("at"), F.col("name").alias("head"))), ["at", "head"], "left_anti")
+        inner = rest.join(apart(roots.select(F.col("module").alias("sub"))), F.concat_ws(".", "at", "head") == F.col("sub")).select("key", F.col("sub").alias("at"), F.col("tail").alias("rest"))
+        via = rest.join(apart(named), ["at", "head"]).select("key", F.col("origin").alias("at"), F.when(F.col("there") == "", F.col("tail")).otherwise(F.concat(F.array("there"), "tail")).alias("rest"))
+        wide = rest.join(apart(named.select("at", "head")), ["at", "head"], "left_anti").join(apart(star), "at").select("key", F.col("origin").alias("at"), "rest")
         # the body of each module that is passed runs; a module without the name is where the search ends
-        bodies = ended.select("key", "at").unionByName(rest.select("key", "at")).join(roots.select(F.col("module").alias("at")), "at", "left_semi")
+        bodies = ended.select("key", "at").unionByName(rest.select("key", "at")).join(apart(roots.select(F.col("module").alias("at"))), "at", "left_semi")
         found.append(cut(own.select("key", F.concat_ws(":", "at", "head").alias("dst")).unionByName(bodies.select("key", F.concat_ws(":", "at", F.lit("<module>")).alias("dst"))).distinct()))
         moved = inner.unionByName(via).unionByName(wide).distinct()
-        frontier = cut(moved.join(seen, ["key", "at", "rest"], "left_anti"))
+        frontier = cut(moved.join(apart(seen), ["key", "at", "rest"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     else:
         raise RuntimeError(f"names are not resolved after {most_rounds} rounds")
     targets = reduce(DataFrame.unionByName, found).distinct()
-    return refs.join(targets.select("key.module", "key.path", "dst"), ["module", "path"]).select("src", "dst").distinct()
+    return refs.join(apart(targets.select("key.module", "key.path", "dst")), ["module", "path"]).select("src", "dst").distinct()
 
 
 def import_edges(imports: DataFrame, units: DataFrame) -> DataFrame:
