@@ -89,6 +89,13 @@ def register_interest(current: DataFrame, requests: DataFrame, keys: list[str])
 # --- derivations: publication, current state, eligibility
 
 
+def _join_named(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """A left join by key, in which rows that name none are dealt out by work_key instead of all meeting in the task of null."""
+    dealt = rows.withColumn("_spread", F.when(F.col(key).isNull(), F.xxhash64("work_key")).otherwise(0))
+    # always 0, as a value of the row: a constant would be taken out of the key of the shuffle
+    return dealt.join(others.withColumn("_spread", F.pmod(F.xxhash64(key), F.lit(1))), [key, "_spread"], "left").drop("_spread")
+
+
 def classify_publications(requests: DataFrame, generations: DataFrame, observations: DataFrame, rules: DataFrame, children: DataFrame) -> DataFrame:
     """requests with outcome PUBLISHED, ALREADY_PRESENT, REJECTED_FENCE or STALE_AUTHORITY; tests apply in this order.
 
@@ -97,7 +104,8 @@ def classify_publications(requests: DataFrame, generations: DataFrame, observati
     observed_key, lifecycle. rules: rule_id, live_revision, rule_state. children: request_id, child_state, quarantined.
     """
     bad = children.groupBy("request_id").agg(F.bool_and(F.coalesce((F.col("child_state") == "PUBLISHED") & ~F.col("quarantined"), F.lit(False))).alias("_children"))
-    rows = requests.join(generations, "work_key", "left").join(observations, "observation_id", "left").join(rules, "rule_id", "left").join(bad, "request_id", "left")
+    rows = requests.join(generations, "work_key", "left")
+    rows = _join_named(_join_named(rows, observations, "observation_id"), rules, "rule_id").join(bad, "request_id", "left")
     fence = (F.col("owner_id").eqNullSafe(F.col("gen_owner"))) & F.col("fence").eqNullSafe(F.col("gen_fence"))
     seen = F.col("observation_id").isNull() | F.coalesce((F.col("observed_key") == F.col("work_key")) & ~F.col("lifecycle").isin("INVALIDATED", "SUPERSEDED", "INCOMPLETE"), F.lit(False))
     ruled = F.col("rule_id").isNull() | F.coalesce((F.col("live_revision") == F.col("rule_revision")) & F.col("rule_state").isin("ACTIVE", "TIGHTENED"), F.lit(False))
@@ -115,8 +123,8 @@ def current_derivations(derivations: DataFrame, generations: DataFrame, blobs: D
     """Derivations that may be restored now: published, not quarantined, of a valid blob, and with live authority where they name any."""
     live = derivations.join(generations.where("is_head and gen_state = 'PUBLISHED'").select("work_key", "generation"), ["work_key", "generation"]).where("not quarantined")
     live = live.join(blobs.where("blob_state = 'VALID'").select("blob_digest"), "blob_digest", "left_semi")
-    live = live.join(observations.select("observation_id", "lifecycle"), "observation_id", "left").where("observation_id is null or lifecycle = 'VALIDATED'")
-    live = live.join(rules.select("rule_id", "live_revision", "rule_state"), "rule_id", "left").where("rule_id is null or (live_revision = rule_revision and rule_state in ('ACTIVE', 'TIGHTENED'))")
+    live = _join_named(live, observations.select("observation_id", "lifecycle"), "observation_id").where("observation_id is null or lifecycle = 'VALIDATED'")
+    live = _join_named(live, rules.select("rule_id", "live_revision", "rule_state"), "rule_id").where("rule_id is null or (live_revision = rule_revision and rule_state in ('ACTIVE', 'TIGHTENED'))")
     return live.select(*derivations.columns)
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keepsake.operators import corpus, derivations, identity, incremental, memory, trace
+from keepsake.functions.scratch import cut
+from keepsake.operators import claims, codegraph, corpus, derivations, identity, incremental, memory, trace
 from keepsake.plans import guard
 
 
@@ -95,6 +96,29 @@ def test_trace_accesses_read_the_events_once(spark):
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_names_are_resolved_without_broadcasts(spark, monkeypatch):
+    """Tables that every round looks up do not pass through the driver."""
+    plans = []
+    monkeypatch.setattr(codegraph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    units = spark.createDataFrame([("a", "<module>"), ("b", "<module>"), ("b", "x")], "module string, name string")
+    bindings = spark.createDataFrame([("a", "x", "b", "x")], "module string, local string, origin string, name string")
+    found = codegraph.resolve(spark.createDataFrame([("a:f", "a", ["x"])], "src string, module string, path array<string>"), units, bindings)
+    assert sorted(r.dst for r in found.collect()) == ["a:<module>", "b:x"]
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_rows_without_a_key_meet_in_no_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(400).select(F.col("id").alias("work_key"), F.when(F.col("id") % 100 == 0, F.col("id")).alias("rule_id"))
+        rules = spark.range(0, 400, 100).select(F.col("id").alias("rule_id"), F.lit("ACTIVE").alias("rule_state")).unionByName(spark.createDataFrame([(None, "none")], "rule_id long, rule_state string"))
+        met = claims._join_named(rows, rules, "rule_id").withColumn("task", F.spark_partition_id()).collect()
+        assert len(met) == 400 and {r.work_key for r in met if r.rule_state == "ACTIVE"} == {0, 100, 200, 300} and not [r for r in met if r.rule_state == "none"]
+        assert "_spread" in claims._join_named(rows, rules, "rule_id")._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(")[1].split(")")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
