@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ def canonical_json_bytes(value: object) -> bytes:
 
 
 def canonical_json(raw: Column) -> Column:
-    """JSON text in canonical form; null where it is not JSON."""
+    """JSON text in canonical form; null where it is not JSON. Row by row, as a batch of thousands of long texts fills a worker."""
 
     def one(x):
         try:
@@ -27,11 +26,7 @@ def canonical_json(raw: Column) -> Column:
         except ValueError:
             return None
 
-    @F.pandas_udf("string")
-    def canonical(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return canonical(raw)
+    return F.udf(one, "string", useArrow=False)(raw)
 
 
 def digest_column(label: str, *columns: Column, version: int = 1) -> Column:

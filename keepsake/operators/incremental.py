@@ -14,6 +14,8 @@ from keepsake.functions.canon import FramedDigest, digest_column, number_of, sum
 
 BUCKETS = 64
 CHUNK_ROWS = 8
+#: Rows whose bytes are copied together for a digest.
+FRAMED_ROWS = 64
 #: Buckets up to which those to compute are sent to all tasks; the number of buckets is a parameter.
 MOST_BROADCAST = 100_000
 
@@ -80,8 +82,9 @@ def slice_digests(bucketed: DataFrame, row_col: str) -> DataFrame:
                     if total is not None:
                         done.append((bucket, n, total.hex()))
                     bucket, total, n = int(buckets[a]), FramedDigest("slice", bucket=int(buckets[a])), 0
-                # what add() would hash for each row, laid out for the whole run of rows
-                total and total.framed(b"".join(x for k in range(a, b) for x in (lengths[8 * k : 8 * k + 8], data[ends[k] : ends[k + 1]])))
+                # what add() would hash for each row, laid out for a few rows at a time
+                for some in range(a, b, FRAMED_ROWS):
+                    total.framed(b"".join(x for k in range(some, min(some + FRAMED_ROWS, b)) for x in (lengths[8 * k : 8 * k + 8], data[ends[k] : ends[k + 1]])))
                 n += b - a
             yield of(done)
         if total is not None:

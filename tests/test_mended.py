@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keepsake.functions import canon
 from keepsake.functions.scratch import cut
 from keepsake.operators import claims, codegraph, corpus, derivations, identity, incremental, memory, trace
 from keepsake.plans import guard
@@ -119,6 +120,14 @@ def test_rows_without_a_key_meet_in_no_one_task(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_long_texts_are_not_batched_by_thousands(spark):
+    """A vector's seed is hashed by Spark, and texts become canonical row by row."""
+    plan = lambda c: spark.range(3).select(F.col("id").cast("string").alias("t")).select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan(corpus.hash_embed(F.col("t"))) and "BatchEvalPython" in plan(canon.canonical_json(F.col("t")))
+    rows = spark.createDataFrame([(1, ""), (2, None)], "id int, t string").select("id", corpus.hash_embed(F.col("t")).alias("v")).collect()
+    assert rows[0].v == rows[1].v and len(rows[0].v) == 64
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
