@@ -58,10 +58,13 @@ def assign_shards(df: DataFrame, shards: int, by: str = "doc_id") -> DataFrame:
 
 
 def hash_embed(text: Column, dim: int = 64) -> Column:
-    """A unit vector that the text's sha256 seeds; the built-in stand-in for an encoder."""
+    """A unit vector that the text's sha256 seeds; the built-in stand-in for an encoder.
 
-    def vector(x: str) -> np.ndarray:
-        seed, data, k = hashlib.sha256(x.encode()).digest(), b"", 0
+    Spark takes the sha256, so that no text goes to a Python worker.
+    """
+
+    def vector(seed: bytes) -> np.ndarray:
+        data, k = b"", 0
         while len(data) < 4 * dim:
             data += hashlib.sha256(seed + k.to_bytes(4, "big")).digest()
             k += 1
@@ -69,10 +72,10 @@ def hash_embed(text: Column, dim: int = 64) -> Column:
         return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
 
     @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(vector)
+    def embed(seeds: pd.Series) -> pd.Series:
+        return seeds.map(vector)
 
-    return embed(text)
+    return embed(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
 
 
 def embed(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], dim: int, text_col: str = "text") -> DataFrame:
