@@ -174,12 +174,18 @@ def probe_env(recorded: DataFrame, current: DataFrame, key: str, digest: str) ->
     return bad.select(*probe_row("P1", F.col("bad") == 0, F.col("n"), F.col("n"), F.col("bad").cast("string")))
 
 
-def probe_struct(old: DataFrame, new: DataFrame, entries: DataFrame, changed: DataFrame, escapes: DataFrame) -> DataFrame:
+def reached_in_either(old: DataFrame, new: DataFrame, entries: DataFrame) -> DataFrame:
+    """Distinct nodes that the entry points reach in the old or the new graph, each walked by itself, kept in a table."""
+    return cut(reachable(old, entries).select("node").unionByName(reachable(new, entries).select("node")).distinct())
+
+
+def probe_struct(old: DataFrame, new: DataFrame, entries: DataFrame, changed: DataFrame, escapes: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """One row: whether no changed unit (node) can be reached from the entry points in the old or the new graph (src, dst).
 
     A reachable unit with an escape may reach anything, so then the probe fails. detail: counts of both.
+    reached: that of reached_in_either(), where the same graphs are probed several times.
     """
-    reached = reachable(old, entries).select("node").unionByName(reachable(new, entries).select("node")).distinct()
+    reached = reached_in_either(old, new, entries) if reached is None else reached
     hit = lambda rows, name: reached.join(rows.select("node").distinct(), "node", "left_semi").agg(F.count("node").alias(name))
     counts = reached.agg(F.count("node").alias("n")).join(hit(changed, "changed")).join(hit(escapes, "escapes"))  # one row each
     passed = (F.col("changed") == 0) & (F.col("escapes") == 0)

@@ -97,7 +97,8 @@ def c3_probe_struct(inputs, artifacts):
     new = old.where(F.substring("dst", 2, 20).cast("bigint") % 5 != 3)
     units = artifacts.select(F.col("artifact_id").alias("node"), "k")
     entry = units.where("k = 1").select("node")
-    probe = lambda changed, escapes, name: op.probe_struct(old, new, entry, changed, escapes).select(F.lit(name).alias("change"), "probe_type", "passed", "population_size", "detail")
+    reached = op.reached_in_either(old, new, entry)
+    probe = lambda changed, escapes, name: op.probe_struct(old, new, entry, changed, escapes, reached).select(F.lit(name).alias("change"), "probe_type", "passed", "population_size", "detail")
     return probe(units.where("k % 7 = 1"), units.where("k % 173 = 172"), "inside").unionByName(probe(units.where("k in (2, 5, 6)"), units.where("k < 0"), "outside"))
 
 

@@ -128,6 +128,16 @@ def test_long_texts_are_not_batched_by_thousands(spark):
     assert rows[0].v == rows[1].v and len(rows[0].v) == 64
 
 
+def test_graphs_probed_twice_are_walked_once(spark, monkeypatch):
+    from keepsake.queries import corpus as queries
+
+    walks = []
+    monkeypatch.setattr(corpus, "reachable", lambda edges, roots: walks.append(1) or roots.select("node", F.lit(0).alias("depth")))
+    inputs = spark.createDataFrame([("a1", "a3")], "ref string, artifact_id string")
+    found = queries.c3_probe_struct(inputs, spark.createDataFrame([("a1", 1)], "artifact_id string, k int"))
+    assert sorted((r.change, r.passed) for r in found.collect()) == [("inside", False), ("outside", True)] and len(walks) == 2
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
