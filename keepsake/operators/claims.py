@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.functions.tasks import dealt
+
 OPEN_STATES = ["CLAIMED", "RUNNING"]
 
 
@@ -63,10 +65,10 @@ def clear_fragments(fragments: DataFrame, claims: DataFrame) -> DataFrame:
     return fragments.join(claims.where("state = 'SUCCEEDED'").select("work_key"), "work_key", "left_anti")
 
 
-def audit_races(log: DataFrame) -> DataFrame:
-    """(work_key, winners, fences_rise) of keys without exactly one winner or with a fence that does not rise; log: work_key, attempt, fence, won."""
+def audit_races(log: DataFrame, rows: int | None = None) -> DataFrame:
+    """(work_key, winners, fences_rise) of keys without exactly one winner or with a fence that does not rise; log: work_key, attempt, fence, won, of so many rows, if known."""
     w = Window.partitionBy("work_key").orderBy("attempt")
-    rises = log.withColumn("_up", F.coalesce(F.col("fence") > F.lag("fence").over(w), F.lit(True)))
+    rises = dealt(log, "work_key", rows=rows).withColumn("_up", F.coalesce(F.col("fence") > F.lag("fence").over(w), F.lit(True)))
     per = rises.groupBy("work_key").agg(F.count_if("won").alias("winners"), F.bool_and("_up").alias("fences_rise"))
     return per.where((F.col("winners") != 1) | ~F.col("fences_rise"))
 

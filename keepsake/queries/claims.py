@@ -99,12 +99,12 @@ def g20_pending_fragments(fragments):
     return op.pending_fragments(expected, fragments)
 
 
-@R.query("commits", sql="""WITH l AS (SELECT work_key * 10 + chunk AS work_key, attempt, 1 + attempt - CASE WHEN input % 40 = 0 THEN 2 ELSE 0 END AS fence, attempt = 1 OR blob % 50 = 0 AS won FROM {commits}),
+@R.query("commits", "lineitem", sql="""WITH l AS (SELECT work_key * 10 + chunk AS work_key, attempt, 1 + attempt - CASE WHEN input % 40 = 0 THEN 2 ELSE 0 END AS fence, attempt = 1 OR blob % 50 = 0 AS won FROM {commits}),
 r AS (SELECT work_key, won, coalesce(fence > lag(fence) OVER (PARTITION BY work_key ORDER BY attempt), true) AS up FROM l)
 SELECT work_key, winners, fences_rise FROM (SELECT work_key, count(*) FILTER (won) AS winners, bool_and(up) AS fences_rise FROM r GROUP BY 1) WHERE winners <> 1 OR NOT fences_rise""")
-def g21_audit_races(commits):
+def g21_audit_races(commits, items):
     log = commits.select((F.col("work_key") * 10 + F.col("chunk")).alias("work_key"), "attempt", (1 + F.col("attempt") - F.when(F.col("input") % 40 == 0, 2).otherwise(0)).alias("fence"), ((F.col("attempt") == 1) | (F.col("blob") % 50 == 0)).alias("won"))
-    return op.audit_races(log)
+    return op.audit_races(log, items.count())  # a commit for each row
 
 
 @R.query("fragments", sql="""SELECT work_key, n_chunks, window_s, CASE WHEN n_chunks > 1 AND window_s > 0 THEN 'sub_leaf_resume_candidate' ELSE 'whole_stage_takeover' END AS mode

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keepsake.functions import canon
+from keepsake import fixtures
+from keepsake.functions import canon, tasks
 from keepsake.functions.scratch import cut
 from keepsake.operators import claims, codegraph, corpus, derivations, identity, incremental, memory, trace
 from keepsake.plans import guard
@@ -138,6 +139,19 @@ def test_graphs_probed_twice_are_walked_once(spark, monkeypatch):
     assert sorted((r.change, r.passed) for r in found.collect()) == [("inside", False), ("outside", True)] and len(walks) == 2
 
 
+def test_audited_rows_are_dealt_out_by_their_number(spark, monkeypatch, tmp_path):
+    """A task sorts TASK_ROWS rows or so, however few partitions the session's shuffles have (4 here)."""
+    monkeypatch.setattr(tasks, "TASK_ROWS", 50)
+    log = spark.range(2000).select((F.col("id") % 500).alias("work_key"), F.floor(F.col("id") / 500).alias("attempt"), F.when(F.col("id") % 500 == 7, -F.col("id")).otherwise(F.col("id")).alias("fence"), ((F.col("id") % 500 != 9) & (F.col("id") < 500)).alias("won"))
+    for rows in ((), (2000,)):
+        assert sorted(map(tuple, claims.audit_races(log, *rows).collect())) == [(7, 1, False), (9, 0, True)]
+        lost = claims.audit_races(log.withColumn("won", F.lit(False)), *rows).groupBy(F.spark_partition_id()).count().collect()
+        assert len(lost) > 30 and sum(r["count"] for r in lost) == 500
+    spark.range(1000).select((F.col("id") % 300).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), "id", F.lit(2).alias("l_suppkey"), F.lit(1.0).alias("l_extendedprice"), F.lit(1.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    commits = fixtures.load(spark, str(tmp_path), "commits")
+    assert commits.rdd.getNumPartitions() == 20 and {r.attempt: r.n for r in commits.groupBy("attempt").agg(F.count("*").alias("n")).collect()} == {1: 300, 2: 300, 3: 300, 4: 100}
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
