@@ -120,11 +120,16 @@ def diff_leaves(new: DataFrame, current: DataFrame, key: str = "leaf_key") -> Da
     return new.join(known, F.col(key) == F.col("_known"), "left").withColumn("action", F.when(F.col("_known").isNotNull(), "RESTORE").otherwise("COMPUTE")).drop("_known")
 
 
-def map_changed(rows: DataFrame, leaves: DataFrame, mapper: Callable, schema: str, restored: DataFrame | None = None) -> DataFrame:
-    """mapper (as for mapInPandas) over the rows of leaves to COMPUTE, with what other leaves have restored."""
+def map_changed(rows: DataFrame, leaves: DataFrame, mapper: Callable, schema: str | None = None, restored: DataFrame | None = None) -> DataFrame:
+    """mapper over the rows of leaves to COMPUTE, with what other leaves have restored.
+
+    Without a schema, mapper makes a DataFrame of a DataFrame, so that built-in functions send no row to Python. With
+    one, it is as for mapInPandas, whose batches of thousands of long texts fill a worker.
+    """
     todo = leaves.where("action = 'COMPUTE'").select("bucket").distinct()
     few = todo.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    made = rows.join(F.broadcast(todo) if few else todo, "bucket", "left_semi").mapInPandas(mapper, schema)
+    changed = rows.join(F.broadcast(todo) if few else todo, "bucket", "left_semi")
+    made = mapper(changed) if schema is None else changed.mapInPandas(mapper, schema)
     return made if restored is None else made.unionByName(restored)
 
 

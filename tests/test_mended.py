@@ -152,6 +152,24 @@ def test_audited_rows_are_dealt_out_by_their_number(spark, monkeypatch, tmp_path
     assert commits.rdd.getNumPartitions() == 20 and {r.attempt: r.n for r in commits.groupBy("attempt").agg(F.count("*").alias("n")).collect()} == {1: 300, 2: 300, 3: 300, 4: 100}
 
 
+def test_texts_of_changed_buckets_are_mapped_without_python(spark):
+    from keepsake.queries import incremental as queries
+
+    docs = spark.createDataFrame([(k, None if k % 10 == 3 else "é😀" * k) for k in range(200)], "doc_id long, text string")
+    mutated = docs.where("doc_id < 150").withColumn("text", F.when(F.col("doc_id") % 50 == 1, "x").otherwise(F.col("text")))
+    found = queries.a9_map_changed(docs, mutated)
+    assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    leaves = spark.createDataFrame([(b, "COMPUTE" if b % 2 else "RESTORE") for b in range(64)], "bucket int, action string")
+    rows = mutated.select(incremental.bucket_of(incremental.id_bytes("doc_id")).alias("bucket"), "text")
+    in_python = incremental.map_changed(rows, leaves, lambda frames: (x.assign(n=x["text"].str.len())[["bucket", "n"]] for x in frames), "bucket int, n long")
+    built_in = incremental.map_changed(rows, leaves, lambda x: x.select("bucket", F.length("text").cast("long").alias("n")), restored=in_python.limit(0))
+    assert sorted(map(str, built_in.collect())) == sorted(map(str, in_python.collect())) and 0 < built_in.count() < 150
+    old, new = (incremental.leaf_keys(queries._leaves(x), "g", "digest") for x in (docs, mutated))
+    todo = {r.bucket for r in incremental.diff_leaves(new, old).collect() if r.action == "COMPUTE"}
+    kept = [r for r in rows.collect() if r.bucket in todo]
+    assert found.first() == (len(kept), sum(len(r.text or "") for r in kept), len(todo))
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
