@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from keepsake.functions.canon import FramedDigest, digest_column, number_of, sum_digest
 
@@ -175,7 +176,16 @@ def changed_buckets(old: DataFrame, new: DataFrame, digest_col: str = "digest")
     return both.select("bucket", F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("edited").alias("change"))
 
 
+def row_digests(rows: DataFrame) -> DataFrame:
+    """rows with each text and each binary value as its sha256: narrow rows, equal where the rows are."""
+    hashed = [F.unhex(F.sha2(F.col(f"`{f.name}`").cast("binary"), 256)).alias(f.name) if f.dataType in (StringType(), BinaryType()) else F.col(f"`{f.name}`") for f in rows.schema]
+    return rows.select(*hashed)
+
+
 def datasets_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: rows only in a, rows only in b (with repeats), and whether there are none."""
-    only_a, only_b = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a")), b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_b"))
-    return only_a.join(only_b).select("only_a", "only_b", ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("equal"))  # one row each
+    """One row: rows only in a, rows only in b (with repeats), and whether there are none. Rows meet once, as row_digests()."""
+    names = [f"c{k}" for k in range(len(a.columns))]
+    both = a.toDF(*names).withColumn("side", F.lit(1)).union(b.toDF(*names).withColumn("side", F.lit(-1)))
+    more = row_digests(both).groupBy(*names).agg(F.sum("side").alias("more"))
+    counted = more.agg(*[F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).alias(c) for c, n in (("only_a", F.col("more")), ("only_b", -F.col("more")))])
+    return counted.select("only_a", "only_b", ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("equal"))

@@ -170,6 +170,23 @@ def test_texts_of_changed_buckets_are_mapped_without_python(spark):
     assert found.first() == (len(kept), sum(len(r.text or "") for r in kept), len(todo))
 
 
+def test_datasets_are_compared_as_narrow_rows(spark):
+    from keepsake.queries import incremental as queries
+
+    nan = float("nan")
+    rows = [(1, "a", b"a", 0.0), (1, "a", b"a", -0.0), (2, "", None, nan), (2, None, b"", nan), (3, "é😀", b"x", None), (None, None, None, None), (None, None, None, None)]
+    a = spark.createDataFrame(rows, "k int, `a.b` string, c binary, d double")
+    b = spark.createDataFrame([*rows[1:6], (2, None, None, nan), (3, "é", b"x", None), (3, "é", b"x", None)], "k long, `a.b` string, c binary, d double")
+    for x, y in ((a, b), (b, a), (a, a.repartition(3)), (a, b.limit(0)), (a.limit(0), b), (a.limit(0), a.limit(0)), (a.select("k"), b.select("k")), (a, b.select(F.col("k").alias("z"), "`a.b`", "c", "d"))):
+        want = (x.exceptAll(y).count(), y.exceptAll(x).count())
+        assert incremental.datasets_equal(x, y).first() == (*want, want == (0, 0))
+    docs = spark.createDataFrame([(k, "long text " * 2000 + str(k)) for k in range(50)], "doc_id long, text string")
+    found = queries.a17_datasets_equal(docs, docs.where("doc_id < 40"))
+    assert sorted((r.other, r.only_a, r.only_b, r.equal) for r in found.collect()) == [("itself", 0, 0, True), ("mutated", 10, 0, False)]
+    dealt = [x.split("Repartition 5")[1].split("\n")[1] for x in [found._jdf.queryExecution().optimizedPlan().toString()] if "Repartition 5" in x]
+    assert len(dealt) == 1 and "sha2" in dealt[0]
+
+
 def test_plan_keys(spark):
     stages = spark.createDataFrame([(p, s, "c", "k", "e") for p in ("p", "q") for s in "abcd"], "plan string, stage string, config string, code string, env string")
     edges = spark.createDataFrame([("p", "b", "a"), ("p", "c", "b"), ("p", "d", "c"), ("p", "d", "a"), ("q", "b", "a"), ("q", "c", "a")], "plan string, stage string, parent string")
