@@ -6,13 +6,17 @@ import codecs
 import posixpath
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from keepsake.functions.tasks import TASK_ROWS
+
 #: System calls after which a trace cannot be complete, and those of sockets.
 LOSS_CALLS = ["io_uring_setup", "io_uring_enter", "io_uring_register", "ptrace", "process_vm_readv", "process_vm_writev", "memfd_create"]
 SOCKET_CALLS = ["socket", "connect", "bind", "listen", "accept", "accept4", "sendto", "recvfrom", "sendmsg", "recvmsg"]
@@ -20,30 +24,36 @@ SOCKET_CALLS = ["socket", "connect", "bind", "listen", "accept", "accept4", "sen
 LOSS_REASONS = ["tracer_died", "trace_truncated", "trace_empty_or_missing", "missing_top_level_exit_record", "exit_status_disagreement", "unparseable_exit_status", "orphan_resumed_line", "truncated_unfinished", "unparsed"]
 _PID = r"^(\d+)\s+"
 _CALL = _PID + r"(\w+)\((.*)\)\s*=\s*(.+)$"
+#: The parts of a whole call, one a line; none has a line break, as "." stops there.
+_PARTS = "$1\n$2\n$4\n$3\n"
 
 
 def parse_trace(lines: DataFrame) -> DataFrame:
     """lines with pid, kind (syscall, exit, killed, unfinished, resumed, unparsed), name, args and ret; blank lines go."""
-    line = F.rtrim(F.col("line"))
+    line, found = F.rtrim(F.col("line")), F.col("_found")
+    # one pattern takes a whole call apart; a line that it leaves as it was is no whole call
+    whole, call = found != line, F.split(found, "\n", 5)
     # a plain search for a part of each pattern comes first, as most lines are whole calls
     has = lambda part, p: line.contains(part) & line.rlike(_PID + p)
     kind = (
         F.when(has("<unfinished", r".*<unfinished\s+\.\.\.>$"), "unfinished")
         .when(has("resumed>", r"<\.\.\.\s+\S+\s+resumed>"), "resumed")
-        .when(line.rlike(_CALL), "syscall")
+        .when(whole, "syscall")
         .when(has("killed", r"\+\+\+\s+killed\s+by\s+\S+\s+\+\+\+$"), "killed")
         .when(has("exited", r"\+\+\+\s+exited\s+with\s+-?\d+\s+\+\+\+$"), "exit")
         .otherwise("unparsed")
     )
     part = lambda p, g: F.regexp_extract(line, p, g)
-    rows = lines.where(F.trim("line") != "").withColumn("kind", kind)
-    k = F.col("kind")
-    return (
-        rows.withColumn("pid", F.when(k != "unparsed", part(_PID, 1).cast("long")).otherwise(-1))
-        .withColumn("name", F.when(k == "syscall", part(_PID + r"(\w+)\(", 2)).when(k == "resumed", part(r"<\.\.\.\s+(\S+)\s+resumed>", 1)).otherwise(k))
-        .withColumn("args", F.when(k == "syscall", part(_CALL, 3)).when(k == "killed", part(r"killed\s+by\s+(\S+)", 1)).when(k == "unfinished", part(_PID + r"(.*?)\s*<unfinished\s+\.\.\.>$", 2)).when(k == "resumed", part(r"resumed>(.*)$", 1)).otherwise(""))
-        .withColumn("ret", F.when(k == "syscall", F.trim(part(_CALL, 4))).when(k == "exit", part(r"exited\s+with\s+(-?\d+)", 1)).otherwise(""))
-    )
+    k, parts = F.col("kind"), F.col("_parts")
+    pid = F.when(k == "syscall", parts[0].cast("long")).when(k != "unparsed", part(_PID, 1).cast("long")).otherwise(-1)
+    name = F.when(k == "syscall", parts[1]).when(k == "resumed", part(r"<\.\.\.\s+(\S+)\s+resumed>", 1)).otherwise(k)
+    args = F.when(k == "syscall", parts[3]).when(k == "killed", part(r"killed\s+by\s+(\S+)", 1)).when(k == "unfinished", part(_PID + r"(.*?)\s*<unfinished\s+\.\.\.>$", 2)).when(k == "resumed", part(r"resumed>(.*)$", 1)).otherwise("")
+    ret = F.when(k == "syscall", F.trim(parts[2])).when(k == "exit", part(r"exited\s+with\s+(-?\d+)", 1)).otherwise("")
+    rows = lines.where(F.trim("line") != "").withColumn("_found", F.regexp_replace(line, _CALL, _PARTS)).withColumn("kind", kind).withColumn("_parts", F.when(whole, call))
+    # exploded, the columns are made once a line: conditions on them would otherwise repeat the patterns before
+    made = {"kind": k, "pid": pid, "name": name, "args": args, "ret": ret}
+    kept = [F.col(f"`{c}`") for c in lines.columns if c not in made]
+    return rows.select(*kept, F.explode(F.array(F.struct(*[v.alias(c) for c, v in made.items()]))).alias("_made")).select(*kept, "_made.*")
 
 
 def join_resumed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,15 +129,45 @@ def _joined(base: str, path: str) -> str:
     return posixpath.normpath(posixpath.join(base, path))
 
 
-@lru_cache(KEPT)
-def _inside(path: str | None, root: str | None) -> str | None:
-    if root is None or path is None or path != root and not path.startswith(root.rstrip("/") + "/"):
+def _inside(path: str, root: str | None) -> str:
+    if root is None or not path.startswith(root):
+        return path
+    above = root.rstrip("/") + "/"
+    if path != root and not path.startswith(above):
         return path
-    return posixpath.relpath(path, root)
+    # what is normal already only loses its beginning
+    return path[len(above) :] if path != root and "//" not in path and "/." not in path and path[-1] != "/" else posixpath.relpath(path, root)
+
+
+class Call:
+    """What the texts of a call say by themselves; a worker reads equal calls once."""
+
+    __slots__ = ("args", "at", "closes", "does", "name", "noted", "number", "ok", "text", "value")
+
+    def __init__(self, name: str, args: str, ret: str):
+        self.name, self.args = name, (*arguments(args), *[""] * 6)
+        (self.value, self.noted), self.ok = descriptor(ret.split(" ")[0]), not ret.startswith("-1")
+        self.number, self.closes = descriptor(self.args[0])[0], "O_CLOEXEC" in ",".join(self.args[1:])
+        self.does, self.at, self.text = Process.DOES.get(name), None, None
+        if self.does is Process.named:
+            self.at, token = (self.args[0], self.args[1]) if name in AT_CALLS else (None, self.args[0])
+            self.text = self.noted if name in OPEN_CALLS and self.noted is not None else quoted(token)
+        if name == "fcntl":
+            self.does = Process.copy if self.args[1].startswith("F_DUPFD") else Process.mark if self.args[1] == "F_SETFD" else None
+
+
+@lru_cache(KEPT)
+def call_of(name: str, text: str, ret: str) -> Call:
+    return Call(name, text, ret)
 
 
 class Process:
-    """What a process has open: path and close-on-exec by number; and where it is, in a list that processes may share."""
+    """What a process has open: path and close-on-exec by number; and where it is, in a list that processes may share.
+
+    What a call does to descriptors and directories is a method, which returns the path or paths that the call is about.
+    """
+
+    __slots__ = ("cwd", "files")
 
     def __init__(self, cwd: list, files: dict):
         self.cwd, self.files = cwd, files
@@ -147,44 +187,61 @@ class Process:
         base = self.path_of(at) if at is not None and descriptor(at)[0] is not None else self.cwd[0] or ""
         return None if base is None else _joined(base, path)
 
-    def call(self, name: str, args: tuple[str, ...], ret: str) -> tuple[str | None, str | None]:
-        """The path or paths that a call is about, after what it does to descriptors and directories."""
-        args = (*args, *[""] * (6 - len(args)))
-        (value, noted), ok = descriptor(ret.split(" ")[0]), not ret.startswith("-1")
-        if name in DUP_CALLS or name == "fcntl" and args[1].startswith("F_DUPFD"):
-            source = self.path_of(args[0])
-            if ok and value is not None and source is not None:
-                self.files[value] = (source, self.files.get(descriptor(args[0])[0], (None, False))[1] or "CLOEXEC" in args[1] + args[2])
-        elif name == "fcntl" and args[1] == "F_SETFD" and ok and (number := descriptor(args[0])[0]) in self.files:
-            self.files[number] = (self.files[number][0], "FD_CLOEXEC" in args[2])
-        elif name == "close":
-            self.files.pop(descriptor(args[0])[0], None)
-        elif name == "close_range" and args[0].isdigit() and args[1].lstrip("~").isdigit():
+    def copy(self, call: Call) -> tuple[str | None, str | None]:
+        args, source = call.args, self.path_of(call.args[0])
+        if call.ok and call.value is not None and source is not None:
+            self.files[call.value] = (source, self.files.get(call.number, (None, False))[1] or "CLOEXEC" in args[1] + args[2])
+        return None, None
+
+    def mark(self, call: Call) -> tuple[str | None, str | None]:
+        if call.ok and call.number in self.files:
+            self.files[call.number] = (self.files[call.number][0], "FD_CLOEXEC" in call.args[2])
+        return None, None
+
+    def close(self, call: Call) -> tuple[str | None, str | None]:
+        self.files.pop(call.number, None)
+        return None, None
+
+    def close_range(self, call: Call) -> tuple[str | None, str | None]:
+        args = call.args
+        if args[0].isdigit() and args[1].lstrip("~").isdigit():
             last = int(args[1]) if args[1].isdigit() else 1 << 32
             for number in [n for n in self.files if int(args[0]) <= n <= last]:
                 del self.files[number]
-        elif name in DESCRIPTOR_CALLS or name == "mmap":
-            path = self.path_of(args[4 if name == "mmap" else 0])
-            if name == "fchdir" and ok and path is not None:
-                self.cwd[0] = path
-            return path, None
-        elif name in ("renameat", "renameat2", "rename"):
-            two = ((None, args[0]), (None, args[1])) if name == "rename" else ((args[0], args[1]), (args[2], args[3]))
-            return tuple(self.absolute(quoted(p), at) for at, p in two)
-        elif name in PATH_CALLS or name in AT_CALLS:
-            at, token = (args[0], args[1]) if name in AT_CALLS else (None, args[0])
-            path = self.absolute(noted if noted is not None and name in OPEN_CALLS else quoted(token), at)
-            if name == "chdir" and ok and path is not None:
-                self.cwd[0] = path
-            elif name in ("execve", "execveat") and ok:
-                self.files = {n: f for n, f in self.files.items() if not f[1]}
-            elif name in OPEN_CALLS and ok and value is not None and path not in (None, "/dev/urandom", "/dev/random"):
-                self.files[value] = (path, "O_CLOEXEC" in ",".join(args[1:]))
-            return path, None
         return None, None
 
+    def described(self, call: Call) -> tuple[str | None, str | None]:
+        path = self.path_of(call.args[4 if call.name == "mmap" else 0])
+        if call.name == "fchdir" and call.ok and path is not None:
+            self.cwd[0] = path
+        return path, None
+
+    def rename(self, call: Call) -> tuple[str | None, str | None]:
+        args = call.args
+        two = ((None, args[0]), (None, args[1])) if call.name == "rename" else ((args[0], args[1]), (args[2], args[3]))
+        return tuple(self.absolute(quoted(p), at) for at, p in two)
 
-def resolve_calls(events: DataFrame, workspace: str | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    def named(self, call: Call) -> tuple[str | None, str | None]:
+        name, path = call.name, self.absolute(call.text, call.at)
+        if name == "chdir" and call.ok and path is not None:
+            self.cwd[0] = path
+        elif name in ("execve", "execveat") and call.ok:
+            self.files = {n: f for n, f in self.files.items() if not f[1]}
+        elif name in OPEN_CALLS and call.ok and call.value is not None and path not in (None, "/dev/urandom", "/dev/random"):
+            self.files[call.value] = (path, call.closes)
+        return path, None
+
+    DOES = {**dict.fromkeys([*PATH_CALLS, *AT_CALLS], named), **dict.fromkeys(("rename", "renameat", "renameat2"), rename), **dict.fromkeys((*DESCRIPTOR_CALLS, "mmap"), described), **dict.fromkeys(DUP_CALLS, copy), "close": close, "close_range": close_range}
+
+
+def by_trace(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with each trace in one task; rows: about how many lines the traces have, if known, which says how many tasks."""
+    if rows is not None and (n := -(-rows // TASK_ROWS)) > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(n, "trace_id")
+    return df.repartition("trace_id")
+
+
+def resolve_calls(events: DataFrame, workspace: str | None = None, beside: tuple[str, ...] = (), rows: int | None = None, silent: bool = True) -> DataFrame:
     """(trace_id, line_no, name, args, ret, path, second): what each call is about, by the descriptors and directories of its process.
 
     A trace's calls are folded in the order of its lines, in sorted streams: a task holds the descriptors of one
@@ -192,73 +249,86 @@ def resolve_calls(events: DataFrame, workspace: str | None = None, beside: tuple
     the flags of clone say; exec closes what is marked so. Paths that the log notes beside descriptors count where
     the fold does not know better. workspace: where processes begin; paths inside it are given relative to it.
     Without it, a relative path of a process that has not changed directory stays relative. beside: other calls to pass
-    through in the same reading of the events, without a path.
+    through in the same reading of the events, without a path. rows: about how many events there are, if known, so that
+    they are dealt out to as many tasks as they need. silent: whether calls come back that are about no known path and open none.
     """
     root = None if workspace is None else posixpath.normpath(workspace)
 
     others = set(beside)
+    telling = pa.array([*beside, *OPEN_CALLS])
 
     def in_task(batches: Iterator[pa.RecordBatch]):
         trace, processes = object(), {}
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("trace_id", "pid", "name", "args", "ret")]
-            paths, seconds = [], []
-            for t, pid, name, args, ret in zip(*columns, strict=True):
-                if t != trace:
-                    trace, processes = t, {}
+            coded = [batch.column(c).dictionary_encode("encode") for c in ("trace_id", "pid", "name", "args", "ret")]
+            (traces, *values), (places, *codes) = zip(*((d.dictionary.to_pylist(), d.indices.to_numpy()) for d in coded), strict=True)
+            columns = [map(v.__getitem__, k.tolist()) for v, k in zip(values, codes, strict=True)]
+            begins = np.diff(places, prepend=-1) != 0
+            if len(begins):
+                begins[0], trace = traces[places[0]] != trace, traces[places[-1]]
+            paths, seconds = [None] * len(begins), [None] * len(begins)
+            for n, (new, pid, name, args, ret) in enumerate(zip(begins.tolist(), *columns, strict=True)):
+                if new:
+                    processes = {}
                 process = processes.get(pid)
                 if process is None:
                     process = processes[pid] = Process([root], {})
                 if name in others:
-                    path = second = None
-                elif name in FORK_CALLS:
+                    continue
+                if name in FORK_CALLS:
                     child = descriptor(ret)[0]
                     if child is not None and child >= 0:
                         processes[child] = process.child(args)
-                    path = second = None
-                else:
-                    path, second = process.call(name, arguments(args), ret)
-                paths.append(_inside(path, root))
-                seconds.append(_inside(second, root))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.string()), pa.array(seconds, pa.string())], names=[*batch.schema.names, "path", "second"])
+                elif (call := call_of(name, args, ret)).does is not None:
+                    path, second = call.does(process, call)
+                    if path is not None:
+                        paths[n] = _inside(path, root)
+                    if second is not None:
+                        seconds[n] = _inside(second, root)
+            made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.string()), pa.array(seconds, pa.string())], names=[*batch.schema.names, "path", "second"])
+            yield made if silent else made.filter(pc.or_(pc.or_(made.column("path").is_valid(), made.column("second").is_valid()), pc.is_in(made.column("name"), telling)))
 
     few = events.where((F.col("kind") == "syscall") & F.col("name").isin(*FOLDED_CALLS, *beside))
     few = few.select("trace_id", F.col("line_no").cast("long").alias("line_no"), F.col("pid").cast("long").alias("pid"), "name", "args", "ret")
-    ordered = few.repartition("trace_id").sortWithinPartitions("trace_id", "line_no")
+    ordered = by_trace(few, rows).sortWithinPartitions("trace_id", "line_no")
     kinds = StructType([*few.schema.fields, StructField("path", StringType()), StructField("second", StringType())])
     return ordered.mapInArrow(in_task, kinds).drop("pid")
 
 
-def trace_accesses(events: DataFrame, workspace: str | None = None) -> DataFrame:
+def trace_accesses(events: DataFrame, workspace: str | None = None, rows: int | None = None) -> DataFrame:
     """(trace_id, line_no, kind, ref, mode): what each call touched, by resolve_calls().
 
     A call about a descriptor that nobody has opened, or a path that the log cut short, touches nothing that is
     known. An open of random bytes and getrandom are reads of a device; a mapped file is read.
     """
-    calls = resolve_calls(events, workspace, (*SOCKET_CALLS, "getrandom"))
+    calls = resolve_calls(events, workspace, (*SOCKET_CALLS, "getrandom"), rows, silent=False)
     ok, name, path = ~F.col("ret").startswith("-1"), F.col("name"), F.col("path")
     entry = lambda kind, ref, mode: F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), F.lit(mode).alias("mode"))
-    write = F.col("args").rlike(r"O_WRONLY|O_RDWR|O_CREAT|O_TRUNC|O_APPEND") | (name == "creat")
-    missing = F.col("ret").rlike(r"^-1 (ENOENT|ENOTDIR)")
-    opens, links = name.isin(*OPEN_CALLS), name.isin("readlink", "readlinkat")
-    probes = name.isin("stat", "lstat", "newfstatat", "statx", "access", "faccessat", "faccessat2", "fstat")
+    one = lambda kind, mode: F.array(entry(kind, path, mode))
+    says = lambda *parts: reduce(Column.__or__, [F.col("args").contains(p) for p in parts])
+    missing = F.col("ret").startswith("-1 ENOENT") | F.col("ret").startswith("-1 ENOTDIR")
+    opened = (
+        F.when(says("/dev/urandom", "/dev/random"), F.array(entry("device", F.lit("device:urandom"), "read")))
+        .when(missing, one("file", "negative"))
+        .when(ok & (says("O_WRONLY", "O_RDWR", "O_CREAT", "O_TRUNC", "O_APPEND") | (name == "creat")), one("file", "write"))
+        .when(ok & says("O_DIRECTORY"), one("directory", "enumerate"))
+        .when(ok, one("file", "read"))
+    )
+    # a probe that shows another kind of file than a regular one reads none
+    probed = F.when(missing, one("file", "negative")).when(ok & (says("S_IFREG") | ~says("S_IF")), one("file", "read"))
+    # most lines of a log are opens and maps
     found = (
-        F.when(name.isin(SOCKET_CALLS), F.array(entry("socket", name, "network")))
+        F.when(name.isin(*OPEN_CALLS), opened)
+        .when(name == "mmap", F.when(ok, one("file", "read")))
+        .when(name.isin("stat", "lstat", "newfstatat", "statx", "access", "faccessat", "faccessat2", "fstat"), probed)
+        .when(name.isin("readlink", "readlinkat"), F.when(missing | F.col("ret").startswith("-1 EINVAL"), one("file", "negative")).when(ok, one("file", "symlink")))
+        .when((name == "execve") & missing, one("file", "negative"))
+        .when(name.isin("execve", "execveat"), F.when(ok, one("subprocess", "execute")))
+        .when(name.isin("getdents", "getdents64"), F.when(ok, one("directory", "enumerate")))
+        .when(name.isin("rename", "renameat", "renameat2"), F.when(ok, F.array(entry("file", path, "write"), entry("file", F.col("second"), "write"))))
+        .when(name.isin("unlink", "unlinkat", "mkdir", "mkdirat", "rmdir", "truncate"), F.when(ok, one("file", "write")))
+        .when(name.isin(SOCKET_CALLS), F.array(entry("socket", name, "network")))
         .when(name == "getrandom", F.array(entry("device", F.lit("device:getrandom"), "read")))
-        .when(opens & F.col("args").rlike("/dev/u?random"), F.array(entry("device", F.lit("device:urandom"), "read")))
-        .when((opens | probes | links | (name == "execve")) & missing, F.array(entry("file", path, "negative")))
-        .when(links & F.col("ret").startswith("-1 EINVAL"), F.array(entry("file", path, "negative")))
-        .when(opens & ok & write, F.array(entry("file", path, "write")))
-        .when(opens & ok & F.col("args").contains("O_DIRECTORY"), F.array(entry("directory", path, "enumerate")))
-        .when(opens & ok, F.array(entry("file", path, "read")))
-        # a probe that shows another kind of file than a regular one reads none
-        .when(probes & ok & (F.col("args").contains("S_IFREG") | ~F.col("args").contains("S_IF")), F.array(entry("file", path, "read")))
-        .when(name.isin("execve", "execveat") & ok, F.array(entry("subprocess", path, "execute")))
-        .when(name.isin("getdents", "getdents64") & ok, F.array(entry("directory", path, "enumerate")))
-        .when((name == "mmap") & ok, F.array(entry("file", path, "read")))
-        .when(links & ok, F.array(entry("file", path, "symlink")))
-        .when(name.isin("rename", "renameat", "renameat2") & ok, F.array(entry("file", path, "write"), entry("file", F.col("second"), "write")))
-        .when(name.isin("unlink", "unlinkat", "mkdir", "mkdirat", "rmdir", "truncate") & ok, F.array(entry("file", path, "write")))
     )
     return calls.select("trace_id", "line_no", F.explode(found).alias("a")).select("trace_id", "line_no", "a.*").where("ref is not null")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keepsake.functions.tasks import dealt
 from keepsake.operators import codegraph as op
 from keepsake.operators import trace
 from keepsake.queries.registry import Registry
@@ -63,7 +64,8 @@ SELECT t AS trace_id, kind, ref, mode, count(*) AS n FROM (
 def j5_descriptors(lineitem):
     """A trace for each order: each item opens a directory and a file in it, in every third case in the workspace, forks, and in every fourth execs before it writes beside it."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = lineitem.select(F.col("l_orderkey").alias("trace_id"), F.row_number().over(w).alias("n"), (F.col("l_partkey") % 50).cast("string").alias("d"), F.col("l_suppkey").cast("string").alias("f"))
+    size = lineitem.count() * 11  # lines of log at most
+    rows = dealt(lineitem, "l_orderkey", rows=size).select(F.col("l_orderkey").alias("trace_id"), F.row_number().over(w).alias("n"), (F.col("l_partkey") % 50).cast("string").alias("d"), F.col("l_suppkey").cast("string").alias("f"))
     n = F.col("n")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     pid, child = n.cast("string"), (n + 1000).cast("string")
@@ -82,5 +84,5 @@ def j5_descriptors(lineitem):
     )
     logs = rows.select("trace_id", "n", F.posexplode(lines).alias("k", "line")).where("line is not null")
     events, _ = trace.join_resumed(trace.parse_trace(logs.select("trace_id", (F.col("n") * 100 + F.col("k")).alias("line_no"), "line")))
-    found = trace.trace_accesses(events, "/work")
+    found = trace.by_trace(trace.trace_accesses(events, "/work", size), size)
     return found.groupBy("trace_id", "kind", "ref", "mode").agg(F.count(F.lit(1)).alias("n"))

@@ -98,6 +98,32 @@ def test_trace_accesses_read_the_events_once(spark):
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_whole_calls_are_read_by_one_pattern_once(spark):
+    """Conditions on what was parsed do not repeat the patterns, of which a whole call needs one."""
+    texts = ["1 open(\"a)=b\") =  3 ", "2\topen() = 4\n", "2 close(1) = -1 E (x) = y", "1\nopen\n3\na\n", "3 read(1) = 0\nx", "3 +++ exited with 1 +++", "x", "4 open( = 3", "12345678901 f(\u00e9,\\t$1) \t=\t ?"]
+    parsed = trace.parse_trace(spark.createDataFrame(list(enumerate(texts)), "line_no int, line string"))
+    assert sorted(map(tuple, parsed.drop("line").collect())) == [
+        (0, "syscall", 1, "open", '"a)=b"', "3"), (1, "syscall", 2, "open", "", "4"), (2, "syscall", 2, "close", "1) = -1 E (x", "y"), (3, "unparsed", -1, "unparsed", "", ""), (4, "unparsed", -1, "unparsed", "", ""),
+        (5, "exit", 3, "exit", "", "1"), (6, "unparsed", -1, "unparsed", "", ""), (7, "unparsed", -1, "unparsed", "", ""), (8, "syscall", 12345678901, "f", "\u00e9,\\t$1", "?"),
+    ]
+    some = parsed.where("kind = 'syscall' and name in ('open', 'close')")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert some.count() == 3 and plan.count("=\\s*(.+)$") == 1 and not [x for x in plan.split("\n") if "Filter" in x and "RLIKE" in x]
+
+
+def test_traces_are_dealt_out_by_their_lines(spark):
+    """Few shuffle partitions do not make large tasks; calls that touch nothing stay in the fold."""
+    lines = spark.range(600).select((F.col("id") % 40).alias("trace_id"), F.col("id").alias("line_no"), F.when(F.col("id") % 3 == 0, '1 open("/a", O_RDONLY) = 3').when(F.col("id") % 3 == 1, "1 close(3) = 0").otherwise("1 mmap(NULL, 1, PROT_READ, MAP_PRIVATE, 3, 0) = 0x7f").alias("line"))
+    events, _ = trace.join_resumed(trace.parse_trace(lines))
+    few, many = trace.trace_accesses(events), trace.trace_accesses(events, rows=9 * tasks.TASK_ROWS)
+    assert many.rdd.getNumPartitions() == 9 and sorted(few.collect()) == sorted(many.collect())
+    met = trace.by_trace(lines, 9 * tasks.TASK_ROWS).select("trace_id", F.spark_partition_id().alias("task")).distinct()
+    assert met.count() == 40
+    calls, silent = (trace.resolve_calls(events, silent=x) for x in (False, True))
+    assert silent.count() == 600 and calls.where("path is null and name <> 'open'").count() == 0
+    assert sorted(calls.where("path is not null").collect()) == sorted(r for r in silent.collect() if r.path is not None)
+
+
 def test_names_are_resolved_without_broadcasts(spark, monkeypatch):
     """Tables that every round looks up do not pass through the driver."""
     plans = []
